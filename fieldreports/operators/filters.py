@@ -14,8 +14,8 @@ the dashboards' request handling exactly:
 
 Values are bound as literals, never spliced into SQL text.  Predicates use the
 normalised key columns written at ingest (see ``sources.ingest``) so they push
-down to Parquet; date bounds also add a predicate on the ``month`` partition
-column so a written table is pruned.
+down to Parquet; date bounds also add a predicate on the ``year`` partition
+column so a written table is pruned by directory.
 """
 
 from __future__ import annotations
@@ -63,8 +63,6 @@ def _search(v: str | None) -> str | None:
     return contains_pattern(v)
 
 
-def _yyyymm(d: dt.date) -> int:
-    return d.year * 100 + d.month
 
 
 def _and(preds: Iterable[Column]) -> Column:
@@ -73,15 +71,15 @@ def _and(preds: Iterable[Column]) -> Column:
 
 def _date_slot(date_from: dt.date | None, date_to: dt.date | None, columns: set[str] | None) -> Column | None:
     parts = []
-    prune = columns is None or "month" in columns
+    prune = columns is None or "year" in columns
     if date_from is not None:
         parts.append(F.col("date_d") >= F.lit(date_from))
         if prune:
-            parts.append(F.col("month") >= F.lit(_yyyymm(date_from)))
+            parts.append(F.col("year") >= F.lit(date_from.year))
     if date_to is not None:
         parts.append(F.col("date_d") <= F.lit(date_to))
         if prune:
-            parts.append(F.col("month") <= F.lit(_yyyymm(date_to)))
+            parts.append(F.col("year") <= F.lit(date_to.year))
     return _and(parts) if parts else None
 
 

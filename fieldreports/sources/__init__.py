@@ -15,23 +15,32 @@ class FactSource:
     """Where the normalised facts come from.
 
     By default they are derived lazily from the driver tables at ``sf_dir``.
-    ``materialise()`` writes both once (month-partitioned Parquet in the shared
-    checkpoint folder) and later reports scan the written tables instead.
+    ``materialise()`` writes both once (year-partitioned, day-sorted Parquet in
+    the shared checkpoint folder) and later reports scan the written tables.
     """
 
     spark: SparkSession
     sf_dir: str
     paths: dict = field(default_factory=dict)
+    _frames: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def _frame(self, name: str, derive) -> DataFrame:
+        # One handle per fact: a written table is listed and its footers read
+        # once, then every report plans against the same relation.
+        if name not in self._frames:
+            if name in self.paths:
+                self._frames[name] = ingest.read_fact(self.spark, self.paths[name])
+            else:
+                self._frames[name] = derive()
+        return self._frames[name]
 
     def attendance(self) -> DataFrame:
-        if "attendance" in self.paths:
-            return ingest.read_fact(self.spark, self.paths["attendance"])
-        return ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir))
+        return self._frame(
+            "attendance", lambda: ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir))
+        )
 
     def visits(self) -> DataFrame:
-        if "visits" in self.paths:
-            return ingest.read_fact(self.spark, self.paths["visits"])
-        return ingest.normalise_visits(fixtures.outlet_visits(self.spark, self.sf_dir))
+        return self._frame("visits", lambda: ingest.normalise_visits(fixtures.outlet_visits(self.spark, self.sf_dir)))
 
     def table(self, name: str, columns=None) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, columns)

@@ -42,11 +42,20 @@ def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw attendance fact (dirty dimensions kept, as stored upstream)."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_type"])
+    # The day's alphabetically first event type decides its attendance type.
+    # A text minimum forces a sort-based aggregate, so each event type is
+    # mapped to an integer rank that preserves exactly that decision: known
+    # type number j -> 2j, any other text between known j-1 and j -> 2j-1.
+    # min(rank) is then a hash aggregate with map-side combine.
+    known = sorted(e for e, _ in EVENT_TO_ATTENDANCE)
+    et = F.col("event_type")
+    below = sum((F.lit(k) < et).cast("int") for k in known)
+    rank = F.when(et.isin(known), below * 2).otherwise(below * 2 - 1)
     daily = (
-        ev.withColumn("d", F.to_date("ts"))
+        ev.select("user_id", "ts", F.to_date("ts").alias("d"), rank.alias("type_rank"))
         .groupBy("user_id", "d")
         .agg(
-            F.min("event_type").alias("first_type"),
+            F.min("type_rank").alias("first_rank"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
             F.count(F.lit(1)).alias("n_events"),
@@ -89,10 +98,11 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = roster.withColumn("d", F.explode(F.sequence(first_day, last_day))).join(days, "d", "left_semi")
     joined = grid.join(daily, ["user_id", "d"], "left")
 
-    ft = F.col("first_type")
-    atype = F.when(ft.isNull(), F.lit(NOT_MARKED))
-    for event, label in EVENT_TO_ATTENDANCE:
-        atype = atype.when(ft == event, F.lit(label))
+    fr = F.col("first_rank")
+    label_of = dict(EVENT_TO_ATTENDANCE)
+    atype = F.when(fr.isNull(), F.lit(NOT_MARKED))
+    for j, event in enumerate(known):
+        atype = atype.when(fr == 2 * j, F.lit(label_of[event]))
     atype = atype.otherwise(F.lit(OTHER_EVENT_ATTENDANCE))
 
     return joined.select(
@@ -114,7 +124,14 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlet_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw field-activity fact, one row per line item (text dates, padded keys)."""
+    """Raw field-activity fact, one row per line item (text dates, padded keys).
+
+    The fact streams through a chain of joins with one dimension each, so
+    every join has the fact on one side and a single table on the other; the
+    planner's size check then broadcasts the small ones and shuffles the rest.
+    (Joining supplier to nation first would make the dimension side look huge
+    to the size estimate and turn the fact itself into the broadcast side.)
+    """
     li = read_table(
         spark,
         sf_dir,
@@ -123,10 +140,15 @@ def outlet_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
-    geo = _geography(spark, sf_dir)
-    sup = supplier.join(geo, supplier.s_nationkey == geo.n_nationkey)
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
-    v = li.join(sup, li.l_suppkey == sup.s_suppkey).join(part, li.l_partkey == part.p_partkey)
+    v = (
+        li.join(supplier, li.l_suppkey == supplier.s_suppkey)
+        .join(part, li.l_partkey == part.p_partkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+    )
     pk = F.col("l_partkey")
     return v.select(
         F.col("r_name").alias("region"),

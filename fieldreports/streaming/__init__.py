@@ -2,7 +2,7 @@
 
 The dashboards have no stream, watermark or stateful operator: data is read
 from tables on each request.  Nothing here adds one.  Incremental arrival is
-handled by ingest: new days are appended as new ``month`` partitions of the
+handled by ingest: new days are appended to the year partitions of the
 written fact (``sources.ingest.write_fact`` with ``mode="append"``), and
 every report re-plans over the table as it stands.
 """
