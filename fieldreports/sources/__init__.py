@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,16 @@ class FactSource:
     def table(self, name: str, columns=None) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, columns)
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "FactSource":
+        """The session's source for ``sf_dir``: queries run in the same session
+        share fact handles (file listings, schemas) instead of rebuilding them."""
+        per_session = _SHARED.setdefault(spark, {})
+        key = sf_dir.rstrip("/")
+        if key not in per_session:
+            per_session[key] = cls(spark, key)
+        return per_session[key]
+
     def materialise(self) -> "FactSource":
         from fieldreports.session import scratch_path
 
@@ -54,3 +65,6 @@ class FactSource:
             ingest.write_fact(df, path)
             paths[name] = path
         return FactSource(self.spark, self.sf_dir, paths)
+
+
+_SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()

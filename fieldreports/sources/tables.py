@@ -24,6 +24,23 @@ TABLE_NAMES = (
 )
 
 
+# Declared schemas of the tables the reports read, so a scan needs no schema
+# inference job (the other tables are read with their file schema).
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     if name not in TABLE_NAMES:
         raise KeyError(f"unknown table {name!r}")
@@ -32,5 +49,6 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet scan of one table; ``columns`` becomes the scan's ReadSchema."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    df = reader.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
