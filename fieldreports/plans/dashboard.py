@@ -10,6 +10,7 @@ recomputes from lineage if an executor is lost).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -48,3 +49,12 @@ def run_dashboard(fact: DataFrame, spec: AttendanceFilter | VisitFilter, dashboa
         for w in widgets
     ]
     return DashboardRun(catalog, reports, deferred)
+
+
+def collect_all(run: DashboardRun, threads: int = 8) -> dict[int, list]:
+    """Collect every report of a run, submitting the jobs from several driver
+    threads so Spark schedules them concurrently (as a browser fetches all
+    widgets at once).  Each result is a small report table."""
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        futures = {wid: pool.submit(df.collect) for wid, df in run.reports.items()}
+        return {wid: f.result() for wid, f in futures.items()}

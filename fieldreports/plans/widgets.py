@@ -137,17 +137,10 @@ def vis_tier_volume(base: DataFrame) -> DataFrame:
 
 
 def vis_detail(base: DataFrame) -> DataFrame:
-    """Visit rows (table)."""
-    return base.select(
-        "region",
-        F.col("zse_key").alias("zse"),
-        F.col("ase_key").alias("ase"),
-        F.col("channel_key").alias("channel"),
-        F.col("tier_key").alias("tier"),
-        F.col("date_key").alias("date"),
-        "ase_ho_id",
-        "qty",
-    )
+    """Per ASE: visits and quantity (table)."""
+    return base.groupBy(
+        "region", F.col("zse_key").alias("zse"), F.col("ase_key").alias("ase"), "ase_ho_id"
+    ).agg(F.count(F.lit(1)).cast("long").alias("visits"), F.sum("qty").cast("long").alias("qty"))
 
 
 def vis_ase_volume(base: DataFrame) -> DataFrame:
