@@ -139,3 +139,14 @@ def pivot_long(
         cols.append(header.alias("header"))
     cols += [F.col(value).cast("long").alias(value), F.col("col_total")]
     return out.select(*cols)
+
+
+def display_order(df: DataFrame, row: str, col: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Presentation order of a long pivot: preset categories by their rank,
+    unlisted ones after them alphabetically, then the column key as text."""
+    from fieldreports.functions.constants import UNKNOWN_RANK
+
+    keys = [F.coalesce(F.col(ordinal), F.lit(UNKNOWN_RANK)), F.col(row)] if ordinal in df.columns else [F.col(row)]
+    if col is not None:
+        keys.append(F.col(col))
+    return df.orderBy(*keys)
