@@ -44,6 +44,22 @@ class Widget:
     needs_user: bool = False  # employee widgets: rows only once an id is entered
 
 
+def sql_frame(text: str, **args) -> Callable[[DataFrame], DataFrame]:
+    """A widget frame written as SQL text over ``{fact}``, the filtered fact.
+
+    The filter is already bound as predicates on the DataFrame passed in as
+    ``{fact}``; extra values are bound through named parameter markers
+    (``:name`` with ``args``), never spliced into the text.  Example::
+
+        sql_frame("SELECT region, count(*) AS cnt FROM {fact} WHERE qty >= :q GROUP BY region", q=10)
+    """
+
+    def frame(base: DataFrame) -> DataFrame:
+        return base.sparkSession.sql(text, args or None, fact=base)
+
+    return frame
+
+
 ATT_ALL = AttendanceFilter.SLOTS
 VIS_ALL = VisitFilter.SLOTS
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -44,6 +45,27 @@ def payload_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def payload(df: DataFrame, max_rows: int = 100_000) -> dict:
+    """``{"columns": [...], "rows": [{...}, ...]}`` for a report result.
+
+    Report results are small tables; the row count is checked so an unbounded
+    frame is never pulled to the driver by mistake.
+    """
+    cols = payload_columns(df)
+    lines = payload_rows(df).limit(max_rows + 1).collect()
+    if len(lines) > max_rows:
+        raise ValueError(f"report has more than {max_rows} rows; write it with write_report instead")
+    return {"columns": cols, "rows": [json.loads(r.json) for r in lines]}
+
+
+def column_list(df: DataFrame, column: str, max_values: int = 100_000) -> list:
+    """One column of a (small) sorted report as a Python list, size checked."""
+    rows = df.select(column).limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        raise ValueError(f"more than {max_values} values in {column!r}")
+    return [r[0] for r in rows]
+
+
 def export_name(region: str | None, at: dt.datetime, ext: str) -> str:
     """``{region or All_Regions}_Dashboard_{d-Mon-yyyy_Hmm}.{ext}`` with
     whitespace runs turned into underscores.  The clock is an argument."""

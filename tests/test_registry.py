@@ -50,3 +50,22 @@ def test_run_dashboards(written_source):
         assert df.count() >= 0
     top = field.reports[3].collect()
     assert max(r["rank"] for r in top) <= 10
+
+
+def test_sql_widget_binds_fact_and_parameters(written_source):
+    from fieldreports.plans.sinks import column_list, payload
+
+    frame = registry.sql_frame(
+        "SELECT attendance_type, count(*) AS cnt FROM {fact} WHERE user_id >= :lo GROUP BY attendance_type", lo=5
+    )
+    spec = AttendanceFilter(region="ASIA")
+    att = written_source.attendance()
+    got = {r.attendance_type: r.cnt for r in frame(spec.apply(att)).collect()}
+    want = {r.attendance_type: r["count"] for r in spec.apply(att).where("user_id >= 5").groupBy("attendance_type").count().collect()}
+    assert got == want
+    pie = registry.render("attendance", "pie", frame(spec.apply(att)))
+    p = payload(pie)
+    assert p["columns"] == ["label", "value", "pct_tenths", "show_label"] and len(p["rows"]) == len(got)
+    with pytest.raises(ValueError):
+        payload(spec.apply(att), max_rows=1)
+    assert column_list(pie.orderBy("label"), "label") == sorted(got)
