@@ -100,10 +100,28 @@ def dense_grid(cells: DataFrame, row: str, col: str, values: Sequence, value: st
 
 
 def dedupe_last(df: DataFrame, row: str, col: str, seq: str, value: str = "cnt") -> DataFrame:
-    """One value per (row, col) cell: the one with the highest ``seq`` wins."""
+    """One value per (row, col) cell: the one with the highest ``seq`` wins.
+
+    ``seq`` should be a fixed-width ordering column (a number, a timestamp or
+    :func:`time_id_key`) so the aggregate stays hash based with map-side
+    combine; a struct key would force a sort-based aggregate.
+    """
     return df.groupBy(row, col).agg(F.max_by(value, seq).alias(value))
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def time_id_key(ts: Column | str, ident: Column | str) -> Column:
+    """Exact ordering key for (timestamp, id) pairs as one ``decimal(38,0)``:
+    microseconds since the epoch times 10^20 plus the id shifted to be
+    non-negative.  Orders exactly like the pair and, unlike a struct, can be
+    the ordering of a hash aggregate."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), _c(ts).cast("timestamp_ntz"))
+    shifted = _c(ident).cast("decimal(38,0)") + F.lit(str(2**63)).cast("decimal(38,0)")
+    return (micros.cast("decimal(38,0)") * F.lit(str(10**20)).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
+
+
 def totals_cube(cells: DataFrame, row: str, col: str, value: str = "cnt") -> DataFrame:
     """Cube over already-aggregated cells: cells, row totals, column totals and
     the grand total, with ``g_<row>``/``g_<col>`` grouping flags."""

@@ -293,7 +293,7 @@ def dedupe_last_cell(src):
         F.col("event_type").alias("row_key"),
         iso_day(F.to_date("ts")).alias("col_key"),
         F.round(F.col("value") * 100).cast("long").alias("cnt"),
-        F.struct("ts", "event_id").alias("seq"),
+        PV.time_id_key("ts", "event_id").alias("seq"),
     )
     return PV.dedupe_last(cells, "row_key", "col_key", "seq")
 

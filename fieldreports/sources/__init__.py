@@ -56,15 +56,23 @@ class FactSource:
             per_session[key] = cls(spark, key)
         return per_session[key]
 
-    def materialise(self) -> "FactSource":
+    def materialise(self, concurrent: bool = True) -> "FactSource":
+        """Write both facts (two independent jobs, submitted concurrently by
+        default) and return a source that scans the written tables."""
+        from concurrent.futures import ThreadPoolExecutor
+
         from fieldreports.session import scratch_path
 
-        paths = {}
-        for name, df in (("attendance", self.attendance()), ("visits", self.visits())):
-            path = scratch_path(self.spark, name)
-            ingest.write_fact(df, path)
-            paths[name] = path
-        return FactSource(self.spark, self.sf_dir, paths)
+        jobs = {name: scratch_path(self.spark, name) for name in ("attendance", "visits")}
+        frames = {"attendance": self.attendance(), "visits": self.visits()}
+        if concurrent:
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                for f in [pool.submit(ingest.write_fact, frames[n], p) for n, p in jobs.items()]:
+                    f.result()
+        else:
+            for n, p in jobs.items():
+                ingest.write_fact(frames[n], p)
+        return FactSource(self.spark, self.sf_dir, jobs)
 
 
 _SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()

@@ -167,3 +167,18 @@ def test_payload_and_export_name(spark):
     assert list(obj) == ["d", "s", "n"]
     assert export_name("MIDDLE EAST", dt.datetime(2026, 6, 1, 9, 5), "png") == "MIDDLE_EAST_Dashboard_1-Jun-2026_905.png"
     assert export_name("All", dt.datetime(2026, 12, 31, 14, 30), "pdf") == "All_Regions_Dashboard_31-Dec-2026_1430.pdf"
+
+
+def test_time_id_key_orders_like_the_pair(spark):
+    rows = [
+        (dt.datetime(2024, 1, 1, 10, 0, 0, 5), -7),
+        (dt.datetime(2024, 1, 1, 10, 0, 0, 5), 3),
+        (dt.datetime(2024, 1, 1, 10, 0, 0, 6), -9),
+        (dt.datetime(1969, 12, 31, 23, 59, 59), 2**62),
+        (dt.datetime(2024, 1, 1, 9, 0), 2**62),
+    ]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, id long")
+    got = [(r.ts, r.id) for r in df.select("ts", "id", PV.time_id_key("ts", "id").alias("k")).orderBy("k").collect()]
+    assert got == sorted(rows)
+    cells = df.select(F.lit("r").alias("r"), F.lit("c").alias("c"), F.col("id").alias("cnt"), PV.time_id_key("ts", "id").alias("seq"))
+    assert PV.dedupe_last(cells, "r", "c", "seq").first().cnt == -9
