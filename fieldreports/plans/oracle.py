@@ -137,10 +137,11 @@ _FA_REGION = "region = 'ASIA'"
 _FA_TYPE = "lower(trim(type)) IN ('promoter')"
 _FA_DATE = "attendance_date >= DATE '2024-01-05' AND attendance_date <= DATE '2024-01-20'"
 FA_WHERE = f"{_FA_REGION} AND {_FA_TYPE} AND {_FA_DATE}"
-FV_WHERE = (
-    "region = 'EUROPE' AND trim(tier) IN ('Tier-N') AND date_d >= DATE '1996-01-01' "
-    "AND date_d <= DATE '1996-06-30' AND ase_ho_id ILIKE '%1%'"
-)
+_FV_REGION = "region = 'EUROPE'"
+_FV_TIER = "trim(tier) IN ('Tier-N')"
+_FV_DATE = "date_d >= DATE '1996-01-01' AND date_d <= DATE '1996-06-30'"
+_FV_USER = "ase_ho_id ILIKE '%1%'"
+FV_WHERE = f"{_FV_REGION} AND {_FV_TIER} AND {_FV_DATE} AND {_FV_USER}"
 
 
 def _by_type(where: str) -> str:
@@ -231,6 +232,21 @@ ORACLE: dict[str, str] = {
     ),
     "facets_visits": _v(_facets("vis", _V_FACETS)),
     "facets_visits_filtered": _v(_facets("vis", _V_FACETS, FV_WHERE)),
+    "facets_visits_exclude_self": _v(
+        _facets(
+            "vis",
+            _V_FACETS,
+            own={
+                "regions": f"{_FV_TIER} AND {_FV_DATE} AND {_FV_USER}",
+                "zses": FV_WHERE,
+                "ases": FV_WHERE,
+                "channels": FV_WHERE,
+                "tiers": f"{_FV_REGION} AND {_FV_DATE} AND {_FV_USER}",
+                "dates": f"{_FV_REGION} AND {_FV_TIER} AND {_FV_USER}",
+                "ase_ho_ids": f"{_FV_REGION} AND {_FV_TIER} AND {_FV_DATE}",
+            },
+        )
+    ),
     "facet_counts_wide": _a(
         f", f AS ({_facets('att', _A_FACETS, FA_WHERE)})\nSELECT "
         + ", ".join(f"CAST(count(*) FILTER (WHERE facet = '{n}') AS BIGINT) AS n_{n}" for n, _, _ in _A_FACETS)
@@ -403,6 +419,18 @@ FROM (SELECT DISTINCT region, date_d FROM att) p
         """
 SELECT region, CAST(sum(qty) AS BIGINT) AS qty, format('{:,}', CAST(sum(qty) AS BIGINT)) AS qty_text
 FROM vis GROUP BY region
+"""
+    ),
+    "sql_widget_channels": _a(
+        """
+SELECT channel_key AS channel, count(*) AS cnt, count(DISTINCT user_id) AS employees
+FROM att WHERE region = 'ASIA' AND atype_key <> 'Not Marked' GROUP BY channel_key
+"""
+    ),
+    "payload_rows": _a(
+        """
+SELECT to_json({'region': region, 'attendance_type': atype_n, 'cnt': count(*)}) AS json
+FROM att GROUP BY region, atype_n
 """
     ),
     "profile_links": _a(

@@ -65,6 +65,7 @@ SPEC_ALL_V = VisitFilter(
     user_id="2",
 )
 
+SPEC_REGION_ASIA = AttendanceFilter(region="ASIA")
 SPEC_EMPLOYEE = AttendanceFilter(user_id="12")
 SPEC_SUMMARY = AttendanceFilter(user_id="7")
 
@@ -129,6 +130,10 @@ def facets_visits_filtered(src):
     return FC.facets_long(_vis(src), SPEC_FACETS_V)
 
 
+def facets_visits_exclude_self(src):
+    return FC.facets_long(_vis(src), SPEC_FACETS_V, exclude_self=True)
+
+
 def facet_counts_wide(src):
     long = FC.facets_long(_att(src), SPEC_FACETS_A)
     return FC.facet_sizes(long, [f.name for f in FC.ATTENDANCE_FACETS])
@@ -342,6 +347,19 @@ def profile_links(src):
     )
 
 
+def sql_widget_channels(src):
+    """A widget written as SQL text over the filtered fact, with a bound
+    parameter (the catalog-SQL extension point, without text splicing)."""
+    from fieldreports.plans.registry import sql_frame
+
+    frame = sql_frame(
+        "SELECT channel_key AS channel, count(*) AS cnt, count(DISTINCT user_id) AS employees "
+        "FROM {fact} WHERE atype_key <> :excluded GROUP BY channel_key",
+        excluded="Not Marked",
+    )
+    return frame(SPEC_REGION_ASIA.apply(_att(src)))
+
+
 def payload_rows(src):
     """JSON rows of the region cross-tab widget result (row objects)."""
     from fieldreports.plans.sinks import payload_rows as _payload
@@ -364,6 +382,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         facets_attendance_exclude_self,
         facets_visits,
         facets_visits_filtered,
+        facets_visits_exclude_self,
         facet_counts_wide,
         filter_region,
         filter_types_ci,
@@ -401,6 +420,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         cell_formats,
         figure_formats,
         profile_links,
+        sql_widget_channels,
         payload_rows,
     )
 }
