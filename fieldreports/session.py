@@ -38,19 +38,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    It is read from the session; only when it is unset (tests) is a fallback
-    set, and that fallback is a fresh folder so runs never share scratch space.
+    It is read from the session.  Only when it is unset (tests) is a fallback
+    used, and that fallback is a fresh folder so runs never share scratch space.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     if fallback is None:
         import tempfile
 
         fallback = tempfile.mkdtemp(prefix="fieldreports-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
+    try:  # a core config may be read-only at runtime; the context setting suffices
+        spark.conf.set("spark.checkpoint.dir", fallback)
+    except Exception:  # noqa: BLE001
+        pass
+    sc.setCheckpointDir(fallback)
     return fallback
 
 

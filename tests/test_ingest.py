@@ -41,3 +41,12 @@ def test_shared_source_is_per_session(spark):
     b = FactSource.shared(spark, SF_SMALL + "/")
     assert a is b
     assert a.attendance() is b.attendance()
+
+
+def test_checkpoint_dir_read_from_session(spark):
+    from fieldreports.session import ensure_checkpoint_dir, scratch_path
+
+    base = ensure_checkpoint_dir(spark)
+    assert base == (spark.conf.get("spark.checkpoint.dir", None) or base)
+    p1, p2 = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert p1 != p2 and p1.startswith(base.rstrip("/"))
