@@ -39,7 +39,11 @@ def with_col_totals(cells: DataFrame, col_name: str, value: str = "cnt", out: st
 
 
 def percent_of_partition(cells: DataFrame, part: str, value: str = "cnt", total: str = "col_total", out: str = "pct") -> DataFrame:
-    """Whole-percent share of a cell in its partition (expects ``total``)."""
+    """Whole-percent share of a cell in its partition ``part`` (rounded half-up;
+    a zero total counts as 1).  Uses the ``total`` column when the cells carry
+    it already, else sums ``value`` over a window on ``part``."""
+    if total not in cells.columns:
+        cells = with_col_totals(cells, part, value, total)
     return cells.withColumn(out, pct_int(value, total))
 
 

@@ -3,7 +3,6 @@
 import contextlib
 import io
 
-import pytest
 
 import __spark_entry__ as E
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter
