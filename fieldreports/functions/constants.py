@@ -36,5 +36,15 @@ NO_CHECK_OUT = "No Check-Out (LOP)"
 # The "disabled" sentinel for single-select filters.
 ALL = "All"
 
+# What counts as an image link in a table cell (either pattern,
+# case-insensitive), and the stored text meaning "no profile picture".
+IMAGE_URL_PATTERNS = (r"^https?://.+\.(jpg|jpeg|png|gif|webp)", r"s3[^/]*amazonaws\.com")
+NO_PICTURE = "NA"
+PICTURE_PREFIX = "http"
+
+# Export file names are "<region or All_Regions>_Dashboard_<stamp>".
+EXPORT_ALL_REGIONS = "All_Regions"
+EXPORT_INFIX = "_Dashboard_"
+
 # Rank given to categories outside a preset order (they sort last).
 UNKNOWN_RANK = 1000

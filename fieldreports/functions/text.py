@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldreports.functions.constants import IMAGE_URL_PATTERNS, NO_PICTURE, PICTURE_PREFIX
+
 _LIKE_SPECIALS = ("%", "_", "\\")
 
 
@@ -34,7 +36,17 @@ def contains_pattern(term: str) -> str:
 def is_image_url(c: Column | str) -> Column:
     """True for an http(s) link to an image file or an object-store link."""
     col = F.col(c) if isinstance(c, str) else c
-    return col.rlike(r"(?i)^https?://.+\.(jpg|jpeg|png|gif|webp)") | col.rlike(r"(?i)s3[^/]*amazonaws\.com")
+    first, *rest = [col.rlike("(?i)" + p) for p in IMAGE_URL_PATTERNS]
+    for r in rest:
+        first = first | r
+    return first
+
+
+def usable_picture(c: Column | str) -> Column:
+    """A profile picture is shown when present, not the no-picture text and
+    starting with http."""
+    col = F.col(c) if isinstance(c, str) else c
+    return col.isNotNull() & (col != NO_PICTURE) & col.startswith(PICTURE_PREFIX)
 
 
 def underscored(c: Column | str) -> Column:

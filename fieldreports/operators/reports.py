@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from fieldreports.functions.dates import cell_date
 from fieldreports.functions.numeric import pct_tenths
-from fieldreports.functions.text import first_letter
+from fieldreports.functions.text import first_letter, usable_picture
 
 
 # ---------------------------------------------------------------- roles
@@ -146,7 +146,7 @@ def profile_card(rows: DataFrame, order_by: list[Column]) -> DataFrame:
     Attributes are listed as ``(attribute, value)`` with blanks omitted."""
     first = rows.orderBy(*order_by).limit(1)
     pic = F.col("`Profile Picture`")
-    has_pic = pic.isNotNull() & (pic != "NA") & pic.startswith("http")
+    has_pic = usable_picture(pic)
     name = F.col("`Employee Name`")
     attrs = F.array(
         *[F.struct(F.lit(a).alias("attribute"), F.col(f"`{a}`").cast("string").alias("value")) for a in PROFILE_ATTRIBUTES]

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fieldreports.functions.bands import normalise_attendance_type, ordinal_of
 from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER, UNKNOWN_RANK
 from fieldreports.functions.dates import axis_date, cell_date, file_stamp, iso_day, pivot_header, to_date_col
-from fieldreports.functions.text import first_letter, is_image_url, underscored
+from fieldreports.functions.constants import EXPORT_ALL_REGIONS, EXPORT_INFIX
+from fieldreports.functions.text import first_letter, is_image_url, underscored, usable_picture
 from fieldreports.operators import facets as FC
 from fieldreports.operators import pivots as PV
 from fieldreports.operators import reports as RP
@@ -317,14 +318,14 @@ def cell_formats(src):
     label, table cell, pivot header and the export file name."""
     pairs = _att(src).select("region", "date_d").distinct()
     stamp = file_stamp(F.col("date_d").cast("timestamp_ntz"))
-    region_part = F.coalesce(F.col("region"), F.lit("All_Regions"))
+    region_part = F.coalesce(F.col("region"), F.lit(EXPORT_ALL_REGIONS))
     return pairs.select(
         F.col("region"),
         iso_day("date_d").alias("date"),
         axis_date("date_d").alias("axis"),
         cell_date("date_d").alias("cell"),
         pivot_header("date_d").alias("header"),
-        underscored(F.concat(region_part, F.lit("_Dashboard_"), stamp)).alias("file_name"),
+        underscored(F.concat(region_part, F.lit(EXPORT_INFIX), stamp)).alias("file_name"),
     )
 
 
@@ -338,7 +339,7 @@ def profile_links(src):
     """Per employee: usable picture, image-link test and the avatar initial."""
     emp = _att(src).select("user_id", "employee_name", "profile_picture").distinct()
     pic = F.col("profile_picture")
-    has_pic = pic.isNotNull() & (pic != "NA") & pic.startswith("http")
+    has_pic = usable_picture(pic)
     return emp.select(
         "user_id",
         F.coalesce(has_pic, F.lit(False)).cast("long").alias("picture_ok"),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldreports.functions.constants import ALL, EXPORT_ALL_REGIONS, EXPORT_INFIX
+
 
 def _check_unique(df: DataFrame) -> None:
     seen = set()
@@ -69,9 +71,9 @@ def column_list(df: DataFrame, column: str, max_values: int = 100_000) -> list:
 def export_name(region: str | None, at: dt.datetime, ext: str) -> str:
     """``{region or All_Regions}_Dashboard_{d-Mon-yyyy_Hmm}.{ext}`` with
     whitespace runs turned into underscores.  The clock is an argument."""
-    label = region if region and region != "All" else "All_Regions"
+    label = region if region and region != ALL else EXPORT_ALL_REGIONS
     stamp = f"{at.day}-{at.strftime('%b')}-{at.year}_{at.hour}{at.minute:02d}"
-    return re.sub(r"\s+", "_", f"{label}_Dashboard_{stamp}") + f".{ext}"
+    return re.sub(r"\s+", "_", f"{label}{EXPORT_INFIX}{stamp}") + f".{ext}"
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> str:
