@@ -25,7 +25,7 @@ def test_no_cross_join_or_python_in_any_query(spark, written_source):
     for name, fn in Q.QUERIES.items():
         for src in (lazy, written_source):
             p = plan(fn(src), "simple")
-            for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "SortAggregate"):
                 assert bad not in p, (name, bad)
 
 
