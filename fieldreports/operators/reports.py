@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldreports.functions.dates import cell_date
+from fieldreports.functions.dates import axis_date, cell_date
 from fieldreports.functions.numeric import pct_tenths
 from fieldreports.functions.text import first_letter, usable_picture
 
@@ -78,25 +78,50 @@ def bar_series(df: DataFrame, label: str | None = None, value: str | None = None
     return df.select(F.col(label or roles.label).alias("label"), F.col(value or roles.value).alias("value"))
 
 
+def _axis_label(field: T.StructField) -> Column:
+    """Axis label of the x value: dates (and ISO date text) as ``d-Mon-yy``,
+    anything else as its text."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return axis_date(c)
+    s = c.cast("string")
+    return F.coalesce(F.when(s.rlike(_ISO_DAY), axis_date(F.try_to_timestamp(s))), s)
+
+
 def line_series(df: DataFrame, x: str | None = None) -> DataFrame:
-    """``(x, series, value)``: every numeric column other than x is a series."""
+    """``(x, axis, series, value)``: every numeric column other than x is a
+    series; ``axis`` is the display label of x."""
     x = x or resolve_roles(df.schema).date
     series = [f.name for f in df.schema.fields if f.name != x and is_numeric(f)]
     if not series:
         raise ValueError("no numeric series column")
-    cast = df.select(x, *[F.col(s).cast("long").alias(s) for s in series])
-    return cast.unpivot([x], series, "series", "value").withColumnRenamed(x, "x")
+    xf = next(f for f in df.schema.fields if f.name == x)
+    cast = df.select(F.col(x).alias("x"), _axis_label(xf).alias("axis"), *[F.col(s).cast("long").alias(s) for s in series])
+    return cast.unpivot(["x", "axis"], series, "series", "value")
+
+
+def display_number(field: T.StructField) -> Column:
+    """Number as locale text: thousands separators, at most three decimals,
+    no trailing zeros (``45000`` -> ``45,000``, ``1.5`` -> ``1.5``)."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        return F.format_number(c, 0)
+    three = F.format_number(c.cast("double"), 3)
+    return F.regexp_replace(F.regexp_replace(three, "0+$", ""), r"\.$", "")
 
 
 def kpi_cards(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """``(label, value)`` for every column of the first row; NULL shows as '—'.
+    """``(label, value)`` for every column of the first row; numbers as locale
+    text with thousands separators, NULL shows as '—'.
 
     The first row is taken after an explicit total order (all columns unless
     given), so it is deterministic.
     """
     cols = df.columns
     first = df.orderBy(*(order_by or cols)).limit(1)
-    as_text = first.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    as_text = first.select(
+        *[(display_number(f) if is_numeric(f) else F.col(f.name).cast("string")).alias(f.name) for f in df.schema.fields]
+    )
     return as_text.unpivot([], cols, "label", "value").select(
         "label", F.coalesce(F.col("value"), F.lit("—")).alias("value")
     )

@@ -330,19 +330,19 @@ FROM tot
         """
 , d AS (SELECT day AS x, CAST(sum(CASE WHEN atype_n <> 'Not Marked' THEN 1 ELSE 0 END) AS BIGINT) AS marked,
                count(check_in) AS checked_in, count(*) AS records FROM att GROUP BY day)
-SELECT x, 'marked' AS series, marked AS value FROM d
-UNION ALL SELECT x, 'checked_in', checked_in FROM d
-UNION ALL SELECT x, 'records', records FROM d
+SELECT x, strftime(CAST(x AS DATE), '%-d-%b-%y') AS axis, 'marked' AS series, marked AS value FROM d
+UNION ALL SELECT x, strftime(CAST(x AS DATE), '%-d-%b-%y'), 'checked_in', checked_in FROM d
+UNION ALL SELECT x, strftime(CAST(x AS DATE), '%-d-%b-%y'), 'records', records FROM d
 """
     ),
     "kpi_cards": _a(
         """
 , k AS (SELECT count(DISTINCT user_id) AS employees, count(*) AS records, count(check_in) AS checked_in,
                CAST(sum(CASE WHEN atype_n = 'Not Marked' THEN 1 ELSE 0 END) AS BIGINT) AS not_marked FROM att)
-SELECT 'employees' AS label, CAST(employees AS VARCHAR) AS value FROM k
-UNION ALL SELECT 'records', CAST(records AS VARCHAR) FROM k
-UNION ALL SELECT 'checked_in', CAST(checked_in AS VARCHAR) FROM k
-UNION ALL SELECT 'not_marked', coalesce(CAST(not_marked AS VARCHAR), '—') FROM k
+SELECT 'employees' AS label, format('{:,}', employees) AS value FROM k
+UNION ALL SELECT 'records', format('{:,}', records) FROM k
+UNION ALL SELECT 'checked_in', format('{:,}', checked_in) FROM k
+UNION ALL SELECT 'not_marked', coalesce(format('{:,}', not_marked), '—') FROM k
 """
     ),
     "attendance_summary": _a(

@@ -122,11 +122,12 @@ def test_pie_share_zero_total_and_labels(spark):
 
 
 def test_kpi_and_line(spark):
-    df = spark.createDataFrame([(3, None, "x")], "a long, b long, c string")
+    df = spark.createDataFrame([(45000, None, "x", 1234.5, 2.0)], "a long, b long, c string, d double, e double")
     got = {r.label: r.value for r in RP.kpi_cards(df).collect()}
-    assert got == {"a": "3", "b": "—", "c": "x"}
+    assert got == {"a": "45,000", "b": "—", "c": "x", "d": "1,234.5", "e": "2"}
     daily = spark.createDataFrame([("2024-01-01", 1, 2), ("2024-01-02", 3, 4)], "date string, m long, n long")
-    assert RP.line_series(daily).count() == 4
+    rows = RP.line_series(daily).collect()
+    assert len(rows) == 4 and {r.axis for r in rows} == {"1-Jan-24", "2-Jan-24"}
 
 
 def test_top_n_ties_and_nulls(spark):
