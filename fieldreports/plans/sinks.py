@@ -41,9 +41,14 @@ def payload_rows(df: DataFrame) -> DataFrame:
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))
     return df.select(
-        F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}).alias(
-            "json"
-        )
+        F.to_json(
+            F.struct(*cols),
+            {
+                "ignoreNullFields": "false",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+            },
+        ).alias("json")
     )
 
 
