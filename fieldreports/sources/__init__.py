@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import weakref
 from dataclasses import dataclass, field
 
@@ -47,14 +48,22 @@ class FactSource:
         return read_table(self.spark, self.sf_dir, name, columns)
 
     @classmethod
-    def shared(cls, spark: SparkSession, sf_dir: str) -> "FactSource":
-        """The session's source for ``sf_dir``: queries run in the same session
-        share fact handles (file listings, schemas) instead of rebuilding them."""
-        per_session = _SHARED.setdefault(spark, {})
-        key = sf_dir.rstrip("/")
-        if key not in per_session:
-            per_session[key] = cls(spark, key)
-        return per_session[key]
+    def shared(cls, spark: SparkSession, sf_dir: str, written: bool = True) -> "FactSource":
+        """The session's source for ``sf_dir``.
+
+        With ``written`` (the default) the two facts are derived and written
+        once per session (``materialise``), and every report after that scans
+        the written tables: ingest once, report many times.  Otherwise the
+        lazily derived facts are shared.  Either way, queries in one session
+        share the fact handles (file listings, schemas).
+        """
+        key = (sf_dir.rstrip("/"), written)
+        with _SHARED_LOCK:
+            per_session = _SHARED.setdefault(spark, {})
+            if key not in per_session:
+                src = cls(spark, key[0])
+                per_session[key] = src.materialise() if written else src
+            return per_session[key]
 
     def materialise(self, concurrent: bool = True) -> "FactSource":
         """Write both facts (two independent jobs, submitted concurrently by
@@ -76,3 +85,4 @@ class FactSource:
 
 
 _SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+_SHARED_LOCK = threading.Lock()

@@ -39,8 +39,10 @@ def test_layout_year_directories_sorted_files(written_source):
 def test_shared_source_is_per_session(spark):
     a = FactSource.shared(spark, SF_SMALL)
     b = FactSource.shared(spark, SF_SMALL + "/")
-    assert a is b
-    assert a.attendance() is b.attendance()
+    assert a is b and a.attendance() is b.attendance()
+    assert set(a.paths) == {"attendance", "visits"}  # written once, then scanned
+    lazy = FactSource.shared(spark, SF_SMALL, written=False)
+    assert lazy is not a and lazy.paths == {}
 
 
 def test_checkpoint_dir_read_from_session(spark):
