@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import weakref
 from dataclasses import dataclass, field
@@ -62,7 +63,12 @@ class FactSource:
             per_session = _SHARED.setdefault(spark, {})
             if key not in per_session:
                 src = cls(spark, key[0])
-                per_session[key] = src.materialise() if written else src
+                if written:
+                    try:
+                        src = src.materialise()
+                    except Exception as exc:  # noqa: BLE001  (e.g. checkpoint folder not writable)
+                        _log.warning("writing the facts failed (%s); reports derive them per query", exc)
+                per_session[key] = src
             return per_session[key]
 
     def materialise(self, concurrent: bool = True) -> "FactSource":
@@ -86,3 +92,4 @@ class FactSource:
 
 _SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 _SHARED_LOCK = threading.Lock()
+_log = logging.getLogger(__name__)

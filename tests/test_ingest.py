@@ -52,3 +52,15 @@ def test_checkpoint_dir_read_from_session(spark):
     assert base == (spark.conf.get("spark.checkpoint.dir", None) or base)
     p1, p2 = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert p1 != p2 and p1.startswith(base.rstrip("/"))
+
+
+def test_shared_falls_back_to_derived_facts_when_writing_fails(spark, monkeypatch):
+    def broken(self, concurrent=True):
+        raise OSError("read-only checkpoint folder")
+
+    monkeypatch.setattr(FactSource, "materialise", broken)
+    from .conftest import SF_MID
+
+    src = FactSource.shared(spark, SF_MID)
+    assert src.paths == {}
+    assert src.attendance().count() == 4500
