@@ -129,10 +129,12 @@ def facets_long(
 
 
 def facet_sizes(long: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row: number of options per facet (``n_<facet>``), 0 for empty facets."""
-    counts = long.groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy().pivot("facet", list(names)).agg(F.first("n"))
-    return wide.select(*[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(f"n_{n}") for n in names])
+    """One row: number of options per facet (``n_<facet>``), 0 for empty facets.
+
+    The long frame is already distinct, so this is one global aggregate of
+    conditional counts (partial counts per task, then one row per task)."""
+    facet = F.col("facet")
+    return long.agg(*[F.count(F.when(facet == n, 1)).cast("long").alias(f"n_{n}") for n in names])
 
 
 def facets_wide(long: DataFrame, names: Sequence[str], max_values: int = 10_000) -> DataFrame:

@@ -66,10 +66,10 @@ def crosstab(df: DataFrame, row: Column | str, col: Column | str, row_name: str,
 def bounded_values(df: DataFrame, col: str, max_values: int) -> list:
     """Sorted distinct values of ``col``; raises if there are more than
     ``max_values`` (they become plan literals, so their number must be bounded)."""
-    rows = df.select(col).distinct().orderBy(col).limit(max_values + 1).collect()
+    rows = df.select(col).distinct().limit(max_values + 1).collect()
     if len(rows) > max_values:
         raise ValueError(f"more than {max_values} distinct values in {col!r}")
-    return [r[0] for r in rows]
+    return sorted((r[0] for r in rows), key=lambda v: (v is None, v if v is not None else 0))
 
 
 def to_wide(
