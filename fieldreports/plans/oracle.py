@@ -291,6 +291,12 @@ grid AS (SELECT r.attendance_type, c.date FROM (SELECT DISTINCT attendance_type
 dense AS (SELECT g.attendance_type, g.date, CAST(coalesce(cells.cnt, 0) AS BIGINT) AS cnt
           FROM grid g LEFT JOIN cells ON cells.attendance_type = g.attendance_type AND cells.date = g.date)
 SELECT attendance_type, date, cnt, CAST(sum(cnt) OVER (PARTITION BY date) AS BIGINT) AS col_total FROM dense
+"""
+    ),
+    "pivot_attendance_wide": _a(
+        """
+, cells AS (SELECT day AS date, atype_n AS attendance_type, count(*) AS cnt FROM att GROUP BY day, atype_n)
+PIVOT cells ON date USING coalesce(CAST(sum(cnt) AS BIGINT), 0) GROUP BY attendance_type
 """
     ),
     "crosstab_region": _a(

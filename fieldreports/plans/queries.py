@@ -223,6 +223,14 @@ def pivot_attendance_dense(src):
     return PV.with_col_totals(dense, "date")
 
 
+def pivot_attendance_wide(src):
+    """Display form of the attendance pivot: one row per type, one column per
+    day (0 where absent).  The day list is a size-checked plan literal."""
+    cells = W.att_type_by_date(_att(src))
+    days = PV.bounded_values(cells, "date", max_values=3660)
+    return PV.to_wide(cells, "attendance_type", "date", days)
+
+
 def crosstab_region(src):
     return PV.totals_cube(W.att_type_by_region(_att(src)), "attendance_type", "region")
 
@@ -401,6 +409,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         visits_filter_all,
         pivot_attendance_date,
         pivot_attendance_dense,
+        pivot_attendance_wide,
         crosstab_region,
         pivot_timing,
         pivot_salary,
