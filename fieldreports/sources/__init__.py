@@ -79,14 +79,26 @@ class FactSource:
         from fieldreports.session import scratch_path
 
         jobs = {name: scratch_path(self.spark, name) for name in ("attendance", "visits")}
-        frames = {"attendance": self.attendance(), "visits": self.visits()}
+
+        def write_attendance():
+            # The daily event aggregate feeds four consumers (days, day range,
+            # roster, the join); writing it once means one pass over events.
+            daily_path = scratch_path(self.spark, "daily")
+            fixtures.daily_events(self.spark, self.sf_dir).write.parquet(daily_path)
+            daily = self.spark.read.parquet(daily_path)
+            att = ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir, daily=daily))
+            ingest.write_fact(att, jobs["attendance"])
+
+        def write_visits():
+            ingest.write_fact(self.visits(), jobs["visits"])
+
         if concurrent:
             with ThreadPoolExecutor(max_workers=2) as pool:
-                for f in [pool.submit(ingest.write_fact, frames[n], p) for n, p in jobs.items()]:
+                for f in [pool.submit(write_attendance), pool.submit(write_visits)]:
                     f.result()
         else:
-            for n, p in jobs.items():
-                ingest.write_fact(frames[n], p)
+            write_attendance()
+            write_visits()
         return FactSource(self.spark, self.sf_dir, jobs)
 
 

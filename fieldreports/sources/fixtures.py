@@ -29,6 +29,7 @@ EVENT_TO_ATTENDANCE = (
     ("purchase", "Half Day"),
 )
 OTHER_EVENT_ATTENDANCE = "Leave"
+_KNOWN_EVENTS = tuple(sorted(e for e, _ in EVENT_TO_ATTENDANCE))
 PICTURE_URL_PREFIX = "http://images.example.org/"
 WORKHOUR_EDGES = (4, 6, 8)  # hours = quantity / 5
 
@@ -39,19 +40,19 @@ def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw attendance fact (dirty dimensions kept, as stored upstream)."""
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per employee and day: first event-type rank, first and last event time,
+    number of events (one pass over ``events``)."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_type"])
     # The day's alphabetically first event type decides its attendance type.
     # A text minimum forces a sort-based aggregate, so each event type is
     # mapped to an integer rank that preserves exactly that decision: known
     # type number j -> 2j, any other text between known j-1 and j -> 2j-1.
     # min(rank) is then a hash aggregate with map-side combine.
-    known = sorted(e for e, _ in EVENT_TO_ATTENDANCE)
     et = F.col("event_type")
-    below = sum((F.lit(k) < et).cast("int") for k in known)
-    rank = F.when(et.isin(known), below * 2).otherwise(below * 2 - 1)
-    daily = (
+    below = sum((F.lit(k) < et).cast("int") for k in _KNOWN_EVENTS)
+    rank = F.when(et.isin(list(_KNOWN_EVENTS)), below * 2).otherwise(below * 2 - 1)
+    return (
         ev.select("user_id", "ts", F.to_date("ts").alias("d"), rank.alias("type_rank"))
         .groupBy("user_id", "d")
         .agg(
@@ -61,6 +62,18 @@ def attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("n_events"),
         )
     )
+
+
+def attendance(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """Raw attendance fact (dirty dimensions kept, as stored upstream).
+
+    ``daily`` may be a written copy of :func:`daily_events`; the calendar, the
+    day range and the roster are then read from it instead of from ``events``
+    (ingest writes it once so ``events`` is scanned once).
+    """
+    if daily is None:
+        daily = daily_events(spark, sf_dir)
+    known = _KNOWN_EVENTS
     days = daily.select("d").distinct()
     first_day = days.agg(F.min("d")).scalar()
     last_day = days.agg(F.max("d")).scalar()
