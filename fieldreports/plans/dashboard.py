@@ -27,10 +27,18 @@ class DashboardRun:
     deferred: list[int]  # employee widgets waiting for an id search
 
 
-def run_dashboard(fact: DataFrame, spec: AttendanceFilter | VisitFilter, dashboard: str, persist_base: bool = False) -> DashboardRun:
-    widgets = sorted(
-        (w for w in registry.DASHBOARDS[dashboard] if w.is_active is True), key=lambda w: (w.display_order, w.id)
-    )
+def run_dashboard(
+    fact: DataFrame,
+    spec: AttendanceFilter | VisitFilter,
+    dashboard: str,
+    persist_base: bool = False,
+    widgets: tuple | None = None,
+) -> DashboardRun:
+    """Reports of every active widget (the built-in set, or ``widgets``, e.g.
+    from ``registry.widgets_from_catalog``), rendered per the dashboard's
+    chart-type rules."""
+    source = widgets if widgets is not None else registry.DASHBOARDS[dashboard]
+    widgets = sorted((w for w in source if w.is_active is True), key=lambda w: (w.display_order, w.id))
     base_all = spec.apply(fact)
     if persist_base:
         base_all = base_all.persist(StorageLevel.MEMORY_AND_DISK)

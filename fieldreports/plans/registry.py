@@ -8,7 +8,8 @@ SQL text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,55 @@ def sql_frame(text: str, **args) -> Callable[[DataFrame], DataFrame]:
     return frame
 
 
+# The filter slot tokens stored widget SQL may contain.
+SLOT_TOKENS = (
+    "{region_filter}",
+    "{type_filter}",
+    "{channel_filter}",
+    "{ase_filter}",
+    "{date_filter}",
+    "{zse_filter}",
+    "{atype_filter}",
+    "{tier_filter}",
+    "{user_filter}",
+)
+
+
+def stored_sql_frame(sql: str, fact_table: str) -> Callable[[DataFrame], DataFrame]:
+    """A widget frame from stored widget SQL that names the fact table and
+    carries filter slot tokens.
+
+    The filter is applied to the fact DataFrame before the SQL runs, so every
+    slot token is dropped and the fact table's name is bound to that filtered
+    DataFrame (``{fact}``).  No value is ever spliced into the text.
+    """
+    text = sql
+    for token in SLOT_TOKENS:
+        text = text.replace(token, "")
+    text = text.replace("{", "{{").replace("}", "}}")
+    text = re.sub(rf"(?<![\w.]){re.escape(fact_table)}(?!\w)", "{fact}", text)
+    if "{fact}" not in text:
+        raise ValueError(f"widget SQL does not read {fact_table!r}")
+    return sql_frame(text)
+
+
+def widgets_from_catalog(rows: Iterable[Mapping], fact_table: str) -> tuple["Widget", ...]:
+    """Widgets from stored catalog rows (``id, widget_name, chart_type,
+    display_order, is_active, sql_query``), e.g. collected from a small
+    catalog table read with ``sources.ingest.read_jdbc``."""
+    return tuple(
+        Widget(
+            int(r["id"]),
+            r["widget_name"],
+            r["chart_type"],
+            r["display_order"],
+            r["is_active"],
+            stored_sql_frame(r["sql_query"], fact_table),
+        )
+        for r in rows
+    )
+
+
 ATT_ALL = AttendanceFilter.SLOTS
 VIS_ALL = VisitFilter.SLOTS
 
@@ -98,9 +148,9 @@ def catalog(spark: SparkSession, dashboard: str) -> DataFrame:
     return df.where(F.col("is_active")).select("id", "widget_name", "chart_type", "display_order").orderBy("display_order")
 
 
-def lookup(dashboard: str, widget_id: int) -> Widget:
+def lookup(dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> Widget:
     """Active widget by id; ``KeyError`` when absent or inactive (not found)."""
-    for w in DASHBOARDS[dashboard]:
+    for w in widgets if widgets is not None else DASHBOARDS[dashboard]:
         if w.id == widget_id and w.is_active is True:
             return w
     raise KeyError(f"no active widget {widget_id} on the {dashboard} dashboard")

@@ -69,3 +69,42 @@ def test_sql_widget_binds_fact_and_parameters(written_source):
     with pytest.raises(ValueError):
         payload(spec.apply(att), max_rows=1)
     assert column_list(pie.orderBy("label"), "label") == sorted(got)
+
+
+def test_stored_widget_sql_runs_on_the_filtered_fact(spark, written_source):
+    rows = [
+        {
+            "id": 1,
+            "widget_name": "Mix",
+            "chart_type": "pie",
+            "display_order": 2,
+            "is_active": True,
+            "sql_query": "SELECT trim(attendance_type) AS attendance_type, count(*) AS cnt FROM attendance_fact "
+            "WHERE 1=1 {region_filter} {type_filter} {date_filter} {user_filter} GROUP BY 1",
+        },
+        {
+            "id": 2,
+            "widget_name": "By day",
+            "chart_type": "pivot",
+            "display_order": 1,
+            "is_active": True,
+            "sql_query": "SELECT attendance_date AS date, trim(attendance_type) AS attendance_type, count(*) AS cnt "
+            "FROM attendance_fact f WHERE f.region IS NOT NULL {region_filter} GROUP BY 1, 2",
+        },
+        {"id": 3, "widget_name": "Old", "chart_type": "bar", "display_order": 3, "is_active": False,
+         "sql_query": "SELECT 1 AS x FROM attendance_fact"},
+    ]
+    widgets = registry.widgets_from_catalog(rows, "attendance_fact")
+    spec = AttendanceFilter(region="ASIA", types=["promoter"])
+    att = written_source.attendance()
+    got = {r.attendance_type: r.cnt for r in widgets[0].frame(spec.apply(att)).collect()}
+    want = {r.atype_key: r["count"] for r in spec.apply(att).groupBy("atype_key").count().collect()}
+    assert got == want
+    run = run_dashboard(att, spec, "attendance", widgets=widgets)
+    assert [c["id"] for c in run.catalog] == [2, 1]
+    assert run.reports[1].columns == ["label", "value", "pct_tenths", "show_label"]
+    assert "col_total" in run.reports[2].columns
+    with pytest.raises(KeyError):
+        registry.lookup("attendance", 3, widgets)
+    with pytest.raises(ValueError):
+        registry.stored_sql_frame("SELECT 1", "attendance_fact")
