@@ -93,10 +93,19 @@ def stored_sql_frame(sql: str, fact_table: str) -> Callable[[DataFrame], DataFra
     return sql_frame(text)
 
 
-def widgets_from_catalog(rows: Iterable[Mapping], fact_table: str) -> tuple["Widget", ...]:
+def honoured_slots(sql: str, dashboard: str) -> tuple[str, ...]:
+    """The filter slots a stored widget honours: those whose token it contains
+    (a widget without a slot ignores that filter)."""
+    slots = AttendanceFilter.SLOTS if dashboard == "attendance" else VisitFilter.SLOTS
+    present = {t[1:-1].removesuffix("_filter") for t in SLOT_TOKENS if t in sql}
+    return tuple(s for s in slots if s in present)
+
+
+def widgets_from_catalog(rows: Iterable[Mapping], fact_table: str, dashboard: str) -> tuple["Widget", ...]:
     """Widgets from stored catalog rows (``id, widget_name, chart_type,
     display_order, is_active, sql_query``), e.g. collected from a small
-    catalog table read with ``sources.ingest.read_jdbc``."""
+    catalog table read with ``sources.ingest.read_jdbc``.  Each widget honours
+    exactly the filter slots its SQL names."""
     return tuple(
         Widget(
             int(r["id"]),
@@ -105,6 +114,7 @@ def widgets_from_catalog(rows: Iterable[Mapping], fact_table: str) -> tuple["Wid
             r["display_order"],
             r["is_active"],
             stored_sql_frame(r["sql_query"], fact_table),
+            honours=honoured_slots(r["sql_query"], dashboard),
         )
         for r in rows
     )
@@ -156,9 +166,9 @@ def lookup(dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = No
     raise KeyError(f"no active widget {widget_id} on the {dashboard} dashboard")
 
 
-def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int) -> DataFrame:
+def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame:
     """The widget's result frame under the filter (first stage)."""
-    w = lookup(dashboard, widget_id)
+    w = lookup(dashboard, widget_id, widgets)
     base = spec.apply(fact, w.honours)
     if w.needs_user:
         base = base.where(employee_gate(spec))
@@ -220,6 +230,6 @@ def render(dashboard: str, chart_type: str, frame: DataFrame) -> DataFrame:
     raise KeyError(dashboard)
 
 
-def report(fact: DataFrame, spec, dashboard: str, widget_id: int) -> DataFrame:
-    w = lookup(dashboard, widget_id)
-    return render(dashboard, w.chart_type, widget_data(fact, spec, dashboard, widget_id))
+def report(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame:
+    w = lookup(dashboard, widget_id, widgets)
+    return render(dashboard, w.chart_type, widget_data(fact, spec, dashboard, widget_id, widgets))

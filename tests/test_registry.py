@@ -94,12 +94,16 @@ def test_stored_widget_sql_runs_on_the_filtered_fact(spark, written_source):
         {"id": 3, "widget_name": "Old", "chart_type": "bar", "display_order": 3, "is_active": False,
          "sql_query": "SELECT 1 AS x FROM attendance_fact"},
     ]
-    widgets = registry.widgets_from_catalog(rows, "attendance_fact")
+    widgets = registry.widgets_from_catalog(rows, "attendance_fact", "attendance")
+    assert widgets[0].honours == ("region", "type", "date", "user") and widgets[1].honours == ("region",)
     spec = AttendanceFilter(region="ASIA", types=["promoter"])
     att = written_source.attendance()
-    got = {r.attendance_type: r.cnt for r in widgets[0].frame(spec.apply(att)).collect()}
+    got = {r.attendance_type: r.cnt for r in widgets[0].frame(spec.apply(att, widgets[0].honours)).collect()}
     want = {r.atype_key: r["count"] for r in spec.apply(att).groupBy("atype_key").count().collect()}
     assert got == want
+    # the second widget has no type slot, so the type selection does not narrow it
+    by_day = registry.widget_data(att, spec, "attendance", 2, widgets)
+    assert by_day.groupBy().sum("cnt").first()[0] == att.where("region = 'ASIA'").count()
     run = run_dashboard(att, spec, "attendance", widgets=widgets)
     assert [c["id"] for c in run.catalog] == [2, 1]
     assert run.reports[1].columns == ["label", "value", "pct_tenths", "show_label"]
