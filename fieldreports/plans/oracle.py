@@ -431,6 +431,13 @@ FROM vis GROUP BY region
         """
 SELECT channel_key AS channel, count(*) AS cnt, count(DISTINCT user_id) AS employees
 FROM att WHERE region = 'ASIA' AND atype_key <> 'Not Marked' GROUP BY channel_key
+"""
+    ),
+    "stored_widget_region_mix": _a(
+        """
+SELECT region, trim(attendance_type) AS attendance_type, count(*) AS cnt FROM att
+WHERE attendance_date >= DATE '2024-01-10' AND attendance_date <= DATE '2024-01-20'
+GROUP BY region, trim(attendance_type)
 """
     ),
     "payload_rows": _a(

@@ -369,6 +369,34 @@ def sql_widget_channels(src):
     return frame(SPEC_REGION_ASIA.apply(_att(src)))
 
 
+# A stored widget as the source application keeps it: SQL text naming the fact
+# table, with filter slot tokens where its author wanted filters.
+STORED_WIDGET_ROWS = (
+    {
+        "id": 21,
+        "widget_name": "Region mix",
+        "chart_type": "pivot_region",
+        "display_order": 1,
+        "is_active": True,
+        "sql_query": (
+            "SELECT region, trim(attendance_type) AS attendance_type, count(*) AS cnt "
+            "FROM attendance_fact WHERE 1=1 {region_filter} {date_filter} "
+            "GROUP BY region, trim(attendance_type)"
+        ),
+    },
+)
+SPEC_STORED = AttendanceFilter(types=("promoter",), date_from="2024-01-10", date_to="2024-01-20")
+
+
+def stored_widget_region_mix(src):
+    """Stored widget SQL run through the registry: it has no type slot, so the
+    type selection is ignored while the date range applies."""
+    from fieldreports.plans import registry
+
+    widgets = registry.widgets_from_catalog(STORED_WIDGET_ROWS, "attendance_fact", "attendance")
+    return registry.widget_data(_att(src), SPEC_STORED, "attendance", 21, widgets)
+
+
 def payload_rows(src):
     """JSON rows of the region cross-tab widget result (row objects)."""
     from fieldreports.plans.sinks import payload_rows as _payload
@@ -431,6 +459,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         figure_formats,
         profile_links,
         sql_widget_channels,
+        stored_widget_region_mix,
         payload_rows,
     )
 }
