@@ -83,14 +83,23 @@ def stored_sql_frame(sql: str, fact_table: str) -> Callable[[DataFrame], DataFra
     slot token is dropped and the fact table's name is bound to that filtered
     DataFrame (``{fact}``).  No value is ever spliced into the text.
     """
+    return sql_frame(bind_fact_table(sql, fact_table))
+
+
+def bind_fact_table(sql: str, fact_table: str) -> str:
+    """Stored widget SQL as a ``spark.sql`` template: slot tokens dropped,
+    literal braces escaped, the (optionally quoted or schema-qualified) fact
+    table name replaced by ``{fact}``."""
     text = sql
     for token in SLOT_TOKENS:
         text = text.replace(token, "")
     text = text.replace("{", "{{").replace("}", "}}")
-    text = re.sub(rf"(?<![\w.]){re.escape(fact_table)}(?!\w)", "{fact}", text)
+    name = re.escape(fact_table)
+    ident = rf'(?:"{name}"|`{name}`|{name})'
+    text = re.sub(rf'(?<![\w."`])(?:\w+\.|"\w+"\.)?{ident}(?![\w"`])', "{fact}", text)
     if "{fact}" not in text:
         raise ValueError(f"widget SQL does not read {fact_table!r}")
-    return sql_frame(text)
+    return text
 
 
 def honoured_slots(sql: str, dashboard: str) -> tuple[str, ...]:

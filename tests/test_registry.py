@@ -112,3 +112,16 @@ def test_stored_widget_sql_runs_on_the_filtered_fact(spark, written_source):
         registry.lookup("attendance", 3, widgets)
     with pytest.raises(ValueError):
         registry.stored_sql_frame("SELECT 1", "attendance_fact")
+
+
+def test_bind_fact_table_forms():
+    b = registry.bind_fact_table
+    assert b("SELECT * FROM attendance_fact WHERE 1=1 {region_filter}", "attendance_fact") == "SELECT * FROM {fact} WHERE 1=1 "
+    assert b('SELECT * FROM "attendance_fact" a', "attendance_fact") == "SELECT * FROM {fact} a"
+    assert b("SELECT * FROM public.attendance_fact", "attendance_fact") == "SELECT * FROM {fact}"
+    assert b("SELECT attendance_fact_x, '{\"k\": 1}' FROM attendance_fact", "attendance_fact") == (
+        "SELECT attendance_fact_x, '{{\"k\": 1}}' FROM {fact}"
+    )
+    assert b("SELECT * FROM attendance_fact_2 JOIN attendance_fact f ON 1=1", "attendance_fact") == (
+        "SELECT * FROM attendance_fact_2 JOIN {fact} f ON 1=1"
+    )
