@@ -17,6 +17,17 @@ SCALE_DEFAULTS = {
 }
 
 
+def _default_driver_memory() -> str:
+    """About 60% of physical memory, at most 8 GB (local mode runs everything
+    in the driver JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    mb = max(1024, min(8192, int(total * 0.6 / 2**20)))
+    return f"{mb}m"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "fieldreports") -> SparkSession:
     """Session for tests and the bench (local mode, UI off)."""
     builder = (
@@ -25,7 +36,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("FIELDREPORTS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("FIELDREPORTS_DRIVER_MEMORY") or _default_driver_memory())
     )
     for k, v in SCALE_DEFAULTS.items():
         builder = builder.config(k, v)
