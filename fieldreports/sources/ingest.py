@@ -54,20 +54,32 @@ def normalise_visits(df: DataFrame) -> DataFrame:
     )
 
 
-def write_fact(df: DataFrame, path: str, partition_col: str = "year", sort_col: str = "date_d", mode: str = "error") -> str:
+def write_fact(
+    df: DataFrame,
+    path: str,
+    partition_col: str = "year",
+    sort_col: str = "date_d",
+    mode: str = "error",
+    shuffle: bool = True,
+) -> str:
     """Write a normalised fact as Parquet partitioned by year, files sorted by day.
 
-    ``REBALANCE(year)`` lets AQE size the write tasks: small inputs coalesce
-    into a few files, and a hot year (one year holding a third of the rows)
-    is split into advisory-size chunks instead of landing in one task.  Each
-    task sorts its rows by (year, day), so it writes one file at a time and
-    every file is ordered by day.  Spark's commit protocol makes the write safe
-    against lost executors (failed tasks are retried; only committed task
+    With ``shuffle`` (default) a ``REBALANCE(year)`` lets AQE size the write
+    tasks: small inputs coalesce into a few files, and a hot year (one year
+    holding a third of the rows) is split into advisory-size chunks instead of
+    landing in one task.  That costs one shuffle of the fact; for input that
+    already arrives in time order (append-only facts), ``shuffle=False`` lets
+    every scan task write its own files directly: no shuffle and nothing to
+    skew, at the price of up to one file per task and year.
+
+    Each task sorts its rows by (year, day), so it writes one file at a time
+    and every file is ordered by day.  Spark's commit protocol makes the write
+    safe against lost executors (failed tasks are retried; only committed task
     output becomes visible).  The written table also cuts lineage.
     """
+    out = df.hint("rebalance", partition_col) if shuffle else df
     (
-        df.hint("rebalance", partition_col)
-        .sortWithinPartitions(partition_col, sort_col)
+        out.sortWithinPartitions(partition_col, sort_col)
         .write.mode(mode)
         .option("maxRecordsPerFile", 20_000_000)
         .partitionBy(partition_col)

@@ -64,3 +64,15 @@ def test_shared_falls_back_to_derived_facts_when_writing_fails(spark, monkeypatc
     src = FactSource.shared(spark, SF_MID)
     assert src.paths == {}
     assert src.attendance().count() == 4500
+
+
+def test_write_without_shuffle_same_rows(spark, written_source):
+    from fieldreports.session import scratch_path
+    from fieldreports.sources import ingest
+
+    lazy = FactSource(spark, SF_SMALL)
+    path = scratch_path(spark, "visits-noshuffle")
+    ingest.write_fact(lazy.visits(), path, shuffle=False)
+    b = ingest.read_fact(spark, path)
+    a = written_source.visits()
+    assert _digest(a.select(*sorted(a.columns))) == _digest(b.select(*sorted(a.columns)))
