@@ -389,6 +389,15 @@ attrs AS (
   UNION ALL SELECT name, picture, initial, 'ASE', ase_key FROM card
   UNION ALL SELECT name, picture, initial, 'ZSE', zse_key FROM card)
 SELECT * FROM attrs WHERE value IS NOT NULL AND value <> ''
+"""
+    ),
+    "visits_detail_table": _v(
+        """
+SELECT coalesce(region, '') AS region, coalesce(zse_key, '') AS zse, coalesce(ase_key, '') AS ase,
+       coalesce(ase_ho_id, '') AS ase_ho_id, CAST(count(*) AS VARCHAR) AS visits,
+       coalesce(CAST(sum(qty) AS VARCHAR), '') AS qty
+FROM vis WHERE region = 'ASIA' AND trim(channel) IN ('PROMO', 'SMALL')
+GROUP BY region, zse_key, ase_key, ase_ho_id
 """
     ),
     "top10_region_ase": _v(

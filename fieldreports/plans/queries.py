@@ -295,6 +295,14 @@ def employee_profile(src):
     return RP.profile_card(W.att_employee_rows(base), [F.col("Date").desc(), F.col("`User ID`").asc()])
 
 
+SPEC_DETAIL_V = VisitFilter(region="ASIA", channels=("PROMO", "SMALL"))
+
+
+def visits_detail_table(src):
+    """Field-style table widget: per-ASE visits and quantity as display text."""
+    return RP.table_cells(W.vis_detail(SPEC_DETAIL_V.apply(_vis(src))), "field")
+
+
 def top10_region_ase(src):
     return RP.top_n_per_group(W.vis_ase_volume(_vis(src)), "region", "ase", "qty", 10)
 
@@ -452,6 +460,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         attendance_summary,
         employee_detail,
         employee_profile,
+        visits_detail_table,
         top10_region_ase,
         dedupe_last_cell,
         category_domain,
