@@ -451,7 +451,7 @@ GROUP BY region, trim(attendance_type)
     ),
     "payload_rows": _a(
         """
-SELECT to_json({'region': region, 'attendance_type': atype_n, 'cnt': count(*)}) AS json
+SELECT CAST(to_json({'region': region, 'attendance_type': atype_n, 'cnt': count(*)}) AS VARCHAR) AS json
 FROM att GROUP BY region, atype_n
 """
     ),

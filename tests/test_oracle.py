@@ -53,11 +53,16 @@ def test_lazy_derivation_matches_oracle(spark, duck, name):
     _check(QUERIES[name](FactSource.shared(spark, SF_SMALL, written=False)), duck, name)
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "VARCHAR": "string", "INTEGER": "int", "DOUBLE": "double", "DATE": "date"}
+
+
 def _check(df, duck, name):
     srows, scols = [tuple(r) for r in df.collect()], df.columns
     cur = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(scols) == sorted(ocols)
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert stypes == {d[0]: DUCK_TO_SPARK.get(str(d[1]), str(d[1])) for d in cur.description}
     assert len(srows) == len(orows)
     assert _canon(srows, scols) == _canon(orows, ocols)
