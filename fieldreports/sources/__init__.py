@@ -48,6 +48,12 @@ class FactSource:
     def table(self, name: str, columns=None) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, columns)
 
+    @classmethod
+    def open_written(cls, spark: SparkSession, sf_dir: str, base: str) -> "FactSource":
+        """Facts written earlier with ``materialise(base=...)``: no re-ingest."""
+        paths = {name: f"{base.rstrip('/')}/{name}" for name in ("attendance", "visits")}
+        return cls(spark, sf_dir.rstrip("/"), paths)
+
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str, written: bool = True) -> "FactSource":
         """The session's source for ``sf_dir``.
@@ -71,14 +77,23 @@ class FactSource:
                 per_session[key] = src
             return per_session[key]
 
-    def materialise(self, concurrent: bool = True) -> "FactSource":
+    def materialise(self, concurrent: bool = True, base: str | None = None) -> "FactSource":
         """Write both facts (two independent jobs, submitted concurrently by
-        default) and return a source that scans the written tables."""
+        default) and return a source that scans the written tables.
+
+        ``base`` is a fixed location on shared storage (``<base>/attendance``,
+        ``<base>/visits``) that later sessions reopen with
+        :meth:`open_written`; by default a fresh folder under the shared
+        checkpoint folder is used.
+        """
         from concurrent.futures import ThreadPoolExecutor
 
         from fieldreports.session import scratch_path
 
-        jobs = {name: scratch_path(self.spark, name) for name in ("attendance", "visits")}
+        if base is not None:
+            jobs = {name: f"{base.rstrip('/')}/{name}" for name in ("attendance", "visits")}
+        else:
+            jobs = {name: scratch_path(self.spark, name) for name in ("attendance", "visits")}
 
         def write_attendance():
             # The daily event aggregate feeds four consumers (days, day range,

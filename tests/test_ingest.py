@@ -76,3 +76,13 @@ def test_write_without_shuffle_same_rows(spark, written_source):
     b = ingest.read_fact(spark, path)
     a = written_source.visits()
     assert _digest(a.select(*sorted(a.columns))) == _digest(b.select(*sorted(a.columns)))
+
+
+def test_fixed_location_reopened_without_reingest(spark):
+    from fieldreports.session import scratch_path
+
+    base = scratch_path(spark, "facts")
+    first = FactSource(spark, SF_SMALL).materialise(base=base)
+    again = FactSource.open_written(spark, SF_SMALL, base)
+    assert again.paths == first.paths
+    assert again.visits().count() == first.visits().count() == 6000
