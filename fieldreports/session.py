@@ -36,9 +36,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        # A dashboard submits its widget jobs concurrently; FAIR lets the small
-        # jobs share the task slots instead of queueing behind each other.
-        .config("spark.scheduler.mode", "FAIR")
         .config("spark.driver.memory", os.environ.get("FIELDREPORTS_DRIVER_MEMORY") or _default_driver_memory())
     )
     for k, v in SCALE_DEFAULTS.items():
