@@ -145,3 +145,28 @@ def test_top_n_and_crosstab_match_brute_force(spark, rows):
     assert ct[(None, None, 1, 1)] == len(rows)
     for r in {r for _, r, _ in [(0, x, 0) for x in (rr for rr, _, _ in rows)]}:
         assert ct[(None, r, 1, 0)] == sum(n for (_, rr), n in cells.items() if rr == r)
+
+
+cell_st = st.lists(
+    st.tuples(st.sampled_from(["P", "L", "T", "X"]), st.sampled_from(["d1", "d2", "d3"]), st.integers(0, 500)),
+    min_size=1,
+    max_size=30,
+    unique_by=lambda t: (t[0], t[1]),
+)
+
+
+@settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(cells=cell_st)
+def test_totals_and_percent_match_brute_force(spark, cells):
+    import math
+    from fractions import Fraction
+
+    from fieldreports.operators import pivots as PV
+
+    df = spark.createDataFrame(cells, "impact string, date string, cnt long")
+    out = {(r.impact, r.date): (r.col_total, r.pct) for r in PV.percent_of_partition(df, "date").collect()}
+    for impact, date, cnt in cells:
+        total = sum(c for _, d, c in cells if d == date)
+        denom = total or 1  # a zero total counts as 1
+        pct = math.floor(Fraction(cnt * 100, denom) + Fraction(1, 2))
+        assert out[(impact, date)] == (total, pct)
