@@ -332,6 +332,7 @@ FROM tot
     "pie_share": _a(_pie("SELECT atype_n AS label, count(*) AS cnt FROM att GROUP BY atype_n")),
     "visits_channel_share": _v(_pie("SELECT channel_key AS label, count(*) AS cnt FROM vis GROUP BY channel_key")),
     "bar_trend": _a("SELECT atype_n AS label, count(*) AS value FROM att GROUP BY atype_n"),
+    "visits_tier_bar": _v("SELECT tier_key AS label, CAST(sum(qty) AS BIGINT) AS value FROM vis GROUP BY tier_key"),
     "line_trend": _a(
         """
 , d AS (SELECT day AS x, CAST(sum(CASE WHEN atype_n <> 'Not Marked' THEN 1 ELSE 0 END) AS BIGINT) AS marked,

@@ -267,6 +267,11 @@ def visits_channel_share(src):
     return RP.pie_share(W.vis_channel_mix(_vis(src)))
 
 
+def visits_tier_bar(src):
+    """Field bar widget: quantity per tier."""
+    return RP.bar_series(W.vis_tier_volume(_vis(src)))
+
+
 def bar_trend(src):
     return RP.bar_series(W.att_trend(_att(src)))
 
@@ -455,6 +460,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         pie_share,
         visits_channel_share,
         bar_trend,
+        visits_tier_bar,
         line_trend,
         kpi_cards,
         attendance_summary,
