@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import quality_rules
+from fieldreports.llm import fingerprints, packing, quality_rules
 from fieldreports.llm.common import read
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_packing, op8_quality_rules)}
 ORACLE: dict[str, str] = {}
