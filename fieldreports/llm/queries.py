@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, packing, quality_rules
+from fieldreports.llm import fingerprints, packing, quality_rules, secret_scans, source_mix
 from fieldreports.llm.common import read
 
 
@@ -16,10 +16,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_packing, op8_quality_rules)}
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_packing, op6_source_mix, op8_quality_rules, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
