@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, packing, quality_rules, secret_scans, source_mix
+from fieldreports.llm import fingerprints, language_id, packing, quality_rules, secret_scans, source_mix, url_filters
 from fieldreports.llm.common import read
 
 
@@ -12,10 +12,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,5 +38,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_packing, op6_source_mix, op8_quality_rules, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op5_language_id, op6_source_mix, op8_quality_rules, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
