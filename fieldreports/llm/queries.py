@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, language_id, packing, quality_rules, secret_scans, source_mix, url_filters
+from fieldreports.llm import fingerprints, language_id, packing, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
 from fieldreports.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
@@ -38,5 +42,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op5_language_id, op6_source_mix, op8_quality_rules, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op5_language_id, op6_source_mix, op7_substring_dedup, op8_quality_rules, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
