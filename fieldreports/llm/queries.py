@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, language_id, packing, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
+from fieldreports.llm import fingerprints, language_id, ngram_join, packing, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
 from fieldreports.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -42,5 +46,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op5_language_id, op6_source_mix, op7_substring_dedup, op8_quality_rules, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op4_ngram_join, op5_language_id, op6_source_mix, op7_substring_dedup, op8_quality_rules, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
