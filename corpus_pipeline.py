@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import quality_rules
+from fieldreports.llm import ngram_join, packing, quality_rules, secret_scans, source_mix
 from fieldreports.llm.common import read, ship, store
 
 
@@ -22,7 +22,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs, model)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    ship(spark)
+    return ngram_join.keep_first(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span that the scan finds is replaced by a mark; all documents stay."""
+    return secret_scans.redact(docs)
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix: as often as it takes them, or in part."""
+    return source_mix.mixed_documents(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("secret scans", secrets),
+    ("source mix", source_weights),
+    ("packing", sequences),
+]
 
 #: The stages fit a model, draw MinHash samples and call a tokenizer: SQL cannot express their rows.
 ORACLE_SQL = None

@@ -398,8 +398,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its
     columns; documents without a text stay."""
     _, groups = join_classes(docs)
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    heads = groups.where("class = group_class").select(F.coalesce(F.col("group_id").cast("long"), F.lit(_NO_ID)).alias("_number"), F.col("class").alias("_class"))
-    keyed = docs.withColumns({"_number": number, "_class": F.unhex(F.md5(F.col("text").cast("string")))})
-    kept = keyed.join(heads, ["_number", "_class"], "left_semi").dropDuplicates(["_number", "_class"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("text").isNull()))
+    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_NO_ID))
+    heads = groups.where("class = group_class").select(id_of("group_id").alias("number"), "class")
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.where(F.col("text").isNotNull()).select(id_of("doc_id").alias("number"), F.unhex(F.md5(F.col("text").cast("string"))).alias("class"), *[F.col(c).alias(k) for c, k in names.items()])
+    kept = keyed.join(heads, ["number", "class"], "left_semi").dropDuplicates(["number", "class"])
+    return kept.select(*[F.col(k).alias(c) for c, k in names.items()]).unionByName(docs.where(F.col("text").isNull()))

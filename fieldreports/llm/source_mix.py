@@ -5,8 +5,9 @@ sources by highest quotients ``target / (2 k + 1)``, then inside each source to
 its shards (seeded hash groups of documents) in the same way, which gives every
 shard an integer quota.  In a shard the documents lie end to end in a seeded
 order and are cut into blocks; a quota takes whole passes over all blocks first
-and then the blocks that a seeded permutation puts first.  A block is part of
-one or more documents, so a document may be taken in part.
+and then the blocks that follow a seeded one, around the end.  As the order of
+the documents is random, so is the selection, and at most two documents of a
+shard are taken in part.
 
 Only DataFrame operations are used.  Windows run over one row per source, over
 one row per shard of a source, and over the documents of one shard, which has a
@@ -33,9 +34,13 @@ SHARD_WORDS = 500_000
 SEED = 20
 
 
+def with_size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def with_sizes(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size``: the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", with_size(F.col("text")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -94,45 +99,82 @@ def sainte_lague(rows: DataFrame, group: list[str], item: list[Column], votes: s
     return seated.groupBy(*rows.columns).agg((F.max("_floor") + F.sum(F.col("_won") * sign)).cast("long").alias(quota))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of every document."""
-    key = lambda d: d.withColumn("key", F.concat(F.lit("s"), "source")).fillna({"key": "null"})
-    sized = store(with_sizes(docs), "sizes")
+def _key(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.concat(F.lit("s"), "source")).fillna({"key": "null"})
+
+
+def _placed(docs: DataFrame, rows: DataFrame, block_words: int, shard_words: int, seed: int) -> DataFrame:
+    """``rows`` (``doc_id, source, size`` and others) with ``source_size, target``
+    and what is taken: ``passes`` whole ones, and the words ``[from1, to1)`` and
+    ``[from2, to2)`` counted from the first word of the document."""
     block = F.lit(block_words)
-    wanted = targets(sized)
+    wanted = targets(docs)
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
     sources = sainte_lague(wanted.withColumn("seats", seats), [], [F.asc_nulls_last("source")], "target", "seats", "blocks")
-    sources = store(key(sources).select("key", "source_size", "target", "blocks"), "sources")
+    sources = store(_key(sources).select("key", "source_size", "target", "blocks"), "sources")
+
+    def deal(df: DataFrame) -> DataFrame:
+        shards_of = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
+        return _key(df).join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), shards_of))
 
-    shards_of = F.ceil(F.col("source_size") / shard_words)
-    dealt = key(sized).join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(shards_of, F.lit(1))))
-    shards = dealt.groupBy("key", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
+    shards = deal(docs).groupBy("key", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(shards, ["key", "blocks"], [F.col("shard")], "shard_size", "blocks", "quota")
-    n = F.ceil(F.col("shard_size") / block)
     quota = F.least(F.col("quota"), MOST_REPEATS * F.col("n"))
+    some = lambda c: F.when(F.col("n") > 0, c).otherwise(F.lit(0)).cast("long")
     shards = store(
-        shards.withColumn("n", n)
+        shards.withColumn("n", F.ceil(F.col("shard_size") / block))
         .withColumn("quota", quota)
         .select(
             "key",
             "shard",
-            "n",
-            F.when(F.col("n") > 0, F.floor(F.col("quota") / F.col("n"))).otherwise(F.lit(0)).alias("passes"),
-            F.when(F.col("n") > 0, F.col("quota") % F.col("n")).otherwise(F.lit(0)).alias("rest"),
-            F.when(F.col("n") > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.col("n"))).otherwise(F.lit(0)).alias("shift"),
-            # a prime that does not divide n makes block -> step * block + shift a permutation
-            F.when(F.col("n") % 1_000_003 == 0, F.lit(999_983)).otherwise(F.lit(1_000_003)).cast("long").alias("step"),
+            some(F.floor(F.col("quota") / F.col("n"))).alias("passes"),
+            some(F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.col("n")) * block).alias("begin"),
+            some((F.col("quota") % F.col("n")) * block).alias("length"),
+            (F.col("n") * block).alias("round"),
         ),
         "shards",
     )
     line = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size")).join(shards, ["key", "shard"])
+    placed = deal(rows).withColumn("start", F.sum("size").over(line) - F.col("size")).join(shards, ["key", "shard"])
+    inside = lambda c: F.least(F.greatest(c - F.col("start"), F.lit(0)), F.col("size")).cast("long")
+    stop = F.col("begin") + F.col("length")
+    return placed.select(
+        *rows.columns,
+        "source_size",
+        "target",
+        "passes",
+        inside(F.col("begin")).alias("from1"),
+        inside(F.least(stop, F.col("round"))).alias("to1"),
+        inside(F.lit(0)).alias("from2"),
+        inside(F.greatest(stop - F.col("round"), F.lit(0))).alias("to2"),
+    )
 
-    def part(acc: Column, b: Column) -> Column:
-        overlap = F.least((b + 1) * block, F.col("end")) - F.greatest(b * block, F.col("start"))
-        return acc + F.when(F.pmod(F.col("step") * b + F.col("shift"), F.col("n")) < F.col("rest"), overlap).otherwise(F.lit(0).cast("long"))
 
-    blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
-    chosen = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.aggregate(blocks, F.lit(0).cast("long"), part)).otherwise(F.lit(0))
-    taken = (F.col("passes") * F.col("size") + chosen).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` of every document."""
+    sized = store(with_sizes(docs), "sizes")
+    part = F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")
+    taken = F.col("passes") * F.col("size") + part
+    return _placed(sized, sized, block_words, shard_words, seed).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, with their columns: one row for every whole
+    pass, and one for a part, its words joined by single spaces (``n_chars``, if
+    there, is then its length).  A whole document keeps its text as it is."""
+    sized = store(with_sizes(docs), "sizes")
+    kept = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select("doc_id", "source", with_size(F.col("text")).alias("size"), *[F.col(c).alias(k) for c, k in kept.items()])
+    placed = _placed(sized, rows, block_words, shard_words, seed)
+    text = F.col(kept["text"])
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    first, second = F.col("to1") - F.col("from1"), F.col("to2") - F.col("from2")
+    cut = F.array_join(F.concat(F.slice(words, F.col("from1").cast("int") + 1, first.cast("int")), F.slice(words, F.col("from2").cast("int") + 1, second.cast("int"))), " ")
+    whole = first + second >= F.col("size")
+    copies = F.array_repeat(text, F.col("passes").cast("int"))
+    part = F.when(first + second == 0, F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(F.array(cut))
+    out = placed.where("size > 0").withColumn("mixed", F.explode(F.concat(copies, part)))
+    cols = {c: F.col(k) for c, k in kept.items()} | {"text": F.col("mixed")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("mixed") == text, F.col(kept["n_chars"])).otherwise(F.length("mixed")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in cols.items()])
