@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import Spans, Words, chunks, string_buffers, windows
+from fieldreports.llm.common import Words, chunks, mix64, ship, string_buffers, windows
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
+FOLDS = 3
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_digits", "n_capitals", "n_marks", "n_stops", "n_lines", "n_distinct", "longest_word", "n_bytes")
 
@@ -192,7 +194,7 @@ def fit_trees(
     rate: float = 0.2,
     bins: int = 64,
     ridge: float = 1.0,
-    least: float = 2.0,
+    least: float = 0.5,
 ) -> Trees:
     """Second-order boosting of the logistic loss with monotone constraints.
 
@@ -279,6 +281,7 @@ def _batches(batches, model: Trees | None):
 
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id`` and all counts of every document's whole text."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b: _batches(b, None), f"doc_id {kind}, {_COUNT_SCHEMA}")
 
@@ -287,9 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_lost:
     """Trees from at most ``most_rows`` labelled documents (the lowest seeded
     hashes of the label rows; a document's contradicting labels count as bad).
 
-    The cutoff is set on a third of the sample that the trees did not see: the
-    largest margin that loses at most ``most_lost`` of its good documents, but
-    never above even odds.
+    The cutoff is set on margins of rows that the trees behind them did not see
+    (``FOLDS`` folds); the trees returned are fitted on all of the sample.
     """
     sample = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -306,23 +308,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_lost:
     if len(y) < 20 or y.min() == y.max():
         return Trees()
     x = features(got[list(COUNTS)].to_numpy())
-    held = (mix(got["doc_id"]) % 3) == 0
-    if len(np.unique(y[~held])) < 2:
-        held[:] = False
-    trees = fit_trees(x[~held], y[~held])
-    judged = np.sort(trees.margin(x[held | ~held.any()])[y[held | ~held.any()] > 0])
-    trees.cutoff = min(0.0, float(judged[int(most_lost * len(judged))])) - 1e-9 if len(judged) else 0.0
+    fold = mix64(np.arange(len(y), dtype=np.uint64)) % np.uint64(FOLDS)
+    unseen = np.zeros(len(y))
+    for k in range(FOLDS):
+        unseen[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
+    trees = fit_trees(x, y)
+    trees.cutoff = cutoff(unseen, y, most_lost)
     return trees
 
 
-def mix(ids) -> np.ndarray:
-    from fieldreports.llm.common import mix64
-
-    return mix64(ids.to_numpy().astype(np.int64).astype(np.uint64))
+def cutoff(margin: np.ndarray, y: np.ndarray, most_lost: float) -> float:
+    """Half way between the lowest good margins, but for a share ``most_lost``,
+    and the highest bad one below them; never above even odds."""
+    good, bad = np.sort(margin[y > 0]), margin[y == 0]
+    low = good[int(most_lost * len(good))]
+    below = bad[bad < low]
+    return min(0.0, float((low + below.max()) / 2 if len(below) else low) - 1e-9)
 
 
 def judge(docs: DataFrame, model: Trees) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``margin`` of every document."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some thousand tree nodes, whatever the corpus
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, margin double"
@@ -331,6 +337,7 @@ def judge(docs: DataFrame, model: Trees) -> DataFrame:
 
 def keep_documents(docs: DataFrame, model: Trees) -> DataFrame:
     """The documents that the rules keep, all columns as they were (no shuffle)."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
