@@ -194,7 +194,7 @@ def slots(shapes: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64)[order] for k, v in (("key", key), ("sequence", sequence), ("offset", offset))}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, rows_per_salt: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     spark = docs.sparkSession
     cut = store(pieces(docs, capacity, path), "pieces")
@@ -203,8 +203,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, row
         counts[length] = n
     places = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
 
-    # rank of a piece among those of its length, without a group of a whole length
-    salts = F.element_at(F.lit([int(-(-c // rows_per_salt)) or 1 for c in counts[1:]]), F.col("length").cast("int"))
+    # rank of a piece among those of its length, without a group of a whole
+    # length: groups of one length and salt are a fraction of a partition each
+    share = max(1, int(counts.sum()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = F.element_at(F.lit([int(-(-c // share)) or 1 for c in counts[1:]]), F.col("length").cast("int"))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts.cast("long")))
     group = Window.partitionBy("length", "salt")
     before = (
