@@ -1,23 +1,22 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of shingles of five words.  Equal texts form a class, and the
-join runs over classes:
+Texts are sets of shingles of five words.  Equal texts form a class (a 128-bit
+digest), and the join runs over classes, named by a 64-bit hash of the digest:
 
 1. MinHash values of each class; classes that agree on a band of ``LANES``
-   values are candidates (a pair at the threshold is missed with probability
-   ``(1 - 0.8**4)**32``, below 1e-7).
+   values share a bucket and are candidates (a pair at the threshold is missed
+   with probability ``(1 - 0.8**4)**32``, below 1e-7).
 2. Candidates are compared a few MinHash values at a time and dropped when the
    posterior probability of reaching the threshold, under a uniform prior, falls
-   below ``TOLERANCE``; those that remain are verified exactly on their shingles.
-3. Pairs inside a bucket are not listed.  First every class is compared with one
-   class only, the smallest of the bucket that it shares most often, and what
-   verifies is joined to groups.  Then buckets that still hold two or more
-   groups are compared inside tasks, in blocks, across groups only, and what
-   survives is verified and joined too.  So every candidate pair is either
-   compared or already in one group.
-4. Links are counted inside the groups (a link never leaves its group), again in
-   blocks of bounded size, by the same pruning and exact verification; only
-   counts leave the tasks.
+   below ``TOLERANCE``.  Pairs inside a bucket are not listed: each class is
+   compared with the smallest one of its bucket, what survives is joined to
+   clusters, and buckets that hold several clusters are then compared inside
+   tasks, in blocks, across clusters only; a task sends no more pairs than join
+   the clusters it has found.  So two candidates that survive are in one cluster.
+3. Inside each cluster all pairs are pruned in the same way and the rest is
+   verified exactly on shingles, in blocks of a bounded number of shingles.
+   Tasks send the numbers of links of each class, and as many verified pairs as
+   join the classes that are linked; their components are the groups.
 
 Defined results: a null text is a group of its own without links; an empty text
 and one without words have no shingles and link to nothing, but equal ones are
@@ -42,7 +41,7 @@ THRESHOLD = (4, 5)  # numerator, denominator
 HASHES = 128
 LANES = 4
 STEP = 16
-TOLERANCE = 1e-7
+TOLERANCE = 1e-6
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 400_000
 
@@ -157,8 +156,8 @@ def _with_class(docs: DataFrame) -> DataFrame:
 
 
 def _signed(batches):
-    """``class, n, signature, bands`` of the texts of a partition, one row a class."""
-    seen: set[bytes] = set()
+    """``node, signature, bands`` of the texts of a partition, one row a class."""
+    seen: set[int] = set()
     for batch in batches:
         classes = batch.column(0).to_pylist()
         new = [i for i, c in enumerate(classes) if c not in seen and not seen.add(c)]
@@ -173,18 +172,19 @@ def _signed(batches):
             some = np.flatnonzero(np.diff(first))
             if len(some):
                 cols = [batch.column(0).slice(i, j - i).take(pa.array(some)), pa.array(list(map(bytes, signs[some])), pa.binary()), pa.array(list(bands(signs[some])), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["class", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "signature", "bands"])
 
 
 def _shingled(batches):
-    """``class, shingles`` (sorted, distinct) of every text."""
+    """``node, size, shingles`` (sorted, distinct) of every text."""
     for batch in batches:
         raw, offsets = string_buffers(batch.column(1))
         for i, j in chunks(offsets):
             words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             hashes, first = shingles(words)
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["class", "shingles"])
+            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sizes, pa.array(sets, pa.binary())], names=["node", "size", "shingles"])
 
 
 def _prune(batches):
@@ -197,29 +197,7 @@ def _prune(batches):
             yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
 
-def _verify(batches):
-    """Pairs ``a, b`` whose shingle sets reach the threshold."""
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            short, long = (x, y) if len(x) <= len(y) else (y, x)
-            if len(short) * THRESHOLD[1] < len(long) * THRESHOLD[0]:
-                ok.append(False)
-                continue
-            at = np.minimum(np.searchsorted(long, short), max(len(long) - 1, 0))
-            ok.append(bool(len(long)) and bool(reaches(int((long[at] == short).sum()), len(x), len(y))))
-        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[:2], names=["a", "b"])
-
-
-def _joined(pairs: DataFrame, table: DataFrame, value: str, run) -> DataFrame:
-    """Pairs with the value of both sides, put through ``run``."""
-    one = lambda side: table.select(F.col("class").alias(side), F.col(value).alias(f"{side}_value"))
-    both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
-    return both.select("a", "b", "a_value", "b_value").mapInArrow(run, "a binary, b binary")
-
-
-def _groups(batches, columns: int):
+def _groups(batches):
     """Whole groups from batches that are sorted by their first column: yields
     ``(edges, table)`` with as many groups as the batches have completed."""
     rest = None
@@ -262,55 +240,96 @@ def _blocks(df: DataFrame, key: str, name: str, n_blocks: Column) -> DataFrame:
 
     Adds ``name``, one number for (key, pair of blocks), and ``side`` (0 or 1 of
     a pair of different blocks, 0 in a block with itself)."""
-    blocks = df.withColumn("_n", F.greatest(n_blocks, F.lit(1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("class", F.lit(3)), F.col("_n")).cast("int"))
+    blocks = df.withColumn("_n", F.greatest(n_blocks, F.lit(1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_n")).cast("int"))
     paired = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return paired.select(
         F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias(name), (F.col("_mine") > F.col("_other")).cast("int").alias("side"), *df.columns
     )
 
 
+class _Forest:
+    """Labels of joined items, and which pairs joined them."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = labels.copy()
+        self.pairs: list[tuple[int, int]] = []
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins the items of every pair (i, j); keeps as many pairs as it takes."""
+        a, b = self.labels[i], self.labels[j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        new = np.flatnonzero(low != high)
+        if not len(new):
+            return
+        width = int(self.labels.max()) + 1
+        _, first = np.unique(low[new].astype(np.int64) * width + high[new], return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        for k in new[first].tolist():
+            x, y = find(int(low[k])), find(int(high[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.pairs.append((int(i[k]), int(j[k])))
+        to = np.arange(width)
+        for x in list(parent):
+            to[x] = find(x)
+        self.labels = to[self.labels]
+
+
 # ---------------------------------------------------------------- the join
 
 
 def _across(batches):
-    """Pairs of different groups inside buckets that survive the pruning."""
-    for edges, table in _groups(batches, 5):
-        side = table.column(1).to_numpy()
-        classes, comps = table.column(2).to_pylist(), table.column(3).to_pylist()
-        comp = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+    """Pairs that join clusters which share a bucket and hold a surviving pair."""
+    for edges, table in _groups(batches):
+        side, nodes, clusters = (table.column(k).to_numpy() for k in (1, 2, 3))
         signs = _matrix(table.column(4).combine_chunks(), np.uint16, HASHES)
-        out: set[tuple[bytes, bytes]] = set()
+        out = []
         for first, last in zip(edges, edges[1:]):
-            if last - first < 2:
+            if last - first < 2 or (clusters[first:last] == clusters[first]).all():
                 continue
+            forest = _Forest(np.unique(clusters[first:last], return_inverse=True)[1])
             for i, j in _pairs_of(first, last, side):
-                ok = comp[i] != comp[j]
-                i, j = i[ok], j[ok]
+                apart = forest.labels[i - first] != forest.labels[j - first]
+                i, j = i[apart], j[apart]
                 ok = survivors(signs, signs, i, j)
-                out.update((min(classes[x], classes[y]), max(classes[x], classes[y])) for x, y in zip(i[ok].tolist(), j[ok].tolist()))
+                forest.join(i[ok] - first, j[ok] - first)
+            out += [(nodes[first + x], nodes[first + y]) for x, y in forest.pairs]
         if out:
-            a, b = zip(*sorted(out))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _count_links(batches):
-    """``class, links`` of every block: exact numbers of linked classes."""
-    for edges, table in _groups(batches, 5):
-        side = table.column(1).to_numpy()
+def _linked(batches):
+    """``a, b, links``: exact numbers of linked classes (of a; b is null), and
+    verified pairs that join the linked classes of a block."""
+    for edges, table in _groups(batches):
+        side, nodes = (table.column(k).to_numpy() for k in (1, 2))
         signs = _matrix(table.column(3).combine_chunks(), np.uint16, HASHES)
         sets = [np.frombuffer(s, np.uint64) for s in table.column(4).to_pylist()]
         sizes = np.array([len(s) for s in sets])
         links = np.zeros(len(sets), np.int64)
+        out = []
         for first, last in zip(edges, edges[1:]):
+            forest = _Forest(np.arange(last - first))
             for i, j in _pairs_of(first, last, side):
                 ok = survivors(signs, signs, i, j)
                 i, j = i[ok], j[ok]
                 if len(i):
-                    shared = shared_counts(sets[first:last], i - first, j - first)
-                    ok = reaches(shared, sizes[i], sizes[j])
-                    links += np.bincount(i[ok], minlength=len(links)) + np.bincount(j[ok], minlength=len(links))
-        some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([table.column(2).combine_chunks().take(pa.array(some)), pa.array(links[some])], names=["class", "links"])
+                    ok = reaches(shared_counts(sets[first:last], i - first, j - first), sizes[i], sizes[j])
+                    i, j = i[ok], j[ok]
+                    links += np.bincount(i, minlength=len(links)) + np.bincount(j, minlength=len(links))
+                    forest.join(i - first, j - first)
+            out += [(nodes[first + x], nodes[first + y], None) for x, y in forest.pairs]
+        out += [(nodes[x], None, links[x]) for x in np.flatnonzero(links)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "links"])
 
 
 def _sorted_groups(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -319,63 +338,66 @@ def _sorted_groups(df: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, groups)``: ``doc_id, class`` of every document that has a text,
-    and ``class, first_id, group_id, group_class, n_links`` of every class."""
+    and ``class, first_id, group_id, is_head, n_links`` of every class (the head
+    is the class that names its group)."""
     spark = docs.sparkSession
     ship(spark)
-    named = _with_class(docs)
-    ids = store(named.where(F.col("class").isNotNull()).select("doc_id", "class"), "classes")
+    named = _with_class(docs).where(F.col("class").isNotNull())
+    node = F.xxhash64("class")
+    ids = store(named.select("doc_id", "class"), "classes")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    firsts = store(ids.groupBy("class").agg(F.min(number).alias("first_number")), "firsts")
+    firsts = store(ids.groupBy("class").agg(F.min(number).alias("first_number")).withColumn("node", node), "firsts")
 
-    signs = named.where(F.col("class").isNotNull()).select("class", "text").mapInArrow(_signed, "class binary, signature binary, bands array<long>")
-    signs = store(signs.dropDuplicates(["class"]), "signatures")
-    placed = signs.select("class", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub")).where("n > 1")
+    signs = named.select(node.alias("node"), "text").mapInArrow(_signed, "node long, signature binary, bands array<long>")
+    signs = store(signs.dropDuplicates(["node"]), "signatures")
+    placed = signs.select("node", F.explode("bands").alias("bucket"))
+    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     shared = store(placed.join(buckets, "bucket"), "buckets")
+    signs = signs.select("node", "signature")
     release(spark)
 
-    # the texts of classes that share a bucket, once each
-    wanted = shared.select("class").distinct().join(firsts, "class").withColumnRenamed("first_number", "number")
-    texts = named.where(F.col("class").isNotNull()).withColumn("number", number).join(wanted, ["number", "class"], "left_semi").dropDuplicates(["number", "class"])
-    sets = store(texts.select("class", "text").mapInArrow(_shingled, "class binary, shingles binary"), "shingles")
+    # clusters of candidates that survive the pruning
+    one = lambda side: signs.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature"))
+    tried = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = tried.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_signature", "b_signature")
+    joined = store(pairs.mapInArrow(_prune, "a long, b long"), "survivors")
+    clusters = store(components(joined, "a", "b"), "clusters")
+    grouped = shared.join(clusters, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("cluster"))
+    grouped = store(grouped, "grouped")
+    mixed = grouped.groupBy("bucket").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("bucket")
+    dealt = _blocks(grouped.join(mixed, "bucket", "left_semi").join(signs, "node"), "bucket", "block", F.ceil(F.col("n") / BLOCK_CLASSES))
+    more = store(_sorted_groups(dealt, "block", "node", "cluster", "signature").mapInArrow(_across, "a long, b long"), "survivors")
+    if not more.isEmpty():
+        clusters = store(components(clusters.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b"), "clusters")
     release(spark)
 
-    # one comparison for each class
-    often = shared.where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = often.groupBy("class").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    tried = best.select(F.col("hub").alias("a"), F.col("class").alias("b"))
-    links = store(_joined(_joined(tried, signs, "signature", _prune), sets, "shingles", _verify), "links")
-    groups = store(components(links, "a", "b"), "groups")
-
-    # the other candidates: across groups, inside the buckets that have several
-    grouped = shared.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    grouped = store(grouped.select("bucket", "n", "class", "component"), "grouped")
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = grouped.join(mixed, "bucket", "left_semi").join(signs.select("class", "signature"), "class")
-    dealt = _blocks(left, "bucket", "block", F.ceil(F.col("n") / BLOCK_CLASSES))
-    found = _sorted_groups(dealt, "block", "class", "component", "signature").mapInArrow(_across, "a binary, b binary").distinct()
-    more = store(_joined(store(found, "across"), sets, "shingles", _verify), "links")
-    groups = store(components(links.unionByName(more), "a", "b"), "groups")
+    # the texts of clustered classes, once each, as sets of shingles
+    wanted = firsts.join(clusters.select("node"), "node").select("class", F.col("first_number").alias("number"))
+    texts = named.withColumn("number", number).join(wanted, ["number", "class"], "left_semi").dropDuplicates(["number", "class"])
+    sets = store(texts.select(node.alias("node"), "text").mapInArrow(_shingled, "node long, size long, shingles binary"), "shingles")
     release(spark)
 
-    # links, counted inside the groups
-    sized = groups.withColumnRenamed("node", "class").join(sets, "class").join(signs.select("class", "signature"), "class")
-    total = sized.groupBy("component").agg(F.sum(F.length("shingles") / 8).alias("total"))
+    # exact links inside the clusters, and the groups that they make
+    sized = clusters.join(sets.drop("size"), "node").join(signs, "node")
+    total = clusters.join(sets.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total"))
     dealt = _blocks(sized.join(total, "component"), "component", "block", F.ceil(F.col("total") / BLOCK_SHINGLES))
-    counted = _sorted_groups(dealt, "block", "class", "signature", "shingles").mapInArrow(_count_links, "class binary, links long")
-    n_links = counted.groupBy("class").agg(F.sum("links").alias("n_links"))
+    linked = store(_sorted_groups(dealt, "block", "node", "signature", "shingles").mapInArrow(_linked, "a long, b long, links long"), "links")
+    groups = store(components(linked.where("b is not null"), "a", "b"), "groups")
+    n_links = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
 
-    lead = F.struct("first_number", "class")
-    named_groups = firsts.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    heads = named_groups.groupBy("component").agg(F.min(lead).alias("head"))
-    out = named_groups.join(heads, "component").join(n_links, "class", "left")
+    heads = (
+        firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).join(n_links, "node", "left")
+    )
+    least = heads.groupBy("component").agg(F.min("first_number").alias("least"))
+    named_heads = heads.join(least, "component").where("first_number = least").groupBy("component").agg(F.max("least").alias("least"), F.min("node").alias("head_node"))
     as_id = lambda c: F.when(c != _NO_ID, c).cast(docs.schema["doc_id"].dataType)
+    out = heads.join(named_heads, "component")
     return ids, store(
         out.select(
             "class",
             as_id(F.col("first_number")).alias("first_id"),
-            as_id(F.col("head.first_number")).alias("group_id"),
-            F.col("head.class").alias("group_class"),
+            as_id(F.col("least")).alias("group_id"),
+            (F.col("node") == F.col("head_node")).alias("is_head"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         ),
         "group-names",
@@ -399,7 +421,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     columns; documents without a text stay."""
     _, groups = join_classes(docs)
     id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_NO_ID))
-    heads = groups.where("class = group_class").select(id_of("group_id").alias("number"), "class")
+    heads = groups.where("is_head").select(id_of("group_id").alias("number"), "class")
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.where(F.col("text").isNotNull()).select(id_of("doc_id").alias("number"), F.unhex(F.md5(F.col("text").cast("string"))).alias("class"), *[F.col(c).alias(k) for c, k in names.items()])
     kept = keyed.join(heads, ["number", "class"], "left_semi").dropDuplicates(["number", "class"])
