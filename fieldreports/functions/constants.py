@@ -29,11 +29,12 @@ IMPACT_ORDER = ("4.5-9 Hrs (Half Day)", "9 Hrs (Full Day)", "No Check-Out (LOP)"
 # it is not in IMPACT_ORDER, so it sorts after the preset bands.
 BELOW_HALF_DAY = "Below 4.5 Hrs"
 
+# Single categories that rules refer to.
 NOT_MARKED = "Not Marked"
 NOT_CHECKED_IN = "Not Check in"
 NO_CHECK_OUT = "No Check-Out (LOP)"
 
-# The "disabled" sentinel for single-select filters.
+# Fixed value: the "disabled" sentinel for single-select filters.
 ALL = "All"
 
 # What counts as an image link in a table cell (either pattern,
@@ -46,5 +47,10 @@ PICTURE_PREFIX = "http"
 EXPORT_ALL_REGIONS = "All_Regions"
 EXPORT_INFIX = "_Dashboard_"
 
+# The attributes of a profile card, in display order, and the bar
+# widget that shows day counts once an id is entered.
+PROFILE_ATTRIBUTES = ("Employee ID", "User ID", "Gender", "Region", "Type", "ASE", "ZSE")
+ATTENDANCE_TREND_WIDGET_ID = 3
+
 # Rank given to categories outside a preset order (they sort last).
 UNKNOWN_RANK = 1000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # A two-digit year is read by the JVM formatter into 2000-2099.  The source
 # database reads it into the century nearest 2020: 70-99 -> 1970-1999 and
 # 00-69 -> 2000-2069.  Years parsed at or beyond this pivot move back 100 years.
-_CENTURY_PIVOT = 2070
+CENTURY_PIVOT = 2070
 
 
 def parse_dd_mon_yy(c: Column | str) -> Column:
@@ -17,7 +17,7 @@ def parse_dd_mon_yy(c: Column | str) -> Column:
     Junk and blank text give NULL (the row then fails any range test).
     """
     d = F.try_to_date(F.col(c) if isinstance(c, str) else c, "d-MMM-yy")
-    return F.when(F.year(d) >= _CENTURY_PIVOT, F.add_months(d, -1200)).otherwise(d)
+    return F.when(F.year(d) >= CENTURY_PIVOT, F.add_months(d, -1200)).otherwise(d)
 
 
 def iso_day(c: Column | str) -> Column:

@@ -4,8 +4,8 @@ The canonical facet output is long: one ``(facet, value)`` row per distinct
 option, computed in a single scan with one shuffle (partial distinct on the
 map side, final distinct after a hash exchange).  It never funnels the values
 of a facet into one task, so it scales to unbounded domains such as user ids.
-The wide ``facets_wide`` form (one array per facet) is for small domains only
-and is guarded by an explicit size check.
+The wide ``facets_wide`` form (one array per facet) is for the dimension facets;
+id lists grow with the data and are read from the long form.
 """
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ def dimension_list(fact: DataFrame, dim: str, alias: str | None = None) -> DataF
     """Distinct non-null options of one dimension, sorted (one column)."""
     col, keep_blank = DIMENSIONS[dim]
     out = alias or dim
-    v = _option(col, keep_blank)
-    return fact.select(v.alias(out)).where(F.col(out).isNotNull()).distinct().orderBy(out)
+    c = F.col(col)
+    rows = fact.where(c.isNotNull() if keep_blank else c != "")  # plain predicates reach the scan
+    return rows.select(c.alias(out)).distinct().orderBy(out)
 
 
 def zse_ase_pairs(fact: DataFrame) -> DataFrame:
@@ -137,18 +138,20 @@ def facet_sizes(long: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.agg(*[F.count(F.when(facet == n, 1)).cast("long").alias(f"n_{n}") for n in names])
 
 
-def facets_wide(long: DataFrame, names: Sequence[str], max_values: int = 10_000) -> DataFrame:
-    """One row of sorted option arrays (empty array for an empty facet).
+def facets_wide(long: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row of sorted option arrays (empty array for an empty facet), for
+    facets whose values are dimension members.
 
-    Gathering a facet into one array puts all its values in one task, so the
-    sizes are checked first and the call fails loudly beyond ``max_values``;
-    use the long form for unbounded facets.
+    An array is one value of one row, so it suits dimensions (regions, types,
+    channels, teams) and not ids: facets that are not named here are filtered
+    out before anything is gathered.
     """
-    sizes = facet_sizes(long, names).first()
-    too_big = {k: v for k, v in sizes.asDict().items() if v > max_values}
-    if too_big:
-        raise ValueError(f"facets too large for the wide form (max {max_values}): {too_big}")
-    wide = long.groupBy().pivot("facet", list(names)).agg(F.sort_array(F.collect_list("value")))
+    wide = long.where(F.col("facet").isin(list(names))).groupBy().pivot("facet", list(names)).agg(F.sort_array(F.collect_list("value")))
     return wide.select(
         *[F.coalesce(F.col(n), F.array().cast("array<string>")).alias(n) for n in names]
     )
+
+
+def option_lists(long: DataFrame) -> DataFrame:
+    """The long facets in display order: facet by facet, values sorted."""
+    return long.orderBy("facet", "value")

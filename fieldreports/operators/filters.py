@@ -117,10 +117,21 @@ class _Spec:
     def apply(self, df: DataFrame, honours: Iterable[str] | None = None) -> DataFrame:
         return df.filter(self.predicate(honours, set(df.columns)))
 
+    def values(self) -> dict:
+        """The selected values by name, normalised, None where a filter is off
+        (what named markers in stored SQL are bound to)."""
+        raise NotImplementedError
+
     def is_empty(self) -> bool:
         return not self.slots()
 
 
+def days_between(first: str | dt.date, last: str | dt.date) -> list[dt.date]:
+    """The days of a date range, both ends included."""
+    a, b = _day(first), _day(last)
+    return [a + dt.timedelta(days=i) for i in range((b - a).days + 1)]
+
+
 @dataclass(frozen=True)
 class AttendanceFilter(_Spec):
     """Filter of the attendance dashboard (eight slots)."""
@@ -155,6 +166,19 @@ class AttendanceFilter(_Spec):
     def user_term(self) -> str | None:
         return _search(self.user_id)
 
+    def values(self) -> dict:
+        return {
+            "region": _single(self.region, strip=False),
+            "type": list(_multi(self.types, lower=True)) or None,
+            "channel": list(_multi(self.channels)) or None,
+            "ase": _single(self.ase, strip=True),
+            "zse": _single(self.zse, strip=True),
+            "atype": list(_multi(self.atypes)) or None,
+            "date_from": _day(self.date_from),
+            "date_to": _day(self.date_to),
+            "user": self.user_term(),
+        }
+
     def slots(self, columns: set[str] | None = None) -> dict[str, Column]:
         out: dict[str, Column] = {}
         region = _single(self.region, strip=False)
@@ -214,6 +238,19 @@ class VisitFilter(_Spec):
             user_id=_getone(params, "user_id"),
         )
 
+    def values(self) -> dict:
+        return {
+            "region": _single(self.region, strip=False),
+            "zse": _single(self.zse, strip=True),
+            "ase": _single(self.ase, strip=True),
+            "channel": list(_multi(self.channels)) or None,
+            "tier": list(_multi(self.tiers)) or None,
+            "date": self.date.strip() if self.date else None,
+            "date_from": _day(self.date_from),
+            "date_to": _day(self.date_to),
+            "user": _search(self.user_id),
+        }
+
     def slots(self, columns: set[str] | None = None) -> dict[str, Column]:
         out: dict[str, Column] = {}
         region = _single(self.region, strip=False)

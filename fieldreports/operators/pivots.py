@@ -6,8 +6,8 @@ work; the shuffle carries at most one row per key per task.  Everything after
 that (totals, percentages, ordinals) runs on the small cell frame.
 
 A missing cell is 0 in totals and blank on display, so the long form stays
-sparse; ``dense_grid`` / ``to_wide`` fill the grid for display over an explicit,
-size-checked list of column keys (no cross join).
+sparse; ``dense_grid`` fills it over the keys that occur, ``to_wide`` makes one
+column for each listed key (no cross join).
 """
 
 from __future__ import annotations
@@ -24,15 +24,6 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def cell_counts(df: DataFrame, row: Column | str, col: Column | str, row_name: str, col_name: str) -> DataFrame:
-    """``(row_name, col_name, cnt)``: row count per cell."""
-    return (
-        df.select(_c(row).alias(row_name), _c(col).alias(col_name))
-        .groupBy(row_name, col_name)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-
-
 def with_col_totals(cells: DataFrame, col_name: str, value: str = "cnt", out: str = "col_total") -> DataFrame:
     """Adds each column key's total (the pivot's Total row) to its cells."""
     return cells.withColumn(out, F.sum(value).over(Window.partitionBy(col_name)).cast("long"))
@@ -47,60 +38,38 @@ def percent_of_partition(cells: DataFrame, part: str, value: str = "cnt", total:
     return cells.withColumn(out, pct_int(value, total))
 
 
-def crosstab(df: DataFrame, row: Column | str, col: Column | str, row_name: str, col_name: str) -> DataFrame:
-    """Cells plus row totals, column totals and the grand total.
-
-    The base rows are first aggregated to cells; the cube then runs over the
-    small cell frame, so its 4x expansion never touches the fact rows.
-    ``g_<row>``/``g_<col>`` flag total rows, which keeps a NULL key distinct
-    from a total.
-    """
-    cells = cell_counts(df, row, col, row_name, col_name)
-    return cells.cube(row_name, col_name).agg(
-        F.sum("cnt").cast("long").alias("cnt"),
-        F.grouping(row_name).cast("long").alias(f"g_{row_name}"),
-        F.grouping(col_name).cast("long").alias(f"g_{col_name}"),
-    )
-
-
-def bounded_values(df: DataFrame, col: str, max_values: int) -> list:
-    """Sorted distinct values of ``col``; raises if there are more than
-    ``max_values`` (they become plan literals, so their number must be bounded)."""
-    rows = df.select(col).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} distinct values in {col!r}")
-    return sorted((r[0] for r in rows), key=lambda v: (v is None, v if v is not None else 0))
-
-
 def to_wide(
     cells: DataFrame, row: str, col: str, values: Sequence, value: str = "cnt", fill: int | None = 0
 ) -> DataFrame:
-    """Wide pivot over an explicit list of column keys; missing cells -> ``fill``."""
-    wide = cells.groupBy(row).pivot(col, list(values)).agg(F.sum(value))
+    """Wide pivot over an explicit list of column keys (say, the days of the
+    filter's range); missing cells -> ``fill``.  A key that is not listed is an
+    error when the report runs, never a lost cell."""
+    listed = F.when(F.col(col).isin(list(values)), F.col(col)).otherwise(
+        F.raise_error(F.concat(F.lit("column key not listed: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))
+    )
+    wide = cells.withColumn(col, listed).groupBy(row).pivot(col, list(values)).agg(F.sum(value))
     if fill is None:
         return wide
     names = [c for c in wide.columns if c != row]
     return wide.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit(fill)).cast("long").alias(n) for n in names])
 
 
-def dense_grid(cells: DataFrame, row: str, col: str, values: Sequence, value: str = "cnt") -> DataFrame:
-    """Every (row key x listed column key) with its count, 0 where absent.
+def dense_grid(cells: DataFrame, row: str, col: str, value: str = "cnt") -> DataFrame:
+    """Every row key with every column key that occurs, 0 where a cell is absent.
 
-    Pivot then unpivot: one aggregation over the small cell frame, no cross
-    join; the grid is bounded by the explicit ``values`` list.
+    Lazy: the column keys are one array from a scalar subquery over the cell
+    frame, each row key explodes it, and the cells join back.  All of it runs
+    on the small cell frame, whose exchange is reused, so the fact is scanned
+    once; no job runs before the action and there is no cross join.
     """
-    values = list(values)
-    wide = cells.groupBy(row).pivot(col, values).agg(F.sum(value))
-    names = [c for c in wide.columns if c != row]
-    stacked = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(v).alias(col), F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias(value))
-                for v, n in zip(values, names)
-            ]
-        )
-    )
-    return wide.select(row, stacked)
+    # A condition on the value that always holds: without it the optimizer would
+    # compute the key lists by aggregates of their own, with scans of their own.
+    cells = cells.where(F.col(value).isNull() | (F.col(value) > F.lit(-(2**63))))
+    keys = cells.agg(F.array_sort(F.collect_set(col))).scalar()
+    grid = cells.select(row).distinct().withColumn(col, F.explode(keys))
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (row, col)]
+    joined = grid.alias("g").join(cells.alias("c"), same[0] & same[1], "left")
+    return joined.select(F.col(f"g.{row}").alias(row), F.col(f"g.{col}").alias(col), F.coalesce(F.col(f"c.{value}"), F.lit(0)).cast("long").alias(value))
 
 
 def dedupe_last(df: DataFrame, row: str, col: str, seq: str, value: str = "cnt") -> DataFrame:
@@ -163,12 +132,20 @@ def pivot_long(
     return out.select(*cols)
 
 
-def display_order(df: DataFrame, row: str, col: str | None = None, ordinal: str = "ordinal") -> DataFrame:
-    """Presentation order of a long pivot: preset categories by their rank,
-    unlisted ones after them alphabetically, then the column key as text."""
+def display_order(df: DataFrame, row: str, col: str | None = None, ordinal: str = "ordinal", preset: Sequence[str] | None = None) -> DataFrame:
+    """Presentation order of a long pivot: preset categories by their rank
+    (``ordinal``, or computed from ``preset``), unlisted ones after them
+    alphabetically, then the column key as text; total rows come last."""
+    from fieldreports.functions.bands import ordinal_of
     from fieldreports.functions.constants import UNKNOWN_RANK
 
-    keys = [F.coalesce(F.col(ordinal), F.lit(UNKNOWN_RANK)), F.col(row)] if ordinal in df.columns else [F.col(row)]
+    keys = [F.col(f"g_{row}")] if f"g_{row}" in df.columns else []
+    if ordinal in df.columns:
+        keys.append(F.coalesce(F.col(ordinal), F.lit(UNKNOWN_RANK)))
+    elif preset is not None:
+        keys.append(F.coalesce(ordinal_of(row, preset), F.lit(UNKNOWN_RANK)))
+    keys.append(F.col(row))
     if col is not None:
+        keys += [F.col(f"g_{col}")] if f"g_{col}" in df.columns else []
         keys.append(F.col(col))
     return df.orderBy(*keys)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldreports.functions.dates import axis_date, cell_date
-from fieldreports.functions.numeric import pct_tenths
+from fieldreports.functions.constants import PROFILE_ATTRIBUTES
+from fieldreports.functions.dates import axis_date, cell_date, iso_day
+from fieldreports.functions.numeric import measure, number_text, pct_tenths
 from fieldreports.functions.text import first_letter, usable_picture
 
 
@@ -53,6 +54,37 @@ def resolve_roles(schema: T.StructType) -> Roles:
     return Roles(label, value, date)
 
 
+@dataclass(frozen=True)
+class TopRoles:
+    group: str
+    item: str
+    value: str
+
+
+def resolve_top_roles(schema: T.StructType) -> TopRoles:
+    """Group: first name with /region/i, else the first.  Item: first with
+    /ase/i, else the second.  Value: the first other one, else the third."""
+    names = [f.name for f in schema.fields]
+    if len(names) < 3:
+        raise ValueError("a top-N report needs a group, an item and a measure")
+    group = next((n for n in names if re.search("region", n, re.I)), names[0])
+    item = next((n for n in names if re.search("ase", n, re.I)), names[1])
+    return TopRoles(group, item, next((n for n in names if n not in (group, item)), names[2]))
+
+
+def has_order(df: DataFrame) -> bool:
+    """Does the frame itself end in a sort (so that it has a first row)?"""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "GlobalLimit", "LocalLimit", "View"):
+        node = node.children().apply(0)
+    return node.nodeName() == "Sort"
+
+
+def first_row(df: DataFrame, *order) -> DataFrame:
+    """The first row as returned; of a frame without an order, by ``order``."""
+    return (df if has_order(df) else df.orderBy(*order)).limit(1)
+
+
 # ---------------------------------------------------------------- charts
 
 def pie_share(df: DataFrame, label: str | None = None, value: str | None = None) -> DataFrame:
@@ -62,11 +94,12 @@ def pie_share(df: DataFrame, label: str | None = None, value: str | None = None)
     roles = resolve_roles(df.schema)
     label = label or roles.label
     value = value or roles.value
-    v = F.coalesce(F.col(value), F.lit(0)).cast("long")
-    total = df.agg(F.sum(F.coalesce(F.col(value), F.lit(0)).cast("long"))).scalar()
-    tenths = pct_tenths(v, F.coalesce(total, F.lit(0)))
+    kind = df.schema[value].dataType
+    v = measure(F.col(f"`{value}`"), kind)
+    total = df.agg(F.sum(v)).scalar()
+    tenths = pct_tenths(v, F.coalesce(total, F.lit(0)), kind)
     return df.select(
-        F.col(label).cast("string").alias("label"),
+        F.col(f"`{label}`").cast("string").alias("label"),
         v.alias("value"),
         tenths.alias("pct_tenths"),
         (tenths >= 50).cast("long").alias("show_label"),
@@ -75,35 +108,45 @@ def pie_share(df: DataFrame, label: str | None = None, value: str | None = None)
 
 def bar_series(df: DataFrame, label: str | None = None, value: str | None = None) -> DataFrame:
     roles = resolve_roles(df.schema)
-    return df.select(F.col(label or roles.label).alias("label"), F.col(value or roles.value).alias("value"))
+    return df.select(F.col(f"`{label or roles.label}`").alias("label"), F.col(f"`{value or roles.value}`").alias("value"))
+
+
+_DAYS = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _axis_label(field: T.StructField) -> Column:
-    """Axis label of the x value: dates (and ISO date text) as ``d-Mon-yy``,
+    """Axis label of the x value: dates and ISO date-time text as ``d-Mon-yy``,
     anything else as its text."""
-    c = F.col(field.name)
-    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, _DAYS):
         return axis_date(c)
     s = c.cast("string")
-    return F.coalesce(F.when(s.rlike(_ISO_DAY), axis_date(F.try_to_timestamp(s))), s)
+    return F.coalesce(F.when(s.rlike(_ISO_TIME), axis_date(F.try_to_timestamp(s))), s)
 
 
 def line_series(df: DataFrame, x: str | None = None) -> DataFrame:
     """``(x, axis, series, value)``: every numeric column other than x is a
-    series; ``axis`` is the display label of x."""
+    series with its own values; ``axis`` is the display label of x, a day as x
+    is its ISO text."""
     x = x or resolve_roles(df.schema).date
-    series = [f.name for f in df.schema.fields if f.name != x and is_numeric(f)]
+    fields = {f.name: f for f in df.schema.fields}
+    series = [n for n, f in fields.items() if n != x and is_numeric(f)]
     if not series:
         raise ValueError("no numeric series column")
-    xf = next(f for f in df.schema.fields if f.name == x)
-    cast = df.select(F.col(x).alias("x"), _axis_label(xf).alias("axis"), *[F.col(s).cast("long").alias(s) for s in series])
-    return cast.unpivot(["x", "axis"], series, "series", "value")
+    key = F.col(f"`{x}`")
+    own = lambda n: F.col(f"`{n}`").cast("long") if isinstance(fields[n].dataType, T.IntegralType) else F.col(f"`{n}`")
+    cast = df.select(
+        (iso_day(key) if isinstance(fields[x].dataType, T.DateType) else key).alias("x"),
+        _axis_label(fields[x]).alias("axis"),
+        *[own(n).alias(n) for n in series],
+    )
+    return cast.unpivot(["x", "axis"], [F.col(f"`{n}`") for n in series], "series", "value")
 
 
 def display_number(field: T.StructField) -> Column:
     """Number as locale text: thousands separators, at most three decimals,
     no trailing zeros (``45000`` -> ``45,000``, ``1.5`` -> ``1.5``)."""
-    c = F.col(field.name)
+    c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.IntegralType):
         return F.format_number(c, 0)
     three = F.format_number(c.cast("double"), 3)
@@ -114,15 +157,15 @@ def kpi_cards(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """``(label, value)`` for every column of the first row; numbers as locale
     text with thousands separators, NULL shows as '—'.
 
-    The first row is taken after an explicit total order (all columns unless
-    given), so it is deterministic.
+    The first row is the first one returned; a frame without an order of its
+    own is put in one first (all columns unless given).
     """
     cols = df.columns
-    first = df.orderBy(*(order_by or cols)).limit(1)
+    first = first_row(df, *(order_by or [F.col(f"`{c}`") for c in cols]))
     as_text = first.select(
-        *[(display_number(f) if is_numeric(f) else F.col(f.name).cast("string")).alias(f.name) for f in df.schema.fields]
+        *[(display_number(f) if is_numeric(f) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema.fields]
     )
-    return as_text.unpivot([], cols, "label", "value").select(
+    return as_text.unpivot([], [F.col(f"`{c}`") for c in cols], "label", "value").select(
         "label", F.coalesce(F.col("value"), F.lit("—")).alias("value")
     )
 
@@ -130,18 +173,19 @@ def kpi_cards(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 _ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
+_ISO_TIME = _ISO_DAY + "T"
 
 
 def _cell_text_a(field: T.StructField) -> Column:
-    c = F.col(field.name)
+    c = F.col(f"`{field.name}`")
     dtp = field.dataType
-    if isinstance(dtp, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtp, _DAYS):
         return F.coalesce(cell_date(c), F.lit(""))
     if isinstance(dtp, T.BooleanType):
         return F.when(c, F.lit("true")).otherwise(F.lit(""))
     if isinstance(dtp, T.NumericType):
         bad = c.isNull() | F.isnan(c.cast("double"))
-        return F.when(bad, F.lit("")).otherwise(c.cast("string"))
+        return F.when(bad, F.lit("")).otherwise(number_text(c, dtp))
     s = c.cast("string")
     dated = F.when(s.rlike(_ISO_DAY), cell_date(F.try_to_timestamp(s)))
     return F.when(s.isNull() | (s == ""), F.lit("")).otherwise(F.coalesce(dated, s))
@@ -156,20 +200,21 @@ def table_cells(df: DataFrame, style: str = "attendance") -> DataFrame:
     if style == "attendance":
         return df.select(*[_cell_text_a(f).alias(f.name) for f in df.schema.fields])
     if style == "field":
-        return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+        text = lambda f: number_text(F.col(f"`{f.name}`"), f.dataType) if is_numeric(f) else F.col(f"`{f.name}`").cast("string")
+        return df.select(*[F.coalesce(text(f), F.lit("")).alias(f.name) for f in df.schema.fields])
     raise ValueError(f"unknown table style {style!r}")
 
 
 # ---------------------------------------------------------------- employee
 
-PROFILE_ATTRIBUTES = ("Employee ID", "User ID", "Gender", "Region", "Type", "ASE", "ZSE")
-
-
-def profile_card(rows: DataFrame, order_by: list[Column]) -> DataFrame:
-    """One profile: first row by ``order_by``; the picture is usable when it is
-    present, not 'NA' and starts with http; otherwise the initial is shown.
-    Attributes are listed as ``(attribute, value)`` with blanks omitted."""
-    first = rows.orderBy(*order_by).limit(1)
+def profile_card(rows: DataFrame, order_by: list[Column] | None = None) -> DataFrame:
+    """One profile: the first row returned (of a frame without an order: by
+    ``order_by``, else the newest day where there is one, then the user id);
+    the picture is usable when it is present, not 'NA' and starts with http;
+    otherwise the initial is shown.  A blank name shows as '-'.  Attributes are
+    listed as ``(attribute, value)`` with blanks omitted."""
+    newest = [F.col("Date").desc()] if "Date" in rows.columns else []
+    first = first_row(rows, *(order_by or [*newest, F.col("`User ID`").asc()]))
     pic = F.col("`Profile Picture`")
     has_pic = usable_picture(pic)
     name = F.col("`Employee Name`")
@@ -178,7 +223,7 @@ def profile_card(rows: DataFrame, order_by: list[Column]) -> DataFrame:
     )
     return (
         first.select(
-            F.coalesce(name, F.lit("-")).alias("name"),
+            F.when(name != "", name).otherwise(F.lit("-")).alias("name"),
             F.when(has_pic, pic).alias("picture"),
             F.when(has_pic, F.lit(None).cast("string")).otherwise(first_letter(name)).alias("initial"),
             F.inline(attrs),
@@ -191,25 +236,30 @@ def attendance_summary(df: DataFrame, type_col: str = "Attendance Type", days_co
     """``(attendance_type, days, unit)``: blank types and NULL day counts are
     dropped, 0 is kept; unit is 'day' for exactly one, else 'days'."""
     t, d = F.col(f"`{type_col}`"), F.col(f"`{days_col}`")
+    whole = isinstance(df.schema[days_col].dataType, T.IntegralType)
     return df.where(t.isNotNull() & (t != "") & d.isNotNull()).select(
         t.alias("attendance_type"),
-        d.cast("long").alias("days"),
+        (d.cast("long") if whole else d).alias("days"),
         F.when(d == 1, F.lit("day")).otherwise(F.lit("days")).alias("unit"),
     )
 
 
 # ---------------------------------------------------------------- top-N
 
-def top_n_per_group(df: DataFrame, group: str, item: str, measure: str, n: int = 10) -> DataFrame:
-    """``(group, rank, item, value)``: the n largest measures per group
-    (NULL measure counts 0; ties broken by item).  Spark plans this as a
-    partial WindowGroupLimit before the shuffle, so each map task forwards at
-    most n rows per group."""
-    v = F.coalesce(F.col(measure), F.lit(0)).cast("long")
-    w = Window.partitionBy(group).orderBy(F.col("value").desc(), F.col(item).asc())
+def top_n_per_group(df: DataFrame, group: str | None = None, item: str | None = None, value: str | None = None, n: int = 10) -> DataFrame:
+    """``(group, rank, item, value)``: the n largest measures per group, in
+    their own type (NULL counts 0; ties broken by item).  Columns that are not
+    named come from :func:`resolve_top_roles`.  Spark plans this as a partial
+    WindowGroupLimit before the shuffle, so each map task forwards at most n
+    rows per group."""
+    if None in (group, item, value):
+        roles = resolve_top_roles(df.schema)
+        group, item, value = group or roles.group, item or roles.item, value or roles.value
+    v = measure(F.col(f"`{value}`"), df.schema[value].dataType)
+    w = Window.partitionBy(f"`{group}`").orderBy(F.col("value").desc(), F.col(f"`{item}`").asc())
     return (
-        df.select(group, item, v.alias("value"))
+        df.select(f"`{group}`", f"`{item}`", v.alias("value"))
         .withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= n)
-        .select(group, "rank", item, "value")
+        .select(f"`{group}`", "rank", f"`{item}`", "value")
     )

@@ -1,50 +1,68 @@
 """One call per data endpoint of the dashboards, returning plain Python data.
 
-Each is a Spark job over the (filtered) fact followed by a size-guarded sink:
-only small report tables are brought to the driver, and every call raises
-instead of pulling an unexpectedly large result.
+Each is a Spark job over the (filtered) fact.  Dimension lists and aggregated
+reports come back whole; results that grow with the fact (detail tables) come
+back as :class:`~fieldreports.plans.sinks.Pages`, read page by page.  No call
+has a row limit.
+
+``widgets`` is a tuple of widgets for dashboards whose catalog is stored (see
+``registry.widgets_from_catalog``); the built-in set is used otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
 
 from fieldreports.operators import facets as FC
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter
 from fieldreports.plans import registry
-from fieldreports.plans.sinks import column_list, payload
-
-DIM_COLUMNS = {"region": "region", "type": "type", "channel": "channel", "ase": "ase", "zse": "zse", "atype": "atype"}
+from fieldreports.plans.sinks import Pages, column_list, pages, payload
 
 
-def widgets(spark: SparkSession, dashboard: str) -> list[dict]:
+def widgets(dashboard: str, widgets: Iterable[registry.Widget] | None = None) -> list[dict]:
     """Active widgets in display order: id, widget_name, chart_type, display_order."""
-    return [r.asDict() for r in registry.catalog(spark, dashboard).collect()]
+    return [registry.entry_of(w) for w in registry.active(dashboard, widgets)]
 
 
-def dimension_values(fact: DataFrame, dim: str, max_values: int = 100_000) -> list:
+def dimension_values(fact: DataFrame, dim: str) -> list:
     """Sorted distinct options of one attendance dimension."""
-    return column_list(FC.dimension_list(fact, dim, DIM_COLUMNS[dim]), DIM_COLUMNS[dim], max_values)
+    return column_list(FC.dimension_list(fact, dim), dim)
 
 
-def zse_ase_map(fact: DataFrame, max_rows: int = 100_000) -> list[dict]:
+def zse_ase_map(fact: DataFrame) -> list[dict]:
     """Sorted distinct (zse, ase) pairs as records."""
-    return payload(FC.zse_ase_pairs(fact), max_rows)["rows"]
+    return payload(FC.zse_ase_pairs(fact))["rows"]
+
+
+def filter_options(fact: DataFrame, spec: AttendanceFilter | VisitFilter) -> dict[str, list]:
+    """The seven option lists under the filter (an empty list for an empty facet).
+
+    One pass over the fact; the sorted options are read one partition at a time
+    and grouped here, so no task gathers a whole list."""
+    facets = FC.VISIT_FACETS if isinstance(spec, VisitFilter) else FC.ATTENDANCE_FACETS
+    out: dict[str, list] = {f.name: [] for f in facets}
+    for row in FC.option_lists(FC.facets_long(fact, spec)).toLocalIterator():
+        out[row["facet"]].append(row["value"])
+    return out
 
 
-def filter_options(fact: DataFrame, spec: AttendanceFilter | VisitFilter, max_values: int = 100_000) -> dict[str, list]:
-    """The seven option lists under the filter (an empty list for an empty facet)."""
-    names = [f.name for f in (FC.VISIT_FACETS if isinstance(spec, VisitFilter) else FC.ATTENDANCE_FACETS)]
-    long = FC.facets_long(fact, spec)
-    return FC.facets_wide(long, names, max_values).first().asDict()
+def _result(df: DataFrame, paged: bool) -> dict | Pages:
+    return pages(df) if paged else payload(df)
 
 
-def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, max_rows: int = 100_000) -> dict:
-    """``{columns, rows}`` of a widget's result (first stage); ``KeyError`` if
-    the widget is absent or inactive."""
-    return payload(registry.widget_data(fact, spec, dashboard, widget_id), max_rows)
+def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None) -> dict | Pages:
+    """``{columns, rows}`` of a widget's result (first stage), pages for detail
+    widgets; ``KeyError`` if the widget is absent or inactive."""
+    w = registry.lookup(dashboard, widget_id, widgets)
+    return _result(registry.widget_data(fact, spec, dashboard, widget_id, widgets), w.is_detail)
 
 
-def widget_report(fact: DataFrame, spec, dashboard: str, widget_id: int, max_rows: int = 100_000) -> dict:
-    """``{columns, rows}`` of a widget's finished report (both stages)."""
-    return payload(registry.report(fact, spec, dashboard, widget_id), max_rows)
+def widget_report(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None) -> dict | Pages:
+    """``{columns, rows}`` of a widget's finished report (both stages); with
+    ``summary`` (rows of day counts) where the report has one."""
+    w = registry.lookup(dashboard, widget_id, widgets)
+    out = _result(registry.report(fact, spec, dashboard, widget_id, widgets), w.is_detail)
+    extra = registry.summary(fact, spec, dashboard, widget_id, widgets)
+    return out if extra is None else out | {"summary": payload(extra)["rows"]}

@@ -5,19 +5,21 @@ lazy DataFrame, all planned over the same fact handle.  Each report is its own
 small job; nothing is collected here.  When the caller will act on several
 reports and the filtered rows are known to be small, ``persist_base=True``
 caches the filtered fact once (it is a plain DataFrame cache that Spark
-recomputes from lineage if an executor is lost).
+recomputes from lineage if an executor is lost); ``DashboardRun.close`` (or
+leaving its ``with`` block) releases it.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employee_gate
+from fieldreports.operators.filters import AttendanceFilter, VisitFilter
 from fieldreports.plans import registry
+from fieldreports.plans.sinks import Pages, pages
 
 
 @dataclass
@@ -25,6 +27,21 @@ class DashboardRun:
     catalog: list[dict]
     reports: dict[int, DataFrame]
     deferred: list[int]  # employee widgets waiting for an id search
+    summaries: dict[int, DataFrame] = field(default_factory=dict)  # day counts shown below a chart
+    details: frozenset[int] = frozenset()  # reports that grow with the fact
+    cached: DataFrame | None = None
+
+    def close(self) -> None:
+        """Release the cached fact, if there is one."""
+        if self.cached is not None:
+            self.cached.unpersist()
+            self.cached = None
+
+    def __enter__(self) -> "DashboardRun":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
 
 def run_dashboard(
@@ -37,32 +54,29 @@ def run_dashboard(
     """Reports of every active widget (the built-in set, or ``widgets``, e.g.
     from ``registry.widgets_from_catalog``), rendered per the dashboard's
     chart-type rules."""
-    source = widgets if widgets is not None else registry.DASHBOARDS[dashboard]
-    widgets = sorted((w for w in source if w.is_active is True), key=lambda w: (w.display_order, w.id))
-    base_all = spec.apply(fact)
+    shown = registry.active(dashboard, widgets)
+    base = spec.apply(fact)
+    run = DashboardRun([registry.entry_of(w) for w in shown], {}, [], details=frozenset(w.id for w in shown if w.is_detail))
     if persist_base:
-        base_all = base_all.persist(StorageLevel.MEMORY_AND_DISK)
-    reports: dict[int, DataFrame] = {}
-    deferred: list[int] = []
-    for w in widgets:
-        if w.needs_user and isinstance(spec, AttendanceFilter) and spec.user_term() is None:
-            deferred.append(w.id)
+        run.cached = base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    for w in shown:
+        if w.needs_user and not registry.has_user(spec):
+            run.deferred.append(w.id)
             continue
-        base = base_all if w.honours is None else spec.apply(fact, w.honours)
-        if w.needs_user:
-            base = base.where(employee_gate(spec))
-        reports[w.id] = registry.render(dashboard, w.chart_type, w.frame(base))
-    catalog = [
-        {"id": w.id, "widget_name": w.name, "chart_type": w.chart_type, "display_order": w.display_order}
-        for w in widgets
-    ]
-    return DashboardRun(catalog, reports, deferred)
+        frame = registry.frame_of(w, fact, spec, base)
+        run.reports[w.id] = registry.render(dashboard, w.chart_type, frame)
+        if registry.shows_summary(w, spec, dashboard):
+            run.summaries[w.id] = registry.reports.attendance_summary(frame)
+    return run
 
 
-def collect_all(run: DashboardRun, threads: int = 8) -> dict[int, list]:
-    """Collect every report of a run, submitting the jobs from several driver
-    threads so Spark schedules them concurrently (as a browser fetches all
-    widgets at once).  Each result is a small report table."""
+def collect_all(run: DashboardRun, threads: int = 8) -> dict[int, list | Pages]:
+    """Collect the aggregated reports of a run, submitting the jobs from several
+    driver threads so Spark schedules them concurrently (as a browser fetches
+    all widgets at once).  Their rows are categories and days.  Detail reports
+    grow with the fact and are returned as pages, not collected."""
+    small = {wid: df for wid, df in run.reports.items() if wid not in run.details}
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        futures = {wid: pool.submit(df.collect) for wid, df in run.reports.items()}
-        return {wid: f.result() for wid, f in futures.items()}
+        futures = {wid: pool.submit(df.collect) for wid, df in small.items()}
+        out: dict[int, list | Pages] = {wid: f.result() for wid, f in futures.items()}
+    return out | {wid: pages(df) for wid, df in run.reports.items() if wid in run.details}

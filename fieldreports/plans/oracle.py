@@ -1,16 +1,32 @@
 """Oracle SQL (DuckDB dialect) for every registered query with an SQL form.
 
 Written independently of the Spark code: the two fact views are derived from
-the driver tables with plain SQL, and each query restates its filter by hand.
-All integer outputs are BIGINT and day keys are ``yyyy-MM-dd`` text on both
-sides so results compare exactly.
+the driver tables with plain SQL, each query restates its filter by hand, and
+labels, orders and edges are stated here again rather than imported, so a wrong
+one in the package shows.  All integer outputs are BIGINT and day keys are
+``yyyy-MM-dd`` text on both sides so results compare exactly.
 """
 
 from __future__ import annotations
 
-from fieldreports.functions.bands import workhour_labels
-from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
-from fieldreports.sources.fixtures import PICTURE_URL_PREFIX, WORKHOUR_EDGES
+import datetime as dt
+
+# Fixed values, restated: preset orders of categories.
+ATT_ORDER = (
+    "Present",
+    "Gate Meeting",
+    "Training",
+    "Half Day",
+    "Weekoff",
+    "Leave",
+    "Outlet Closed",
+    "Absent",
+    "Holiday",
+    "Not Marked",
+    "Other",
+)
+TIME_ORDER = ("Before 10 AM", "10 AM To 12 Noon", "12 Noon To 2 PM", "After 2 PM", "Not Check in")
+PAY_ORDER = ("4.5-9 Hrs (Half Day)", "9 Hrs (Full Day)", "No Check-Out (LOP)", "Not Check in")
 
 
 def _rank_case(col: str, order) -> str:
@@ -18,13 +34,7 @@ def _rank_case(col: str, order) -> str:
     return f"CAST(CASE {whens} END AS BIGINT)"
 
 
-def _workhour_case(x: str) -> str:
-    labels = workhour_labels(WORKHOUR_EDGES)
-    whens = " ".join(f"WHEN {x} < {e} THEN '{lab}'" for e, lab in zip(WORKHOUR_EDGES, labels))
-    return f"CASE WHEN {x} IS NULL THEN NULL {whens} ELSE '{labels[-1]}' END"
-
-
-ATT_CTE = f"""
+ATT_CTE = """
 ev AS (SELECT user_id, CAST(ts AS DATE) AS d, ts, event_type FROM events),
 daily AS (
   SELECT user_id, d, min(event_type) AS first_type, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events
@@ -55,7 +65,7 @@ att_raw AS (
     'E' || CAST(ro.user_id AS VARCHAR) AS employee_id,
     CASE WHEN ro.user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
     CASE WHEN ro.user_id % 3 = 0 THEN 'NA' WHEN ro.user_id % 3 = 1 THEN NULL
-         ELSE '{PICTURE_URL_PREFIX}' || CAST(ro.user_id AS VARCHAR) || '.png' END AS profile_picture
+         ELSE 'http://images.example.org/' || CAST(ro.user_id AS VARCHAR) || '.png' END AS profile_picture
   FROM roster ro CROSS JOIN days dd
   LEFT JOIN daily dl ON dl.user_id = ro.user_id AND dl.d = dd.d),
 att AS (
@@ -68,7 +78,7 @@ att AS (
   FROM att_raw)
 """
 
-VIS_CTE = f"""
+VIS_CTE = """
 vis_raw AS (
   SELECT r.r_name AS region, n.n_name || ' ' AS zse, ' ' || s.s_name AS ase,
     CASE WHEN l.l_partkey % 23 = 0 THEN NULL WHEN l.l_partkey % 31 = 0 THEN '' ELSE p.p_type || ' ' END AS channel,
@@ -78,7 +88,8 @@ vis_raw AS (
     CAST(trunc(l.l_quantity) AS INTEGER) AS qty,
     l.l_linestatus AS location_in,
     l.l_returnflag AS location_out,
-    {_workhour_case("l.l_quantity / 5.0")} AS workhour
+    CASE WHEN l.l_quantity IS NULL THEN NULL WHEN l.l_quantity / 5.0 < 4 THEN 'Below 4 Hrs' WHEN l.l_quantity / 5.0 < 6 THEN '4-6 Hrs'
+         WHEN l.l_quantity / 5.0 < 8 THEN '6-8 Hrs' ELSE '8 Hrs & Above' END AS workhour
   FROM lineitem l
   JOIN supplier s ON s.s_suppkey = l.l_suppkey
   JOIN nation n ON n.n_nationkey = s.s_nationkey
@@ -165,19 +176,17 @@ SELECT {row}{rank}, date{hdr}, cnt, CAST(sum(cnt) OVER (PARTITION BY date) AS BI
 
 
 def _timing_case() -> str:
-    b10, b12, b14, after, none = TIMING_ORDER
     return (
-        f"CASE WHEN check_in IS NULL THEN '{none}' WHEN hour(check_in) < 10 THEN '{b10}' "
-        f"WHEN hour(check_in) < 12 THEN '{b12}' WHEN hour(check_in) < 14 THEN '{b14}' ELSE '{after}' END"
+        "CASE WHEN check_in IS NULL THEN 'Not Check in' WHEN hour(check_in) < 10 THEN 'Before 10 AM' "
+        "WHEN hour(check_in) < 12 THEN '10 AM To 12 Noon' WHEN hour(check_in) < 14 THEN '12 Noon To 2 PM' ELSE 'After 2 PM' END"
     )
 
 
 def _impact_case() -> str:
-    half, full, no_out, none = IMPACT_ORDER
     span = "date_sub('microsecond', check_in, check_out)"
     return (
-        f"CASE WHEN check_in IS NULL THEN '{none}' WHEN check_out IS NULL THEN '{no_out}' "
-        f"WHEN {span} >= 32400000000 THEN '{full}' WHEN {span} * 2 >= 32400000000 THEN '{half}' "
+        "CASE WHEN check_in IS NULL THEN 'Not Check in' WHEN check_out IS NULL THEN 'No Check-Out (LOP)' "
+        f"WHEN {span} >= 32400000000 THEN '9 Hrs (Full Day)' WHEN {span} * 2 >= 32400000000 THEN '4.5-9 Hrs (Half Day)' "
         f"ELSE 'Below 4.5 Hrs' END"
     )
 
@@ -202,6 +211,14 @@ FROM w, t
 """
 
 
+JANUARY = [dt.date(2024, 1, i).isoformat() for i in range(1, 32)]
+
+
+def _array(col: str, keep_blank: bool, where: str) -> str:
+    cond = f"{col} IS NOT NULL" + ("" if keep_blank else f" AND {col} <> ''")
+    return f"(SELECT '[' || coalesce(string_agg(v, ',' ORDER BY v), '') || ']' FROM (SELECT DISTINCT {col} AS v FROM att WHERE {where} AND {cond}) s)"
+
+
 ORACLE: dict[str, str] = {
     "dim_regions": _dim("region", "region", True),
     "dim_types": _dim("type_key", "type", False),
@@ -252,6 +269,12 @@ ORACLE: dict[str, str] = {
         + ", ".join(f"CAST(count(*) FILTER (WHERE facet = '{n}') AS BIGINT) AS n_{n}" for n, _, _ in _A_FACETS)
         + " FROM f"
     ),
+    "facet_arrays": _a(
+        "SELECT "
+        + ", ".join(
+            f"{_array(col, keep, "trim(zse) = 'NATION_7' AND lower(trim(type)) IN ('')")} AS {name}" for name, col, keep in _A_FACETS if name != "user_ids"
+        )
+    ),
     "filter_region": _by_type("region = 'EUROPE'"),
     "filter_types_ci": _by_type("lower(trim(type)) IN ('promoter', '')"),
     "filter_channels": _by_type("trim(channel) IN ('AUTOMOBILE', 'HOUSEHOLD')"),
@@ -268,6 +291,8 @@ ORACLE: dict[str, str] = {
         "AND CAST(user_id AS VARCHAR) ILIKE '%1%'"
     ),
     "visits_filter_tier": _by_channel("trim(tier) IN ('Tier-R', 'Tier-A')"),
+    "visits_filter_zse": _by_channel("trim(zse) = 'NATION_5'"),
+    "visits_filter_ase": _by_channel("trim(ase) = 'Supplier#000000007'"),
     "visits_filter_text_date": _by_channel("trim(date_txt) = '15-Mar-97'"),
     "visits_filter_date_range": _by_channel("date_d >= DATE '1999-12-01' AND date_d <= DATE '2000-01-31'"),
     "visits_filter_user": _by_channel("ase_ho_id ILIKE '%ho1%'"),
@@ -279,7 +304,7 @@ ORACLE: dict[str, str] = {
         _pivot(
             "SELECT day AS date, atype_n AS attendance_type, count(*) AS cnt FROM att GROUP BY day, atype_n",
             "attendance_type",
-            ATTENDANCE_TYPE_ORDER,
+            ATT_ORDER,
             True,
         )
     ),
@@ -294,10 +319,9 @@ SELECT attendance_type, date, cnt, CAST(sum(cnt) OVER (PARTITION BY date) AS BIG
 """
     ),
     "pivot_attendance_wide": _a(
-        """
-, cells AS (SELECT day AS date, atype_n AS attendance_type, count(*) AS cnt FROM att GROUP BY day, atype_n)
-PIVOT cells ON date USING coalesce(CAST(sum(cnt) AS BIGINT), 0) GROUP BY attendance_type
-"""
+        "SELECT atype_n AS attendance_type, "
+        + ", ".join(f"count(*) FILTER (WHERE day = '{d}') AS \"{d}\"" for d in JANUARY)
+        + " FROM att WHERE attendance_date >= DATE '2024-01-01' AND attendance_date <= DATE '2024-01-31' GROUP BY atype_n"
     ),
     "crosstab_region": _a(
         """
@@ -311,16 +335,16 @@ FROM cells GROUP BY CUBE (attendance_type, region)
         _pivot(
             f"SELECT day AS date, {_timing_case()} AS timing, count(*) AS cnt FROM att GROUP BY ALL",
             "timing",
-            TIMING_ORDER,
-            False,
+            TIME_ORDER,
+            True,
         )
     ),
     "pivot_salary": _a(
         f"""
 , cells AS (SELECT day AS date, {_impact_case()} AS impact, count(*) AS cnt FROM att GROUP BY ALL),
-tot AS (SELECT impact, {_rank_case('impact', IMPACT_ORDER)} AS ordinal, date, cnt,
+tot AS (SELECT impact, {_rank_case('impact', PAY_ORDER)} AS ordinal, date, cnt,
                CAST(sum(cnt) OVER (PARTITION BY date) AS BIGINT) AS col_total FROM cells)
-SELECT impact, ordinal, date, cnt, col_total,
+SELECT impact, ordinal, date, strftime(CAST(date AS DATE), '%d-%b(%a)') AS header, cnt, col_total,
        CAST((cnt * 200 + (CASE WHEN col_total = 0 THEN 1 ELSE col_total END))
             // (2 * (CASE WHEN col_total = 0 THEN 1 ELSE col_total END)) AS BIGINT) AS pct
 FROM tot
@@ -360,7 +384,7 @@ FROM att WHERE CAST(user_id AS VARCHAR) ILIKE '%7%' GROUP BY atype_n
     ),
     "employee_detail": _a(
         """
-SELECT coalesce(employee_name, '') AS "Employee Name", coalesce(employee_id, '') AS "Employee ID",
+SELECT coalesce(profile_picture, '') AS "Profile Picture", coalesce(employee_name, '') AS "Employee Name", coalesce(employee_id, '') AS "Employee ID",
        coalesce(CAST(user_id AS VARCHAR), '') AS "User ID", coalesce(gender, '') AS "Gender",
        coalesce(region, '') AS "Region", coalesce(type_key, '') AS "Type", coalesce(ase_key, '') AS "ASE",
        coalesce(zse_key, '') AS "ZSE", strftime(attendance_date, '%-d-%b-%Y') AS "Date",
@@ -408,6 +432,30 @@ r AS (SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY value
 SELECT * FROM r WHERE rank <= 10
 """
     ),
+    "share_fractional": """
+WITH c AS (SELECT l_returnflag AS label, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue FROM lineitem GROUP BY l_returnflag),
+     w AS (SELECT label, revenue, CAST(revenue * 100 AS HUGEINT) AS v FROM c), t AS (SELECT CAST(sum(v) AS HUGEINT) AS total FROM w)
+SELECT label, CAST(revenue AS DOUBLE) AS value, CAST((v * 2000 + total) // (2 * total) AS BIGINT) AS pct_tenths,
+       CAST(CASE WHEN (v * 2000 + total) // (2 * total) >= 50 THEN 1 ELSE 0 END AS BIGINT) AS show_label
+FROM w, t
+""",
+    "line_fractional": """
+WITH m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue, count(*) AS lines
+           FROM lineitem GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d') AS x, strftime(d, '%-d-%b-%y') AS axis, 'revenue' AS series, CAST(revenue AS DOUBLE) AS value FROM m
+UNION ALL SELECT strftime(d, '%Y-%m-%d'), strftime(d, '%-d-%b-%y'), 'lines', CAST(lines AS DOUBLE) FROM m
+""",
+    "top10_fractional": """
+WITH s AS (SELECT r_name AS "Region", c_name AS "ASE Name", coalesce(CAST(c_acctbal AS DECIMAL(18,2)), 0) AS v
+           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "Region" ORDER BY v DESC, "ASE Name" ASC) AS BIGINT) AS rank FROM s)
+SELECT "Region", rank, "ASE Name", CAST(v AS DOUBLE) AS value FROM r WHERE rank <= 10
+""",
+    "summary_fractional": """
+SELECT c_mktsegment AS attendance_type, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS days,
+       CASE WHEN sum(CAST(c_acctbal AS DECIMAL(18,2))) = 1000 THEN 'day' ELSE 'days' END AS unit
+FROM customer WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> '' GROUP BY c_mktsegment
+""",
     "dedupe_last_cell": """
 WITH c AS (SELECT event_type AS row_key, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS col_key,
                   CAST(round(value * 100) AS BIGINT) AS cnt,
@@ -417,8 +465,8 @@ SELECT row_key, col_key, cnt FROM c WHERE rn = 1
 """,
     "category_domain": _a(
         f"""
-SELECT category, {_rank_case('category', ATTENDANCE_TYPE_ORDER)} AS ordinal,
-       CAST(CASE WHEN {_rank_case('category', ATTENDANCE_TYPE_ORDER)} IS NULL THEN 0 ELSE 1 END AS BIGINT) AS known
+SELECT category, {_rank_case('category', ATT_ORDER)} AS ordinal,
+       CAST(CASE WHEN {_rank_case('category', ATT_ORDER)} IS NULL THEN 0 ELSE 1 END AS BIGINT) AS known
 FROM (SELECT DISTINCT atype_n AS category FROM att) s
 """
     ),
@@ -448,6 +496,33 @@ FROM att WHERE region = 'ASIA' AND atype_key <> 'Not Marked' GROUP BY channel_ke
 SELECT region, trim(attendance_type) AS attendance_type, count(*) AS cnt FROM att
 WHERE attendance_date >= DATE '2024-01-10' AND attendance_date <= DATE '2024-01-20'
 GROUP BY region, trim(attendance_type)
+"""
+    ),
+    "stored_widget_share": _a(
+        """
+SELECT trim(attendance_type) AS attendance_type, count(*) AS cnt, (SELECT count(*) FROM att) AS whole FROM att
+WHERE region = 'ASIA' AND lower(trim(type)) IN ('promoter', 'supervisor') GROUP BY trim(attendance_type)
+"""
+    ),
+    "stored_widget_two_parts": _a(
+        """
+SELECT trim(channel) AS channel, count(*) AS n,
+       count(*) FILTER (WHERE trim(channel) IN ('AUTOMOBILE', 'BUILDING') AND trim(attendance_type) IN ('Present', 'Leave')
+                        AND attendance_date <= DATE '2024-01-20' AND CAST(user_id AS VARCHAR) ILIKE '%1%') AS k
+FROM att GROUP BY channel
+"""
+    ),
+    "stored_widget_literal": _a(
+        """
+SELECT region, count(*) AS cnt, 'attendance_fact {region_filter}' AS source FROM att
+WHERE region IS NOT NULL AND trim(zse) = 'NATION_7' GROUP BY region
+"""
+    ),
+    "stored_widget_visits": _v(
+        """
+SELECT trim(tier) AS tier, count(*) AS cnt FROM vis
+WHERE trim(tier) IN ('Tier-N', 'Tier-R') AND date_d >= DATE '1996-01-01' AND date_d <= DATE '1997-06-30' AND ase_ho_id ILIKE '%2%'
+GROUP BY trim(tier)
 """
     ),
     "payload_rows": _a(

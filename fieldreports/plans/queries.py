@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldreports.functions.bands import normalise_attendance_type, ordinal_of
-from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER, UNKNOWN_RANK
-from fieldreports.functions.dates import axis_date, cell_date, file_stamp, iso_day, pivot_header, to_date_col
+from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER, UNKNOWN_RANK
+from fieldreports.functions.dates import axis_date, cell_date, file_stamp, iso_day, pivot_header
 from fieldreports.functions.constants import EXPORT_ALL_REGIONS, EXPORT_INFIX
 from fieldreports.functions.text import first_letter, is_image_url, underscored, usable_picture
 from fieldreports.operators import facets as FC
 from fieldreports.operators import pivots as PV
 from fieldreports.operators import reports as RP
-from fieldreports.operators.filters import AttendanceFilter, VisitFilter
+from fieldreports.operators.filters import AttendanceFilter, VisitFilter, days_between
+from fieldreports.plans import registry
 from fieldreports.plans import widgets as W
 from fieldreports.sources import FactSource, read_table
 
@@ -32,6 +33,7 @@ SPEC_FACETS_A = AttendanceFilter(
 )
 SPEC_FACETS_V = VisitFilter(region="EUROPE", tiers=("Tier-N",), date_from="1996-01-01", date_to="1996-06-30", user_id="1")
 
+SPEC_ARRAYS = AttendanceFilter(zse="NATION_7", types=("",  "  "))
 SPEC_REGION = AttendanceFilter(region="EUROPE")
 SPEC_TYPES = AttendanceFilter(types=("PROMOTER", "", "  "))
 SPEC_CHANNELS = AttendanceFilter(channels=(" AUTOMOBILE", "HOUSEHOLD"))
@@ -55,6 +57,8 @@ SPEC_ALL_A = AttendanceFilter(
 SPEC_TIER = VisitFilter(tiers=("Tier-R", " Tier-A "))
 SPEC_TEXT_DATE = VisitFilter(date=" 15-Mar-97 ")
 SPEC_DATE_RANGE = VisitFilter(date_from="1999-12-01", date_to="2000-01-31")
+SPEC_VZSE = VisitFilter(zse=" NATION_5 ")
+SPEC_VASE = VisitFilter(ase="Supplier#000000007 ")
 SPEC_VUSER = VisitFilter(user_id="ho1")
 SPEC_ALL_V = VisitFilter(
     region="AMERICA",
@@ -140,6 +144,14 @@ def facet_counts_wide(src):
     return FC.facet_sizes(long, [f.name for f in FC.ATTENDANCE_FACETS])
 
 
+def facet_arrays(src):
+    """The dimension facets under a filter as sorted arrays (an empty one where
+    a facet has no option), as text."""
+    names = [f.name for f in FC.ATTENDANCE_FACETS if f.slot is not None]
+    wide = FC.facets_wide(FC.facets_long(_att(src), SPEC_ARRAYS), names)
+    return wide.select(*[F.concat(F.lit("["), F.array_join(n, ","), F.lit("]")).alias(n) for n in names])
+
+
 # ------------------------------------------------------------ filters
 
 def _by_type(src, spec):
@@ -191,6 +203,14 @@ def visits_filter_tier(src):
     return _by_channel(src, SPEC_TIER)
 
 
+def visits_filter_zse(src):
+    return _by_channel(src, SPEC_VZSE)
+
+
+def visits_filter_ase(src):
+    return _by_channel(src, SPEC_VASE)
+
+
 def visits_filter_text_date(src):
     return _by_channel(src, SPEC_TEXT_DATE)
 
@@ -209,95 +229,94 @@ def visits_filter_all(src):
 
 # ------------------------------------------------------------ pivots
 
+def _report(src, dashboard: str, widget_id: int, spec=None) -> DataFrame:
+    """A finished report (both stages), through the widget dispatch."""
+    fact, default = (_att(src), AttendanceFilter()) if dashboard == "attendance" else (_vis(src), VisitFilter())
+    return registry.report(fact, spec or default, dashboard, widget_id)
+
+
 def pivot_attendance_date(src):
-    cells = W.att_type_by_date(_att(src))
-    return PV.pivot_long(cells, "attendance_type", "date", ATTENDANCE_TYPE_ORDER, pivot_header(to_date_col("date")))
+    return _report(src, "attendance", 5)
 
 
 def pivot_attendance_dense(src):
-    """Dense grid (every type x every day, 0 where absent) over the days of
-    the fact; the day list is a size-checked plan literal."""
-    cells = W.att_type_by_date(_att(src))
-    days = PV.bounded_values(cells, "date", max_values=3660)
-    dense = PV.dense_grid(cells, "attendance_type", "date", days)
+    """Dense grid: every type x every day of the fact, 0 where absent."""
+    dense = PV.dense_grid(W.att_type_by_date(_att(src)), "attendance_type", "date")
     return PV.with_col_totals(dense, "date")
 
 
+SPEC_MONTH = AttendanceFilter(date_from="2024-01-01", date_to="2024-01-31")
+
+
 def pivot_attendance_wide(src):
     """Display form of the attendance pivot: one row per type, one column per
-    day (0 where absent).  The day list is a size-checked plan literal."""
-    cells = W.att_type_by_date(_att(src))
-    days = PV.bounded_values(cells, "date", max_values=3660)
-    return PV.to_wide(cells, "attendance_type", "date", days)
+    day of the filter's range (0 where absent)."""
+    days = [d.isoformat() for d in days_between(SPEC_MONTH.date_from, SPEC_MONTH.date_to)]
+    return PV.to_wide(W.att_type_by_date(SPEC_MONTH.apply(_att(src))), "attendance_type", "date", days)
 
 
 def crosstab_region(src):
-    return PV.totals_cube(W.att_type_by_region(_att(src)), "attendance_type", "region")
+    return _report(src, "attendance", 6)
 
 
 def pivot_timing(src):
-    cells = W.att_timing_by_date(_att(src))
-    return PV.pivot_long(cells, "timing", "date", TIMING_ORDER)
+    return _report(src, "attendance", 7)
 
 
 def pivot_salary(src):
-    cells = W.att_impact_by_date(_att(src))
-    return PV.percent_of_partition(PV.pivot_long(cells, "impact", "date", IMPACT_ORDER), "date")
+    return _report(src, "attendance", 9)
 
 
 def pivot_location_in(src):
-    return PV.pivot_long(W.vis_category_by_date(_vis(src), "location_in", "location"), "location", "date", row_out="category")
+    return _report(src, "field", 4)
 
 
 def pivot_location_out(src):
-    return PV.pivot_long(W.vis_category_by_date(_vis(src), "location_out", "location"), "location", "date", row_out="category")
+    return _report(src, "field", 5)
 
 
 def pivot_workhour(src):
-    return PV.pivot_long(W.vis_category_by_date(_vis(src), "workhour", "workhour"), "workhour", "date", row_out="category")
+    return _report(src, "field", 6)
 
 
 # ------------------------------------------------------------ charts
 
 def pie_share(src):
-    return RP.pie_share(W.att_mix(_att(src)))
+    return _report(src, "attendance", 2)
 
 
 def visits_channel_share(src):
-    return RP.pie_share(W.vis_channel_mix(_vis(src)))
+    return _report(src, "field", 1)
 
 
 def visits_tier_bar(src):
     """Field bar widget: quantity per tier."""
-    return RP.bar_series(W.vis_tier_volume(_vis(src)))
+    return _report(src, "field", 2)
 
 
 def bar_trend(src):
-    return RP.bar_series(W.att_trend(_att(src)))
+    return _report(src, "attendance", 3)
 
 
 def line_trend(src):
-    return RP.line_series(W.att_daily(_att(src)))
+    return _report(src, "attendance", 4)
 
 
 def kpi_cards(src):
-    return RP.kpi_cards(W.att_key_figures(_att(src)))
+    return _report(src, "attendance", 1)
 
 
 def attendance_summary(src):
-    base = SPEC_SUMMARY.apply(_att(src))
-    return RP.attendance_summary(W.att_trend(base))
+    """The day counts that the trend bar lists once an id is entered."""
+    return registry.summary(_att(src), SPEC_SUMMARY, "attendance", 3)
 
 
 def employee_detail(src):
-    base = SPEC_EMPLOYEE.apply(_att(src))
-    rows = W.att_employee_rows(base).drop("Profile Picture")
-    return RP.table_cells(rows, "attendance")
+    return _report(src, "attendance", 8, SPEC_EMPLOYEE)
 
 
 def employee_profile(src):
-    base = SPEC_EMPLOYEE.apply(_att(src))
-    return RP.profile_card(W.att_employee_rows(base), [F.col("Date").desc(), F.col("`User ID`").asc()])
+    return _report(src, "attendance", 15, SPEC_EMPLOYEE)
 
 
 SPEC_DETAIL_V = VisitFilter(region="ASIA", channels=("PROMO", "SMALL"))
@@ -305,11 +324,50 @@ SPEC_DETAIL_V = VisitFilter(region="ASIA", channels=("PROMO", "SMALL"))
 
 def visits_detail_table(src):
     """Field-style table widget: per-ASE visits and quantity as display text."""
-    return RP.table_cells(W.vis_detail(SPEC_DETAIL_V.apply(_vis(src))), "field")
+    return _report(src, "field", 7, SPEC_DETAIL_V)
 
 
 def top10_region_ase(src):
-    return RP.top_n_per_group(W.vis_ase_volume(_vis(src)), "region", "ase", "qty", 10)
+    return _report(src, "field", 3)
+
+
+# ------------------------------------------------------------ fractional measures
+
+def _money(column: str):
+    return F.col(column).cast("decimal(18,2)")
+
+
+def share_fractional(src):
+    """Share of the revenue by return flag: shares of exact decimals."""
+    lines = src.table("lineitem", ["l_returnflag", "l_extendedprice"])
+    revenue = lines.groupBy("l_returnflag").agg(F.sum(_money("l_extendedprice")).alias("revenue"))
+    return registry.render("attendance", "pie", revenue).withColumn("value", F.col("value").cast("double"))
+
+
+def line_fractional(src):
+    """Revenue and lines per shipping month: series of different types."""
+    lines = src.table("lineitem", ["l_shipdate", "l_extendedprice"])
+    months = lines.groupBy(F.trunc("l_shipdate", "month").alias("ship_date")).agg(
+        F.sum(_money("l_extendedprice")).alias("revenue"), F.count(F.lit(1)).alias("lines")
+    )
+    return registry.render("attendance", "line", months).withColumn("value", F.col("value").cast("double"))
+
+
+def top10_fractional(src):
+    """Top ten balances per region; columns are found by their roles."""
+    customer = src.table("customer", ["c_name", "c_nationkey", "c_acctbal"])
+    nation = src.table("nation", ["n_nationkey", "n_regionkey"])
+    region = src.table("region", ["r_regionkey", "r_name"])
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    frame = rows.select(F.col("r_name").alias("Region"), F.col("c_name").alias("ASE Name"), _money("c_acctbal").alias("Sales"))
+    return registry.render("field", "top10_table", frame).withColumn("value", F.col("value").cast("double"))
+
+
+def summary_fractional(src):
+    """Balances by segment in thousands, as fractional day counts."""
+    rows = src.table("customer", ["c_mktsegment", "c_acctbal"])
+    days = rows.groupBy(F.col("c_mktsegment").alias("Attendance Type")).agg((F.sum(_money("c_acctbal")) / 1000).cast("decimal(28,6)").alias("Days"))
+    return RP.attendance_summary(days).withColumn("days", F.col("days").cast("double"))
 
 
 def dedupe_last_cell(src):
@@ -372,9 +430,7 @@ def profile_links(src):
 def sql_widget_channels(src):
     """A widget written as SQL text over the filtered fact, with a bound
     parameter (the catalog-SQL extension point, without text splicing)."""
-    from fieldreports.plans.registry import sql_frame
-
-    frame = sql_frame(
+    frame = registry.sql_frame(
         "SELECT channel_key AS channel, count(*) AS cnt, count(DISTINCT user_id) AS employees "
         "FROM {fact} WHERE atype_key <> :excluded GROUP BY channel_key",
         excluded="Not Marked",
@@ -382,32 +438,81 @@ def sql_widget_channels(src):
     return frame(SPEC_REGION_ASIA.apply(_att(src)))
 
 
-# A stored widget as the source application keeps it: SQL text naming the fact
-# table, with filter slot tokens where its author wanted filters.
-STORED_WIDGET_ROWS = (
-    {
-        "id": 21,
-        "widget_name": "Region mix",
-        "chart_type": "pivot_region",
-        "display_order": 1,
-        "is_active": True,
-        "sql_query": (
-            "SELECT region, trim(attendance_type) AS attendance_type, count(*) AS cnt "
-            "FROM attendance_fact WHERE 1=1 {region_filter} {date_filter} "
-            "GROUP BY region, trim(attendance_type)"
-        ),
-    },
+# Stored widgets as the source application keeps them: SQL text naming the fact
+# table, with filter slot tokens where their author wanted filters.
+def _stored(widget_id: int, sql: str) -> dict:
+    return {"id": widget_id, "widget_name": f"Stored {widget_id}", "chart_type": "table", "display_order": widget_id, "is_active": True, "sql_query": sql}
+
+
+STORED_ATTENDANCE = (
+    _stored(
+        21,
+        "SELECT region, trim(attendance_type) AS attendance_type, count(*) AS cnt "
+        "FROM attendance_fact WHERE 1=1 {region_filter} {date_filter} GROUP BY region, trim(attendance_type)",
+    ),
+    _stored(
+        22,
+        "SELECT trim(attendance_type) AS attendance_type, count(*) AS cnt, (SELECT count(*) FROM attendance_fact) AS whole "
+        "FROM attendance_fact WHERE 1=1 {region_filter} {type_filter} GROUP BY trim(attendance_type)",
+    ),
+    _stored(
+        23,
+        "WITH every AS (SELECT channel, count(*) AS n FROM attendance_fact GROUP BY channel), "
+        "picked AS (SELECT f.channel, count(*) AS k FROM public.attendance_fact f WHERE 1=1 {channel_filter} {atype_filter} {date_filter} "
+        "{user_filter} GROUP BY f.channel) "
+        "SELECT trim(every.channel) AS channel, n, coalesce(k, 0) AS k FROM every LEFT JOIN picked ON every.channel = picked.channel",
+    ),
+    _stored(
+        24,
+        "SELECT region, count(*) AS cnt, 'attendance_fact {region_filter}' AS source FROM attendance_fact "
+        "WHERE region <> 'attendance_fact' {zse_filter} {ase_filter} /* attendance_fact {zse_filter} */ GROUP BY region",
+    ),
+    {"id": 25, "widget_name": "Broken", "chart_type": "pie", "display_order": 9, "is_active": True, "sql_query": "SELECT nothing FROM nowhere"},
+)
+STORED_VISITS = (
+    _stored(
+        31,
+        "SELECT trim(tier) AS tier, count(*) AS cnt FROM visit_fact "
+        "WHERE 1=1 {region_filter} {tier_filter} {channel_filter} {date_filter} {user_filter} GROUP BY trim(tier)",
+    ),
 )
 SPEC_STORED = AttendanceFilter(types=("promoter",), date_from="2024-01-10", date_to="2024-01-20")
+SPEC_STORED_SHARE = AttendanceFilter(region="ASIA", types=("Promoter ", "supervisor"), date_from="2024-01-10")
+SPEC_STORED_LISTS = AttendanceFilter(channels=(" AUTOMOBILE", "BUILDING"), atypes=("Present", "Leave"), date_to="2024-01-20", user_id="1")
+SPEC_STORED_PLAIN = AttendanceFilter(region="EUROPE", zse="NATION_7", ase="All")
+SPEC_STORED_VISITS = VisitFilter(tiers=("Tier-N", "Tier-R"), date_from="1996-01-01", date_to="1997-06-30", user_id="2")
+
+
+def _stored_data(src, widget_id: int, spec) -> DataFrame:
+    widgets = registry.widgets_from_catalog(STORED_ATTENDANCE, "attendance_fact", "attendance")
+    return registry.widget_data(_att(src), spec, "attendance", widget_id, widgets)
 
 
 def stored_widget_region_mix(src):
-    """Stored widget SQL run through the registry: it has no type slot, so the
-    type selection is ignored while the date range applies."""
-    from fieldreports.plans import registry
+    """Stored SQL without a type slot: the type selection is ignored while the
+    date range applies."""
+    return _stored_data(src, 21, SPEC_STORED)
+
+
+def stored_widget_share(src):
+    """Stored SQL that reads the fact twice: only one place has slots."""
+    return _stored_data(src, 22, SPEC_STORED_SHARE)
+
+
+def stored_widget_two_parts(src):
+    """Stored SQL with list, date and id slots in one of two common table expressions."""
+    return _stored_data(src, 23, SPEC_STORED_LISTS)
+
+
+def stored_widget_literal(src):
+    """Stored SQL with the table's name and a token inside texts and comments."""
+    return _stored_data(src, 24, SPEC_STORED_PLAIN)
+
 
-    widgets = registry.widgets_from_catalog(STORED_WIDGET_ROWS, "attendance_fact", "attendance")
-    return registry.widget_data(_att(src), SPEC_STORED, "attendance", 21, widgets)
+def stored_widget_visits(src):
+    """Stored SQL over the field-activity fact, text dates included."""
+    widgets = registry.widgets_from_catalog(STORED_VISITS, "visit_fact", "field")
+    return registry.widget_data(_vis(src), SPEC_STORED_VISITS, "field", 31, widgets)
 
 
 def payload_rows(src):
@@ -434,6 +539,7 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         facets_visits_filtered,
         facets_visits_exclude_self,
         facet_counts_wide,
+        facet_arrays,
         filter_region,
         filter_types_ci,
         filter_channels,
@@ -444,6 +550,8 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         filter_user,
         filter_all_attendance,
         visits_filter_tier,
+        visits_filter_zse,
+        visits_filter_ase,
         visits_filter_text_date,
         visits_filter_date_range,
         visits_filter_user,
@@ -468,6 +576,10 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         employee_profile,
         visits_detail_table,
         top10_region_ase,
+        share_fractional,
+        line_fractional,
+        top10_fractional,
+        summary_fractional,
         dedupe_last_cell,
         category_domain,
         cell_formats,
@@ -475,6 +587,10 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         profile_links,
         sql_widget_channels,
         stored_widget_region_mix,
+        stored_widget_share,
+        stored_widget_two_parts,
+        stored_widget_literal,
+        stored_widget_visits,
         payload_rows,
     )
 }

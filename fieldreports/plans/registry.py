@@ -1,14 +1,15 @@
 """Widget catalogs and chart-type dispatch for both dashboards.
 
 A widget is a catalog row (id, name, chart type, display order, active flag)
-plus a report function ``(filtered fact, spec) -> DataFrame`` and the filter
-slots it honours.  Adding a widget means registering a function, not storing
-SQL text.
+plus either a report function ``filtered fact -> DataFrame`` with the filter
+slots it honours, or stored SQL text over the unfiltered fact with filter slot
+tokens where its author wanted filters.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
-from fieldreports.functions.dates import pivot_header, to_date_col
+from fieldreports.functions.constants import ATTENDANCE_TREND_WIDGET_ID, ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
+from fieldreports.functions.dates import CENTURY_PIVOT, pivot_header, to_date_col
 from fieldreports.operators import pivots, reports
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employee_gate
 from fieldreports.plans import widgets as W
@@ -40,9 +41,16 @@ class Widget:
     chart_type: str
     display_order: int
     is_active: bool | None
-    frame: Callable[[DataFrame], DataFrame]  # filtered fact -> widget result
+    frame: Callable[[DataFrame], DataFrame] | None = None  # filtered fact -> widget result
     honours: tuple[str, ...] | None = None  # None: every slot
     needs_user: bool = False  # employee widgets: rows only once an id is entered
+    sql: str | None = None  # stored widget: text over the unfiltered fact
+    fact_table: str | None = None
+
+    @property
+    def is_detail(self) -> bool:
+        """Does the result have a row for each fact row, so that it grows with it?"""
+        return self.chart_type == "table"
 
 
 def sql_frame(text: str, **args) -> Callable[[DataFrame], DataFrame]:
@@ -61,71 +69,96 @@ def sql_frame(text: str, **args) -> Callable[[DataFrame], DataFrame]:
     return frame
 
 
-# The filter slot tokens stored widget SQL may contain.
-SLOT_TOKENS = (
-    "{region_filter}",
-    "{type_filter}",
-    "{channel_filter}",
-    "{ase_filter}",
-    "{date_filter}",
-    "{zse_filter}",
-    "{atype_filter}",
-    "{tier_filter}",
-    "{user_filter}",
-)
-
-
-def stored_sql_frame(sql: str, fact_table: str) -> Callable[[DataFrame], DataFrame]:
-    """A widget frame from stored widget SQL that names the fact table and
-    carries filter slot tokens.
-
-    The filter is applied to the fact DataFrame before the SQL runs, so every
-    slot token is dropped and the fact table's name is bound to that filtered
-    DataFrame (``{fact}``).  No value is ever spliced into the text.
+# The filter slot tokens stored widget SQL may contain, and the
+# predicate that stands for each where its filter is active.  Values are named
+# markers; a date slot has one part for each bound that is set.
+SLOTS = {
+    "region_filter": ("region", "region = :region"),
+    "type_filter": ("type", "array_contains(:type, lower(trim(type)))"),
+    "channel_filter": ("channel", "array_contains(:channel, trim(channel))"),
+    "ase_filter": ("ase", "trim(ase) = :ase"),
+    "zse_filter": ("zse", "trim(zse) = :zse"),
+    "atype_filter": ("atype", "array_contains(:atype, trim(attendance_type))"),
+    "tier_filter": ("tier", "array_contains(:tier, trim(tier))"),
+}
+ATTENDANCE_SLOTS = SLOTS | {
+    "date_filter": ("date", {"date_from": "CAST(attendance_date AS DATE) >= :date_from", "date_to": "CAST(attendance_date AS DATE) <= :date_to"}),
+    "user_filter": ("user", "CAST(user_id AS STRING) ILIKE :user"),
+}
+_TEXT_DAY = "try_to_date(trim(date), 'd-MMM-yy')"
+_VISIT_DAY = f"CASE WHEN year({_TEXT_DAY}) >= {CENTURY_PIVOT} THEN add_months({_TEXT_DAY}, -1200) ELSE {_TEXT_DAY} END"
+VISIT_SLOTS = SLOTS | {
+    "date_filter": ("date", {"date": "trim(date) = :date", "date_from": f"{_VISIT_DAY} >= :date_from", "date_to": f"{_VISIT_DAY} <= :date_to"}),
+    "user_filter": ("user", "ase_ho_id ILIKE :user"),
+}
+
+
+def bound_sql(sql: str, spec: AttendanceFilter | VisitFilter, fact_table: str, view: str) -> tuple[str, dict]:
+    """``(text, arguments)`` of stored widget SQL for a filter selection.
+
+    Every slot token is replaced where it stands: by ``AND`` and a predicate
+    over named markers if its filter is active, else by nothing.  The fact
+    table's name (quoted or schema-qualified or neither) becomes ``view``.
+    Quoted texts and comments are passed over, and no value enters the text.
     """
-    return sql_frame(bind_fact_table(sql, fact_table))
+    values = spec.values()
+    slots = ATTENDANCE_SLOTS if isinstance(spec, AttendanceFilter) else VISIT_SLOTS
+    used: dict = {}
 
+    def predicate(token: str) -> str:
+        slot, text = slots[token]
+        parts = text if isinstance(text, dict) else {slot: text}
+        active = [name for name in parts if values.get(name) is not None]
+        used.update({name: values[name] for name in active})
+        return " ".join(f"AND {parts[name]}" for name in active)
 
-def bind_fact_table(sql: str, fact_table: str) -> str:
-    """Stored widget SQL as a ``spark.sql`` template: slot tokens dropped,
-    literal braces escaped, the (optionally quoted or schema-qualified) fact
-    table name replaced by ``{fact}``."""
-    text = sql
-    for token in SLOT_TOKENS:
-        text = text.replace(token, "")
-    text = text.replace("{", "{{").replace("}", "}}")
     name = re.escape(fact_table)
-    ident = rf'(?:"{name}"|`{name}`|{name})'
-    text = re.sub(rf'(?<![\w."`])(?:\w+\.|"\w+"\.)?{ident}(?![\w"`])', "{fact}", text)
-    if "{fact}" not in text:
-        raise ValueError(f"widget SQL does not read {fact_table!r}")
-    return text
-
-
-def honoured_slots(sql: str, dashboard: str) -> tuple[str, ...]:
-    """The filter slots a stored widget honours: those whose token it contains
-    (a widget without a slot ignores that filter)."""
-    slots = AttendanceFilter.SLOTS if dashboard == "attendance" else VisitFilter.SLOTS
-    present = {t[1:-1].removesuffix("_filter") for t in SLOT_TOKENS if t in sql}
-    return tuple(s for s in slots if s in present)
-
-
-def widgets_from_catalog(rows: Iterable[Mapping], fact_table: str, dashboard: str) -> tuple["Widget", ...]:
-    """Widgets from stored catalog rows (``id, widget_name, chart_type,
-    display_order, is_active, sql_query``), e.g. collected from a small
-    catalog table read with ``sources.ingest.read_jdbc``.  Each widget honours
-    exactly the filter slots its SQL names."""
+    lexemes = re.compile(
+        r"'(?:[^'\\]|\\.|'')*'"  # a text
+        r"|--[^\n]*|/\*.*?\*/"  # a comment
+        r"|\{(?P<slot>\w+)\}"
+        rf"""|(?<![\w."`])(?P<fact>(?:\w+\.|"\w+"\.|`\w+`\.)?(?:"{name}"|`{name}`|{name}))(?![\w"`])""",
+        re.S,
+    )
+
+    def put(m: re.Match) -> str:
+        if m["slot"] in slots:
+            return predicate(m["slot"])
+        return view if m["fact"] else m[0]
+
+    return lexemes.sub(put, sql), used
+
+
+def run_stored(sql: str, fact: DataFrame, spec: AttendanceFilter | VisitFilter, fact_table: str) -> DataFrame:
+    """The result of stored widget SQL over the unfiltered fact.
+
+    The fact is known to the statement as a temporary view with a name of its
+    own, which is dropped once the statement is analysed."""
+    spark = fact.sparkSession
+    view = f"fact_{uuid.uuid4().hex}"
+    text, values = bound_sql(sql, spec, fact_table, view)
+    if "date_txt" in fact.columns and "date" not in fact.columns:
+        fact = fact.withColumn("date", F.col("date_txt"))  # the text date has this name upstream
+    fact.createTempView(view)
+    try:
+        return spark.sql(text, {k: F.lit(v) for k, v in values.items()} or None)
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def widgets_from_catalog(rows: DataFrame | Iterable[Mapping], fact_table: str, dashboard: str) -> tuple["Widget", ...]:
+    """Widgets from a stored catalog (``id, widget_name, chart_type,
+    display_order, is_active, sql_query``): a DataFrame, e.g. from
+    ``sources.ingest.read_jdbc``, of which the active rows are read, or rows.
+
+    Nothing is bound here; SQL is bound when its widget is looked up, so a row
+    that cannot run only fails its own widget."""
+    if dashboard not in DASHBOARDS:
+        raise KeyError(dashboard)
+    if isinstance(rows, DataFrame):
+        rows = rows.where(F.col("is_active")).orderBy("display_order", "id").toLocalIterator()
     return tuple(
-        Widget(
-            int(r["id"]),
-            r["widget_name"],
-            r["chart_type"],
-            r["display_order"],
-            r["is_active"],
-            stored_sql_frame(r["sql_query"], fact_table),
-            honours=honoured_slots(r["sql_query"], dashboard),
-        )
-        for r in rows
+        Widget(int(r["id"]), r["widget_name"], r["chart_type"], r["display_order"], r["is_active"], sql=r["sql_query"], fact_table=fact_table) for r in rows
     )
 
 
@@ -144,7 +177,7 @@ ATTENDANCE_WIDGETS = (
     Widget(9, "Salary Impact", "pivot_salary", 9, True, W.att_impact_by_date),
     Widget(10, "Retired Widget", "bar", 10, False, W.att_trend),
     Widget(11, "Draft Widget", "pie", 11, None, W.att_mix),
-    Widget(15, "Employee Profile", "profile", 0, True, W.att_employee_rows, needs_user=True),
+    Widget(15, "Employee Profile", "profile", 0, True, W.att_employees, needs_user=True),
 )
 
 VISIT_WIDGETS = (
@@ -167,6 +200,16 @@ def catalog(spark: SparkSession, dashboard: str) -> DataFrame:
     return df.where(F.col("is_active")).select("id", "widget_name", "chart_type", "display_order").orderBy("display_order")
 
 
+def active(dashboard: str, widgets: Iterable[Widget] | None = None) -> list[Widget]:
+    """Active widgets in display order, ties by id."""
+    known = widgets if widgets is not None else DASHBOARDS[dashboard]
+    return sorted((w for w in known if w.is_active is True), key=lambda w: (w.display_order is None, w.display_order or 0, w.id))
+
+
+def entry_of(w: Widget) -> dict:
+    return {"id": w.id, "widget_name": w.name, "chart_type": w.chart_type, "display_order": w.display_order}
+
+
 def lookup(dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> Widget:
     """Active widget by id; ``KeyError`` when absent or inactive (not found)."""
     for w in widgets if widgets is not None else DASHBOARDS[dashboard]:
@@ -175,19 +218,41 @@ def lookup(dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = No
     raise KeyError(f"no active widget {widget_id} on the {dashboard} dashboard")
 
 
+def has_user(spec) -> bool:
+    """Is an id search entered?"""
+    return isinstance(spec, AttendanceFilter) and spec.user_term() is not None
+
+
+def frame_of(w: Widget, fact: DataFrame, spec, base: DataFrame | None = None) -> DataFrame:
+    """A widget's result frame (first stage).  ``base`` is the fact under the
+    whole filter, for widgets that honour every slot."""
+    if w.sql is not None:
+        return run_stored(w.sql, fact, spec, w.fact_table)
+    if base is None or w.honours is not None:
+        base = spec.apply(fact, w.honours)
+    return w.frame(base.where(employee_gate(spec)) if w.needs_user else base)
+
+
 def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame:
     """The widget's result frame under the filter (first stage)."""
+    return frame_of(lookup(dashboard, widget_id, widgets), fact, spec)
+
+
+def shows_summary(w: Widget, spec, dashboard: str) -> bool:
+    """The attendance trend bar lists day counts once an id is entered."""
+    return dashboard == "attendance" and w.chart_type == "bar" and w.id == ATTENDANCE_TREND_WIDGET_ID and has_user(spec)
+
+
+def summary(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame | None:
+    """The day counts below a widget's chart, or None where it has none."""
     w = lookup(dashboard, widget_id, widgets)
-    base = spec.apply(fact, w.honours)
-    if w.needs_user:
-        base = base.where(employee_gate(spec))
-    return w.frame(base)
+    return reports.attendance_summary(frame_of(w, fact, spec)) if shows_summary(w, spec, dashboard) else None
 
 
 # ------------------------------------------------------------ second stage
 
-def _employee_order():
-    return [F.col("Date").desc(), F.col("`User ID`").asc()]
+def _day_pivot(frame: DataFrame, row: str, preset) -> DataFrame:
+    return pivots.pivot_long(frame, row, "date", preset, pivot_header(to_date_col("date")))
 
 
 def _attendance_report(chart_type: str, frame: DataFrame) -> DataFrame:
@@ -200,19 +265,22 @@ def _attendance_report(chart_type: str, frame: DataFrame) -> DataFrame:
     if chart_type == "line":
         return reports.line_series(frame)
     if chart_type == "pivot":
-        return pivots.pivot_long(frame, "attendance_type", "date", ATTENDANCE_TYPE_ORDER, pivot_header(to_date_col("date")))
+        return pivots.display_order(_day_pivot(frame, "attendance_type", ATTENDANCE_TYPE_ORDER), "attendance_type", "date")
     if chart_type == "pivot_region":
-        return pivots.totals_cube(frame, "attendance_type", "region")
+        return pivots.display_order(pivots.totals_cube(frame, "attendance_type", "region"), "attendance_type", "region", preset=ATTENDANCE_TYPE_ORDER)
     if chart_type == "pivot_timing":
-        return pivots.pivot_long(frame, "timing", "date", TIMING_ORDER, pivot_header(to_date_col("date")))
+        return pivots.display_order(_day_pivot(frame, "timing", TIMING_ORDER), "timing", "date")
     if chart_type == "pivot_salary":
-        out = pivots.pivot_long(frame, "impact", "date", IMPACT_ORDER, pivot_header(to_date_col("date")))
-        return pivots.percent_of_partition(out, "date")
+        return pivots.display_order(pivots.percent_of_partition(_day_pivot(frame, "impact", IMPACT_ORDER), "date"), "impact", "date")
     if chart_type == "profile":
-        return reports.profile_card(frame, _employee_order())
+        return reports.profile_card(frame)
     return reports.pie_share(frame)  # any other chart type is drawn as a pie
 
 
+def _generic_pivot(frame: DataFrame, row: str) -> DataFrame:
+    return pivots.display_order(pivots.pivot_long(frame, row, "date", row_out="category"), "category", "date")
+
+
 def _field_report(chart_type: str, frame: DataFrame) -> DataFrame:
     if chart_type == "pie":
         return reports.pie_share(frame)
@@ -221,11 +289,12 @@ def _field_report(chart_type: str, frame: DataFrame) -> DataFrame:
     if chart_type == "table":
         return reports.table_cells(frame, "field")
     if chart_type == "top10_table":
-        return reports.top_n_per_group(frame, "region", "ase", "qty", 10)
+        top = reports.top_n_per_group(frame, n=10)
+        return top.orderBy(F.col(f"`{top.columns[0]}`"), "rank")
     if chart_type in ("pivot_location_in", "pivot_location_out"):
-        return pivots.pivot_long(frame, "location", "date", row_out="category")
+        return _generic_pivot(frame, "location")
     if chart_type == "pivot_workhour":
-        return pivots.pivot_long(frame, "workhour", "date", row_out="category")
+        return _generic_pivot(frame, "workhour")
     raise ValueError(f"Unknown chart type {chart_type!r}")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,25 +54,50 @@ def payload_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def payload(df: DataFrame, max_rows: int = 100_000) -> dict:
-    """``{"columns": [...], "rows": [{...}, ...]}`` for a report result.
+@dataclass(frozen=True)
+class Pages:
+    """The rows of a result, page by page in the order of the frame.
 
-    Report results are small tables; the row count is checked so an unbounded
-    frame is never pulled to the driver by mistake.
+    Nothing is limited: rows come from the executors one partition at a time
+    while pages are read, and only the page at hand is kept here.
     """
-    cols = payload_columns(df)
-    lines = payload_rows(df).limit(max_rows + 1).collect()
-    if len(lines) > max_rows:
-        raise ValueError(f"report has more than {max_rows} rows; write it with write_report instead")
-    return {"columns": cols, "rows": [json.loads(r.json) for r in lines]}
 
+    columns: list[str]
+    frame: DataFrame
+    size: int = 10_000
 
-def column_list(df: DataFrame, column: str, max_values: int = 100_000) -> list:
-    """One column of a (small) sorted report as a Python list, size checked."""
-    rows = df.select(column).limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} values in {column!r}")
-    return [r[0] for r in rows]
+    def rows(self) -> Iterator[dict]:
+        for line in payload_rows(self.frame).toLocalIterator():
+            yield json.loads(line["json"])
+
+    def __iter__(self) -> Iterator[list[dict]]:
+        page: list[dict] = []
+        for row in self.rows():
+            page.append(row)
+            if len(page) == self.size:
+                yield page
+                page = []
+        if page:
+            yield page
+
+
+def pages(df: DataFrame, size: int = 10_000) -> Pages:
+    """A result of any size (detail tables, id lists) as pages of row objects."""
+    return Pages(payload_columns(df), df, size)
+
+
+def payload(df: DataFrame) -> dict:
+    """``{"columns": [...], "rows": [{...}, ...]}`` of a report, all its rows.
+
+    For aggregated reports, whose rows are categories and days; results that
+    grow with the fact are read with :func:`pages` or written.
+    """
+    return {"columns": payload_columns(df), "rows": list(pages(df).rows())}
+
+
+def column_list(df: DataFrame, column: str) -> list:
+    """One column of a sorted result as a Python list."""
+    return [r[0] for r in df.select(column).toLocalIterator()]
 
 
 def export_name(region: str | None, at: dt.datetime, ext: str) -> str:
@@ -93,3 +120,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     else:
         raise ValueError(f"unknown format {fmt!r}")
     return path
+
+
+def export_report(df: DataFrame, folder: str, region: str | None, at: dt.datetime, fmt: str = "csv", mode: str = "error") -> str:
+    """Write a report below ``folder`` under its derived export name; returns the path."""
+    return write_report(df, f"{folder.rstrip('/')}/{export_name(region, at, fmt)}", fmt, mode)

@@ -51,7 +51,7 @@ def att_daily(base: DataFrame) -> DataFrame:
     """Per day: marked records, check-ins, all records (line)."""
     atype = normalise_attendance_type("attendance_type")
     return (
-        base.select(iso_day("date_d").alias("date"), (atype != NOT_MARKED).alias("is_marked"), "check_in")
+        base.select(F.col("date_d").alias("date"), (atype != NOT_MARKED).alias("is_marked"), "check_in")
         .groupBy("date")
         .agg(
             F.sum(F.col("is_marked").cast("long")).cast("long").alias("marked"),
@@ -116,6 +116,11 @@ def att_employee_rows(base: DataFrame) -> DataFrame:
     )
 
 
+def att_employees(base: DataFrame) -> DataFrame:
+    """One employee, the newest day's values first (profile)."""
+    return att_employee_rows(base).orderBy(F.col("Date").desc(), F.col("`User ID`").asc()).drop("Date", "Attendance Type", "Check In", "Check Out")
+
+
 # ------------------------------------------------------------ field side
 
 

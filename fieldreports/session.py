@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,8 +50,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    It is read from the session.  Only when it is unset (tests) is a fallback
-    used, and that fallback is a fresh folder so runs never share scratch space.
+    It is read from the session.  Where it is unset, ``fallback`` is set; a
+    session that runs in one process (``local``) gets a fresh temporary folder,
+    and any other one is refused, as its executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -62,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if existing:
         return existing
     if fallback is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         import tempfile
 
         fallback = tempfile.mkdtemp(prefix="fieldreports-ckpt-")

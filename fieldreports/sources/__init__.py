@@ -2,121 +2,107 @@
 
 from __future__ import annotations
 
-import logging
 import threading
 import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldreports.session import scratch_path
 from fieldreports.sources import fixtures, ingest
 from fieldreports.sources.tables import TABLE_NAMES, read_table  # noqa: F401
 
+FACTS = ("attendance", "visits")
+
+#: Session setting: a folder on shared storage where facts are kept for later sessions.
+FACTS_DIR = "spark.fieldreports.facts.dir"
+
 
 @dataclass
 class FactSource:
     """Where the normalised facts come from.
 
-    By default they are derived lazily from the driver tables at ``sf_dir``.
-    ``materialise()`` writes both once (year-partitioned, day-sorted Parquet in
-    the shared checkpoint folder) and later reports scan the written tables.
+    Without ``base`` they are derived lazily from the driver tables at
+    ``sf_dir``.  With it, each fact is written to ``<base>/<name>`` the first
+    time it is asked for (Parquet by year, in files of narrow day ranges), and
+    scanned from there afterwards; a fact that an earlier session completed
+    there is opened as it is.  A failing write is an error.
     """
 
     spark: SparkSession
     sf_dir: str
-    paths: dict = field(default_factory=dict)
+    base: str | None = None
     _frames: dict = field(default_factory=dict, repr=False, compare=False)
-
-    def _frame(self, name: str, derive) -> DataFrame:
+    _locks: dict = field(default_factory=lambda: {n: threading.Lock() for n in FACTS}, repr=False, compare=False)
+
+    def path(self, name: str) -> str:
+        return f"{self.base.rstrip('/')}/{name}"
+
+    def _derived(self, name: str) -> DataFrame:
+        if name == "visits":
+            return ingest.normalise_visits(fixtures.outlet_visits(self.spark, self.sf_dir))
+        daily = None
+        if self.base is not None:
+            # The daily event aggregate feeds three consumers (days, roster,
+            # the join); writing it once means one pass over events.
+            path = scratch_path(self.spark, "daily")
+            fixtures.daily_events(self.spark, self.sf_dir).write.parquet(path)
+            daily = self.spark.read.parquet(path)
+        return ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir, daily=daily))
+
+    def _frame(self, name: str) -> DataFrame:
         # One handle per fact: a written table is listed and its footers read
         # once, then every report plans against the same relation.
-        if name not in self._frames:
-            if name in self.paths:
-                self._frames[name] = ingest.read_fact(self.spark, self.paths[name])
-            else:
-                self._frames[name] = derive()
-        return self._frames[name]
+        with self._locks[name]:
+            if name not in self._frames:
+                if self.base is None:
+                    self._frames[name] = self._derived(name)
+                else:
+                    if not ingest.is_complete(self.spark, self.path(name)):
+                        # what an interrupted write left is no table yet
+                        ingest.write_fact(self._derived(name), self.path(name), mode="overwrite")
+                    self._frames[name] = ingest.read_fact(self.spark, self.path(name))
+            return self._frames[name]
 
     def attendance(self) -> DataFrame:
-        return self._frame(
-            "attendance", lambda: ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir))
-        )
+        return self._frame("attendance")
 
     def visits(self) -> DataFrame:
-        return self._frame("visits", lambda: ingest.normalise_visits(fixtures.outlet_visits(self.spark, self.sf_dir)))
+        return self._frame("visits")
 
     def table(self, name: str, columns=None) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, columns)
 
-    @classmethod
-    def open_written(cls, spark: SparkSession, sf_dir: str, base: str) -> "FactSource":
-        """Facts written earlier with ``materialise(base=...)``: no re-ingest."""
-        paths = {name: f"{base.rstrip('/')}/{name}" for name in ("attendance", "visits")}
-        return cls(spark, sf_dir.rstrip("/"), paths)
+    def materialise(self, base: str | None = None) -> "FactSource":
+        """A source with both facts written: below ``base``, a folder on shared
+        storage that later sessions give again, or else below a fresh folder of
+        the shared checkpoint folder."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        out = FactSource(self.spark, self.sf_dir, base or scratch_path(self.spark, "facts"))
+        with ThreadPoolExecutor(max_workers=len(FACTS)) as pool:  # two independent jobs
+            for f in [pool.submit(out._frame, n) for n in FACTS]:
+                f.result()
+        return out
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str, written: bool = True) -> "FactSource":
         """The session's source for ``sf_dir``.
 
-        With ``written`` (the default) the two facts are derived and written
-        once per session (``materialise``), and every report after that scans
-        the written tables: ingest once, report many times.  Otherwise the
-        lazily derived facts are shared.  Either way, queries in one session
-        share the fact handles (file listings, schemas).
+        With ``written`` (the default) a fact is written when a report first
+        asks for it and scanned by every report after that: below the folder
+        that the session names in ``spark.fieldreports.facts.dir``, where later
+        sessions find it (one folder per state of the tables), else below the
+        checkpoint folder.  Otherwise the lazily derived facts are shared.
         """
         key = (sf_dir.rstrip("/"), written)
         with _SHARED_LOCK:
             per_session = _SHARED.setdefault(spark, {})
             if key not in per_session:
-                src = cls(spark, key[0])
-                if written:
-                    try:
-                        src = src.materialise()
-                    except Exception as exc:  # noqa: BLE001  (e.g. checkpoint folder not writable)
-                        _log.warning("writing the facts failed (%s); reports derive them per query", exc)
-                per_session[key] = src
+                kept = spark.conf.get(FACTS_DIR, None)
+                per_session[key] = cls(spark, key[0], (kept or scratch_path(spark, "facts")) if written else None)
             return per_session[key]
 
-    def materialise(self, concurrent: bool = True, base: str | None = None) -> "FactSource":
-        """Write both facts (two independent jobs, submitted concurrently by
-        default) and return a source that scans the written tables.
-
-        ``base`` is a fixed location on shared storage (``<base>/attendance``,
-        ``<base>/visits``) that later sessions reopen with
-        :meth:`open_written`; by default a fresh folder under the shared
-        checkpoint folder is used.
-        """
-        from concurrent.futures import ThreadPoolExecutor
-
-        from fieldreports.session import scratch_path
-
-        if base is not None:
-            jobs = {name: f"{base.rstrip('/')}/{name}" for name in ("attendance", "visits")}
-        else:
-            jobs = {name: scratch_path(self.spark, name) for name in ("attendance", "visits")}
-
-        def write_attendance():
-            # The daily event aggregate feeds four consumers (days, day range,
-            # roster, the join); writing it once means one pass over events.
-            daily_path = scratch_path(self.spark, "daily")
-            fixtures.daily_events(self.spark, self.sf_dir).write.parquet(daily_path)
-            daily = self.spark.read.parquet(daily_path)
-            att = ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir, daily=daily))
-            ingest.write_fact(att, jobs["attendance"])
-
-        def write_visits():
-            ingest.write_fact(self.visits(), jobs["visits"])
-
-        if concurrent:
-            with ThreadPoolExecutor(max_workers=2) as pool:
-                for f in [pool.submit(write_attendance), pool.submit(write_visits)]:
-                    f.result()
-        else:
-            write_attendance()
-            write_visits()
-        return FactSource(self.spark, self.sf_dir, jobs)
-
 
 _SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 _SHARED_LOCK = threading.Lock()
-_log = logging.getLogger(__name__)

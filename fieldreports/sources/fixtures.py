@@ -5,8 +5,8 @@ left-joined to that day's events, so days without any event are ``Not Marked``.
 ``outlet_visits``: one row per line item with its supplier's geography.
 
 Both are lazy plans.  The roster x calendar grain is produced without a cross
-join: every employee explodes the day sequence between the first and last
-event day (two scalar subqueries), and a semi join keeps the days that occur.
+join: every employee explodes the list of days that occur (one scalar subquery;
+a calendar has few thousand days, and a stray one adds one, not a range).
 Dimension joins are left to the planner: the small sides (nation, region,
 distinct days) are broadcast by Spark's own size check, larger ones shuffle.
 """
@@ -67,16 +67,14 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attendance(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Raw attendance fact (dirty dimensions kept, as stored upstream).
 
-    ``daily`` may be a written copy of :func:`daily_events`; the calendar, the
-    day range and the roster are then read from it instead of from ``events``
+    ``daily`` may be a written copy of :func:`daily_events`; the calendar and
+    the roster are then read from it instead of from ``events``
     (ingest writes it once so ``events`` is scanned once).
     """
     if daily is None:
         daily = daily_events(spark, sf_dir)
     known = _KNOWN_EVENTS
-    days = daily.select("d").distinct()
-    first_day = days.agg(F.min("d")).scalar()
-    last_day = days.agg(F.max("d")).scalar()
+    days = daily.select("d").distinct().agg(F.collect_list("d")).scalar()
 
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
     geo = _geography(spark, sf_dir)
@@ -108,7 +106,7 @@ def attendance(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None)
         .alias("profile_picture"),
     )
 
-    grid = roster.withColumn("d", F.explode(F.sequence(first_day, last_day))).join(days, "d", "left_semi")
+    grid = roster.withColumn("d", F.explode(days))
     joined = grid.join(daily, ["user_id", "d"], "left")
 
     fr = F.col("first_rank")

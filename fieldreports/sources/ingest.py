@@ -3,10 +3,9 @@
 Predicates such as ``trim(channel) = 'X'`` cannot reach a Parquet scan.  So the
 trimmed / lower-cased / parsed forms are computed once here as plain columns
 (``*_key``, ``type_ci``, ``date_d``) next to the raw ones; filters and reports
-use only those, and on a written table they push down as ``PushedFilters`` and
-date ranges prune by directory (``year``) and, because every file is
-sorted by ``date_d``, by Parquet row-group min/max statistics inside a year —
-month-level pruning without the small-files cost of month directories.
+use only those, and on a written table they push down as ``PushedFilters``.
+Date ranges prune by directory (``year``) and, inside a year, by file: files
+hold narrow ranges of days, so the min/max statistics of all others skip them.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldreports.functions.dates import parse_dd_mon_yy
-from fieldreports.session import scratch_path
 
 
 def year_key(d) -> "F.Column":
@@ -62,22 +60,23 @@ def write_fact(
     mode: str = "error",
     shuffle: bool = True,
 ) -> str:
-    """Write a normalised fact as Parquet partitioned by year, files sorted by day.
-
-    With ``shuffle`` (default) a ``REBALANCE(year)`` lets AQE size the write
-    tasks: small inputs coalesce into a few files, and a hot year (one year
-    holding a third of the rows) is split into advisory-size chunks instead of
-    landing in one task.  That costs one shuffle of the fact; for input that
-    already arrives in time order (append-only facts), ``shuffle=False`` lets
-    every scan task write its own files directly: no shuffle and nothing to
-    skew, at the price of up to one file per task and year.
-
-    Each task sorts its rows by (year, day), so it writes one file at a time
-    and every file is ordered by day.  Spark's commit protocol makes the write
-    safe against lost executors (failed tasks are retried; only committed task
-    output becomes visible).  The written table also cuts lineage.
+    """Write a normalised fact as Parquet by year, in files of narrow day ranges.
+
+    With ``shuffle`` (default) rows are range-partitioned by (year, day, spread),
+    ``spread`` a hash of the whole row: tasks get neighbouring days, and a hot day
+    is split over several tasks instead of landing in one.  Reading the ranges
+    costs a sampling pass over the input's last shuffle; the rows themselves are
+    shuffled once, and AQE merges small neighbours.  For input that already
+    arrives in time order (append-only facts), ``shuffle=False`` lets every scan
+    task write its own files directly.
+
+    Each task sorts its rows by (year, day), so it writes one file at a time.
+    Spark's commit protocol makes the write safe against lost executors (failed
+    tasks are retried; only committed task output becomes visible).  The written
+    table also cuts lineage.
     """
-    out = df.hint("rebalance", partition_col) if shuffle else df
+    spread = F.xxhash64(*[F.col(c) for c in df.columns])
+    out = df.repartitionByRange(partition_col, sort_col, spread) if shuffle else df
     (
         out.sortWithinPartitions(partition_col, sort_col)
         .write.mode(mode)
@@ -88,6 +87,12 @@ def write_fact(
     return path
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Has a write to ``path`` ended well (its commit left ``_SUCCESS``)?"""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -118,10 +123,3 @@ def read_jdbc(
         properties=properties or {},
     )
 
-
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a year-partitioned table under the shared checkpoint
-    folder and return a scan of it."""
-    path = scratch_path(spark, name)
-    write_fact(df, path)
-    return read_fact(spark, path)

@@ -14,6 +14,7 @@ def spark():
     from fieldreports.session import local_session
 
     s = local_session(cpus="*", shuffle_partitions=8, app="fieldreports-tests")
+    assert s.sparkContext.getCheckpointDir()
     yield s
 
 

@@ -63,15 +63,15 @@ def test_widening_never_loses_options(att):  # invariant
     assert narrow <= wide
 
 
-def test_wide_form_and_guard(att):
-    names = [f.name for f in FC.ATTENDANCE_FACETS]
+def test_wide_form(att):
+    names = [f.name for f in FC.ATTENDANCE_FACETS if f.slot]
     long = FC.facets_long(att, AttendanceFilter(region="EUROPE"))
     row = FC.facets_wide(long, names).first()
-    assert row.regions == ["EUROPE"] and row.ases == [] and row.user_ids == ["4"]
-    sizes = FC.facet_sizes(long, names).first()
-    assert sizes.n_regions == 1 and sizes.n_ases == 0
-    with pytest.raises(ValueError):
-        FC.facets_wide(FC.facets_long(att), names, max_values=2)
+    assert row.regions == ["EUROPE"] and row.ases == [] and "user_ids" not in row
+    sizes = FC.facet_sizes(long, [*names, "user_ids"]).first()
+    assert sizes.n_regions == 1 and sizes.n_ases == 0 and sizes.n_user_ids == 1
+    whole = FC.facets_wide(FC.facets_long(att), names).first()
+    assert whole.types == ["PROMOTER", "Promoter", "Supervisor"]
 
 
 def test_dimension_lists(att):

@@ -12,7 +12,7 @@ from fieldreports.functions.constants import ATTENDANCE_TYPE_ORDER
 from fieldreports.functions.numeric import pct_int, pct_tenths
 from fieldreports.operators import pivots as PV
 from fieldreports.operators import reports as RP
-from fieldreports.plans.sinks import export_name, payload_columns, payload_rows
+from fieldreports.plans.sinks import column_list, export_name, export_report, pages, payload, payload_columns, payload_rows
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +23,16 @@ def facts(spark):
     return spark.createDataFrame(rows, "t string, d string, r string, v long")
 
 
+def cell_counts(df, row, col):
+    return df.groupBy(row, col).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def crosstab(df, row, col):
+    return PV.totals_cube(cell_counts(df, row, col), row, col)
+
+
 def test_totals_match_cells(spark, facts):
-    cells = PV.cell_counts(facts, "t", "d", "t", "d")
+    cells = cell_counts(facts, "t", "d")
     out = PV.with_col_totals(cells, "d").collect()
     by_day = {}
     for r in out:
@@ -35,7 +43,7 @@ def test_totals_match_cells(spark, facts):
 
 
 def test_crosstab_cube_totals(spark, facts):
-    ct = PV.crosstab(facts, "t", "r", "t", "r").collect()
+    ct = crosstab(facts, "t", "r").collect()
     grand = [r for r in ct if r.g_t == 1 and r.g_r == 1]
     assert len(grand) == 1 and grand[0].cnt == 40
     row_totals = sum(r.cnt for r in ct if r.g_t == 0 and r.g_r == 1)
@@ -46,20 +54,25 @@ def test_crosstab_cube_totals(spark, facts):
 
 def test_crosstab_null_key_distinct_from_total(spark):
     df = spark.createDataFrame([("A", None), ("A", "X")], "t string, r string")
-    ct = PV.crosstab(df, "t", "r", "t", "r").collect()
+    ct = crosstab(df, "t", "r").collect()
     null_cell = [r for r in ct if r.r is None and r.g_r == 0 and r.g_t == 0]
     assert len(null_cell) == 1 and null_cell[0].cnt == 1
 
 
 def test_dense_grid_and_wide(spark, facts):
-    cells = PV.cell_counts(facts.where(F.col("t") != "T0"), "t", "d", "t", "d")
-    days = PV.bounded_values(cells, "d", 10)
-    dense = PV.dense_grid(cells, "t", "d", days).collect()
-    assert len(dense) == 2 * len(days)
+    cells = cell_counts(facts.where((F.col("t") != "T0") & ~((F.col("t") == "T1") & (F.col("d") == "2024-01-02"))), "t", "d")
+    days = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
+    dense = PV.dense_grid(cells, "t", "d").collect()
+    assert {(r.t, r.d) for r in dense} == {(t, d) for t in ("T1", "T2") for d in days} and len(dense) == 8
+    assert next(r.cnt for r in dense if (r.t, r.d) == ("T1", "2024-01-02")) == 0
     wide = PV.to_wide(cells, "t", "d", days).collect()
     assert sum(sum(r[d] for d in days) for r in wide) == sum(r.cnt for r in dense)
-    with pytest.raises(ValueError):
-        PV.bounded_values(cells, "d", 2)
+
+
+def test_wide_rejects_keys_that_are_not_listed(spark):
+    cells = spark.createDataFrame([("a", "2024-01-01", 2), ("a", "2024-01-02", 5)], "t string, d string, cnt long")
+    with pytest.raises(Exception, match="column key not listed: 2024-01-02"):
+        PV.to_wide(cells, "t", "d", ["2024-01-01"]).collect()
 
 
 def test_dedupe_last_wins(spark):
@@ -74,6 +87,70 @@ def test_percentages_integer_half_up(spark):
     assert got == [(125, 13), (333, 33), (0, 0), (25, 3), (0, 100)]
 
 
+def test_percentages_are_exact_for_large_totals(spark):
+    rows = [(v, t) for t in (10**15 + 7, 3 * 10**17 + 1, 9 * 10**18) for v in (1, t // 3, t // 2, t // 2000, t // 2000 + 1, t - 1, t, 3 * (t // 2000))]
+    df = spark.createDataFrame(rows, "v long, t long")
+    got = [tuple(r) for r in df.select("v", "t", pct_tenths("v", "t"), pct_int("v", "t")).collect()]
+    assert sorted(got) == sorted((v, t, (2000 * v + t) // (2 * t), (200 * v + t) // (2 * t)) for v, t in rows)
+
+
+def test_percentages_of_decimals_and_doubles(spark):
+    kind = T.DecimalType(12, 3)
+    df = spark.createDataFrame([("0.125", "1.000"), ("0.005", "10.000"), ("-0.125", "1.000"), ("1.000", "0.000")], "v string, t string")
+    df = df.select(F.col("v").cast(kind).alias("v"), F.col("t").cast(kind).alias("t"))
+    assert [r[0] for r in df.select(pct_tenths("v", "t", kind)).collect()] == [125, 1, -125, 0]
+    assert [r[0] for r in df.select(pct_int("v", "t", kind)).collect()] == [13, 0, -13, 100]
+    two = spark.createDataFrame([(0.4, 3.5), (0.6, 3.5), (2.5, 3.5)], "v double, t double")
+    assert [r[0] for r in two.select(pct_tenths("v", "t", T.DoubleType())).collect()] == [114, 171, 714]
+
+
+def test_fractional_measures_keep_their_values(spark):
+    pie = RP.pie_share(spark.createDataFrame([("a", 0.4), ("b", 0.6), ("c", 2.5), ("d", None)], "k string, v double"))
+    assert sorted(tuple(r) for r in pie.collect()) == [("a", 0.4, 114, 1), ("b", 0.6, 171, 1), ("c", 2.5, 714, 1), ("d", 0.0, 0, 0)]
+    line = RP.line_series(spark.createDataFrame([("2024-01-01", 97.6, 3)], "date string, rate double, n long"))
+    assert sorted((r.series, r.value) for r in line.collect()) == [("n", 3.0), ("rate", 97.6)]
+    days = RP.attendance_summary(spark.createDataFrame([("Present", 0.5), ("Leave", 1.0)], "`Attendance Type` string, Days double"))
+    assert sorted(tuple(r) for r in days.collect()) == [("Leave", 1.0, "day"), ("Present", 0.5, "days")]
+    top = RP.top_n_per_group(spark.createDataFrame([("R", "x", 10.2), ("R", "y", 10.9)], "region string, ase string, rate double"))
+    assert [(r["rank"], r.ase, r.value) for r in top.orderBy("rank").collect()] == [(1, "y", 10.9), (2, "x", 10.2)]
+
+
+def test_top_roles():
+    s = lambda *names: T.StructType([T.StructField(n, T.StringType()) for n in names])
+    r = RP.resolve_top_roles(s("Sales", "ASE Name", "Region"))
+    assert (r.group, r.item, r.value) == ("Region", "ASE Name", "Sales")
+    r = RP.resolve_top_roles(s("zone", "person", "amount"))
+    assert (r.group, r.item, r.value) == ("zone", "person", "amount")
+    with pytest.raises(ValueError):
+        RP.resolve_top_roles(s("a", "b"))
+
+
+def test_kpi_takes_the_first_row_returned(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 9)], "k string, n long")
+    assert {r.label: r.value for r in RP.kpi_cards(df.orderBy(F.desc("n"))).collect()} == {"k": "y", "n": "9"}
+    df.createOrReplaceTempView("kpi_rows")
+    ordered = spark.sql("SELECT n, k FROM kpi_rows ORDER BY n DESC")
+    assert {r.label: r.value for r in RP.kpi_cards(ordered).collect()} == {"k": "y", "n": "9"}
+    assert {r.label: r.value for r in RP.kpi_cards(df).collect()} == {"k": "x", "n": "1"}  # no order of its own
+
+
+def test_axis_labels(spark):
+    df = spark.createDataFrame([("2024-01-05T10:00:00", 1), ("2024-01-05", 2), ("2024-13-99T", 3), ("Jan", 4)], "date string, n long")
+    assert [r.axis for r in RP.line_series(df).orderBy("value").collect()] == ["5-Jan-24", "2024-01-05", "2024-13-99T", "Jan"]
+    day = spark.createDataFrame([(dt.date(2024, 1, 5), 1)], "date date, n long")
+    assert [(r.x, r.axis) for r in RP.line_series(day).collect()] == [("2024-01-05", "5-Jan-24")]
+
+
+def test_number_text(spark):
+    values = [45.0, 1.2345678e7, 0.5, -3.25, 0.0, 1e-7, 1.5e-7, 1e21, 123456789.125, 1e20, 0.1 + 0.2]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for style in ("attendance", "field"):
+        got = [r.x for r in RP.table_cells(df, style).orderBy(F.col("i").cast("int")).collect()]
+        assert got == ["45", "12345678", "0.5", "-3.25", "0", "1e-7", "1.5e-7", "1e+21", "123456789.125", "100000000000000000000", "0.30000000000000004"]
+    dec = spark.createDataFrame([("45.00",), ("1.50",), ("100",)], "x string").select(F.col("x").cast("decimal(10,2)").alias("x"))
+    assert [r.x for r in RP.table_cells(dec, "field").collect()] == ["45", "1.5", "100"]
+
+
 def test_ordinal_unknown_is_null(spark):
     df = spark.createDataFrame([("Present",), ("Other",), ("Mystery",)], "c string")
     got = [r.o for r in df.select(ordinal_of("c", ATTENDANCE_TYPE_ORDER).alias("o")).collect()]
@@ -127,7 +204,7 @@ def test_kpi_and_line(spark):
     assert got == {"a": "45,000", "b": "—", "c": "x", "d": "1,234.5", "e": "2"}
     daily = spark.createDataFrame([("2024-01-01", 1, 2), ("2024-01-02", 3, 4)], "date string, m long, n long")
     rows = RP.line_series(daily).collect()
-    assert len(rows) == 4 and {r.axis for r in rows} == {"1-Jan-24", "2-Jan-24"}
+    assert len(rows) == 4 and {r.axis for r in rows} == {"2024-01-01", "2024-01-02"}  # text without a time part stays
 
 
 def test_top_n_ties_and_nulls(spark):
@@ -150,6 +227,10 @@ def test_attendance_summary_and_profile(spark):
     card = RP.profile_card(prof, [F.col("Date").desc()]).collect()
     assert {r.attribute for r in card} == {"Employee ID", "User ID", "Gender", "Region", "ASE", "ZSE"}
     assert card[0].initial == "A" and card[0].picture is None and card[0].name == "Asha"
+    nine = prof.drop("Date").orderBy(F.desc("`User ID`"))
+    assert RP.profile_card(nine).first().name == "Bo"  # the first row returned
+    blank = prof.withColumn("Employee Name", F.lit(""))
+    assert {(r.name, r.initial) for r in RP.profile_card(blank.drop("Date")).collect()} == {("-", "?")}
 
 
 def test_table_cells_styles(spark):
@@ -170,6 +251,21 @@ def test_payload_and_export_name(spark):
     assert export_name("All", dt.datetime(2026, 12, 31, 14, 30), "pdf") == "All_Regions_Dashboard_31-Dec-2026_1430.pdf"
 
 
+def test_exported_report_has_the_derived_name(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long")
+    path = export_report(df, str(tmp_path), "MIDDLE EAST", dt.datetime(2026, 6, 1, 9, 5), "csv")
+    assert path == f"{tmp_path}/MIDDLE_EAST_Dashboard_1-Jun-2026_905.csv"
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(path).collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_pages_hold_every_row_in_order(spark):
+    df = spark.range(2500).orderBy(F.desc("id"))
+    got = list(pages(df, size=1000))
+    assert [len(p) for p in got] == [1000, 1000, 500]
+    assert [r["id"] for p in got for r in p] == list(range(2499, -1, -1))
+    assert payload(df)["rows"][0] == {"id": 2499} and column_list(df, "id")[-1] == 0
+
+
 def test_time_id_key_orders_like_the_pair(spark):
     rows = [
         (dt.datetime(2024, 1, 1, 10, 0, 0, 5), -7),

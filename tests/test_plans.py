@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 
 import __spark_entry__ as E
@@ -62,6 +63,29 @@ def test_daily_fixture_aggregate_is_hash_based(spark):
     assert "SortAggregate" not in p
 
 
+def test_dense_grid_is_lazy_and_scans_the_fact_once(spark, written_source):
+    written_source.attendance()
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job may run while the grid is planned")
+    try:
+        df = Q.pivot_attendance_dense(written_source)
+        assert list(status.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.collect()
+    # the cells are used three times, always as the same columns of the fact, so
+    # that two of the three exchanges are reused and one scan runs
+    text = df._jdf.queryExecution().executedPlan().toString()
+    schemas = set(re.findall(r"ReadSchema: (struct<[^>]*>)", text))
+    assert schemas == {"struct<attendance_type:string,date_d:date>"}, text
+    assert text.count("ReusedExchange") >= 2, text
+
+
+def test_dimension_guards_reach_the_scan(written_source):
+    p = plan(Q.dim_channels(written_source))
+    assert "IsNotNull(channel_key)" in p and "Not(EqualTo(channel_key,))" in p
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
