@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import store
+from fieldreports.llm.common import discard, store
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _star(large.where("u <> v").distinct())
         stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = store(stars.where("u <> v").distinct(), "edges")
+        now, old = store(stars.where("u <> v").distinct(), "edges"), now
+        discard(old)
     else:
         raise RuntimeError(f"components are still changing after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import chunks, ship, store, string_buffers
+from fieldreports.llm.common import chunks, discard, ship, store, string_buffers
 
 ORDER = 4
 BITS = 16
@@ -288,6 +288,7 @@ def fit(docs: DataFrame, most_grams: int = MOST_GRAMS) -> Models:
     sizes = {r["power"]: r["count"] for r in grams.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}
     least = next((p for p in range(64) if sum(c for q, c in sizes.items() if q >= p) <= most_grams), 63)
     got = grams.where(F.col("n") >= 2**least).toPandas()
+    discard(grams)
     if not len(got):
         return Models()
     languages, which = np.unique(got["lang"].to_numpy(dtype=str), return_inverse=True)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import Words, chunks, mix64, release, seeded, ship, store, string_buffers, windows
+from fieldreports.llm.common import Words, chunks, discard, mix64, release, seeded, ship, store, string_buffers, windows
 from fieldreports.llm.components import components
 
 SHINGLE = 5
@@ -392,7 +392,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named_heads = heads.join(least, "component").where("first_number = least").groupBy("component").agg(F.max("least").alias("least"), F.min("node").alias("head_node"))
     as_id = lambda c: F.when(c != _NO_ID, c).cast(docs.schema["doc_id"].dataType)
     out = heads.join(named_heads, "component")
-    return ids, store(
+    named_groups = store(
         out.select(
             "class",
             as_id(F.col("first_number")).alias("first_id"),
@@ -402,6 +402,8 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "group-names",
     )
+    discard(firsts, signs, shared, joined, grouped, more, sets, linked)
+    return ids, named_groups
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

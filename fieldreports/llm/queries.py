@@ -46,5 +46,53 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_packing, op4_ngram_join, op5_language_id, op6_source_mix, op7_substring_dedup, op8_quality_rules, op10_secret_scans)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_url_filters,
+        op3_packing,
+        op4_ngram_join,
+        op5_language_id,
+        op6_source_mix,
+        op7_substring_dedup,
+        op8_quality_rules,
+        op10_secret_scans,
+    )
+}
+
+WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+#: DuckDB SQL of the queries whose whole result SQL can state.  The others return
+#: what a fitted model, a tokenizer or a seeded hash decides; the tests hold them
+#: against brute force.
+ORACLE: dict[str, str] = {
+    "op4_ngram_join": f"""
+WITH RECURSIVE
+texts AS (SELECT text, min(doc_id) AS c FROM documents WHERE text IS NOT NULL GROUP BY text),
+split AS (SELECT c, {WORDS} AS w FROM texts),
+shingles AS (
+  SELECT DISTINCT c, k FROM (
+    SELECT c, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS k
+    FROM split) s),
+sizes AS (SELECT c, count(*) AS n FROM shingles GROUP BY c),
+pairs AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.k = b.k AND a.c < b.c GROUP BY a.c, b.c),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.c = a JOIN sizes y ON y.c = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c AS x, c AS y FROM texts UNION SELECT r.x, w.b FROM reach r JOIN ways w ON r.y = w.a),
+classes AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(g.class_id, d.doc_id) AS class_id, (SELECT count(*) FROM ways w WHERE w.a = t.c) AS n_links, coalesce(t.c, d.doc_id) AS copy_of
+FROM documents d LEFT JOIN texts t ON t.text = d.text LEFT JOIN classes g ON g.x = t.c
+""",
+    "op7_substring_dedup": f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("text", "coalesce(text, '')", 1)} AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35) s),
+repeats AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM windows) s WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + j AS p FROM (SELECT r, i, unnest(range(0, 35)) AS j FROM repeats) s),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.p) AS text, count(*) AS n FROM words w LEFT JOIN gone g ON g.r = w.r AND g.p = w.p WHERE g.p IS NULL GROUP BY w.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON kept.r = split.r
+""",
+}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fieldreports.llm.common import Words, chunks, mix64, release, ship, store, string_buffers, windows
+from fieldreports.llm.common import Words, chunks, discard, mix64, release, ship, store, string_buffers, windows
 
 WINDOW = 35
 BLOCK = 18
@@ -178,7 +178,10 @@ def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> Data
 
     sent = rows.select("row1", "row2", "text", "hits").mapInArrow(send, _SENT)
     answers = store(sent.groupBy("bucket").applyInArrow(answer, _ANSWER), "answers")
-    return answers.groupBy("unit").applyInArrow(by_row, "row1 long, row2 long, found binary").dropDuplicates(["row1", "row2"])
+    found = store(answers.groupBy("unit").applyInArrow(by_row, "row1 long, row2 long, found binary").dropDuplicates(["row1", "row2"]), "found")
+    discard(answers)
+    release(rows.sparkSession)
+    return found
 
 
 def _digest(words: list[bytes]) -> str:
@@ -198,8 +201,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
 
-    hits = store(_occurring_twice(rows, buckets, _block_windows, True), "hits")
-    release(spark)
+    hits = _occurring_twice(rows, buckets, _block_windows, True)
 
     id_type = docs.schema["doc_id"].dataType
     done = f"doc_id {id_type.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -219,6 +221,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     joined = rows.drop("hits").join(hits.withColumnRenamed("found", "hits"), ["row1", "row2"], "left").select("doc_id", "text", "row1", "row2", "hits")
     halfway = store(joined.mapInArrow(split, f"{done}, row1 long, row2 long, text string, hits binary"), "halfway")
+    discard(hits)
     release(spark)
 
     pending = halfway.where(F.col("n_removed").isNull()).select("doc_id", "row1", "row2", "text", "hits")

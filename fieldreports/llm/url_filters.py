@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import chunks, ship, string_buffers
+from fieldreports.llm.common import chunks, discard, ship, store, string_buffers
 
 ORDER = 5
 MOST_GRAMS = 500_000
@@ -177,13 +177,12 @@ def fit(judged: DataFrame) -> Model:
                     keys, n = np.unique(packed[good[i:j][url] == side], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), side, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["good", "gram", "n"])
 
-    from fieldreports.llm.common import store
-
     grams = store(covered.where(~held).mapInArrow(count, "good int, gram long, n long").groupBy("good", "gram").agg(F.sum("n").alias("n")), "url-grams")
     # how many entries have at least 1, 2, 4, ... occurrences: at most 63 rows
     sizes = {r["power"]: r["count"] for r in grams.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}
     least = next((p for p in range(64) if sum(c for q, c in sizes.items() if q >= p) <= MOST_GRAMS), 63)
     got = grams.where(F.col("n") >= 2**least).toPandas()
+    discard(grams)
     sides = [got[got["good"] == s] for s in (0, 1)]
     if any(len(s) == 0 for s in sides):
         return Model()
