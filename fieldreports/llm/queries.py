@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, language_id, ngram_join, packing, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
+from fieldreports.llm import fingerprints, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
 from fieldreports.llm.common import read
 
 
@@ -42,6 +42,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_classifier.resample(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -57,6 +62,7 @@ QUERIES = {
         op6_source_mix,
         op7_substring_dedup,
         op8_quality_rules,
+        op9_importance_resampling,
         op10_secret_scans,
     )
 }

@@ -553,3 +553,62 @@ def test_redaction_replaces_spans_only(hard, rows):
     assert got[14]["text"].startswith("my [secret]") and "abcDEF123456" not in got[14]["text"]
     assert got[14]["n_chars"] == len(got[14]["text"])
     assert got[0]["text"] == rows[0][1] and got[4]["text"] is None and len(out.collect()) == len(rows)
+
+
+# ------------------------------------------------------------ importance resampling
+
+
+def test_resampling_takes_the_largest_keys(spark):
+    got = queries.op9_importance_resampling(spark, SF_SMALL).collect()
+    k = sum(r["kept"] for r in got)
+    order = sorted(got, key=lambda r: (-r["key"], r["doc_id"]))
+    assert {r["doc_id"] for r in order[:k]} == {r["doc_id"] for r in got if r["kept"]}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    assert k == round(sum(labels.values()) / len(labels) * len(got))
+
+
+def test_weights_are_sums_of_log_ratios(hard, rows):
+    from fieldreports.llm import quality_classifier as qc
+    from fieldreports.llm.common import Words, mix64, windows
+
+    ratios = np.random.default_rng(0).normal(size=qc.BUCKETS)
+    got = Counter((r["doc_id"], None if r["log_weight"] is None else round(r["log_weight"], 6)) for r in qc.weigh(hard, ratios).collect())
+    expected = Counter()
+    for r in rows:
+        raw = np.frombuffer((r[1] or "").encode(), np.uint8)
+        if not words(r[1]):
+            expected[r[0], None] += 1
+            continue
+        pairs = windows(Words(raw, np.array([0, len(raw)])).hash, np.array([0, len(words(r[1]))]), 2)[0]
+        half = qc.BUCKETS // 2
+        runs = [int(mix64(np.array([raw[i] | raw[i + 1].astype(int) << 8 | raw[i + 2].astype(int) << 16], np.uint64))[0]) % half for i in range(len(raw) - 2)]
+        expected[r[0], round(float(ratios[runs + [int(p) % half + half for p in pairs]].sum()), 6)] += 1
+    assert got == expected
+
+
+def test_resampled_documents_are_the_good_ones(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op9_importance_resampling(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
+    assert np.mean([r["kept"] for r in got if r["quality"] == 0]) < 0.2
+
+
+def test_resampling_of_hard_cases(hard, hard_dir, spark, rows):
+    from fieldreports.llm import quality_classifier as qc
+
+    got = qc.resample(hard, spark.read.parquet(f"{hard_dir}/labels.parquet"), k=7).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 7
+    assert all(not r["kept"] for r in got if r["log_weight"] is None)
+    assert sum(r["kept"] for r in qc.resample(hard, spark.read.parquet(f"{hard_dir}/labels.parquet"), k=1000).collect()) == sum(bool(words(r[1])) for r in rows)
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 37, 199, 200, 500])
+def test_top_k_with_ties(spark, k):
+    from fieldreports.llm.quality_classifier import top_k
+
+    r = np.random.default_rng(k)
+    values = [float(v) for v in r.choice([1.0, 1.0 + 2**-52, -5.0, 3.25, 1e9, 7.0], 120)] + [float(v) for v in r.normal(size=80)] + [None] * 5
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, key double")
+    got = top_k(df, "key", k, "doc_id").collect()
+    order = sorted((x for x in enumerate(values) if x[1] is not None), key=lambda x: (-x[1], x[0]))
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, _ in order[:k]} and len(got) == len(values)
