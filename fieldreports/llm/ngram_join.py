@@ -43,7 +43,7 @@ LANES = 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK_CLASSES = 512
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 200_000
 
 _NO_ID = -(2**63)
 
@@ -333,7 +333,10 @@ def _linked(batches):
 
 
 def _sorted_groups(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    return df.select(key, "side", *columns).repartition(key).sortWithinPartitions(key)
+    # a fixed number of partitions: the work of a group grows with its square, so
+    # tasks must not be merged by their bytes
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, "side", *columns).repartition(n, key).sortWithinPartitions(key)
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
