@@ -15,6 +15,8 @@ windows.  The steps:
    by its full 64-bit hash, and those that occur twice are repeats; neighbouring
    ones join to the maximal exact repeats.
 
+A task that sees a window twice itself marks its places at once and sends only
+one of them, so copies in one file and hot passages add little to the shuffle.
 A short key that agrees by chance only adds a window to step 2.  A bucket gets a
 bounded number of windows, as there are more buckets for more words; windows of
 one hot passage or of many copies have different hashes and spread over the
@@ -62,6 +64,22 @@ def _packed(unit: int, buckets: int, hashes, at, flags, short: bool):
         yield int(bucket[i]), unit, keys[i:j].tobytes(), low[i:j].tobytes(), high[i:j].tobytes(), None, None, None
 
 
+def _found_here(hashes: np.ndarray, at: np.ndarray, flags: np.ndarray):
+    """Places of windows that a unit settles itself, and what is left to send:
+    of windows that occur twice, one of them flagged, a flagged one is sent."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
+    size = np.diff(np.append(new, len(order)))
+    settled = (size > 1) & np.logical_or.reduceat(flags[order], new) if len(new) else np.zeros(0, bool)
+    places = at[order][np.repeat(settled, size)]
+    send = np.repeat(~settled, size)
+    send[new] = True
+    flags = flags.copy()
+    flags[order[new[settled]]] = True
+    kept = np.sort(order[send])
+    return places.astype(np.uint32), hashes[kept], at[kept], flags[kept]
+
+
 def _record(rows, schema: str, types):
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split(" ")[0] for c in schema.split(", ")])
@@ -116,8 +134,9 @@ def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> Data
             if not waiting:
                 return
             hashes, at, flags, row1, row2, n = (np.concatenate([w[i] for w in waiting]) for i in range(6))
+            places, hashes, at, flags = _found_here(hashes, at, flags)
             out = list(_packed(unit, buckets, hashes, at, flags, short))
-            out.append((unit % buckets, unit, None, None, None, row1.tobytes(), row2.tobytes(), n.astype(np.uint32).tobytes()))
+            out.append((unit % buckets, unit, None, places.tobytes(), None, row1.tobytes(), row2.tobytes(), n.astype(np.uint32).tobytes()))
             unit, waiting, base = unit + 1, [], 0
             for i in range(0, len(out), 256):
                 yield _record(out[i : i + 256], _SENT, _SENT_TYPES)
@@ -138,7 +157,7 @@ def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> Data
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         full = [r for r in rows if r["keys"] is not None]
-        out = [(r["unit"], None, r["row1"], r["row2"], r["words"]) for r in rows if r["keys"] is None]
+        out = [(r["unit"], r["low"], r["row1"], r["row2"], r["words"]) for r in rows if r["keys"] is None]
         if full:
             keys = np.frombuffer(b"".join(r["keys"] for r in full), np.uint32 if short else np.uint64)
             flags = (keys & keys.dtype.type(1)).astype(bool) if short else np.ones(len(keys), bool)
@@ -166,9 +185,9 @@ def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> Data
         held = next((r for r in rows if r["words"] is not None), None)
         found = [np.frombuffer(r["found"], np.uint32) for r in rows if r["found"] is not None]
         empty = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["row1", "row2", "found"])
-        if not found:
+        if held is None or not any(map(len, found)):
             return empty
-        places = np.sort(np.concatenate(found)).astype(np.int64)
+        places = np.unique(np.concatenate(found)).astype(np.int64)
         first = np.concatenate(([0], np.cumsum(np.frombuffer(held["words"], np.uint32), dtype=np.int64)))
         cut = np.searchsorted(places, first)
         some = np.flatnonzero(np.diff(cut))
