@@ -53,7 +53,8 @@ def _reduced(points: np.ndarray) -> np.ndarray:
         for c in np.unique(points[new]).tolist():
             ch = chr(c)
             low = ch.lower() if ch.isalpha() else " "
-            table[c] = (ord(low[0]) & 0xFFFF) if low != " " else SPACE
+            folded = ord(low[0]) & 0xFFFF
+            table[c] = SPACE if low == " " else folded if folded != SPACE else 0xFFFE
         out = table[points]
     return out
 
