@@ -79,7 +79,7 @@ def main() -> None:
         "# Physical plans of the registered queries",
         "",
         f"Generated by `tools/plan_report.py` over the facts written from `{sf_dir}` "
-        "(year-partitioned, day-sorted Parquet), after each query ran, so the adaptive "
+        "(Parquet by year, in files of narrow day ranges), after each query ran, so the adaptive "
         "plan is final. Counts are operators in the final plan (small dimension-free "
         "report tables: most queries are one partial aggregate, one hash shuffle and a "
         "final aggregate).",
@@ -102,13 +102,14 @@ def main() -> None:
         "over the cell frame (categories x days), not over fact rows.",
         "- `single-partition` exchanges are global aggregates after a partial aggregate (one row "
         "per map task): the share total, key figures, facet sizes.",
-        "- `range shuffles` are the `ORDER BY` of dimension lists and of the category domain. They "
-        "run over distinct values, after the distinct.",
+        "- `range shuffles` are the `ORDER BY` of dimension lists, of the category domain and of "
+        "reports in display order. They run over distinct values or report cells.",
         "- Top-10 runs a partial `WindowGroupLimit` before its shuffle and a final one after it.",
-        "- No registered query has a sort aggregate, a sort-merge join over the written facts, a "
-        "cartesian product or a Python node (`tests/test_plans.py`).",
+        "- No registered query has a sort aggregate, a sort-merge join of fact rows, a "
+        "cartesian product or a Python node (`tests/test_plans.py`); the joins of the dense grid and of "
+        "a stored widget run over aggregated cells.",
         "- Pushed filters use the normalised key columns; date ranges add `year` partition filters, "
-        "and the day-sorted files let row-group statistics skip days inside a year.",
+        "and files of narrow day ranges let min/max statistics skip all others inside a year.",
         "",
     ]
     out += ["## Plan excerpts", ""]
