@@ -26,6 +26,7 @@ Groups are named by their smallest ``doc_id`` (nulls first).
 
 from __future__ import annotations
 
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -88,14 +89,15 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return mix64(lanes ^ seeded(6, lanes.shape[1])).view(np.int64)
 
 
-def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> list[int]:
+@cache
+def least_matches(threshold: float = THRESHOLD[0] / THRESHOLD[1], tolerance: float = TOLERANCE) -> tuple[int, ...]:
     """For STEP, 2 STEP, ... compared values: the fewest agreeing ones for which
     the posterior (Beta, uniform prior) still gives the threshold a chance of ``tolerance``."""
 
     def chance(m: int, n: int) -> float:  # P(S >= t) = P(Binomial(n + 1, t) <= m)
         return sum(comb(n + 1, k) * threshold**k * (1 - threshold) ** (n + 1 - k) for k in range(m + 1))
 
-    return [next(m for m in range(n + 1) if chance(m, n) >= tolerance) for n in range(STEP, HASHES + 1, STEP)]
+    return tuple(next(m for m in range(n + 1) if chance(m, n) >= tolerance) for n in range(STEP, HASHES + 1, STEP))
 
 
 def survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
