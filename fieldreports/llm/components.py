@@ -15,9 +15,22 @@ from pyspark.sql import functions as F
 
 from fieldreports.llm.common import discard, store
 
+#: Edges in a partition: a small graph has one, and then needs no shuffle at all.
+EDGES_PER_PARTITION = 100_000
+
+
+def _sized(edges: DataFrame) -> DataFrame:
+    """The edges in as many partitions as their number asks for."""
+    return edges.coalesce(max(1, -(-edges.count() // EDGES_PER_PARTITION)))
+
+
+def _rows(df: DataFrame, *rows: tuple[str, str]) -> DataFrame:
+    """Several rows (u, v) of each one, in its own partition."""
+    return df.select(F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in rows])))
+
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """Each row (u, v) becomes (v, m), m the smallest node around u, u included."""
+    """Each row (u, v) becomes (u, v, m), m the smallest node around u, u included."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return pairs.join(least, "u").select("u", "v", "m")
 
@@ -27,22 +40,22 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     named by its smallest node."""
     now = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        if _are_stars(now):
+        sized = _sized(now)
+        if _are_stars(sized):
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _star(large.where("u <> v").distinct())
-        stars = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now, old = store(stars.where("u <> v").distinct(), "edges"), now
+        large = _star(_rows(sized, ("u", "v"), ("v", "u"))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _rows(_star(large), ("v", "m"), ("u", "m"))
+        now, old = store(small.where("u <> v").distinct(), "edges"), now
         discard(old)
     else:
         raise RuntimeError(f"components are still changing after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    """Has every node one smaller neighbour at most, and is no such neighbour a
-    larger one elsewhere?  Each node then counts once, on one side of its edges."""
-    sides = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), "n").unionByName(edges.select("v").distinct().select(F.col("v").alias("x"), F.lit(0).cast("long").alias("n")))
-    twice = sides.groupBy("x").agg(F.count(F.lit(1)).alias("sides"), F.max("n").alias("n"))
-    return twice.where("sides > 1 or n > 1").isEmpty()
+    """Has every node one smaller neighbour at most, and is no node with one the
+    smaller neighbour of another?"""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
