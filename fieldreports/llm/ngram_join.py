@@ -223,14 +223,18 @@ def _edges(key: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(first: int, last: int, side: np.ndarray, most: int = 1 << 19):
-    """Pairs (i < j) of a group's rows, in parts; across sides where it has two."""
+    """Pairs (i < j) of a group's rows, in parts.  Sides 1 and 2 are those of two
+    different blocks: only pairs across them, so none if one block is empty."""
     n = last - first
+    apart = side[first:last].max() > 0
+    if apart and (side[first:last] == side[first]).all():
+        return
     rows = max(1, most // n)
     for r in range(0, n, rows):
         i, j = np.meshgrid(np.arange(r, min(r + rows, n)), np.arange(n), indexing="ij")
         ok = i < j
         i, j = i[ok] + first, j[ok] + first
-        if side[first:last].max() > 0:
+        if apart:
             ok = side[i] != side[j]
             i, j = i[ok], j[ok]
         if len(i):
@@ -240,13 +244,12 @@ def _pairs_of(first: int, last: int, side: np.ndarray, most: int = 1 << 19):
 def _blocks(df: DataFrame, key: str, name: str, n_blocks: Column) -> DataFrame:
     """Deals the rows of each key into blocks and pairs of blocks.
 
-    Adds ``name``, one number for (key, pair of blocks), and ``side`` (0 or 1 of
+    Adds ``name``, one number for (key, pair of blocks), and ``side`` (1 or 2 of
     a pair of different blocks, 0 in a block with itself)."""
     blocks = df.withColumn("_n", F.greatest(n_blocks, F.lit(1)).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_n")).cast("int"))
     paired = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return paired.select(
-        F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias(name), (F.col("_mine") > F.col("_other")).cast("int").alias("side"), *df.columns
-    )
+    side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2)
+    return paired.select(F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias(name), side.alias("side"), *df.columns)
 
 
 class _Forest:

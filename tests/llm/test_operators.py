@@ -268,6 +268,20 @@ def test_near_groups_of_chains_and_blocks(spark, monkeypatch, blocks):
     assert ordered(got) == ordered(near_groups(rows))
 
 
+def test_links_where_blocks_hold_no_class(spark, monkeypatch):
+    # blocks of fewer shingles than one text: about as many blocks as classes, some of them empty
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 100)
+    rows = chain_documents()[:12]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "copy_of").collect()
+    assert ordered(got) == ordered(near_groups(rows))
+
+
+def test_pairs_of_two_blocks_are_across_them():
+    for side, n in (([0, 0, 0], 3), ([1, 1, 1], 0), ([2, 2], 0), ([1, 2, 1], 2)):
+        assert sum(len(i) for i, _ in ngram_join._pairs_of(0, len(side), np.array(side))) == n
+
+
 def test_one_document_of_each_group_stays(hard, rows):
     kept = ngram_join.keep_first(hard)
     assert kept.columns == hard.columns
