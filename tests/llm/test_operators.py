@@ -182,6 +182,19 @@ def test_packing_of_given_documents(spark, given):
     assert made <= 1.01 * least + 1
 
 
+def test_pieces_of_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is, without other settings
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext", "a" + " " * 1_000_001 + "b", "\n" * 1_000_001]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in packing.pieces(docs, 1 << 21).select("doc_id", "length", "ids_crc32").collect()}
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, packing.END_ID], "<u4") for x in texts]
+    assert got == {(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_use_every_piece_once(seed):
     r = np.random.default_rng(seed)
