@@ -8,8 +8,8 @@ covered urls which the models did not see.
 
 The model keeps contexts of up to ``ORDER`` characters and mixes each order with
 the next lower one by the number of different characters seen after the context
-(Witten-Bell).  Contexts seen rarely are cut by the smallest count that leaves at
-most ``MOST_GRAMS`` entries, which bounds what is sent to the tasks.
+(Witten-Bell).  Every gram of both sides is kept; what is sent to the tasks grows
+with the distinct grams of the covered urls.
 
 Defined results: a null url, or one without ``://``, has an empty host and path;
 an empty url scores 0.  Without urls of both kinds the method accepts.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from fieldreports.llm.common import chunks, discard, ship, store, string_buffers
 
 ORDER = 5
-MOST_GRAMS = 500_000
 BITS = 6
 HELD_OUT = 5  # one in so many covered urls calibrates the threshold
 SCORE_BINS = 400
@@ -178,10 +177,7 @@ def fit(judged: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), side, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["good", "gram", "n"])
 
     grams = store(covered.where(~held).mapInArrow(count, "good int, gram long, n long").groupBy("good", "gram").agg(F.sum("n").alias("n")), "url-grams")
-    # how many entries have at least 1, 2, 4, ... occurrences: at most 63 rows
-    sizes = {r["power"]: r["count"] for r in grams.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}
-    least = next((p for p in range(64) if sum(c for q, c in sizes.items() if q >= p) <= MOST_GRAMS), 63)
-    got = grams.where(F.col("n") >= 2**least).toPandas()
+    got = grams.toPandas()
     discard(grams)
     sides = [got[got["good"] == s] for s in (0, 1)]
     if any(len(s) == 0 for s in sides):

@@ -133,6 +133,23 @@ def test_models_separate_the_covered_urls(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
 
 
+def test_url_models_keep_every_gram(spark):
+    r = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz/-_?=&#%:~+@,;!"))
+    word = lambda n: "".join(r.choice(letters, n))
+    urls = ["http://a.com/" + word(40) for _ in range(20_000)] + ["http://net/es/" + word(20) for _ in range(30)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    rule, said = url_filters.rule_of(*url_filters.host_and_path(F.col("url")))
+    judged = pages.withColumn("rule", rule).withColumn("verdict", said)
+    model = url_filters.fit(judged)
+    learned = judged.where(F.pmod(F.xxhash64("url", F.lit(2)), F.lit(url_filters.HELD_OUT)) != 0)
+    length = {x["verdict"]: x["n"] for x in learned.groupBy("verdict").agg(F.sum(F.length("url")).alias("n")).collect()}
+    grams = model.accepted.orders[-1].grams, model.rejected.orders[-1].grams
+    assert sum(map(len, grams)) > 500_000
+    assert model.accepted.orders[0].totals.sum() == length["allow"]
+    assert model.rejected.orders[0].totals.sum() == length["block"]
+
+
 def test_markov_probabilities_sum_to_one():
     raw = np.frombuffer(b"http://abc.com/abcabc", np.uint8)
     packed, _ = url_filters._grams(raw, np.array([0, len(raw)]))
