@@ -28,7 +28,6 @@ from fieldreports.llm.common import chunks, discard, ship, store, string_buffers
 
 ORDER = 4
 BITS = 16
-MOST_GRAMS = 1_000_000
 CALIBRATES = 10  # one in so many training documents
 SPACE = 32
 UNKNOWN = "und"
@@ -252,7 +251,7 @@ def _predictions(batches, models: Models):
 def predict(docs: DataFrame, models: Models, *carry: str) -> DataFrame:
     """The columns ``carry`` with ``lang_pred, score, lead, entropy`` (no shuffle)."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # at most MOST_GRAMS entries a language
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # grows with the distinct grams of the corpus
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     return docs.select(F.col("text").cast("string").alias("text"), *carry).mapInArrow(
         lambda b: _predictions(b, sent.value), f"{kept}lang_pred string, score double, lead double, entropy double"
@@ -276,19 +275,17 @@ def _platt(right: np.ndarray, wrong: np.ndarray, x: np.ndarray) -> tuple[float,
     return a, b
 
 
-def fit(docs: DataFrame, most_grams: int = MOST_GRAMS) -> Models:
+def fit(docs: DataFrame) -> Models:
     """Models from all documents that train (``doc_id, text, lang``).
 
-    The grams of all languages are cut by the smallest count that leaves at most
-    ``most_grams`` entries; the calibration reads histograms only.
+    Every gram that occurs is kept, so discounts and continuation counts are those
+    of the corpus; the calibration reads histograms only.
     """
     ship(docs.sparkSession)
     counts_it, calibrates = _train_part(F.col("doc_id"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     grams = store(usable.where(counts_it).select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    sizes = {r["power"]: r["count"] for r in grams.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}
-    least = next((p for p in range(64) if sum(c for q, c in sizes.items() if q >= p) <= most_grams), 63)
-    got = grams.where(F.col("n") >= 2**least).toPandas()
+    got = grams.toPandas()
     discard(grams)
     if not len(got):
         return Models()

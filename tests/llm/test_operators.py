@@ -386,6 +386,20 @@ def test_held_out_accuracy(spark):
     assert right / n > 0.98
 
 
+def test_a_rare_language_stays_beside_many_grams(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, "".join(map(chr, r.integers(0x4E00, 0x9FA5, 20_000))), "zh") for i in range(120)]
+    rows += [(1000 + i, prose(i, 8), "rare") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8).cache()
+    models = language_id.fit(docs)
+    assert models.languages == ("rare", "zh")
+    trains = docs.where(language_id._train_part(F.col("doc_id"))[0]).select("text", "lang")
+    grams = trains.mapInArrow(language_id._count_grams, "lang string, gram long, n long").select("gram").distinct().count()
+    assert grams > 1_000_000 and len(models.keys[-1]) == grams
+    got = language_id.predict(docs.where("doc_id >= 1000"), models, "doc_id").collect()
+    assert all(x["lang_pred"] == "rare" for x in got)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     texts = [prose(1, 200), prose(2, 200, ("ña", "lo", "que", "el", "ción"))]
     which, grams, counts = [], [], []
