@@ -112,12 +112,26 @@ def _length_bin(n: Column) -> Column:
     return F.least(F.floor(n / 8), F.lit(16)).cast("int")
 
 
+def _outside_base(text: Column) -> Column:
+    """The text with every character of a base span replaced by a space."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        add = F.concat(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+
+    masked = F.aggregate("base", zero, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size("base") > 0, masked).otherwise(text)
+
+
 def with_runs(docs: DataFrame) -> DataFrame:
-    """Adds ``runs``: spans that touch no base span, with the battery's results."""
+    """Adds ``runs``: spans outside the base spans, with the battery's results.
+    Of a run that a base span cuts, each part of 20 characters and more is judged."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     judged = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), battery(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("test"))
-    return docs.withColumn("runs", F.transform(F.filter(_found(text, RUN, 3), free), judged))
+    found = docs.withColumn("outside", _outside_base(text)).withColumn("found_runs", _found(F.col("outside"), RUN, 3))
+    return found.withColumn("runs", F.transform("found_runs", judged)).drop("outside", "found_runs")
 
 
 def _word_like_passes(alpha: float, n: Column, encoding: Column) -> Column:

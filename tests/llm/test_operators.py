@@ -604,6 +604,23 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert extra <= 2
 
 
+def test_parts_of_runs_around_base_spans_are_judged(spark):
+    import base64
+
+    r = np.random.default_rng(6)
+    keys = [base64.b64encode(r.bytes(30)).decode() for _ in range(60)]
+    rows = [(i, f"see {k}{'0123456789abcdef' * 2}_ and AKIA{'A1' * 8} {prose(i, 30)}") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: [tuple(p.split(":")) for p in x["spans"].split(",")] for x in secret_scans.digests(docs).collect()}
+    hits = 0
+    for i, text in rows:
+        base = {(s, e) for s, _, e in base_spans(text)}
+        added = {(int(s), int(e)) for k, s, e in found[i] if k == "random"}
+        assert all(e <= b or f <= s for s, e in added for b, f in base)
+        hits += any(s == 4 and e == min(b for b, _ in base) for s, e in added)
+    assert hits >= 54
+
+
 def test_redaction_replaces_spans_only(hard, rows):
     out = secret_scans.redact(hard)
     assert out.dtypes == hard.dtypes
