@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldreports.llm import fingerprints, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scans, source_mix, substring_dedup, url_filters
+from fieldreports.llm import fingerprints, language_id, lexical_search, license_scans, ngram_join, packing, quality_classifier, quality_rules
+from fieldreports.llm import secret_scans, source_mix, spelling_variants, substring_dedup, url_filters
 from fieldreports.llm.common import read
 
 
@@ -51,6 +52,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.labelled(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,11 +77,19 @@ QUERIES = {
         op8_quality_rules,
         op9_importance_resampling,
         op10_secret_scans,
+        op11_license_scans,
+        op12_lexical_search,
+        op13_spelling_variants,
     )
 }
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
+TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
 #: DuckDB SQL of the queries whose whole result SQL can state.  The others return
 #: what a fitted model, a tokenizer or a seeded hash decides; the tests hold them
 #: against brute force.
@@ -100,5 +121,22 @@ words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM sp
 kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.p) AS text, count(*) AS n FROM words w LEFT JOIN gone g ON g.r = w.r AND g.p = w.p WHERE g.p IS NULL GROUP BY w.r)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept ON kept.r = split.r
+""",
+    "op12_lexical_search": f"""
+WITH
+docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+held AS (SELECT r, doc_id, t, len(t) AS n FROM docs WHERE len(t) > 0),
+sums AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM held),
+tfs AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM held) s GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, sums GROUP BY term, nn),
+asked AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark) b),
+items AS (SELECT i, item_id, term, count(*) AS often FROM (SELECT i, item_id, unnest({TERMS}) AS term FROM asked) s GROUP BY i, item_id, term),
+scores AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * nn) // ll)))))::BIGINT AS score
+  FROM items JOIN tfs USING (term) JOIN weights USING (term), sums GROUP BY i, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) s
+WHERE rank <= 10
 """,
 }

@@ -59,6 +59,12 @@ def hard_documents() -> list[tuple]:
     return rows
 
 
+def hard_items() -> list[tuple]:
+    """``item_id, text, doc_id``: null, empty, repeated, one id with two texts, terms no document has."""
+    texts = [prose(2, 20), None, "", "one TWO two", "zzzzqqqq", "éñß \U0001f600 12 34", prose(8, 50), prose(1, 40)]
+    return [(i, t, 1) for i, t in enumerate(texts)] + [(3, "one TWO two", 1), (3, "tha ne", 2), (None, "one same line", 3)]
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, `class` string, text2 string"
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from .cases import SCHEMA, hard_documents
+from .cases import SCHEMA, hard_documents, hard_items
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +15,7 @@ def hard_dir(spark, tmp_path_factory):
     spark.createDataFrame(hard_documents(), SCHEMA).repartition(3).write.parquet(f"{base}/documents.parquet")
     labels = [(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, None), (999, 1, 1)] + [(i, int(i != 10), 0) for i in range(5, 20)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame(hard_items(), "item_id long, text string, doc_id int").write.parquet(f"{base}/benchmark.parquet")
     return base
 
 
@@ -23,6 +24,7 @@ def empty_dir(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{base}/pages.parquet")
     return base
 
