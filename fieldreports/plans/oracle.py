@@ -523,6 +523,26 @@ WHERE region IS NOT NULL AND trim(zse) = 'NATION_7' GROUP BY region
 SELECT trim(tier) AS tier, count(*) AS cnt FROM vis
 WHERE trim(tier) IN ('Tier-N', 'Tier-R') AND date_d >= DATE '1996-01-01' AND date_d <= DATE '1997-06-30' AND ase_ho_id ILIKE '%2%'
 GROUP BY trim(tier)
+"""
+    ),
+    "stored_widget_raw_subquery": _a(
+        """
+SELECT region, count(*) AS cnt FROM att
+WHERE lower(trim(type)) IN ('promoter', 'supervisor') AND attendance_date >= DATE '2024-01-10' AND attendance_date <= DATE '2024-01-20'
+GROUP BY region
+"""
+    ),
+    "stored_widget_text_day": _v(
+        """
+SELECT region, trim(channel) AS channel, count(*) AS cnt FROM vis
+WHERE trim(date_txt) = '15-Mar-97' AND trim(tier) IN ('Tier-N', 'Tier-R', 'Tier-A') GROUP BY region, trim(channel)
+"""
+    ),
+    "stored_widget_joined": _v(
+        """
+SELECT region, count(*) AS all_visits,
+       count(*) FILTER (WHERE trim(channel) IN ('PROMO', 'ECONOMY') AND date_d >= DATE '1995-03-01' AND date_d <= DATE '1995-08-31') AS picked
+FROM vis WHERE region IS NOT NULL GROUP BY region HAVING picked > 0
 """
     ),
     "payload_rows": _a(

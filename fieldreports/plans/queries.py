@@ -467,6 +467,11 @@ STORED_ATTENDANCE = (
         "SELECT region, count(*) AS cnt, 'attendance_fact {region_filter}' AS source FROM attendance_fact "
         "WHERE region <> 'attendance_fact' {zse_filter} {ase_filter} /* attendance_fact {zse_filter} */ GROUP BY region",
     ),
+    _stored(
+        26,
+        "SELECT region, count(*) AS cnt FROM (SELECT region, type, attendance_date FROM attendance_fact) AS s "
+        "WHERE 1=1 {date_filter} {type_filter} GROUP BY region",
+    ),
     {"id": 25, "widget_name": "Broken", "chart_type": "pie", "display_order": 9, "is_active": True, "sql_query": "SELECT nothing FROM nowhere"},
 )
 STORED_VISITS = (
@@ -476,10 +481,25 @@ STORED_VISITS = (
         "WHERE 1=1 {region_filter} {tier_filter} {channel_filter} {date_filter} {user_filter} GROUP BY trim(tier)",
     ),
 )
+STORED_VISITS += (
+    _stored(
+        32,
+        "SELECT s.region, trim(s.channel) AS channel, count(*) AS cnt FROM (SELECT f.*, upper(tier) AS loud FROM visit_fact f) AS s "
+        "WHERE 1=1 {date_filter} {tier_filter} {zse_filter} GROUP BY s.region, trim(s.channel)",
+    ),
+    _stored(
+        33,
+        "SELECT a.region, a.n AS all_visits, b.n AS picked FROM (SELECT region, count(*) AS n FROM visit_fact GROUP BY region) AS a "
+        "JOIN (SELECT region, count(*) AS n FROM visit_fact WHERE 1=1 {date_filter} {channel_filter} GROUP BY region) AS b ON a.region = b.region",
+    ),
+)
 SPEC_STORED = AttendanceFilter(types=("promoter",), date_from="2024-01-10", date_to="2024-01-20")
 SPEC_STORED_SHARE = AttendanceFilter(region="ASIA", types=("Promoter ", "supervisor"), date_from="2024-01-10")
 SPEC_STORED_LISTS = AttendanceFilter(channels=(" AUTOMOBILE", "BUILDING"), atypes=("Present", "Leave"), date_to="2024-01-20", user_id="1")
 SPEC_STORED_PLAIN = AttendanceFilter(region="EUROPE", zse="NATION_7", ase="All")
+SPEC_STORED_RANGE = AttendanceFilter(types=("promoter", "SUPERVISOR"), date_from="2024-01-10", date_to="2024-01-20")
+SPEC_STORED_TEXT_DAY = VisitFilter(date=" 15-Mar-97", tiers=("Tier-N", "Tier-R", "Tier-A"))
+SPEC_STORED_SPAN = VisitFilter(channels=("PROMO", "ECONOMY"), date_from="1995-03-01", date_to="1995-08-31")
 SPEC_STORED_VISITS = VisitFilter(tiers=("Tier-N", "Tier-R"), date_from="1996-01-01", date_to="1997-06-30", user_id="2")
 
 
@@ -509,10 +529,29 @@ def stored_widget_literal(src):
     return _stored_data(src, 24, SPEC_STORED_PLAIN)
 
 
+def _stored_visits(src, widget_id: int, spec) -> DataFrame:
+    widgets = registry.widgets_from_catalog(STORED_VISITS, "visit_fact", "field")
+    return registry.widget_data(_vis(src), spec, "field", widget_id, widgets)
+
+
 def stored_widget_visits(src):
     """Stored SQL over the field-activity fact, text dates included."""
-    widgets = registry.widgets_from_catalog(STORED_VISITS, "visit_fact", "field")
-    return registry.widget_data(_vis(src), SPEC_STORED_VISITS, "field", 31, widgets)
+    return _stored_visits(src, 31, SPEC_STORED_VISITS)
+
+
+def stored_widget_raw_subquery(src):
+    """Stored SQL whose slots stand over a subquery of raw columns only."""
+    return _stored_data(src, 26, SPEC_STORED_RANGE)
+
+
+def stored_widget_text_day(src):
+    """Stored SQL whose slots stand over a subquery of all columns, with an exact text date."""
+    return _stored_visits(src, 32, SPEC_STORED_TEXT_DAY)
+
+
+def stored_widget_joined(src):
+    """Stored SQL that joins two readings of the fact, one of them with slots."""
+    return _stored_visits(src, 33, SPEC_STORED_SPAN)
 
 
 def payload_rows(src):
@@ -591,6 +630,9 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         stored_widget_two_parts,
         stored_widget_literal,
         stored_widget_visits,
+        stored_widget_raw_subquery,
+        stored_widget_text_day,
+        stored_widget_joined,
         payload_rows,
     )
 }

@@ -8,8 +8,6 @@ tokens where its author wanted filters.
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -18,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldreports.functions.constants import ATTENDANCE_TREND_WIDGET_ID, ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
-from fieldreports.functions.dates import CENTURY_PIVOT, pivot_header, to_date_col
+from fieldreports.functions.dates import pivot_header, to_date_col
 from fieldreports.operators import pivots, reports
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employee_gate
 from fieldreports.plans import widgets as W
+from fieldreports.plans.stored import ATTENDANCE_SLOTS, VISIT_SLOTS, bound_sql, run_stored  # noqa: F401
 
 CATALOG_SCHEMA = T.StructType(
     [
@@ -69,83 +68,6 @@ def sql_frame(text: str, **args) -> Callable[[DataFrame], DataFrame]:
     return frame
 
 
-# The filter slot tokens stored widget SQL may contain, and the
-# predicate that stands for each where its filter is active.  Values are named
-# markers; a date slot has one part for each bound that is set.
-SLOTS = {
-    "region_filter": ("region", "region = :region"),
-    "type_filter": ("type", "array_contains(:type, lower(trim(type)))"),
-    "channel_filter": ("channel", "array_contains(:channel, trim(channel))"),
-    "ase_filter": ("ase", "trim(ase) = :ase"),
-    "zse_filter": ("zse", "trim(zse) = :zse"),
-    "atype_filter": ("atype", "array_contains(:atype, trim(attendance_type))"),
-    "tier_filter": ("tier", "array_contains(:tier, trim(tier))"),
-}
-ATTENDANCE_SLOTS = SLOTS | {
-    "date_filter": ("date", {"date_from": "CAST(attendance_date AS DATE) >= :date_from", "date_to": "CAST(attendance_date AS DATE) <= :date_to"}),
-    "user_filter": ("user", "CAST(user_id AS STRING) ILIKE :user"),
-}
-_TEXT_DAY = "try_to_date(trim(date), 'd-MMM-yy')"
-_VISIT_DAY = f"CASE WHEN year({_TEXT_DAY}) >= {CENTURY_PIVOT} THEN add_months({_TEXT_DAY}, -1200) ELSE {_TEXT_DAY} END"
-VISIT_SLOTS = SLOTS | {
-    "date_filter": ("date", {"date": "trim(date) = :date", "date_from": f"{_VISIT_DAY} >= :date_from", "date_to": f"{_VISIT_DAY} <= :date_to"}),
-    "user_filter": ("user", "ase_ho_id ILIKE :user"),
-}
-
-
-def bound_sql(sql: str, spec: AttendanceFilter | VisitFilter, fact_table: str, view: str) -> tuple[str, dict]:
-    """``(text, arguments)`` of stored widget SQL for a filter selection.
-
-    Every slot token is replaced where it stands: by ``AND`` and a predicate
-    over named markers if its filter is active, else by nothing.  The fact
-    table's name (quoted or schema-qualified or neither) becomes ``view``.
-    Quoted texts and comments are passed over, and no value enters the text.
-    """
-    values = spec.values()
-    slots = ATTENDANCE_SLOTS if isinstance(spec, AttendanceFilter) else VISIT_SLOTS
-    used: dict = {}
-
-    def predicate(token: str) -> str:
-        slot, text = slots[token]
-        parts = text if isinstance(text, dict) else {slot: text}
-        active = [name for name in parts if values.get(name) is not None]
-        used.update({name: values[name] for name in active})
-        return " ".join(f"AND {parts[name]}" for name in active)
-
-    name = re.escape(fact_table)
-    lexemes = re.compile(
-        r"'(?:[^'\\]|\\.|'')*'"  # a text
-        r"|--[^\n]*|/\*.*?\*/"  # a comment
-        r"|\{(?P<slot>\w+)\}"
-        rf"""|(?<![\w."`])(?P<fact>(?:\w+\.|"\w+"\.|`\w+`\.)?(?:"{name}"|`{name}`|{name}))(?![\w"`])""",
-        re.S,
-    )
-
-    def put(m: re.Match) -> str:
-        if m["slot"] in slots:
-            return predicate(m["slot"])
-        return view if m["fact"] else m[0]
-
-    return lexemes.sub(put, sql), used
-
-
-def run_stored(sql: str, fact: DataFrame, spec: AttendanceFilter | VisitFilter, fact_table: str) -> DataFrame:
-    """The result of stored widget SQL over the unfiltered fact.
-
-    The fact is known to the statement as a temporary view with a name of its
-    own, which is dropped once the statement is analysed."""
-    spark = fact.sparkSession
-    view = f"fact_{uuid.uuid4().hex}"
-    text, values = bound_sql(sql, spec, fact_table, view)
-    if "date_txt" in fact.columns and "date" not in fact.columns:
-        fact = fact.withColumn("date", F.col("date_txt"))  # the text date has this name upstream
-    fact.createTempView(view)
-    try:
-        return spark.sql(text, {k: F.lit(v) for k, v in values.items()} or None)
-    finally:
-        spark.catalog.dropTempView(view)
-
-
 def widgets_from_catalog(rows: DataFrame | Iterable[Mapping], fact_table: str, dashboard: str) -> tuple["Widget", ...]:
     """Widgets from a stored catalog (``id, widget_name, chart_type,
     display_order, is_active, sql_query``): a DataFrame, e.g. from
