@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A two-digit year is read by the JVM formatter into 2000-2099.  The source
 # database reads it into the century nearest 2020: 70-99 -> 1970-1999 and
@@ -45,6 +46,10 @@ def file_stamp(c: Column | str) -> Column:
     return F.date_format(c, "d-MMM-yyyy_Hmm")
 
 
-def to_date_col(c: Column | str) -> Column:
-    """A day key (DateType or ``yyyy-MM-dd`` text) as a date."""
-    return F.to_date(F.col(c) if isinstance(c, str) else c)
+def day_header(c: Column, kind: T.DataType) -> Column:
+    """Pivot header of a day key: a date, a time or ISO text as its day; other
+    text, which is no day, as it is."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return pivot_header(c)
+    text = c.cast("string")
+    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), pivot_header(F.try_to_timestamp(text))), text)

@@ -53,8 +53,11 @@ def total_type(kind: T.DataType) -> T.DataType:
 
 
 def measure(c: Column, kind: T.DataType) -> Column:
-    """A measure in its own type: whole numbers as long, NULL as 0."""
+    """A measure in its own type: whole numbers as long; NULL, and NaN, which
+    payloads write as null, count 0."""
     zero = F.lit(0).cast(kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.nanvl(c, zero), zero).cast("double")
     out = F.coalesce(c, zero)
     return out.cast("long") if isinstance(kind, T.IntegralType) else out
 

@@ -5,6 +5,11 @@ so a hot key (one region or day holding a third of the rows) only adds map-side
 work; the shuffle carries at most one row per key per task.  Everything after
 that (totals, percentages, ordinals) runs on the small cell frame.
 
+Cells keep the type of their measure: whole numbers are longs, sums of money or
+hours stay decimals or doubles, and so do totals.  A row and column key that
+occurs again replaces the cell's value, as the dashboards' maps do
+(:func:`last_cells`).
+
 A missing cell is 0 in totals and blank on display, so the long form stays
 sparse; ``dense_grid`` fills it over the keys that occur, ``to_wide`` makes one
 column for each listed key (no cross join).
@@ -17,16 +22,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldreports.functions.numeric import pct_int
+from fieldreports.functions.numeric import measure, pct_int, total_type
+from fieldreports.operators.order import ARRIVAL, with_arrival
+
+SEEN = "_seen"
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def last_cells(frame: DataFrame, row: str, col: str, value: str = "cnt") -> DataFrame:
+    """``(row, col, value, _seen)``: one row per cell, with the value of the last
+    of its rows as returned; of a frame without an order, the largest value.
+    NULL counts 0.  ``_seen`` is the arrival of the cell's first row, NULL in a
+    frame without an order.
+
+    Cells that are already aggregated by these keys are not shuffled again."""
+    kind = frame.schema[value].dataType
+    cells, ordered = with_arrival(frame)
+    v = measure(F.col(value), kind)
+    return cells.groupBy(row, col).agg((F.max_by(v, ARRIVAL) if ordered else F.max(v)).alias(value), F.min(ARRIVAL).alias(SEEN))
+
+
+def _sum(cells: DataFrame, value: str) -> Column:
+    kind = cells.schema[value].dataType
+    return F.sum(value).cast(total_type(kind))
+
+
 def with_col_totals(cells: DataFrame, col_name: str, value: str = "cnt", out: str = "col_total") -> DataFrame:
     """Adds each column key's total (the pivot's Total row) to its cells."""
-    return cells.withColumn(out, F.sum(value).over(Window.partitionBy(col_name)).cast("long"))
+    kind = cells.schema[value].dataType
+    return cells.withColumn(out, F.sum(value).over(Window.partitionBy(col_name)).cast(total_type(kind)))
 
 
 def percent_of_partition(cells: DataFrame, part: str, value: str = "cnt", total: str = "col_total", out: str = "pct") -> DataFrame:
@@ -35,7 +62,7 @@ def percent_of_partition(cells: DataFrame, part: str, value: str = "cnt", total:
     it already, else sums ``value`` over a window on ``part``."""
     if total not in cells.columns:
         cells = with_col_totals(cells, part, value, total)
-    return cells.withColumn(out, pct_int(value, total))
+    return cells.withColumn(out, pct_int(value, total, cells.schema[value].dataType))
 
 
 def to_wide(
@@ -44,6 +71,8 @@ def to_wide(
     """Wide pivot over an explicit list of column keys (say, the days of the
     filter's range); missing cells -> ``fill``.  A key that is not listed is an
     error when the report runs, never a lost cell."""
+    cells = last_cells(cells, row, col, value)
+    kind = total_type(cells.schema[value].dataType)
     listed = F.when(F.col(col).isin(list(values)), F.col(col)).otherwise(
         F.raise_error(F.concat(F.lit("column key not listed: "), F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))
     )
@@ -51,7 +80,7 @@ def to_wide(
     if fill is None:
         return wide
     names = [c for c in wide.columns if c != row]
-    return wide.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit(fill)).cast("long").alias(n) for n in names])
+    return wide.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit(fill)).cast(kind).alias(n) for n in names])
 
 
 def dense_grid(cells: DataFrame, row: str, col: str, value: str = "cnt") -> DataFrame:
@@ -62,14 +91,16 @@ def dense_grid(cells: DataFrame, row: str, col: str, value: str = "cnt") -> Data
     on the small cell frame, whose exchange is reused, so the fact is scanned
     once; no job runs before the action and there is no cross join.
     """
+    cells = last_cells(cells, row, col, value).drop(SEEN)
+    kind = cells.schema[value].dataType
     # A condition on the value that always holds: without it the optimizer would
     # compute the key lists by aggregates of their own, with scans of their own.
-    cells = cells.where(F.col(value).isNull() | (F.col(value) > F.lit(-(2**63))))
+    cells = cells.where(F.col(value).cast("double") >= F.lit(float("-inf")))
     keys = cells.agg(F.array_sort(F.collect_set(col))).scalar()
     grid = cells.select(row).distinct().withColumn(col, F.explode(keys))
     same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (row, col)]
     joined = grid.alias("g").join(cells.alias("c"), same[0] & same[1], "left")
-    return joined.select(F.col(f"g.{row}").alias(row), F.col(f"g.{col}").alias(col), F.coalesce(F.col(f"c.{value}"), F.lit(0)).cast("long").alias(value))
+    return joined.select(F.col(f"g.{row}").alias(row), F.col(f"g.{col}").alias(col), F.coalesce(F.col(f"c.{value}"), F.lit(0).cast(kind)).alias(value))
 
 
 def dedupe_last(df: DataFrame, row: str, col: str, seq: str, value: str = "cnt") -> DataFrame:
@@ -95,57 +126,66 @@ def time_id_key(ts: Column | str, ident: Column | str) -> Column:
     return (micros.cast("decimal(38,0)") * F.lit(str(10**20)).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
 
 
-def totals_cube(cells: DataFrame, row: str, col: str, value: str = "cnt") -> DataFrame:
-    """Cube over already-aggregated cells: cells, row totals, column totals and
-    the grand total, with ``g_<row>``/``g_<col>`` grouping flags."""
+def totals_cube(frame: DataFrame, row: str, col: str, value: str = "cnt", seen: bool = False) -> DataFrame:
+    """Cube over the cells: cells, row totals, column totals and the grand
+    total, with ``g_<row>``/``g_<col>`` grouping flags.  With ``seen`` the
+    arrival of a row key is kept for :func:`display_order`."""
+    cells = last_cells(frame, row, col, value)
     return cells.cube(row, col).agg(
-        F.sum(value).cast("long").alias(value),
+        _sum(cells, value).alias(value),
         F.grouping(row).cast("long").alias(f"g_{row}"),
         F.grouping(col).cast("long").alias(f"g_{col}"),
+        *([F.min(SEEN).alias(SEEN)] if seen else []),
     )
 
 
 def pivot_long(
-    cells: DataFrame,
+    frame: DataFrame,
     row: str,
     col: str,
     order: Sequence[str] | None = None,
     header: Column | None = None,
     row_out: str | None = None,
     value: str = "cnt",
+    seen: bool = False,
 ) -> DataFrame:
     """Long-form pivot: ``(row[, ordinal], col[, header], cnt, col_total)``.
 
     ``order`` is the preset row order (ordinal NULL for unlisted categories,
     which sort last); ``header`` is a display expression of the column key.
+    With ``seen`` the cells' arrival is kept for :func:`display_order`.
     """
     from fieldreports.functions.bands import ordinal_of
 
-    out = with_col_totals(cells, col, value)
+    out = with_col_totals(last_cells(frame, row, col, value), col, value)
     cols = [F.col(row).alias(row_out or row)]
     if order is not None:
         cols.append(ordinal_of(row, order).alias("ordinal"))
     cols.append(F.col(col))
     if header is not None:
         cols.append(header.alias("header"))
-    cols += [F.col(value).cast("long").alias(value), F.col("col_total")]
-    return out.select(*cols)
+    return out.select(*cols, value, "col_total", *([SEEN] if seen else []))
 
 
 def display_order(df: DataFrame, row: str, col: str | None = None, ordinal: str = "ordinal", preset: Sequence[str] | None = None) -> DataFrame:
     """Presentation order of a long pivot: preset categories by their rank
-    (``ordinal``, or computed from ``preset``), unlisted ones after them
-    alphabetically, then the column key as text; total rows come last."""
+    (``ordinal``, or computed from ``preset``), unlisted ones after them in the
+    order they arrived (``_seen``), else alphabetically, then the column key as
+    text; total rows come last."""
     from fieldreports.functions.bands import ordinal_of
     from fieldreports.functions.constants import UNKNOWN_RANK
 
     keys = [F.col(f"g_{row}")] if f"g_{row}" in df.columns else []
-    if ordinal in df.columns:
-        keys.append(F.coalesce(F.col(ordinal), F.lit(UNKNOWN_RANK)))
-    elif preset is not None:
-        keys.append(F.coalesce(ordinal_of(row, preset), F.lit(UNKNOWN_RANK)))
+    rank = F.col(ordinal) if ordinal in df.columns else ordinal_of(row, preset) if preset is not None else None
+    if rank is not None:
+        keys.append(F.coalesce(rank, F.lit(UNKNOWN_RANK)))
+    if SEEN in df.columns:
+        # only categories without a rank go by arrival; the window is over the cells
+        first = F.min(SEEN).over(Window.partitionBy(row))
+        df = df.withColumn(SEEN, F.when(rank.isNull(), first) if rank is not None else F.lit(None))
+        keys.append(F.col(SEEN))
     keys.append(F.col(row))
     if col is not None:
         keys += [F.col(f"g_{col}")] if f"g_{col}" in df.columns else []
         keys.append(F.col(col))
-    return df.orderBy(*keys)
+    return df.orderBy(*keys).drop(SEEN)

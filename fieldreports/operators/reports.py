@@ -18,6 +18,7 @@ from fieldreports.functions.constants import PROFILE_ATTRIBUTES
 from fieldreports.functions.dates import axis_date, cell_date, iso_day
 from fieldreports.functions.numeric import measure, number_text, pct_tenths
 from fieldreports.functions.text import first_letter, usable_picture
+from fieldreports.operators.order import ARRIVAL, first_row, with_arrival
 
 
 # ---------------------------------------------------------------- roles
@@ -72,19 +73,6 @@ def resolve_top_roles(schema: T.StructType) -> TopRoles:
     return TopRoles(group, item, next((n for n in names if n not in (group, item)), names[2]))
 
 
-def has_order(df: DataFrame) -> bool:
-    """Does the frame itself end in a sort (so that it has a first row)?"""
-    node = df._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "SubqueryAlias", "GlobalLimit", "LocalLimit", "View"):
-        node = node.children().apply(0)
-    return node.nodeName() == "Sort"
-
-
-def first_row(df: DataFrame, *order) -> DataFrame:
-    """The first row as returned; of a frame without an order, by ``order``."""
-    return (df if has_order(df) else df.orderBy(*order)).limit(1)
-
-
 # ---------------------------------------------------------------- charts
 
 def pie_share(df: DataFrame, label: str | None = None, value: str | None = None) -> DataFrame:
@@ -247,18 +235,21 @@ def attendance_summary(df: DataFrame, type_col: str = "Attendance Type", days_co
 # ---------------------------------------------------------------- top-N
 
 def top_n_per_group(df: DataFrame, group: str | None = None, item: str | None = None, value: str | None = None, n: int = 10) -> DataFrame:
-    """``(group, rank, item, value)``: the n largest measures per group, in
-    their own type (NULL counts 0; ties broken by item).  Columns that are not
-    named come from :func:`resolve_top_roles`.  Spark plans this as a partial
+    """``(group, rank, item, value)``: the first n rows of each group as returned;
+    of a frame without an order, the n largest measures (ties broken by item).
+    Measures keep their own type, NULL counts 0.  Columns that are not named come
+    from :func:`resolve_top_roles`.  Spark plans this as a partial
     WindowGroupLimit before the shuffle, so each map task forwards at most n
     rows per group."""
     if None in (group, item, value):
         roles = resolve_top_roles(df.schema)
         group, item, value = group or roles.group, item or roles.item, value or roles.value
     v = measure(F.col(f"`{value}`"), df.schema[value].dataType)
-    w = Window.partitionBy(f"`{group}`").orderBy(F.col("value").desc(), F.col(f"`{item}`").asc())
+    arrived, ordered = with_arrival(df)
+    by = [F.col(ARRIVAL)] if ordered else [F.col("value").desc(), F.col(f"`{item}`").asc()]
+    w = Window.partitionBy(f"`{group}`").orderBy(*by)
     return (
-        df.select(f"`{group}`", f"`{item}`", v.alias("value"))
+        arrived.select(f"`{group}`", f"`{item}`", v.alias("value"), ARRIVAL)
         .withColumn("rank", F.row_number().over(w).cast("long"))
         .where(F.col("rank") <= n)
         .select(f"`{group}`", "rank", f"`{item}`", "value")

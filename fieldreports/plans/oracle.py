@@ -456,6 +456,60 @@ SELECT c_mktsegment AS attendance_type, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2)
        CASE WHEN sum(CAST(c_acctbal AS DECIMAL(18,2))) = 1000 THEN 'day' ELSE 'days' END AS unit
 FROM customer WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> '' GROUP BY c_mktsegment
 """,
+    "pivot_fractional": f"""
+WITH cells AS (SELECT o_orderpriority AS attendance_type, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date,
+                      CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS cnt FROM orders GROUP BY ALL)
+SELECT attendance_type, {_rank_case('attendance_type', ATT_ORDER)} AS ordinal, date, strftime(CAST(date AS DATE), '%d-%b(%a)') AS header, cnt,
+       sum(cnt) OVER (PARTITION BY date) AS col_total FROM cells
+""",
+    "pivot_salary_fractional": f"""
+WITH cells AS (SELECT c_mktsegment AS impact, 'Nation ' || c_nationkey AS date,
+                      coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))) FILTER (WHERE c_acctbal > 500), 0) AS cnt FROM customer GROUP BY ALL),
+tot AS (SELECT *, sum(cnt) OVER (PARTITION BY date) AS t FROM cells)
+SELECT impact, {_rank_case('impact', PAY_ORDER)} AS ordinal, date, date AS header, CAST(cnt AS DOUBLE) AS cnt, CAST(t AS DOUBLE) AS col_total,
+       CAST(floor(CAST(cnt AS DOUBLE) / CAST(CASE WHEN t = 0 THEN 1 ELSE t END AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct FROM tot
+""",
+    "crosstab_fractional": """
+SELECT c_mktsegment AS attendance_type, r_name AS region, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS cnt,
+       CAST(grouping(c_mktsegment) AS BIGINT) AS g_attendance_type, CAST(grouping(r_name) AS BIGINT) AS g_region
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (c_mktsegment, r_name)
+""",
+    "pivot_location_fractional": """
+WITH cells AS (SELECT l_linestatus AS category, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date,
+                      sum(CAST(l_discount AS DECIMAL(18,2))) AS cnt FROM lineitem GROUP BY ALL)
+SELECT category, date, CAST(cnt AS DOUBLE) AS cnt, CAST(sum(cnt) OVER (PARTITION BY date) AS DOUBLE) AS col_total FROM cells
+""",
+    "pivot_last_row": f"""
+WITH c AS (SELECT event_type AS attendance_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, CAST(value AS DECIMAL(18,2)) AS cnt,
+                  row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+SELECT attendance_type, {_rank_case('attendance_type', ATT_ORDER)} AS ordinal, date, strftime(CAST(date AS DATE), '%d-%b(%a)') AS header,
+       CAST(coalesce(cnt, 0) AS DOUBLE) AS cnt, CAST(sum(coalesce(cnt, 0)) OVER (PARTITION BY date) AS DOUBLE) AS col_total FROM c WHERE rn = 1
+""",
+    "pivot_repeated_cells": """
+WITH c AS (SELECT event_type AS category, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, max(coalesce(CAST(value AS DECIMAL(18,2)), 0)) AS cnt
+           FROM events GROUP BY ALL)
+SELECT category, date, CAST(cnt AS DOUBLE) AS cnt, CAST(sum(cnt) OVER (PARTITION BY date) AS DOUBLE) AS col_total FROM c
+""",
+    "top10_ascending": """
+WITH r AS (SELECT r_name AS region, CAST(row_number() OVER (PARTITION BY r_name ORDER BY c_acctbal, c_custkey) AS BIGINT) AS rank, c_name AS ase,
+                  CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS value
+           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT * FROM r WHERE rank <= 10
+""",
+    "top10_tied": """
+WITH s AS (SELECT r_name AS region, c_name AS ase, CAST(floor(c_acctbal / 2500) AS BIGINT) AS value
+           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+r AS (SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY value DESC, ase) AS BIGINT) AS rank, ase, value FROM s)
+SELECT * FROM r WHERE rank <= 10
+""",
+    "stored_top10_latest": _v(
+        """
+, days AS (SELECT region, date_txt, count(*) AS value, min(date_d) AS day FROM vis
+           WHERE date_d >= DATE '1995-03-01' AND date_d <= DATE '1995-08-31' GROUP BY region, date_txt),
+ranked AS (SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY day DESC, date_txt) AS BIGINT) AS rank, date_txt AS ase_day, value FROM days)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+    ),
     "dedupe_last_cell": """
 WITH c AS (SELECT event_type AS row_key, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS col_key,
                   CAST(round(value * 100) AS BIGINT) AS cnt,

@@ -363,6 +363,94 @@ def top10_fractional(src):
     return registry.render("field", "top10_table", frame).withColumn("value", F.col("value").cast("double"))
 
 
+def _as_doubles(report: DataFrame, *columns: str) -> DataFrame:
+    return report.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def pivot_fractional(src):
+    """Attendance pivot of thousands of revenue per priority and ordering month."""
+    orders = src.table("orders", ["o_orderdate", "o_orderpriority", "o_totalprice"])
+    cells = orders.groupBy(F.col("o_orderpriority").alias("attendance_type"), iso_day(F.trunc("o_orderdate", "month")).alias("date"))
+    frame = cells.agg((F.sum(_money("o_totalprice")) / 1000).cast("decimal(28,5)").alias("cnt"))
+    return _as_doubles(registry.render("attendance", "pivot", frame), "cnt", "col_total")
+
+
+def pivot_salary_fractional(src):
+    """Percent-of-day pivot over sums of balances, some of them negative and some NULL."""
+    rows = src.table("customer", ["c_nationkey", "c_mktsegment", "c_acctbal"])
+    cells = rows.groupBy(F.col("c_mktsegment").alias("impact"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("date"))
+    frame = cells.agg(F.sum(F.when(F.col("c_acctbal") > 500, _money("c_acctbal"))).alias("cnt"))
+    return _as_doubles(registry.render("attendance", "pivot_salary", frame), "cnt", "col_total")
+
+
+def crosstab_fractional(src):
+    """Region cross-tab of balances, with all totals."""
+    customer = src.table("customer", ["c_nationkey", "c_mktsegment", "c_acctbal"])
+    nation = src.table("nation", ["n_nationkey", "n_regionkey"])
+    region = src.table("region", ["r_regionkey", "r_name"])
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    frame = rows.groupBy(F.col("c_mktsegment").alias("attendance_type"), F.col("r_name").alias("region")).agg(F.sum(_money("c_acctbal")).alias("cnt"))
+    return _as_doubles(registry.render("attendance", "pivot_region", frame), "cnt")
+
+
+def pivot_location_fractional(src):
+    """Generic pivot of discounts (hundredths) per ship mode and shipping month."""
+    lines = src.table("lineitem", ["l_shipdate", "l_linestatus", "l_discount"])
+    cells = lines.groupBy(F.col("l_linestatus").alias("location"), iso_day(F.trunc("l_shipdate", "month")).alias("date"))
+    return _as_doubles(registry.render("field", "pivot_location_in", cells.agg(F.sum(_money("l_discount")).alias("cnt"))), "cnt", "col_total")
+
+
+# ------------------------------------------------------------ arrival order
+
+def _events(src) -> DataFrame:
+    return src.table("events", ["event_id", "ts", "user_id", "event_type", "value"])
+
+
+def pivot_last_row(src):
+    """Pivot of a frame in time order with a row for every event: a cell shows
+    its last event's value, types that are no preset come as they arrive."""
+    ordered = _events(src).orderBy("ts", "event_id")
+    frame = ordered.select(iso_day(F.to_date("ts")).alias("date"), F.col("event_type").alias("attendance_type"), _money("value").alias("cnt"))
+    return _as_doubles(registry.render("attendance", "pivot", frame), "cnt", "col_total")
+
+
+def pivot_repeated_cells(src):
+    """Pivot of a frame without an order: a repeated cell shows its largest value."""
+    frame = _events(src).select(iso_day(F.to_date("ts")).alias("date"), F.col("event_type").alias("workhour"), _money("value").alias("cnt"))
+    return _as_doubles(registry.render("field", "pivot_workhour", frame), "cnt", "col_total")
+
+
+def _regional_customers(src) -> DataFrame:
+    customer = src.table("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"])
+    nation = src.table("nation", ["n_nationkey", "n_regionkey"])
+    region = src.table("region", ["r_regionkey", "r_name"])
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def top10_ascending(src):
+    """Top-10 of a frame in ascending order: the first ten rows as returned."""
+    rows = _regional_customers(src).orderBy("c_acctbal", "c_custkey")
+    frame = rows.select(F.col("r_name").alias("region"), F.col("c_name").alias("ase"), _money("c_acctbal").alias("balance"))
+    return _as_doubles(registry.render("field", "top10_table", frame), "value")
+
+
+def top10_tied(src):
+    """Top-10 of a frame without an order whose measures tie: ties go by name."""
+    frame = _regional_customers(src).select(F.col("r_name").alias("region"), F.col("c_name").alias("ase"), F.floor(F.col("c_acctbal") / 2500).alias("step"))
+    return registry.render("field", "top10_table", frame)
+
+
+def stored_top10_latest(src):
+    """Stored SQL with an ORDER BY of its own, shown as a top-10: the ten newest
+    days of each region, whatever their quantity."""
+    sql = (
+        "SELECT region, date AS ase_day, count(*) AS visits, min(date_d) AS day FROM visit_fact WHERE 1=1 {date_filter} "
+        "GROUP BY region, date ORDER BY day DESC, ase_day"
+    )
+    widgets = registry.widgets_from_catalog([_stored(41, sql) | {"chart_type": "top10_table"}], "visit_fact", "field")
+    return registry.report(_vis(src), SPEC_STORED_SPAN, "field", 41, widgets)
+
+
 def summary_fractional(src):
     """Balances by segment in thousands, as fractional day counts."""
     rows = src.table("customer", ["c_mktsegment", "c_acctbal"])
@@ -633,6 +721,15 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         stored_widget_raw_subquery,
         stored_widget_text_day,
         stored_widget_joined,
+        pivot_fractional,
+        pivot_salary_fractional,
+        crosstab_fractional,
+        pivot_location_fractional,
+        pivot_last_row,
+        pivot_repeated_cells,
+        top10_ascending,
+        top10_tied,
+        stored_top10_latest,
         payload_rows,
     )
 }

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldreports.functions.constants import ATTENDANCE_TREND_WIDGET_ID, ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
-from fieldreports.functions.dates import pivot_header, to_date_col
+from fieldreports.functions.dates import day_header
 from fieldreports.operators import pivots, reports
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employee_gate
+from fieldreports.operators.order import has_order
 from fieldreports.plans import widgets as W
 from fieldreports.plans.stored import ATTENDANCE_SLOTS, VISIT_SLOTS, bound_sql, run_stored  # noqa: F401
 
@@ -174,7 +175,8 @@ def summary(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iter
 # ------------------------------------------------------------ second stage
 
 def _day_pivot(frame: DataFrame, row: str, preset) -> DataFrame:
-    return pivots.pivot_long(frame, row, "date", preset, pivot_header(to_date_col("date")))
+    header = day_header(F.col("date"), frame.schema["date"].dataType)
+    return pivots.pivot_long(frame, row, "date", preset, header, seen=has_order(frame))
 
 
 def _attendance_report(chart_type: str, frame: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def _attendance_report(chart_type: str, frame: DataFrame) -> DataFrame:
     if chart_type == "pivot":
         return pivots.display_order(_day_pivot(frame, "attendance_type", ATTENDANCE_TYPE_ORDER), "attendance_type", "date")
     if chart_type == "pivot_region":
-        return pivots.display_order(pivots.totals_cube(frame, "attendance_type", "region"), "attendance_type", "region", preset=ATTENDANCE_TYPE_ORDER)
+        return pivots.display_order(pivots.totals_cube(frame, "attendance_type", "region", seen=has_order(frame)), "attendance_type", "region", preset=ATTENDANCE_TYPE_ORDER)
     if chart_type == "pivot_timing":
         return pivots.display_order(_day_pivot(frame, "timing", TIMING_ORDER), "timing", "date")
     if chart_type == "pivot_salary":
