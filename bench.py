@@ -65,13 +65,14 @@ def main() -> None:
     # Whole-dashboard loads: catalog, then every active widget's report with the
     # jobs submitted concurrently (employee widgets wait for an id search).
     loads = {
-        "dashboard_attendance_load": (src.attendance, AttendanceFilter(), "attendance"),
-        "dashboard_field_load": (src.visits, VisitFilter(), "field"),
+        "dashboard_attendance_load": (src.attendance, AttendanceFilter(), "attendance", "attendance"),
+        "dashboard_field_load": (src.visits, VisitFilter(), "field", "visits"),
     }
-    for name, (fact, spec, dash) in loads.items():
-        def load(fact=fact, spec=spec, dash=dash):
+    for name, (fact, spec, dash, kind) in loads.items():
+        def load(fact=fact, spec=spec, dash=dash, kind=kind):
             catalog(spark, dash).collect()
-            return collect_all(run_dashboard(fact(), spec, dash), threads=8)
+            with run_dashboard(fact(), spec, dash, cells=src.cells(kind)) as run:
+                return collect_all(run, threads=8)
 
         load()
         runs = []

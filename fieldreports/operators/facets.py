@@ -10,13 +10,14 @@ id lists grow with the data and are read from the long form.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, _and
+from fieldreports.sources.cells import CellTable, smallest
 
 
 @dataclass(frozen=True)
@@ -67,19 +68,26 @@ def _option(col: str, keep_blank: bool) -> Column:
     return c if keep_blank else F.when(c != "", c)
 
 
-def dimension_list(fact: DataFrame, dim: str, alias: str | None = None) -> DataFrame:
+def _rows(fact: DataFrame, cells: Iterable[CellTable], columns: Iterable[str]) -> DataFrame:
+    """The smallest cell table that has the columns, or the fact."""
+    table = smallest(cells, columns)
+    return fact if table is None else table.frame
+
+
+def dimension_list(fact: DataFrame, dim: str, alias: str | None = None, cells: Iterable[CellTable] = ()) -> DataFrame:
     """Distinct non-null options of one dimension, sorted (one column)."""
     col, keep_blank = DIMENSIONS[dim]
+    fact = _rows(fact, cells, [col])
     out = alias or dim
     c = F.col(col)
     rows = fact.where(c.isNotNull() if keep_blank else c != "")  # plain predicates reach the scan
     return rows.select(c.alias(out)).distinct().orderBy(out)
 
 
-def zse_ase_pairs(fact: DataFrame) -> DataFrame:
+def zse_ase_pairs(fact: DataFrame, cells: Iterable[CellTable] = ()) -> DataFrame:
     """Distinct (zse, ase) pairs with both present, sorted by both."""
     return (
-        fact.select(F.col("zse_key").alias("zse"), F.col("ase_key").alias("ase"))
+        _rows(fact, cells, ["zse_key", "ase_key"]).select(F.col("zse_key").alias("zse"), F.col("ase_key").alias("ase"))
         .where((F.col("zse") != "") & (F.col("ase") != ""))
         .distinct()
         .orderBy("zse", "ase")
@@ -97,9 +105,14 @@ def facets_long(
     spec: AttendanceFilter | VisitFilter | None = None,
     facets: Sequence[Facet] | None = None,
     exclude_self: bool = False,
+    cells: Iterable[CellTable] = (),
 ) -> DataFrame:
     """``(facet, value)`` rows: the options left under the filter.
 
+    Facets whose columns a stored cell table has, with those that the filter
+    compares, are read from the smallest such table; the others (ids, or all
+    under an id search) from the fact.
+
     By default every facet is computed under all active filters, including its
     own (a chosen region leaves just that region).  With ``exclude_self`` each
     facet ignores its own slot; still one scan: the shared slots filter the
@@ -108,8 +121,16 @@ def facets_long(
     if facets is None:
         facets = VISIT_FACETS if isinstance(spec, VisitFilter) else ATTENDANCE_FACETS
     if spec is None:
-        spec = AttendanceFilter() if facets is ATTENDANCE_FACETS else VisitFilter()
+        spec = AttendanceFilter() if set(facets) <= set(ATTENDANCE_FACETS) else VisitFilter()
     slot_names = ATTENDANCE_FACET_SLOTS if isinstance(spec, AttendanceFilter) else VISIT_FACET_SLOTS
+    compared = spec.columns(slot_names)
+    stored = [f for f in facets if smallest(cells, {f.column, *compared})]
+    if stored:
+        table = smallest(cells, {*(f.column for f in stored), *compared})
+        if table is not None:
+            rest = [f for f in facets if f not in stored]
+            own = facets_long(table.frame, spec, stored, exclude_self)
+            return own.unionByName(facets_long(fact, spec, rest, exclude_self)) if rest else own
     fact = _facet_frame(fact)
     slots = {k: v for k, v in spec.slots(set(fact.columns)).items() if k in slot_names}
 

@@ -24,6 +24,7 @@ import datetime as dt
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,7 @@ def _getone(params: Mapping, key: str) -> str | None:
 
 class _Spec:
     SLOTS: tuple[str, ...] = ()
+    SLOT_COLUMNS: Mapping[str, tuple[str, ...]] = {}
 
     def slots(self, columns: set[str] | None = None) -> dict[str, Column]:
         raise NotImplementedError
@@ -117,6 +119,10 @@ class _Spec:
     def apply(self, df: DataFrame, honours: Iterable[str] | None = None) -> DataFrame:
         return df.filter(self.predicate(honours, set(df.columns)))
 
+    def columns(self, honours: Iterable[str] | None = None) -> set[str]:
+        """The columns that the active slots (or those a report honours) read."""
+        return {c for slot in self.slots() if honours is None or slot in honours for c in self.SLOT_COLUMNS[slot]}
+
     def values(self) -> dict:
         """The selected values by name, normalised, None where a filter is off
         (what named markers in stored SQL are bound to)."""
@@ -147,6 +153,18 @@ class AttendanceFilter(_Spec):
     user_id: str | None = None
 
     SLOTS = ("region", "type", "channel", "ase", "date", "zse", "atype", "user")
+    SLOT_COLUMNS = MappingProxyType(
+        {
+            "region": ("region",),
+            "type": ("type_ci",),
+            "channel": ("channel_key",),
+            "ase": ("ase_key",),
+            "date": ("date_d",),
+            "zse": ("zse_key",),
+            "atype": ("atype_key",),
+            "user": ("user_txt",),
+        }
+    )
 
     @classmethod
     def from_params(cls, params: Mapping) -> "AttendanceFilter":
@@ -223,6 +241,17 @@ class VisitFilter(_Spec):
     user_id: str | None = None
 
     SLOTS = ("region", "zse", "ase", "channel", "tier", "date", "user")
+    SLOT_COLUMNS = MappingProxyType(
+        {
+            "region": ("region",),
+            "zse": ("zse_key",),
+            "ase": ("ase_key",),
+            "channel": ("channel_key",),
+            "tier": ("tier_key",),
+            "date": ("date_d", "date_key"),
+            "user": ("ase_ho_id",),
+        }
+    )
 
     @classmethod
     def from_params(cls, params: Mapping) -> "VisitFilter":

@@ -6,7 +6,8 @@ back as :class:`~fieldreports.plans.sinks.Pages`, read page by page.  No call
 has a row limit.
 
 ``widgets`` is a tuple of widgets for dashboards whose catalog is stored (see
-``registry.widgets_from_catalog``); the built-in set is used otherwise.
+``registry.widgets_from_catalog``); the built-in set is used otherwise.  ``cells``
+are the fact's stored cell tables (``FactSource.cells``), which answer what they can.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from fieldreports.operators import facets as FC
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter
 from fieldreports.plans import registry
+from fieldreports.sources.cells import CellTable
 from fieldreports.plans.sinks import Pages, column_list, pages, payload
 
 
@@ -26,24 +28,24 @@ def widgets(dashboard: str, widgets: Iterable[registry.Widget] | None = None) ->
     return [registry.entry_of(w) for w in registry.active(dashboard, widgets)]
 
 
-def dimension_values(fact: DataFrame, dim: str) -> list:
+def dimension_values(fact: DataFrame, dim: str, cells: Iterable[CellTable] = ()) -> list:
     """Sorted distinct options of one attendance dimension."""
-    return column_list(FC.dimension_list(fact, dim), dim)
+    return column_list(FC.dimension_list(fact, dim, cells=cells), dim)
 
 
-def zse_ase_map(fact: DataFrame) -> list[dict]:
+def zse_ase_map(fact: DataFrame, cells: Iterable[CellTable] = ()) -> list[dict]:
     """Sorted distinct (zse, ase) pairs as records."""
-    return payload(FC.zse_ase_pairs(fact))["rows"]
+    return payload(FC.zse_ase_pairs(fact, cells))["rows"]
 
 
-def filter_options(fact: DataFrame, spec: AttendanceFilter | VisitFilter) -> dict[str, list]:
+def filter_options(fact: DataFrame, spec: AttendanceFilter | VisitFilter, cells: Iterable[CellTable] = ()) -> dict[str, list]:
     """The seven option lists under the filter (an empty list for an empty facet).
 
     One pass over the fact; the sorted options are read one partition at a time
     and grouped here, so no task gathers a whole list."""
     facets = FC.VISIT_FACETS if isinstance(spec, VisitFilter) else FC.ATTENDANCE_FACETS
     out: dict[str, list] = {f.name: [] for f in facets}
-    for row in FC.option_lists(FC.facets_long(fact, spec)).toLocalIterator():
+    for row in FC.option_lists(FC.facets_long(fact, spec, cells=cells)).toLocalIterator():
         out[row["facet"]].append(row["value"])
     return out
 
@@ -52,17 +54,21 @@ def _result(df: DataFrame, paged: bool) -> dict | Pages:
     return pages(df) if paged else payload(df)
 
 
-def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None) -> dict | Pages:
+def widget_data(
+    fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None, cells: Iterable[CellTable] = ()
+) -> dict | Pages:
     """``{columns, rows}`` of a widget's result (first stage), pages for detail
     widgets; ``KeyError`` if the widget is absent or inactive."""
     w = registry.lookup(dashboard, widget_id, widgets)
-    return _result(registry.widget_data(fact, spec, dashboard, widget_id, widgets), w.is_detail)
+    return _result(registry.widget_data(fact, spec, dashboard, widget_id, widgets, cells), w.is_detail)
 
 
-def widget_report(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None) -> dict | Pages:
+def widget_report(
+    fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[registry.Widget] | None = None, cells: Iterable[CellTable] = ()
+) -> dict | Pages:
     """``{columns, rows}`` of a widget's finished report (both stages); with
     ``summary`` (rows of day counts) where the report has one."""
     w = registry.lookup(dashboard, widget_id, widgets)
-    out = _result(registry.report(fact, spec, dashboard, widget_id, widgets), w.is_detail)
-    extra = registry.summary(fact, spec, dashboard, widget_id, widgets)
+    out = _result(registry.report(fact, spec, dashboard, widget_id, widgets, cells), w.is_detail)
+    extra = registry.summary(fact, spec, dashboard, widget_id, widgets, cells)
     return out if extra is None else out | {"summary": payload(extra)["rows"]}

@@ -86,61 +86,61 @@ def _vis(src: FactSource) -> DataFrame:
 # ------------------------------------------------------------ dimension lists
 
 def dim_regions(src):
-    return FC.dimension_list(_att(src), "region")
+    return FC.dimension_list(_att(src), "region", cells=src.cells("attendance"))
 
 
 def dim_types(src):
-    return FC.dimension_list(_att(src), "type")
+    return FC.dimension_list(_att(src), "type", cells=src.cells("attendance"))
 
 
 def dim_channels(src):
-    return FC.dimension_list(_att(src), "channel")
+    return FC.dimension_list(_att(src), "channel", cells=src.cells("attendance"))
 
 
 def dim_ases(src):
-    return FC.dimension_list(_att(src), "ase")
+    return FC.dimension_list(_att(src), "ase", cells=src.cells("attendance"))
 
 
 def dim_zses(src):
-    return FC.dimension_list(_att(src), "zse")
+    return FC.dimension_list(_att(src), "zse", cells=src.cells("attendance"))
 
 
 def dim_attendance_types(src):
-    return FC.dimension_list(_att(src), "atype")
+    return FC.dimension_list(_att(src), "atype", cells=src.cells("attendance"))
 
 
 def dim_zse_ase_pairs(src):
-    return FC.zse_ase_pairs(_att(src))
+    return FC.zse_ase_pairs(_att(src), src.cells("attendance"))
 
 
 # ------------------------------------------------------------ facets
 
 def facets_attendance(src):
-    return FC.facets_long(_att(src), AttendanceFilter())
+    return FC.facets_long(_att(src), AttendanceFilter(), cells=src.cells("attendance"))
 
 
 def facets_attendance_filtered(src):
-    return FC.facets_long(_att(src), SPEC_FACETS_A)
+    return FC.facets_long(_att(src), SPEC_FACETS_A, cells=src.cells("attendance"))
 
 
 def facets_attendance_exclude_self(src):
-    return FC.facets_long(_att(src), SPEC_FACETS_A, exclude_self=True)
+    return FC.facets_long(_att(src), SPEC_FACETS_A, exclude_self=True, cells=src.cells("attendance"))
 
 
 def facets_visits(src):
-    return FC.facets_long(_vis(src), VisitFilter())
+    return FC.facets_long(_vis(src), VisitFilter(), cells=src.cells("visits"))
 
 
 def facets_visits_filtered(src):
-    return FC.facets_long(_vis(src), SPEC_FACETS_V)
+    return FC.facets_long(_vis(src), SPEC_FACETS_V, cells=src.cells("visits"))
 
 
 def facets_visits_exclude_self(src):
-    return FC.facets_long(_vis(src), SPEC_FACETS_V, exclude_self=True)
+    return FC.facets_long(_vis(src), SPEC_FACETS_V, exclude_self=True, cells=src.cells("visits"))
 
 
 def facet_counts_wide(src):
-    long = FC.facets_long(_att(src), SPEC_FACETS_A)
+    long = FC.facets_long(_att(src), SPEC_FACETS_A, cells=src.cells("attendance"))
     return FC.facet_sizes(long, [f.name for f in FC.ATTENDANCE_FACETS])
 
 
@@ -148,7 +148,7 @@ def facet_arrays(src):
     """The dimension facets under a filter as sorted arrays (an empty one where
     a facet has no option), as text."""
     names = [f.name for f in FC.ATTENDANCE_FACETS if f.slot is not None]
-    wide = FC.facets_wide(FC.facets_long(_att(src), SPEC_ARRAYS), names)
+    wide = FC.facets_wide(FC.facets_long(_att(src), SPEC_ARRAYS, cells=src.cells("attendance")), names)
     return wide.select(*[F.concat(F.lit("["), F.array_join(n, ","), F.lit("]")).alias(n) for n in names])
 
 
@@ -231,8 +231,9 @@ def visits_filter_all(src):
 
 def _report(src, dashboard: str, widget_id: int, spec=None) -> DataFrame:
     """A finished report (both stages), through the widget dispatch."""
-    fact, default = (_att(src), AttendanceFilter()) if dashboard == "attendance" else (_vis(src), VisitFilter())
-    return registry.report(fact, spec or default, dashboard, widget_id)
+    if dashboard == "attendance":
+        return registry.report(_att(src), spec or AttendanceFilter(), dashboard, widget_id, cells=src.cells("attendance"))
+    return registry.report(_vis(src), spec or VisitFilter(), dashboard, widget_id, cells=src.cells("visits"))
 
 
 def pivot_attendance_date(src):
@@ -308,7 +309,7 @@ def kpi_cards(src):
 
 def attendance_summary(src):
     """The day counts that the trend bar lists once an id is entered."""
-    return registry.summary(_att(src), SPEC_SUMMARY, "attendance", 3)
+    return registry.summary(_att(src), SPEC_SUMMARY, "attendance", 3, cells=src.cells("attendance"))
 
 
 def employee_detail(src):

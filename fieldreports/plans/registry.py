@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldreports.functions.constants import ATTENDANCE_TREND_WIDGET_ID, ATTENDANCE_TYPE_ORDER, IMPACT_ORDER, TIMING_ORDER
 from fieldreports.functions.dates import day_header
@@ -21,19 +21,9 @@ from fieldreports.operators import pivots, reports
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employee_gate
 from fieldreports.operators.order import has_order
 from fieldreports.plans import widgets as W
+from fieldreports.sources.cells import CellTable, smallest
 from fieldreports.plans.stored import ATTENDANCE_SLOTS, VISIT_SLOTS, bound_sql, run_stored  # noqa: F401
 
-CATALOG_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.IntegerType(), False),
-        T.StructField("widget_name", T.StringType(), True),
-        T.StructField("chart_type", T.StringType(), True),
-        T.StructField("display_order", T.IntegerType(), True),
-        T.StructField("is_active", T.BooleanType(), True),
-    ]
-)
-
-
 @dataclass(frozen=True)
 class Widget:
     id: int
@@ -44,6 +34,7 @@ class Widget:
     frame: Callable[[DataFrame], DataFrame] | None = None  # filtered fact -> widget result
     honours: tuple[str, ...] | None = None  # None: every slot
     needs_user: bool = False  # employee widgets: rows only once an id is entered
+    reads: tuple[str, ...] | None = None  # columns of the fact (or of its cells) that the frame groups by; None: rows
     sql: str | None = None  # stored widget: text over the unfiltered fact
     fact_table: str | None = None
 
@@ -89,38 +80,39 @@ ATT_ALL = AttendanceFilter.SLOTS
 VIS_ALL = VisitFilter.SLOTS
 
 ATTENDANCE_WIDGETS = (
-    Widget(1, "Key Figures", "kpi", 1, True, W.att_key_figures),
-    Widget(2, "Attendance Mix", "pie", 2, True, W.att_mix),
-    Widget(3, "Attendance Trend", "bar", 3, True, W.att_trend),
-    Widget(4, "Daily Trend", "line", 4, True, W.att_daily),
-    Widget(5, "Attendance By Day", "pivot", 5, True, W.att_type_by_date),
-    Widget(6, "Attendance By Region", "pivot_region", 6, True, W.att_type_by_region),
-    Widget(7, "Check-in Timing", "pivot_timing", 7, True, W.att_timing_by_date),
+    Widget(1, "Key Figures", "kpi", 1, True, W.att_key_figures, reads=("attendance_type", "user_id")),
+    Widget(2, "Attendance Mix", "pie", 2, True, W.att_mix, reads=("attendance_type",)),
+    Widget(3, "Attendance Trend", "bar", 3, True, W.att_trend, reads=("attendance_type",)),
+    Widget(4, "Daily Trend", "line", 4, True, W.att_daily, reads=("date_d", "attendance_type")),
+    Widget(5, "Attendance By Day", "pivot", 5, True, W.att_type_by_date, reads=("date_d", "attendance_type")),
+    Widget(6, "Attendance By Region", "pivot_region", 6, True, W.att_type_by_region, reads=("region", "attendance_type")),
+    Widget(7, "Check-in Timing", "pivot_timing", 7, True, W.att_timing_by_date, reads=("date_d", "timing")),
     Widget(8, "Employee Detail", "table", 8, True, W.att_employee_rows, needs_user=True),
-    Widget(9, "Salary Impact", "pivot_salary", 9, True, W.att_impact_by_date),
-    Widget(10, "Retired Widget", "bar", 10, False, W.att_trend),
-    Widget(11, "Draft Widget", "pie", 11, None, W.att_mix),
+    Widget(9, "Salary Impact", "pivot_salary", 9, True, W.att_impact_by_date, reads=("date_d", "impact")),
+    Widget(10, "Retired Widget", "bar", 10, False, W.att_trend, reads=("attendance_type",)),
+    Widget(11, "Draft Widget", "pie", 11, None, W.att_mix, reads=("attendance_type",)),
     Widget(15, "Employee Profile", "profile", 0, True, W.att_employees, needs_user=True),
 )
 
 VISIT_WIDGETS = (
-    Widget(1, "Channel Mix", "pie", 1, True, W.vis_channel_mix),
-    Widget(2, "Tier Volume", "bar", 2, True, W.vis_tier_volume),
-    Widget(3, "Top 10 ASE", "top10_table", 3, True, W.vis_ase_volume),
-    Widget(4, "Check-in Location", "pivot_location_in", 4, True, lambda b: W.vis_category_by_date(b, "location_in", "location")),
-    Widget(5, "Check-out Location", "pivot_location_out", 5, True, lambda b: W.vis_category_by_date(b, "location_out", "location")),
-    Widget(6, "Working Hours", "pivot_workhour", 6, True, lambda b: W.vis_category_by_date(b, "workhour", "workhour")),
-    Widget(7, "Visit Detail", "table", 7, True, W.vis_detail),
+    Widget(1, "Channel Mix", "pie", 1, True, W.vis_channel_mix, reads=("channel_key",)),
+    Widget(2, "Tier Volume", "bar", 2, True, W.vis_tier_volume, reads=("tier_key",)),
+    Widget(3, "Top 10 ASE", "top10_table", 3, True, W.vis_ase_volume, reads=("region", "ase_key")),
+    Widget(4, "Check-in Location", "pivot_location_in", 4, True, lambda b: W.vis_category_by_date(b, "location_in", "location"), reads=("date_key", "location_in")),
+    Widget(5, "Check-out Location", "pivot_location_out", 5, True, lambda b: W.vis_category_by_date(b, "location_out", "location"), reads=("date_key", "location_out")),
+    Widget(6, "Working Hours", "pivot_workhour", 6, True, lambda b: W.vis_category_by_date(b, "workhour", "workhour"), reads=("date_key", "workhour")),
+    Widget(7, "Visit Detail", "table", 7, True, W.vis_detail, reads=("region", "zse_key", "ase_key", "ase_ho_id")),
 )
 
 DASHBOARDS = {"attendance": ATTENDANCE_WIDGETS, "field": VISIT_WIDGETS}
 
 
 def catalog(spark: SparkSession, dashboard: str) -> DataFrame:
-    """Active widgets ordered by display order (NULL active flag = inactive)."""
-    rows = [(w.id, w.name, w.chart_type, w.display_order, w.is_active) for w in DASHBOARDS[dashboard]]
-    df = spark.createDataFrame(rows, CATALOG_SCHEMA)
-    return df.where(F.col("is_active")).select("id", "widget_name", "chart_type", "display_order").orderBy("display_order")
+    """Active widgets ordered by display order (NULL active flag = inactive): a
+    local table, so no job runs to read it."""
+    rows = [entry_of(w) for w in active(dashboard)]
+    kinds = pa.schema([("id", pa.int32()), ("widget_name", pa.string()), ("chart_type", pa.string()), ("display_order", pa.int32())])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, kinds))
 
 
 def active(dashboard: str, widgets: Iterable[Widget] | None = None) -> list[Widget]:
@@ -146,19 +138,34 @@ def has_user(spec) -> bool:
     return isinstance(spec, AttendanceFilter) and spec.user_term() is not None
 
 
-def frame_of(w: Widget, fact: DataFrame, spec, base: DataFrame | None = None) -> DataFrame:
+def cells_for(w: Widget, spec, tables: Iterable[CellTable]) -> CellTable | None:
+    """The smallest stored cell table that can answer a widget under a filter: it
+    has the columns that the widget's frame reads and those that the filter
+    compares.  None: the fact is read (stored SQL, row reports, id searches)."""
+    if w.sql is not None or w.reads is None:
+        return None
+    return smallest(tables, {*w.reads, *spec.columns(w.honours)})
+
+
+def frame_of(w: Widget, fact: DataFrame, spec, base: DataFrame | None = None, cells: Iterable[CellTable] = ()) -> DataFrame:
     """A widget's result frame (first stage).  ``base`` is the fact under the
-    whole filter, for widgets that honour every slot."""
+    whole filter, for widgets that honour every slot; ``cells`` are the fact's
+    stored cell tables, which are read instead of it where they can be."""
     if w.sql is not None:
         return run_stored(w.sql, fact, spec, w.fact_table)
-    if base is None or w.honours is not None:
+    table = cells_for(w, spec, cells)
+    if table is not None:
+        base = spec.apply(table.frame, w.honours)
+    elif base is None or w.honours is not None:
         base = spec.apply(fact, w.honours)
     return w.frame(base.where(employee_gate(spec)) if w.needs_user else base)
 
 
-def widget_data(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame:
+def widget_data(
+    fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None, cells: Iterable[CellTable] = ()
+) -> DataFrame:
     """The widget's result frame under the filter (first stage)."""
-    return frame_of(lookup(dashboard, widget_id, widgets), fact, spec)
+    return frame_of(lookup(dashboard, widget_id, widgets), fact, spec, cells=cells)
 
 
 def shows_summary(w: Widget, spec, dashboard: str) -> bool:
@@ -166,10 +173,12 @@ def shows_summary(w: Widget, spec, dashboard: str) -> bool:
     return dashboard == "attendance" and w.chart_type == "bar" and w.id == ATTENDANCE_TREND_WIDGET_ID and has_user(spec)
 
 
-def summary(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame | None:
+def summary(
+    fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None, cells: Iterable[CellTable] = ()
+) -> DataFrame | None:
     """The day counts below a widget's chart, or None where it has none."""
     w = lookup(dashboard, widget_id, widgets)
-    return reports.attendance_summary(frame_of(w, fact, spec)) if shows_summary(w, spec, dashboard) else None
+    return reports.attendance_summary(frame_of(w, fact, spec, cells=cells)) if shows_summary(w, spec, dashboard) else None
 
 
 # ------------------------------------------------------------ second stage
@@ -232,6 +241,6 @@ def render(dashboard: str, chart_type: str, frame: DataFrame) -> DataFrame:
     raise KeyError(dashboard)
 
 
-def report(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None) -> DataFrame:
+def report(fact: DataFrame, spec, dashboard: str, widget_id: int, widgets: Iterable[Widget] | None = None, cells: Iterable[CellTable] = ()) -> DataFrame:
     w = lookup(dashboard, widget_id, widgets)
-    return render(dashboard, w.chart_type, widget_data(fact, spec, dashboard, widget_id, widgets))
+    return render(dashboard, w.chart_type, widget_data(fact, spec, dashboard, widget_id, widgets, cells))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldreports.session import scratch_path
 from fieldreports.sources import fixtures, ingest
+from fieldreports.sources.cells import CellTable
+from fieldreports.sources.store import FactStore
 from fieldreports.sources.tables import TABLE_NAMES, read_table  # noqa: F401
 
 FACTS = ("attendance", "visits")
@@ -24,15 +28,18 @@ class FactSource:
 
     Without ``base`` they are derived lazily from the driver tables at
     ``sf_dir``.  With it, each fact is written to ``<base>/<name>`` the first
-    time it is asked for (Parquet by year, in files of narrow day ranges), and
-    scanned from there afterwards; a fact that an earlier session completed
-    there is opened as it is.  A failing write is an error.
+    time it is asked for (a :class:`FactStore`: Parquet by year, in files of
+    narrow day ranges, and its cell tables), and scanned from there afterwards;
+    a fact that an earlier session completed there is opened as it is.
+    ``refresh`` derives some days anew and adds or replaces just those.  A
+    failing write is an error.
     """
 
     spark: SparkSession
     sf_dir: str
     base: str | None = None
     _frames: dict = field(default_factory=dict, repr=False, compare=False)
+    _cells: dict = field(default_factory=dict, repr=False, compare=False)
     _locks: dict = field(default_factory=lambda: {n: threading.Lock() for n in FACTS}, repr=False, compare=False)
 
     def path(self, name: str) -> str:
@@ -56,14 +63,36 @@ class FactSource:
         with self._locks[name]:
             if name not in self._frames:
                 if self.base is None:
-                    self._frames[name] = self._derived(name)
+                    self._frames[name], self._cells[name] = self._derived(name), []
                 else:
-                    if not ingest.is_complete(self.spark, self.path(name)):
-                        # what an interrupted write left is no table yet
-                        ingest.write_fact(self._derived(name), self.path(name), mode="overwrite")
-                    self._frames[name] = ingest.read_fact(self.spark, self.path(name))
+                    store = self.store(name)
+                    if store.is_empty():  # what a dead writer left has no record
+                        store.add(self._derived(name))
+                    parts = store.parts()
+                    self._frames[name], self._cells[name] = store.rows(parts), store.cells(parts)
             return self._frames[name]
 
+    def store(self, name: str) -> FactStore:
+        if self.base is None:
+            raise ValueError("facts without a folder are derived, not stored")
+        return FactStore(self.spark, name, self.path(name))
+
+    def cells(self, name: str) -> list[CellTable]:
+        """The stored cell tables of a fact (none for a derived fact)."""
+        self._frame(name)
+        return self._cells[name]
+
+    def refresh(self, name: str, first: dt.date, last: dt.date) -> None:
+        """Derive the days from ``first`` to ``last`` anew: days that are new are
+        added, days that are there are replaced.  Frames handed out before keep
+        the state they had."""
+        self._frame(name)  # an empty store gets all days first
+        days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+        derived = self._derived(name).where(F.col("date_d").between(F.lit(first), F.lit(last)))
+        self.store(name).add(derived, days)
+        with self._locks[name]:
+            self._frames.pop(name)
+
     def attendance(self) -> DataFrame:
         return self._frame("attendance")
 

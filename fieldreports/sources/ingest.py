@@ -87,12 +87,6 @@ def write_fact(
     return path
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Has a write to ``path`` ended well (its commit left ``_SUCCESS``)?"""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-
-
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

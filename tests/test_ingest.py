@@ -69,7 +69,8 @@ def test_files_hold_narrow_day_ranges(spark):
 
 
 def test_sorted_files_by_year(written_source):
-    path = written_source.path("visits")
+    (part,) = written_source.store("visits").parts()
+    path = f"{written_source.path('visits')}/rows/part={part.name}"
     years = sorted(d for d in os.listdir(path) if d.startswith("year="))
     assert years and all(d[5:].isdigit() for d in years)
     df = written_source.visits()
@@ -109,8 +110,8 @@ def test_later_sessions_write_nothing(spark, tmp_path):
 
 def test_interrupted_writes_are_written_anew(spark, tmp_path):
     base = str(tmp_path / "facts")
-    os.makedirs(f"{base}/visits")
-    (tmp_path / "facts/visits/part-0.parquet").write_bytes(b"half a file")
+    os.makedirs(f"{base}/visits/rows/part=w0/year=1995")
+    (tmp_path / "facts/visits/rows/part=w0/year=1995/part-0.parquet").write_bytes(b"half a file")
     assert FactSource(spark, SF_SMALL, base).visits().count() == 6000
 
 

@@ -1,0 +1,290 @@
+"""Stored facts that grow by day, their cells, and what reports read."""
+
+import datetime as dt
+import os
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldreports.operators import facets as FC
+from fieldreports.operators.filters import AttendanceFilter, VisitFilter
+from fieldreports.plans import api, registry
+from fieldreports.plans import queries as Q
+from fieldreports.plans.dashboard import collect_all, run_dashboard
+from fieldreports.sources import FactSource, cells, store
+from fieldreports.sources.tables import TABLE_NAMES
+
+from .conftest import SF_SMALL
+
+
+def key(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return FactSource(spark, SF_SMALL).attendance().cache()
+
+
+def day(n):
+    return dt.date(2024, 1, n)
+
+
+def between(df, a, b):
+    return df.where(F.col("date_d").between(F.lit(day(a)), F.lit(day(b))))
+
+
+def changed(df):
+    return df.withColumn("region", F.lit("NOWHERE"))
+
+
+def in_step(stored):
+    """The cell tables of a store hold its rows."""
+    tables = stored.cells(least_reduction=0)
+    assert [t.name for t in tables] == list(cells.TABLES[stored.name])
+    for t in tables:
+        want = cells.cells_of(stored.rows(), stored.name, cells.TABLES[stored.name][t.name])
+        assert key(t.frame.groupBy(*[c for c in t.frame.columns if not c.startswith("_n")]).agg(F.sum("_n").alias("_n"), F.sum("_n_check_in").alias("_n_check_in"))) == key(want)
+    return tables
+
+
+def test_append_and_late_days(spark, rows, tmp_path):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    assert s.is_empty() and s.cells() == []
+    with pytest.raises(ValueError):
+        s.rows()
+    s.add(between(rows, 1, 10))
+    before = s.rows()
+    s.add(between(rows, 11, 20))  # an append
+    assert key(s.rows()) == key(between(rows, 1, 20)) and len(s.parts()) == 2
+    s.add(changed(between(rows, 5, 6)))  # late days
+    want = between(rows, 1, 4).unionByName(changed(between(rows, 5, 6))).unionByName(between(rows, 7, 20))
+    assert key(s.rows()) == key(want)
+    assert key(before) == key(between(rows, 1, 10))  # an open frame keeps its state
+    s.add(changed(between(rows, 1, 11)), [day(12)])  # most days of a part, and one that has no rows any more
+    want = changed(between(rows, 1, 11)).unionByName(between(rows, 13, 20))
+    assert key(s.rows()) == key(want)
+    in_step(s)
+    assert s.rows().schema.names == rows.schema.names and s.rows().dtypes == rows.dtypes
+    part = s.compact()
+    assert [p.name for p in s.parts()] == [part] and key(s.rows()) == key(want)
+    assert s.compact() is None
+    in_step(s)
+
+
+def test_rows_without_a_day_are_a_day_of_their_own(spark, rows, tmp_path):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    undated = between(rows, 1, 1).withColumns({"date_d": F.lit(None).cast("date"), "year": F.lit(None).cast("int")})
+    s.add(between(rows, 1, 3).unionByName(undated))
+    s.add(changed(between(rows, 2, 2)))
+    assert key(s.rows()) == key(between(rows, 1, 1).unionByName(between(rows, 3, 3)).unionByName(undated).unionByName(changed(between(rows, 2, 2))))
+    s.add(changed(undated))
+    s.add(changed(between(rows, 1, 1)))
+    assert key(s.rows()) == key(between(rows, 3, 3).unionByName(changed(undated)).unionByName(changed(between(rows, 1, 2))))
+    in_step(s)
+    s.compact()
+    assert s.rows().where("date_d is null").count() == undated.count()
+
+
+def test_a_dead_writer_changes_nothing(spark, rows, tmp_path, monkeypatch):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    s.add(between(rows, 1, 3))
+    want = key(s.rows())
+
+    class Died(Exception):
+        pass
+
+    def dies(*args):
+        raise Died
+
+    monkeypatch.setattr(store, "cells_of", dies)
+    with pytest.raises(Died):
+        s.add(changed(between(rows, 1, 5)))  # the rows are there, the record is not
+    monkeypatch.undo()
+    assert len(os.listdir(tmp_path / "f/rows")) == 2 and key(s.rows()) == want
+    os.makedirs(tmp_path / "f/commits/write=wdead/_temporary/0")  # a record that was being written
+    (tmp_path / "f/commits/write=wdead/_temporary/0/part-0.json").write_text('{"part": "wde')
+    assert key(s.rows()) == want
+    s.add(changed(between(rows, 2, 2)))
+    assert s.rows().where("region = 'NOWHERE'").select("date_d").distinct().count() == 1
+
+
+def test_two_writers(spark, rows, tmp_path, monkeypatch):
+    """Both write before either has committed; the later record has its days whole."""
+    path = str(tmp_path / "f")
+    one, two = (store.FactStore(s, "attendance", path) for s in (spark, spark.newSession()))
+    one.add(between(rows, 1, 2))
+    inner = []
+    real = store.cells_of
+
+    def other_writer_comes_between(*args):
+        if not inner:
+            inner.append(1)
+            two.add(between(rows, 3, 6))
+        return real(*args)
+
+    monkeypatch.setattr(store, "cells_of", other_writer_comes_between)
+    one.add(changed(between(rows, 2, 4)))
+    monkeypatch.undo()
+    assert len(one.parts()) == 3
+    states = [p for p in one.parts()]
+    assert {d for p in states for d in p.owned} == {day(i).isoformat() for i in range(1, 7)}
+    # days 3 and 4 were written twice: all their rows come from the later record
+    last = max(states, key=lambda p: p.at)
+    assert {day(3).isoformat(), day(4).isoformat()} <= last.owned
+    nowhere = {r.date_d for r in one.rows().where("region = 'NOWHERE'").select("date_d").distinct().collect()}
+    assert nowhere == {dt.date.fromisoformat(d) for p in states for d in p.owned if p.name == next(q.name for q in states if day(2).isoformat() in q.owned)}
+    assert one.rows().count() == between(rows, 1, 6).count()
+    in_step(two)
+
+
+def test_a_record_between_reading_and_compaction_stays(spark, rows, tmp_path, monkeypatch):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    s.add(between(rows, 1, 2))
+    s.add(between(rows, 3, 4))
+    real, inner = store.cells_of, []
+
+    def late(*args):
+        if not inner:
+            inner.append(1)
+            s.add(changed(between(rows, 2, 2)))
+        return real(*args)
+
+    monkeypatch.setattr(store, "cells_of", late)
+    s.compact()
+    monkeypatch.undo()
+    assert key(s.rows()) == key(between(rows, 1, 1).unionByName(changed(between(rows, 2, 2))).unionByName(between(rows, 3, 4)))
+
+
+def test_scans_of_replaced_days_still_prune(spark, rows, tmp_path):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    s.add(between(rows, 1, 20))
+    s.add(between(rows, 7, 8))
+    plan = AttendanceFilter(date_from="2024-01-03", region="ASIA").apply(s.rows())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert "year#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(region,ASIA)" in plan
+
+
+def test_refresh_derives_only_its_days(spark, tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    for t in TABLE_NAMES:
+        if t != "events":
+            os.symlink(f"{SF_SMALL}/{t}.parquet", data / f"{t}.parquet")
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    late = events.where(F.to_date("ts") == F.lit(day(9)))
+    events.where(F.to_date("ts") < F.lit(day(20))).where(F.to_date("ts") != F.lit(day(9))).write.parquet(str(data / "events.parquet"))
+    src = FactSource(spark, str(data), str(tmp_path / "facts"))
+    old = src.attendance()
+    before = key(old)
+    shutil.move(str(data / "events.parquet"), str(data / "earlier.parquet"))
+    spark.read.parquet(str(data / "earlier.parquet")).unionByName(late).unionByName(events.where(F.to_date("ts") >= F.lit(day(20)))).write.parquet(str(data / "events.parquet"))
+    src.refresh("attendance", day(9), day(9))
+    src.refresh("attendance", day(20), day(31))
+    assert key(src.attendance()) == key(FactSource(spark, SF_SMALL).attendance()) and key(old) == before
+    assert key(src.attendance()) == key(FactSource(spark, str(data), str(tmp_path / "facts")).attendance())  # another session
+    assert len(src.store("attendance").parts()) == 3
+    with pytest.raises(ValueError):
+        FactSource(spark, SF_SMALL).refresh("attendance", day(1), day(1))
+
+
+# ------------------------------------------------------------ reports from cells
+
+A_SPECS = [v for k, v in vars(Q).items() if k.startswith("SPEC_") and isinstance(v, AttendanceFilter)] + [AttendanceFilter()]
+V_SPECS = [v for k, v in vars(Q).items() if k.startswith("SPEC_") and isinstance(v, VisitFilter)] + [VisitFilter()]
+
+
+@pytest.fixture(scope="module")
+def tables(written_source):
+    """All cell tables, whatever their size."""
+    return {n: written_source.store(n).cells(least_reduction=0) for n in ("attendance", "visits")}
+
+
+@pytest.mark.parametrize("dashboard, fact, specs", [("attendance", "attendance", A_SPECS), ("field", "visits", V_SPECS)])
+def test_reports_from_cells_equal_those_from_the_fact(written_source, tables, dashboard, fact, specs):
+    df, used = getattr(written_source, fact)(), set()
+    for spec in specs:
+        for w in registry.active(dashboard):
+            table = registry.cells_for(w, spec, tables[fact])
+            if table is None:
+                assert w.is_detail or w.needs_user or spec.columns() & {"user_txt", "ase_ho_id"} or "user_id" in (w.reads or ()) or not any(
+                    t.covers({*w.reads, *spec.columns()}) for t in tables[fact]
+                )
+                continue
+            used.add(table.name)
+            got = registry.report(df, spec, dashboard, w.id, cells=tables[fact])
+            assert all(f"/cells/{table.name}/" in f for f in got.inputFiles()) and got.inputFiles()
+            want = registry.report(df, spec, dashboard, w.id)
+            assert not any("/cells/" in f for f in want.inputFiles())
+            assert got.dtypes == want.dtypes and key(got) == key(want), (w.name, spec)
+    assert used == set(cells.TABLES[fact])
+
+
+def test_facets_and_lists_from_cells(written_source, tables):
+    att, vis = written_source.attendance(), written_source.visits()
+    for spec in A_SPECS:
+        got = FC.facets_long(att, spec, cells=tables["attendance"])
+        assert key(got) == key(FC.facets_long(att, spec))
+        assert any("/cells/" in f for f in got.inputFiles()) and any("/cells/" not in f for f in got.inputFiles())  # the id facet needs the fact
+    for spec in V_SPECS:
+        got = FC.facets_long(vis, spec, exclude_self=True, cells=tables["visits"])
+        assert key(got) == key(FC.facets_long(vis, spec, exclude_self=True))
+        assert any("/cells/" in f for f in got.inputFiles()) == (spec.user_id is None)
+    for dim in FC.DIMENSIONS:
+        got = FC.dimension_list(att, dim, cells=tables["attendance"])
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in FC.dimension_list(att, dim).collect()]
+        assert all("/cells/" in f for f in got.inputFiles())
+    assert api.zse_ase_map(att, tables["attendance"]) == api.zse_ase_map(att)
+    assert api.filter_options(vis, VisitFilter(), tables["visits"]) == api.filter_options(vis, VisitFilter())
+
+
+def test_a_cell_table_must_be_small(spark, rows, tmp_path):
+    s = store.FactStore(spark, "attendance", str(tmp_path / "f"))
+    s.add(rows)
+    total = rows.count()
+    sizes = {t.name: t.n_cells for t in s.cells(least_reduction=0)}
+    assert all(n <= total for n in sizes.values()) and sizes["days"] < sizes["teams"]
+    for least in (1, 2, 3, 10**9):
+        assert [t.name for t in s.cells(least_reduction=least)] == [n for n, size in sizes.items() if size * least <= total]
+
+
+def test_rows_and_sums_of_empty_selections(written_source, tables):
+    none = AttendanceFilter(region="NOWHERE")
+    att = written_source.attendance()
+    for w in registry.active("attendance"):
+        if registry.cells_for(w, none, tables["attendance"]):
+            assert key(registry.report(att, none, "attendance", w.id, cells=tables["attendance"])) == key(registry.report(att, none, "attendance", w.id))
+
+
+# ------------------------------------------------------------ one scan a dashboard
+
+
+def leaves(df):
+    found, out = df._jdf.queryExecution().withCachedData().collectLeaves(), []
+    for i in range(found.size()):
+        out.append(found.apply(i).nodeName())
+    return out
+
+
+@pytest.mark.parametrize("dashboard, fact, spec", [("attendance", "attendance", AttendanceFilter(user_id="1", date_from="2024-01-03")), ("field", "visits", VisitFilter(user_id="2"))])
+def test_aggregated_widgets_share_one_scan(written_source, tables, dashboard, fact, spec):
+    df = getattr(written_source, fact)()
+    want = {w.id: key(registry.report(df, spec, dashboard, w.id)) for w in registry.active(dashboard)}
+    with run_dashboard(df, spec, dashboard, cells=tables[fact]) as run:  # an id search: no cell table can answer
+        shared = [i for i, source in run.sources.items() if source == "shared"]
+        assert len(shared) >= 6 and set(run.sources.values()) == {"shared", "fact"}
+        assert run.shared._jdf.queryExecution().analyzed().toString().count("Relation [") == 1
+        for i in shared:
+            assert set(leaves(run.reports[i])) == {"InMemoryRelation"}, i
+        assert {i: key(r) for i, r in run.reports.items()} == want
+        got = collect_all(run)
+        assert set(got) == set(want) and all(sorted(map(str, got[i])) == want[i] for i in shared)
+    assert run.shared is None
+
+
+def test_a_load_reads_cells_where_it_can(written_source, tables):
+    df = written_source.attendance()
+    with run_dashboard(df, AttendanceFilter(), "attendance", cells=tables["attendance"]) as run:
+        assert run.sources[2] == "days" and run.sources[1] == "shared" and run.shared is None
+        assert {i: key(r) for i, r in run.reports.items()} == {i: key(registry.report(df, AttendanceFilter(), "attendance", i)) for i in run.reports}
