@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
 import weakref
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -117,33 +119,45 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
 
-_BYTE_CODES = seeded(1, 256)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base and of its inverse, modulo 2**64 (kept per process)."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, np.uint64(base))
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
-class Spans:
-    """Hashes of any byte spans of a buffer, by one pass of prefix sums."""
-
-    def __init__(self, raw: np.ndarray):
-        up, self._down = _power_tables(len(raw))
-        self._sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[raw] * up[: len(raw)], out=self._sums[1:])
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        lengths = (ends - starts).astype(np.uint64)
-        return mix64((self._sums[ends] - self._sums[starts]) * self._down[starts] + lengths)
+_BYTE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed by a library function, one by one.
+_MOST_CHUNKED = 64
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span ``raw[start:end]``.
+
+    Eight bytes at a time go through a bijective mixer, so spans of one length up
+    to eight bytes have different hashes, and what differs in longer ones cannot
+    cancel out by the positions of its bytes, as it can in a sum.  Two seeds give
+    two independent hashes."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), buffer=padded, strides=(1,))
+    lengths = ends - starts
+    start, factor = seeded(41 + seed, 2)
+    factor |= np.uint64(1)
+    out = mix64((eight[starts] & _BYTE_MASKS[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * factor + start)
+    more = np.flatnonzero((lengths > 8) & (lengths <= _MOST_CHUNKED))
+    at = 8
+    while len(more):
+        out[more] = mix64(out[more] * factor + (eight[starts[more] + at] & _BYTE_MASKS[np.minimum(lengths[more] - at, 8)]))
+        at += 8
+        more = more[lengths[more] > at]
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(lengths > _MOST_CHUNKED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def span_ids(raw: np.ndarray, kept: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Numbers of byte spans, equal for equal spans and for no others.  The spans
+    are the bytes ``raw[kept]``, cut into ``lengths``."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    data = np.ascontiguousarray(raw[kept])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return spans.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Words:
@@ -151,10 +165,10 @@ class Words:
 
     ``starts`` and ``ends`` are byte positions in ``raw``, ``first[d]`` is the
     index of the first word of text d (``first[-1]``: their number), ``hash``
-    one 64-bit hash per word.
+    one 64-bit hash per word, ``ids`` numbers that only equal words share.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         word = ~IS_SEPARATOR[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
@@ -166,8 +180,19 @@ class Words:
         self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.raw, self.offsets, self.is_word_byte = raw, offsets, word
-        self.spans = Spans(raw) if hashed else None
-        self.hash = self.spans.hashes(self.starts, self.ends) if hashed else None
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return span_hashes(self.raw, self.starts, self.ends)
+
+    @cached_property
+    def second_hash(self) -> np.ndarray:
+        """A hash of each word that is independent of ``hash``."""
+        return span_hashes(self.raw, self.starts, self.ends, 1)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return span_ids(self.raw, self.is_word_byte, self.ends - self.starts)
 
     @property
     def counts(self) -> np.ndarray:

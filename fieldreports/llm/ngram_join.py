@@ -1,7 +1,8 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts are sets of shingles of five words.  Equal texts form a class (a 128-bit
-digest), and the join runs over classes, named by a 64-bit hash of the digest:
+digest), and the join runs over classes, each with a 64-bit number of its own (a
+hash of the digest; classes that would share one get another):
 
 1. MinHash values of each class; classes that agree on a band of ``LANES``
    values share a bucket and are candidates (a pair at the threshold is missed
@@ -14,7 +15,8 @@ digest), and the join runs over classes, named by a 64-bit hash of the digest:
    tasks, in blocks, across clusters only; a task sends no more pairs than join
    the clusters it has found.  So two candidates that survive are in one cluster.
 3. Inside each cluster all pairs are pruned in the same way and the rest is
-   verified exactly on shingles, in blocks of a bounded number of shingles.
+   verified exactly on shingles, in blocks of a bounded number of shingles and of
+   classes.
    Tasks send the numbers of links of each class, and as many verified pairs as
    join the classes that are linked; their components are the groups.
 
@@ -344,6 +346,30 @@ def _sorted_groups(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.select(key, "side", *columns).repartition(n, key).sortWithinPartitions(key)
 
 
+def _numbered(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(classes with node, class, other)``: a number for every class, no two
+    alike.  Almost all are a hash of the class; ``class, other`` lists those few
+    whose hash another class has too (about n * n / 2**65 of n classes)."""
+    hashed = classes.withColumn("node", F.xxhash64("class"))
+    alike = hashed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("keeps")).where("n > 1")
+    moved = store(hashed.join(alike, "node").where("class <> keeps").select("class", F.lit(0).cast("long").alias("other")), "moved")
+    salt = 0
+    while not moved.isEmpty():
+        salt += 1
+        moved_to = moved.select("class", F.xxhash64("class", F.lit(salt)).alias("other"))
+        named = classes.join(moved_to, "class", "left").select("class", F.coalesce("other", F.xxhash64("class")).alias("node"))
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            moved = store(moved_to, "moved")
+            break
+    return _with_node(classes, moved), moved
+
+
+def _with_node(df: DataFrame, moved: DataFrame) -> DataFrame:
+    """Adds each class's number."""
+    joined = df.join(moved, "class", "left") if not moved.isEmpty() else df.withColumn("other", F.lit(None).cast("long"))
+    return joined.withColumn("node", F.coalesce("other", F.xxhash64("class"))).drop("other")
+
+
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, groups)``: ``doc_id, class`` of every document that has a text,
     and ``class, first_id, group_id, is_head, n_links`` of every class (the head
@@ -351,12 +377,13 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     ship(spark)
     named = _with_class(docs).where(F.col("class").isNotNull())
-    node = F.xxhash64("class")
     ids = store(named.select("doc_id", "class"), "classes")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    firsts = store(ids.groupBy("class").agg(F.min(number).alias("first_number")).withColumn("node", node), "firsts")
+    firsts = store(ids.groupBy("class").agg(F.min(number).alias("first_number")), "firsts")
+    firsts, moved = _numbered(firsts)
+    named = _with_node(named, moved)
 
-    signs = named.select(node.alias("node"), "text").mapInArrow(_signed, "node long, signature binary, bands array<long>")
+    signs = named.select("node", "text").mapInArrow(_signed, "node long, signature binary, bands array<long>")
     signs = store(signs.dropDuplicates(["node"]), "signatures")
     placed = signs.select("node", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -382,13 +409,14 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the texts of clustered classes, once each, as sets of shingles
     wanted = firsts.join(clusters.select("node"), "node").select("class", F.col("first_number").alias("number"))
     texts = named.withColumn("number", number).join(wanted, ["number", "class"], "left_semi").dropDuplicates(["number", "class"])
-    sets = store(texts.select(node.alias("node"), "text").mapInArrow(_shingled, "node long, size long, shingles binary"), "shingles")
+    sets = store(texts.select("node", "text").mapInArrow(_shingled, "node long, size long, shingles binary"), "shingles")
     release(spark)
 
     # exact links inside the clusters, and the groups that they make
     sized = clusters.join(sets.drop("size"), "node").join(signs, "node")
-    total = clusters.join(sets.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total"))
-    dealt = _blocks(sized.join(total, "component"), "component", "block", F.ceil(F.col("total") / BLOCK_SHINGLES))
+    total = clusters.join(sets.select("node", "size"), "node").groupBy("component").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("classes"))
+    n_blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES))
+    dealt = _blocks(sized.join(total, "component"), "component", "block", n_blocks)
     linked = store(_sorted_groups(dealt, "block", "node", "signature", "shingles").mapInArrow(_linked, "a long, b long, links long"), "links")
     groups = store(components(linked.where("b is not null"), "a", "b"), "groups")
     n_links = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))

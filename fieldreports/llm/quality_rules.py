@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldreports.llm.common import Words, chunks, mix64, ship, string_buffers, windows
+from fieldreports.llm.common import Words, chunks, mix64, ship, span_ids, string_buffers
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -81,8 +81,23 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, firsts
 
 
-def _with_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    return hashes ^ ((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+def _in_text(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Numbers that only equal ids of one text share."""
+    return text.astype(np.int64) * (int(ids.max(initial=0)) + 1) + ids
+
+
+def _window_ids(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all runs of ``size`` words inside one text, equal for equal runs
+    only, and the index of each run's first word."""
+    ends = np.repeat(first[1:], np.diff(first))
+    at = np.flatnonzero(np.arange(len(ids)) + size <= ends)
+    out = ids[at]
+    for k in range(1, size):
+        wide = int(ids.max(initial=0)) + 1
+        if int(out.max(initial=0)) >= (1 << 62) // wide:  # pairs do not fit a number: count them off first
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+        out = out * wide + ids[at + k]
+    return out, at
 
 
 def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -113,17 +128,24 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = some[stops] > some[begins]
     begins, stops = begins[full], stops[full]
     line_text = np.searchsorted(offsets, begins, side="right") - 1
-    _, firsts = _repeated(_with_text(w.spans.hashes(begins, stops), line_text))
+    in_line = np.zeros(len(raw) + 1, np.int8)
+    in_line[begins] += 1
+    np.subtract.at(in_line, stops, 1)
+    lines = span_ids(raw, np.cumsum(in_line[:-1]) > 0, stops - begins)
+    _, firsts = _repeated(_in_text(lines, line_text))
     put("n_lines", np.bincount(line_text, minlength=n))
     put("n_dup_lines", np.bincount(line_text[~firsts], minlength=n))
     # words in repeated three-word windows
-    h, at = windows(w.hash, w.first, 3)
-    many, _ = _repeated(_with_text(h, text[at]))
-    hit = np.zeros(len(w.hash), bool)
+    runs, at = _window_ids(w.ids, w.first, 3)
+    # only equal runs can be of one text's: number those that occur twice at all
+    many, _ = _repeated(runs)
+    runs, at = np.unique(runs[many], return_inverse=True)[1], at[many]
+    many, _ = _repeated(_in_text(runs, text[at]))
+    hit = np.zeros(len(w.ids), bool)
     for k in range(3):
         hit[at[many] + k] = True
     put("n_repeat_words", np.bincount(text[hit], minlength=n))
-    _, firsts = _repeated(_with_text(w.hash, text))
+    _, firsts = _repeated(_in_text(w.ids, text))
     put("n_distinct", np.bincount(text[firsts], minlength=n))
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, text, w.ends - w.starts)

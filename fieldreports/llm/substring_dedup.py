@@ -12,8 +12,8 @@ windows.  The steps:
    send short keys of their windows, packed by bucket of the key, and each bucket
    answers which windows meet a block that is somewhere else;
 2. hits are extended: every window of ``WINDOW`` words that holds a hit is sent
-   by its full 64-bit hash, and those that occur twice are repeats; neighbouring
-   ones join to the maximal exact repeats.
+   by two independent 64-bit hashes, and those that agree in both and occur twice
+   are repeats; neighbouring ones join to the maximal exact repeats.
 
 A task that sees a window twice itself marks its places at once and sends only
 one of them, so copies in one file and hot passages add little to the shuffle.
@@ -49,9 +49,30 @@ _SENT = "bucket int, unit long, keys binary, low binary, high binary, row1 binar
 _ANSWER = "unit long, found binary, row1 binary, row2 binary, words binary"
 
 
+#: The full key of a window: two independent hashes of its words.
+_FULL_KEY = np.dtype([("one", np.uint64), ("two", np.uint64)])
+
+
+def _full_keys(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    keys = np.empty(len(one), _FULL_KEY)
+    keys["one"], keys["two"] = one, two
+    return keys
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(keys, kind="stable") if keys.dtype.names is None else np.lexsort((keys["two"], keys["one"]))
+
+
+def _first_of_group(keys: np.ndarray) -> np.ndarray:
+    """Where the groups of equal keys of a sorted array begin."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
 def _packed(unit: int, buckets: int, hashes, at, flags, short: bool):
     """Rows of one unit: its windows by bucket, as planes that compress well."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    bucket = ((hashes if short else hashes["one"]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, hashes, at, flags = bucket[order], hashes[order], at[order].astype(np.uint32), flags[order]
     if short:
@@ -67,8 +88,8 @@ def _packed(unit: int, buckets: int, hashes, at, flags, short: bool):
 def _found_here(hashes: np.ndarray, at: np.ndarray, flags: np.ndarray):
     """Places of windows that a unit settles itself, and what is left to send:
     of windows that occur twice, one of them flagged, a flagged one is sent."""
-    order = np.argsort(hashes, kind="stable")
-    new = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0)
+    order = _order(hashes)
+    new = _first_of_group(hashes[order])
     size = np.diff(np.append(new, len(order)))
     settled = (size > 1) & np.logical_or.reduceat(flags[order], new) if len(new) else np.zeros(0, bool)
     places = at[order][np.repeat(settled, size)]
@@ -96,12 +117,14 @@ def _block_windows(words: Words, _):
 
 
 def _full_windows(words: Words, hits: list[bytes]):
-    """Windows that hold a hit: two block windows, 17 words apart, name one."""
-    hashes, at = windows(words.hash, words.first, BLOCK)
+    """Windows that hold a hit: two block windows, 17 words apart, name one, by
+    two hashes each."""
+    one, at = windows(words.hash, words.first, BLOCK)
+    two, _ = windows(words.second_hash, words.first, BLOCK)
     n = len(words.hash)
-    by_place = np.zeros(n + 1, np.uint64)
+    by_place = np.zeros((2, n + 1), np.uint64)
     valid = np.zeros(n + 1, bool)
-    by_place[at], valid[at] = hashes, True
+    by_place[0, at], by_place[1, at], valid[at] = one, two, True
     change = np.zeros(n + 1, np.int32)
     for d, found in enumerate(hits):
         base = words.first[d]
@@ -113,7 +136,8 @@ def _full_windows(words: Words, hits: list[bytes]):
     # valid block windows 17 apart lie in one text only if the text goes on
     text = np.searchsorted(words.first, q, side="right") - 1
     q = q[q + WINDOW <= words.first[text + 1]]
-    return mix64(by_place[q] * np.uint64(0x9E3779B97F4A7C15) + by_place[q + step]), q, np.ones(len(q), bool)
+    full = mix64(by_place[:, q] * np.uint64(0x9E3779B97F4A7C15) + by_place[:, q + step])
+    return _full_keys(*full), q, np.ones(len(q), bool)
 
 
 def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> DataFrame:
@@ -159,12 +183,11 @@ def _occurring_twice(rows: DataFrame, buckets: int, choose, short: bool) -> Data
         full = [r for r in rows if r["keys"] is not None]
         out = [(r["unit"], r["low"], r["row1"], r["row2"], r["words"]) for r in rows if r["keys"] is None]
         if full:
-            keys = np.frombuffer(b"".join(r["keys"] for r in full), np.uint32 if short else np.uint64)
+            keys = np.frombuffer(b"".join(r["keys"] for r in full), np.uint32 if short else _FULL_KEY)
             flags = (keys & keys.dtype.type(1)).astype(bool) if short else np.ones(len(keys), bool)
             keys = keys >> np.uint32(1) if short else keys
-            order = np.argsort(keys, kind="stable")
-            new = np.flatnonzero(np.diff(keys[order].astype(np.uint64), prepend=np.uint64(0)) != 0)
-            new = np.unique(np.append(0, new))
+            order = _order(keys)
+            new = _first_of_group(keys[order])
             size = np.diff(np.append(new, len(keys)))
             good = (size > 1) & np.logical_or.reduceat(flags[order], new)
             hit = np.zeros(len(keys), bool)

@@ -23,12 +23,20 @@ def prose(seed: int, n: int, syllables=("tha", "ne", "ti", "on", "er", "shi", "b
     return " ".join(out)
 
 
+def swapped_words() -> tuple[str, str]:
+    """A Thue-Morse word of 1,024 letters and its swap: sums over the places of
+    their bytes, modulo 2**64, are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def hard_documents() -> list[tuple]:
     """``doc_id, text, lang, source, n_chars, size, class, text2``: nulls, empty and very long texts,
     repeated rows and ids, copies and near copies, odd white space and characters."""
     base = prose(1, 300)
     near = base.replace(" ", "  ", 3) + " ending here"
     passage = prose(2, 60)
+    one, other = swapped_words()
     texts = {
         0: base,
         1: base,
@@ -50,6 +58,14 @@ def hard_documents() -> list[tuple]:
         17: "x",
         18: passage,
         19: "12 34 -- !!",
+        # different words, lines and texts whose positional sums are equal
+        20: f"ab cd ef {one} gh",
+        21: f"ab cd ef {other} gh",
+        22: one,
+        23: other,
+        24: prose(12, 17) + f" {one} " + prose(13, 17),
+        25: prose(12, 17) + f" {other} " + prose(13, 17),
+        26: f"{one}\n{other}\n{one} {other} {one}\n{other} {one} {other}\n" + prose(14, 55),
     }
     rows = [(i, t, ("en", "fr", None)[i % 3] if i != 13 else "en", ("a", "b", None, "z")[i % 4], len(t or ""), i, "c", "x") for i, t in texts.items()]
     rows.append(rows[8])  # a repeated row
