@@ -10,10 +10,15 @@ that is accepted is the smallest of a grid at which the expected number of
 word-like runs among the accepted stays below ``FALSE_SHARE``.
 
 Only DataFrame operations are used.  Two passes over the texts without any
-shuffle of them; between them come at most ``strata`` rows of counts.
-
-Defined results: a null text counts as empty and has no spans; equal texts have
-equal spans; an empty table gives an empty table.  Positions are code points.
+shuffle of them; between them come at most ``strata`` rows of counts.  A text
+costs time in proportion to its length and its spans: positions are running sums
+that are folded in blocks, and texts are put together from pieces.
+
+Defined results: a null text counts as empty and has no spans; a very long text is
+scanned whole, in one row; equal texts and repeated rows have equal spans; spans
+that start together go by kind, then end; an empty table gives an empty table;
+``scan`` passes other columns on, ``redact`` also those with the names used here.
+Positions are code points.
 """
 
 from __future__ import annotations
@@ -43,28 +48,94 @@ ENCODINGS = (
 COINCIDENCE = 0.06
 
 
-def _found(text: Column, pattern: str, kind: int, least: Column | None = None) -> Column:
-    """Spans ``(start, kind, end)`` of the leftmost matches that do not overlap.
+_SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, step, start: int = 0) -> Column:
+    """Running results of ``step`` over an array of integers, each value included.
+
+    Folded in blocks of about the square root of the length, then over the blocks:
+    a fold that appends to an array copies it at every step."""
+
+    def of(v: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(v))).cast("int"))
+
+        def append(acc: Column, x: Column) -> Column:
+            return F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
+
+        def blocks(w: Column) -> Column:
+            first = F.sequence(F.lit(1), F.size(v), w)
+            begin = F.array(F.lit(start))
+            local = F.transform(first, lambda k: F.aggregate(F.slice(v, k, w), begin, append))
+            return _let(
+                local,
+                lambda parts: _let(
+                    F.aggregate(parts, begin, lambda acc, p: append(acc, F.element_at(p, -1))),
+                    lambda before: F.flatten(
+                        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.transform(F.slice(F.element_at(parts, k), 2, w), lambda x: step(F.element_at(before, k), x)))
+                    ),
+                ),
+            )
+
+        return F.when(F.size(v) > 0, _let(width, blocks)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, of)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _found(text: Column, pattern: str, kind: int, least: Column | None = None, with_match: bool = False) -> Column:
+    """Spans ``(start, kind, end)``, with ``match`` its text, of the leftmost matches that do not overlap.
 
     The pieces between the matches and the matches themselves alternate, so
     running sums of their lengths are the positions.
     """
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
-    rows = F.arrays_zip(
-        F.split(text, pattern, -1).alias("between"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-        *([least.alias("value")] if least is not None else []),
-    )
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def of(m: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda b, x: F.length(b) + F.length(x))
+        rows = F.arrays_zip(_running(lengths, _sum).alias("end"), m.alias("match"), *([least.alias("value")] if least is not None else []))
+        rows = rows if least is None else F.filter(rows, lambda x: F.length(x["value"]) >= LEAST_ASSIGNED)
+        span = lambda x: [(x["end"] - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")]
+        return F.transform(rows, lambda x: F.struct(*span(x), *([x["match"].alias("match")] if with_match else [])))
+
+    none = F.array().cast(f"array<{_SPAN[:-1]},match:string>>" if with_match else f"array<{_SPAN}>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(matches, of)).otherwise(none)
+
+
+#: Code points of a text that are cut off together, so that a span is found
+#: without counting from the text's beginning.
+CUT = 1024
+
+
+def _spliced(text: Column, spans: Column, piece) -> Column:
+    """The text with spans (sorted by their start) replaced: ``piece(cut, before,
+    span)`` is what follows the end ``before`` of all earlier spans, up to the
+    span's own end; ``cut(a, b)`` is the text between two positions."""
+
+    def of(blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / CUT).cast("int")
+            some = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / CUT).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(some, a - first * CUT + 1, b - a)).otherwise(F.lit(""))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["match"])
-        good = x["match"].isNotNull() if least is None else x["match"].isNotNull() & (F.length(x["value"]) >= LEAST_ASSIGNED)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return _let(
+            ends,
+            lambda e: F.concat(
+                F.array_join(F.transform(spans, lambda s, i: piece(cut, F.when(i > 0, F.get(e, i - 1)).otherwise(0), s)), ""),
+                cut(F.element_at(e, -1), F.length(text)),
+            ),
+        )
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(rows, zero, step)["spans"]).otherwise(none)
+    return F.when(F.size(spans) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), of)).otherwise(text)
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -114,23 +185,20 @@ def _length_bin(n: Column) -> Column:
 
 def _outside_base(text: Column) -> Column:
     """The text with every character of a base span replaced by a space."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        add = F.concat(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+    def blank(cut, before: Column, s: Column) -> Column:
+        start = F.greatest(before, s["start"])
+        return F.concat(cut(before, start), F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0))))
 
-    masked = F.aggregate("base", zero, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return F.when(F.size("base") > 0, masked).otherwise(text)
+    return _spliced(text, F.col("base"), blank)
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
     """Adds ``runs``: spans outside the base spans, with the battery's results.
     Of a run that a base span cuts, each part of 20 characters and more is judged."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    judged = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), battery(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("test"))
-    found = docs.withColumn("outside", _outside_base(text)).withColumn("found_runs", _found(F.col("outside"), RUN, 3))
+    judged = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), battery(s["match"]).alias("test"))
+    found = docs.withColumn("outside", _outside_base(text)).withColumn("found_runs", _found(F.col("outside"), RUN, 3, with_match=True))
     return found.withColumn("runs", F.transform("found_runs", judged)).drop("outside", "found_runs")
 
 
@@ -195,16 +263,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every span of their texts replaced by ``mark``
     (overlapping spans by one), and ``n_chars`` set to the new length."""
     found = scan(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumn("text", F.col("in_text")))
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        add = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], add).otherwise(acc["out"]).alias("out"))
+    def marked(cut, before: Column, s: Column) -> Column:
+        return F.when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(mark))).otherwise(F.lit(""))
 
-    done = F.aggregate("spans", zero, step)
-    rest = lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.transform(F.array(done), rest)[0]).otherwise(text)
+    clean = _spliced(F.col("text"), F.col("spans"), marked)
     out = found.withColumn("clean", clean)
     cols = {c: F.col(f"in_{c}") for c in docs.columns}
     cols["text"] = F.col("clean")

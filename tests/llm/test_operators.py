@@ -760,3 +760,47 @@ def test_many_short_near_copies_are_dealt_into_blocks(spark, monkeypatch):
     docs = [(i, t) for i, t in enumerate(texts)]
     got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert ordered(got) == ordered(near_groups(docs))
+
+
+# ------------------------------------------------------------ texts of very many spans
+
+
+def many_spans(n: int, seed: int = 1) -> str:
+    """A key list: hex runs, assignments that overlap them, access keys, letters beyond ASCII."""
+    r = np.random.default_rng(seed)
+    digits = np.array(list("0123456789abcdef"))
+    out = []
+    for i in range(n):
+        run = "".join(r.choice(digits, 16 + i % 9))
+        out.append((run, f"token={run}é", f"AKIA{run.upper()}", f"ñ\U0001f600 {run}")[i % 4])
+    return "\n".join(out)
+
+
+def test_many_spans_are_those_of_brute_force(spark):
+    texts = [many_spans(n, n) for n in (1, 63, 64, 65, 200, 5000)] + ["é" * 3000 + many_spans(70) + "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    clean_texts = {r["doc_id"]: r["text"] for r in secret_scans.redact(docs).collect()}
+    for r in secret_scans.scan(docs).collect():
+        assert [(x["start"], x["kind"], x["end"]) for x in r["base"]] == base_spans(r["text"])
+        clean, at = [], 0
+        for x in r["spans"]:
+            if x["start"] >= at:
+                clean += [r["text"][at : x["start"]], "[secret]"]
+            at = max(at, x["end"])
+        assert clean_texts[r["doc_id"]] == "".join(clean) + r["text"][at:]
+
+
+def test_time_grows_with_the_spans(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, many_spans(n))], "doc_id long, text string").cache()
+        docs.count()
+        begin = time.perf_counter()
+        assert secret_scans.digests(docs).first()["n_hex"] >= n // 2
+        secret_scans.redact(docs).collect()
+        return time.perf_counter() - begin
+
+    seconds(100)
+    few, many = seconds(10_000), seconds(50_000)
+    assert many < 60 and many < 12 * few, (few, many)
