@@ -169,12 +169,16 @@ def battery(run: Column) -> Column:
     changes = F.length(F.regexp_replace(F.regexp_replace(classes, r"(.)(?=\1)", ""), "^.", "")).cast("double")
     differ = _by_encoding(run, [float(1 - sum(s * s for s in e[3])) for e in ENCODINGS])
     z_runs = (changes - (n - 1) * differ) / F.sqrt((n - 1) * differ * (1 - differ))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+
+    def serial(off: Column) -> Column:
+        spread = total(F.transform(off, lambda x: x * x))
+        lagged = total(F.zip_with(off, F.slice(off, F.lit(2), F.size(off)), lambda x, y: F.coalesce(x * y, F.lit(0.0))))
+        return _let(spread, lambda v: F.when(v > 0, (lagged / v + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0)))
+
+    # bound values: a lambda would compute the mean again for every character
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(codes, lambda x: x - mean)
-    spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    lagged = F.aggregate(F.zip_with(off, F.slice(off, F.lit(2), F.size(off)), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    z_serial = F.when(spread > 0, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    z_serial = _let(codes, lambda x: _let(total(x) / n, lambda mean: _let(F.transform(x, lambda v: v - mean), serial)))
     least = F.least(_upper(z_chi), 2 * _upper(F.abs(z_runs)), 2 * _upper(F.abs(z_serial)))
     return F.struct(_by_encoding(run, list(range(len(ENCODINGS)))).alias("encoding"), n.alias("n"), F.least(F.lit(1.0), 3 * least).alias("p"))
 
