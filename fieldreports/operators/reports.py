@@ -185,11 +185,16 @@ def table_cells(df: DataFrame, style: str = "attendance") -> DataFrame:
     attendance style: empty/NULL/false/NaN -> '' (0 is kept), dates and ISO
     date text -> ``d-Mon-yyyy``; field style: NULL -> '' only.
     """
+    return df.select(*cell_texts(df.schema, style))
+
+
+def cell_texts(schema: T.StructType, style: str = "attendance") -> list[Column]:
+    """The columns of :func:`table_cells`."""
     if style == "attendance":
-        return df.select(*[_cell_text_a(f).alias(f.name) for f in df.schema.fields])
+        return [_cell_text_a(f).alias(f.name) for f in schema.fields]
     if style == "field":
         text = lambda f: number_text(F.col(f"`{f.name}`"), f.dataType) if is_numeric(f) else F.col(f"`{f.name}`").cast("string")
-        return df.select(*[F.coalesce(text(f), F.lit("")).alias(f.name) for f in df.schema.fields])
+        return [F.coalesce(text(f), F.lit("")).alias(f.name) for f in schema.fields]
     raise ValueError(f"unknown table style {style!r}")
 
 

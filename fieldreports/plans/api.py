@@ -2,8 +2,8 @@
 
 Each is a Spark job over the (filtered) fact.  Dimension lists and aggregated
 reports come back whole; results that grow with the fact (detail tables) come
-back as :class:`~fieldreports.plans.sinks.Pages`, read page by page.  No call
-has a row limit.
+back as :class:`~fieldreports.plans.sinks.Pages`, read page by page, or one page
+at a time by ``widget_page`` and ``value_page``.  No call has a row limit.
 
 ``widgets`` is a tuple of widgets for dashboards whose catalog is stored (see
 ``registry.widgets_from_catalog``); the built-in set is used otherwise.  ``cells``
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from fieldreports.operators import facets as FC
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter
-from fieldreports.plans import registry
+from fieldreports.plans import paging, registry
 from fieldreports.sources.cells import CellTable
 from fieldreports.plans.sinks import Pages, column_list, pages, payload
 
@@ -50,6 +50,12 @@ def filter_options(fact: DataFrame, spec: AttendanceFilter | VisitFilter, cells:
     return out
 
 
+def value_page(fact: DataFrame, dim: str, size: int, token: str | None = None, cells: Iterable[CellTable] = ()) -> tuple[list, str | None]:
+    """One page of a dimension's sorted options, and the token of the next one."""
+    found = paging.page(FC.dimension_list(fact, dim, cells=cells), (), size, token)
+    return [r[dim] for r in found.rows], found.next
+
+
 def _result(df: DataFrame, paged: bool) -> dict | Pages:
     return pages(df) if paged else payload(df)
 
@@ -72,3 +78,19 @@ def widget_report(
     out = _result(registry.report(fact, spec, dashboard, widget_id, widgets, cells), w.is_detail)
     extra = registry.summary(fact, spec, dashboard, widget_id, widgets, cells)
     return out if extra is None else out | {"summary": payload(extra)["rows"]}
+
+
+def widget_page(
+    fact: DataFrame,
+    spec,
+    dashboard: str,
+    widget_id: int,
+    size: int = 10_000,
+    token: str | None = None,
+    widgets: Iterable[registry.Widget] | None = None,
+    cells: Iterable[CellTable] = (),
+) -> dict:
+    """``{columns, rows, next}``: one page of a detail widget's finished report;
+    ``next`` asks for the page after it, in any later call or session."""
+    found = registry.widget_page(fact, spec, dashboard, widget_id, size, token, widgets=widgets, cells=cells)
+    return {"columns": found.columns, "rows": found.rows, "next": found.next}

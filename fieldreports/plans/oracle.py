@@ -597,6 +597,30 @@ WHERE trim(date_txt) = '15-Mar-97' AND trim(tier) IN ('Tier-N', 'Tier-R', 'Tier-
 SELECT region, count(*) AS all_visits,
        count(*) FILTER (WHERE trim(channel) IN ('PROMO', 'ECONOMY') AND date_d >= DATE '1995-03-01' AND date_d <= DATE '1995-08-31') AS picked
 FROM vis WHERE region IS NOT NULL GROUP BY region HAVING picked > 0
+"""
+    ),
+    "page_visit_rows": _v(
+        """
+SELECT strftime(date_d, '%Y-%m-%d') AS day, region, ase_key AS ase, channel_key AS channel, CAST(qty AS BIGINT) AS qty FROM vis
+ORDER BY date_d DESC NULLS LAST, vis.qty DESC NULLS LAST, region NULLS FIRST, ase_key NULLS FIRST, channel_key NULLS FIRST LIMIT 500 OFFSET 1000
+"""
+    ),
+    "page_employee_rows": _a(
+        """
+SELECT coalesce(profile_picture, '') AS "Profile Picture", coalesce(employee_name, '') AS "Employee Name", coalesce(employee_id, '') AS "Employee ID",
+       coalesce(CAST(user_id AS VARCHAR), '') AS "User ID", coalesce(gender, '') AS "Gender",
+       coalesce(region, '') AS "Region", coalesce(type_key, '') AS "Type", coalesce(ase_key, '') AS "ASE",
+       coalesce(zse_key, '') AS "ZSE", strftime(attendance_date, '%-d-%b-%Y') AS "Date",
+       atype_n AS "Attendance Type",
+       coalesce(strftime(check_in, '%-d-%b-%Y'), '') AS "Check In",
+       coalesce(strftime(check_out, '%-d-%b-%Y'), '') AS "Check Out"
+FROM att WHERE CAST(user_id AS VARCHAR) ILIKE '%12%'
+ORDER BY attendance_date DESC NULLS LAST, CAST(user_id AS VARCHAR) NULLS FIRST LIMIT 20 OFFSET 20
+"""
+    ),
+    "page_ase_list": _a(
+        """
+SELECT DISTINCT ase_key AS ase FROM att WHERE ase_key IS NOT NULL AND ase_key <> '' ORDER BY ase NULLS FIRST LIMIT 10 OFFSET 10
 """
     ),
     "payload_rows": _a(

@@ -24,6 +24,7 @@ from fieldreports.operators import reports as RP
 from fieldreports.operators.filters import AttendanceFilter, VisitFilter, days_between
 from fieldreports.plans import registry
 from fieldreports.plans import widgets as W
+from fieldreports.plans.paging import Key, page, page_frame, pruned
 from fieldreports.sources import FactSource, read_table
 
 # ------------------------------------------------------------ selections
@@ -643,6 +644,37 @@ def stored_widget_joined(src):
     return _stored_visits(src, 33, SPEC_STORED_SPAN)
 
 
+# ------------------------------------------------------------ pages
+
+def _nth_page(df: DataFrame, order, size: int, n: int) -> DataFrame:
+    """Page ``n``, reached by the tokens of those before it."""
+    token = None
+    for _ in range(n - 1):
+        token = page(df, order, size, token).next
+        if token is None:
+            return df.limit(0)
+    return page_frame(pruned(df, order, token), order, size, token)
+
+
+def page_visit_rows(src):
+    """The third page of visit rows, newest day and largest quantity first."""
+    rows = _vis(src).select("date_d", "year", "region", F.col("ase_key").alias("ase"), F.col("channel_key").alias("channel"), F.col("qty").cast("long").alias("qty"))
+    third = _nth_page(rows, (Key("date_d", True, "date_d"), Key("qty", True)), 500, 3)
+    return third.select(iso_day("date_d").alias("day"), "region", "ase", "channel", "qty")
+
+
+def page_employee_rows(src):
+    """The second page of the employee table under an id search, as displayed."""
+    w = registry.lookup("attendance", 8)
+    frame = registry.widget_data(_att(src), SPEC_EMPLOYEE, "attendance", 8)
+    return RP.table_cells(_nth_page(frame, w.pages_by, 20, 2), "attendance")
+
+
+def page_ase_list(src):
+    """The second page of the sorted ASE options."""
+    return _nth_page(FC.dimension_list(_att(src), "ase", cells=src.cells("attendance")), (), 10, 2)
+
+
 def payload_rows(src):
     """JSON rows of the region cross-tab widget result (row objects)."""
     from fieldreports.plans.sinks import payload_rows as _payload
@@ -731,6 +763,9 @@ QUERIES: dict[str, Callable[[FactSource], DataFrame]] = {
         top10_ascending,
         top10_tied,
         stored_top10_latest,
+        page_visit_rows,
+        page_employee_rows,
+        page_ase_list,
         payload_rows,
     )
 }

@@ -22,6 +22,7 @@ from fieldreports.operators.filters import AttendanceFilter, VisitFilter, employ
 from fieldreports.operators.order import has_order
 from fieldreports.plans import widgets as W
 from fieldreports.sources.cells import CellTable, smallest
+from fieldreports.plans.paging import Key, Page, page, pruned
 from fieldreports.plans.stored import ATTENDANCE_SLOTS, VISIT_SLOTS, bound_sql, run_stored  # noqa: F401
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class Widget:
     reads: tuple[str, ...] | None = None  # columns of the fact (or of its cells) that the frame groups by; None: rows
     sql: str | None = None  # stored widget: text over the unfiltered fact
     fact_table: str | None = None
+    pages_by: tuple[Key, ...] = ()  # the order of a detail widget's pages
 
     @property
     def is_detail(self) -> bool:
@@ -87,7 +89,7 @@ ATTENDANCE_WIDGETS = (
     Widget(5, "Attendance By Day", "pivot", 5, True, W.att_type_by_date, reads=("date_d", "attendance_type")),
     Widget(6, "Attendance By Region", "pivot_region", 6, True, W.att_type_by_region, reads=("region", "attendance_type")),
     Widget(7, "Check-in Timing", "pivot_timing", 7, True, W.att_timing_by_date, reads=("date_d", "timing")),
-    Widget(8, "Employee Detail", "table", 8, True, W.att_employee_rows, needs_user=True),
+    Widget(8, "Employee Detail", "table", 8, True, W.att_employee_rows, needs_user=True, pages_by=(Key("Date", True, "date_d"), Key("User ID"))),
     Widget(9, "Salary Impact", "pivot_salary", 9, True, W.att_impact_by_date, reads=("date_d", "impact")),
     Widget(10, "Retired Widget", "bar", 10, False, W.att_trend, reads=("attendance_type",)),
     Widget(11, "Draft Widget", "pie", 11, None, W.att_mix, reads=("attendance_type",)),
@@ -101,7 +103,7 @@ VISIT_WIDGETS = (
     Widget(4, "Check-in Location", "pivot_location_in", 4, True, lambda b: W.vis_category_by_date(b, "location_in", "location"), reads=("date_key", "location_in")),
     Widget(5, "Check-out Location", "pivot_location_out", 5, True, lambda b: W.vis_category_by_date(b, "location_out", "location"), reads=("date_key", "location_out")),
     Widget(6, "Working Hours", "pivot_workhour", 6, True, lambda b: W.vis_category_by_date(b, "workhour", "workhour"), reads=("date_key", "workhour")),
-    Widget(7, "Visit Detail", "table", 7, True, W.vis_detail, reads=("region", "zse_key", "ase_key", "ase_ho_id")),
+    Widget(7, "Visit Detail", "table", 7, True, W.vis_detail, reads=("region", "zse_key", "ase_key", "ase_ho_id"), pages_by=(Key("region"), Key("zse"), Key("ase"))),
 )
 
 DASHBOARDS = {"attendance": ATTENDANCE_WIDGETS, "field": VISIT_WIDGETS}
@@ -168,6 +170,30 @@ def widget_data(
     return frame_of(lookup(dashboard, widget_id, widgets), fact, spec, cells=cells)
 
 
+def widget_page(
+    fact: DataFrame,
+    spec,
+    dashboard: str,
+    widget_id: int,
+    size: int,
+    token: str | None = None,
+    order: Iterable[Key] | None = None,
+    widgets: Iterable[Widget] | None = None,
+    cells: Iterable[CellTable] = (),
+) -> Page:
+    """One page of a detail widget's finished report, after the row that ``token``
+    names.  The pages are in the widget's own order, or ``order`` (columns of its
+    frame; the frame's columns one by one without either)."""
+    w = lookup(dashboard, widget_id, widgets)
+    if not w.is_detail:
+        raise ValueError(f"widget {widget_id} is a {w.chart_type}, which has no pages")
+    by = w.pages_by if order is None else tuple(order)
+    if w.sql is None and cells_for(w, spec, cells) is None:
+        fact = pruned(fact, by, token)
+    frame = frame_of(w, fact, spec, cells=cells)
+    return page(frame, by, size, token, reports.cell_texts(frame.schema, dashboard))
+
+
 def shows_summary(w: Widget, spec, dashboard: str) -> bool:
     """The attendance trend bar lists day counts once an id is entered."""
     return dashboard == "attendance" and w.chart_type == "bar" and w.id == ATTENDANCE_TREND_WIDGET_ID and has_user(spec)

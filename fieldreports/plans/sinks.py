@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,31 +29,34 @@ def payload_columns(df: DataFrame) -> list[str]:
     return list(df.columns)
 
 
-def payload_rows(df: DataFrame) -> DataFrame:
-    """One JSON object per row, keys in column order, NULLs kept as ``null``.
+def json_of(schema: T.StructType) -> Column:
+    """A row's JSON object, keys in column order, NULLs kept as ``null``.
 
     Dates are widened to timestamps first so they serialise as ISO date-times
     (``2024-01-05T00:00:00.000``), the form the dashboards parse.
     """
-    _check_unique(df)
     cols = []
-    for f in df.schema.fields:
+    for f in schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))
-    return df.select(
-        F.to_json(
-            F.struct(*cols),
-            {
-                "ignoreNullFields": "false",
-                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
-                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
-            },
-        ).alias("json")
+    return F.to_json(
+        F.struct(*cols),
+        {
+            "ignoreNullFields": "false",
+            "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+            "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+        },
     )
 
 
+def payload_rows(df: DataFrame) -> DataFrame:
+    """One JSON object per row (:func:`json_of`)."""
+    _check_unique(df)
+    return df.select(json_of(df.schema).alias("json"))
+
+
 @dataclass(frozen=True)
 class Pages:
     """The rows of a result, page by page in the order of the frame.
