@@ -13,7 +13,7 @@ are of good quality.
 Defined results: a null text, or one without words, has no weight and is never
 sampled; equal texts have equal weights; rows with one ``doc_id`` and text have
 equal keys, and ties at the end of the sample are taken in the order of
-``doc_id``; without target documents all weights are 0, without labels all documents with
+``doc_id``, of rows equal in both as many as are left; without target documents all weights are 0, without labels all documents with
 words are sampled; an empty table gives an empty table.
 """
 
@@ -28,6 +28,7 @@ from fieldreports.llm.common import Words, chunks, mix64, ship, store, string_bu
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
+RANKED = 100_000  # rows that are equal in key and tie and are ranked together
 SEED = 9
 BINS = 4096
 
@@ -107,36 +108,54 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str) -> DataFrame:
     """Adds ``kept``: the k rows of the largest keys (nulls never), ties by ``tie``.
 
     The k-th key is found by counting keys in bins, three times, each time inside
-    the bin that holds it; only bin counts reach the driver.  The rows of the
-    last bin, whose width is the key range over ``BINS**3``, are ranked.
+    the bin that holds it; only bin counts reach the driver.  In the last bin,
+    whose width is the key range over ``BINS**3``, the different (key, tie) are
+    counted and lined up; rows that share both are ranked in salted groups, so
+    no task gets all rows of a hot id.
     """
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None or k <= 0:
         return rows.withColumn("kept", F.lit(False))
-    above, high = 0, float(np.nextafter(high, np.inf))
+    above = 0
     for _ in range(3):
         width = (high - low) / BINS
         if width <= 0 or low + width == low:
             break
-        inside = rows.where((F.col(key) >= low) & (F.col(key) < high))
+        # rounding cannot turn the order of two keys round, so bins part the keys;
+        # a bin's range is taken from its rows, as its computed borders are rounded
         bin_of = F.least(F.floor((F.col(key) - low) / width), F.lit(BINS - 1)).cast("int")
-        counts = np.zeros(BINS, np.int64)
-        for r in inside.groupBy(bin_of.alias("bin")).count().collect():
-            counts[r["bin"]] = r["count"]
-        from_top = above + np.cumsum(counts[::-1])
-        i = int(np.searchsorted(from_top, k))  # bins above the one that holds the k-th key
-        if i >= BINS:
+        inside = rows.where(F.col(key).between(low, high)).groupBy(bin_of.alias("bin"))
+        for r in sorted(inside.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect(), reverse=True):
+            if above + r["n"] >= k:
+                low, high = r["low"], r["high"]
+                break
+            above += r["n"]
+        else:
             return rows.withColumn("kept", F.col(key).isNotNull())
-        above = int(from_top[i - 1]) if i else above
-        low, high = low + (BINS - 1 - i) * width, min(high, low + (BINS - i) * width) if i else high
-        # the borders of a bin are rounded: count again what lies above it
-        above = rows.where(F.col(key) >= high).count()
-        if above + rows.where((F.col(key) >= low) & (F.col(key) < high)).count() < k:
-            low = float(np.nextafter(low, -np.inf))
-    last = (F.col(key) >= low) & (F.col(key) < high)
-    rank = F.row_number().over(Window.orderBy(F.desc(key), tie))
-    edge = rows.where(last).withColumn("kept", rank <= k - above)
-    return rows.where(~last | F.col(key).isNull()).withColumn("kept", F.coalesce(F.col(key) >= high, F.lit(False))).unionByName(edge)
+    # the group of equal key and tie that the k-th row is in; groups, not rows, are lined up
+    groups = rows.where(F.col(key).between(low, high)).groupBy(key, tie).agg(F.count(F.lit(1)).alias("n"))
+    cut = groups.withColumn("to", F.sum("n").over(Window.orderBy(F.desc(key), tie))).where(F.col("to") >= k - above).orderBy("to").first()
+    if cut is None:
+        return rows.withColumn("kept", F.coalesce(F.col(key) >= low, F.lit(False)))
+    take = k - above - (cut["to"] - cut["n"])
+    at, known = F.lit(float(cut[key])), F.lit(cut[tie]).cast(rows.schema[tie].dataType)
+    before = F.col(tie).isNull() | (F.col(tie) < known) if cut[tie] is not None else F.lit(False)
+    here = F.coalesce((F.col(key) == at) & F.col(tie).eqNullSafe(known), F.lit(False))
+    ahead = F.coalesce((F.col(key) > at) | ((F.col(key) == at) & before), F.lit(False))
+    if take == cut["n"]:
+        return rows.withColumn("kept", ahead | here)
+    return rows.where(~here).withColumn("kept", ahead).unionByName(_some_of(rows.where(here), int(take), int(cut["n"])))
+
+
+def _some_of(rows: DataFrame, take: int, n: int) -> DataFrame:
+    """Adds ``kept``: ``take`` of ``n`` rows between which nothing chooses, ranked
+    in groups of about ``RANKED`` rows by their place in the (stored) table."""
+    salt = F.pmod(F.col("_row"), F.lit(-(-n // RANKED)))
+    placed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", salt)
+    earlier = Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
+    lines = placed.groupBy("_salt").agg(F.count(F.lit(1)).alias("_n")).select("_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_salt").orderBy("_row"))
+    return placed.withColumn("_rank", rank).join(lines, "_salt").select(*rows.columns, (F.col("_before") + F.col("_rank") <= take).alias("kept"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_rows: int = 20_000, seed: int = SEED) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Words of the mix are dealt in blocks of equal size.  The blocks go to the
 sources by highest quotients ``target / (2 k + 1)``, then inside each source to
-its shards (seeded hash groups of documents) in the same way, which gives every
+its shards (groups of documents by a seeded hash of id and text) in the same way, which gives every
 shard an integer quota.  In a shard the documents lie end to end in a seeded
 order and are cut into blocks; a quota takes whole passes over all blocks first
 and then the blocks that follow a seeded one, around the end.  As the order of
@@ -11,11 +11,14 @@ shard are taken in part.
 
 Only DataFrame operations are used.  Windows run over one row per source, over
 one row per shard of a source, and over the documents of one shard, which has a
-bounded number of words; a hot source just has more shards.
+bounded number of words; a hot source just has more shards, and so has a hot id.
+Only rows that are equal in id and text share a shard, however many they are.
 
 Defined results: a null text has size 0 and is never taken; documents without a
 source form one source, the last; a source without words has target 0; an empty
-table gives an empty table; repeated rows count one by one.
+table gives an empty table; repeated rows count one by one; equal quotients go
+to the first source (shard); a very long text is counted whole, in one row;
+columns of the input keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ def with_size(text: Column) -> Column:
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``: the number of words of the whole text."""
-    return docs.select("doc_id", "source", with_size(F.col("text")).alias("size"))
+    """``doc_id, source, size, digest``: the number of words of the whole text, and
+    a hash of it, which tells rows of one id apart."""
+    return docs.select("doc_id", "source", with_size(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -104,7 +108,7 @@ def _key(df: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, rows: DataFrame, block_words: int, shard_words: int, seed: int) -> DataFrame:
-    """``rows`` (``doc_id, source, size`` and others) with ``source_size, target``
+    """``rows`` (``doc_id, source, size, digest`` and others) with ``source_size, target``
     and what is taken: ``passes`` whole ones, and the words ``[from1, to1)`` and
     ``[from2, to2)`` counted from the first word of the document."""
     block = F.lit(block_words)
@@ -115,7 +119,7 @@ def _placed(docs: DataFrame, rows: DataFrame, block_words: int, shard_words: int
 
     def deal(df: DataFrame) -> DataFrame:
         shards_of = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
-        return _key(df).join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), shards_of))
+        return _key(df).join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", F.lit(seed)), shards_of))
 
     shards = deal(docs).groupBy("key", "shard", "blocks").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(shards, ["key", "blocks"], [F.col("shard")], "shard_size", "blocks", "quota")
@@ -134,7 +138,7 @@ def _placed(docs: DataFrame, rows: DataFrame, block_words: int, shard_words: int
         ),
         "shards",
     )
-    line = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", "digest", F.lit(seed + 1)), "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = deal(rows).withColumn("start", F.sum("size").over(line) - F.col("size")).join(shards, ["key", "shard"])
     inside = lambda c: F.least(F.greatest(c - F.col("start"), F.lit(0)), F.col("size")).cast("long")
     stop = F.col("begin") + F.col("length")
@@ -164,7 +168,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     there, is then its length).  A whole document keeps its text as it is."""
     sized = store(with_sizes(docs), "sizes")
     kept = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select("doc_id", "source", with_size(F.col("text")).alias("size"), *[F.col(c).alias(k) for c, k in kept.items()])
+    rows = docs.select("doc_id", "source", with_size(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"), *[F.col(c).alias(k) for c, k in kept.items()])
     placed = _placed(sized, rows, block_words, shard_words, seed)
     text = F.col(kept["text"])
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

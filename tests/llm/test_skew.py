@@ -1,0 +1,60 @@
+"""One id (or none) that holds many rows must not meet in one group."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldreports.llm import quality_classifier, source_mix
+
+DOCS = "doc_id long, source string, text string"
+
+
+@pytest.mark.parametrize("k", [0, 5, 12, 13, 40, 61, 62, 75, 500])
+def test_top_k_of_a_hot_id(spark, monkeypatch, k):
+    """Rows equal in key and id are taken in number, whoever they are."""
+    monkeypatch.setattr(quality_classifier, "RANKED", 7)
+    rows = [(None, 2.0)] * 50 + [(i, 2.0) for i in (3, 1, 2)] + [(i, 9.0) for i in range(10, 22)] + [(i, 1.0) for i in range(30, 40)] + [(99, None)] * 4
+    got = quality_classifier.top_k(spark.createDataFrame(rows, "doc_id long, key double").repartition(5), "key", k, "doc_id").collect()
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0] is not None, r[0] or 0))
+    assert sorted(map(str, ((r["doc_id"], r["key"]) for r in got if r["kept"]))) == sorted(map(str, order[:k]))
+    assert len(got) == len(rows)
+
+
+def hot(spark):
+    """A third of the rows have no id; their texts differ."""
+    rows = [(None if i % 3 == 0 else i, "s", " ".join(f"w{i}x{j}" for j in range(20 + i % 7))) for i in range(900)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_shards_of_a_hot_id_are_bounded(spark):
+    seen = {}
+    real = source_mix.sainte_lague
+
+    def watched(rows, group, item, votes, seats, quota):
+        if group:
+            seen["sizes"] = [r[votes] for r in rows.collect()]
+        return real(rows, group, item, votes, seats, quota)
+
+    docs = hot(spark)
+    source_mix.sainte_lague = watched
+    try:
+        got = source_mix.mix(docs, shard_words=1000).collect()
+    finally:
+        source_mix.sainte_lague = real
+    assert len(seen["sizes"]) >= 18 and max(seen["sizes"]) < 3 * 1000
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= len(seen["sizes"]) * source_mix.BLOCK_WORDS  # a shard ends in a part of a block
+
+
+def test_rows_of_one_id_are_dealt_alike_again(spark):
+    """Which of the texts of one id is taken does not depend on their order."""
+    docs = hot(spark)
+    one = source_mix.mixed_documents(docs, shard_words=1000)
+    two = source_mix.mixed_documents(docs.repartition(7, F.rand(3)), shard_words=1000)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_names_used_by_the_code(spark):
+    """Columns of the input with names that the operator uses itself."""
+    clash = {c: F.lit(f"my {c}") for c in ("size", "digest", "key", "shard", "target", "passes", "start", "round", "quota")}
+    docs = hot(spark).withColumns(clash)
+    got = source_mix.mixed_documents(docs)
+    assert got.columns == docs.columns and got.where(F.col("digest") != "my digest").count() == 0 and got.count() > 0
