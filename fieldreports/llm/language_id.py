@@ -2,28 +2,37 @@
 
 One model of ``ORDER`` characters per language, counted over all training
 documents; a document gets the language with the lowest cross-entropy per
-character.  All languages share sorted key arrays, with one column of log
-probabilities each, so a key is looked up once for all of them.
+character.  Counts, continuation counts and contexts are a stored table with one
+entry per gram and language that occur together (``gram_values``).  Tasks look up the
+frequent grams in sorted arrays of bounded size; all other grams of the documents
+are joined with the table.
 
 Texts are reduced to lower-case letters and single spaces between runs of them.
 A part of the training documents is kept out of the counts and calibrates the
 score (the chance that the prediction is right, from the lead over the second
 language) and the cross-entropy above which a document counts as ``rejected``.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-equal texts get equal results; without training documents everything is
-``und``; a document without an id never trains and is not held out.
+Defined results: a null text, an empty one, or one without a letter, is ``und``
+with score 0; equal texts get equal results (sums are of integers); of languages
+with equal cross-entropy the first by code point is taken, with lead 0; repeated
+rows train and are predicted one by one; a very long text is read whole, in one
+task; an empty table gives an empty one, and without training documents everything
+is ``und``; a document without an id never trains and is not held out; other
+columns, whatever their names, are not read.  Letters beyond U+FFFF share symbols
+with others (16 bits a symbol).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldreports.llm import gram_values
 from fieldreports.llm.common import chunks, discard, ship, store, string_buffers
 
 ORDER = 4
@@ -82,105 +91,40 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return packed, counts
 
 
+def kneser_ney(grams: dict, contexts: dict, discounts: np.ndarray, alphabet: int) -> np.ndarray:
+    """Log probabilities (grams x languages) from counts of each order and its contexts:
+    the discounted share, and the mass left over times the next lower order."""
+    p = np.full(grams[1].shape, 1.0 / alphabet)
+    for k in range(1, ORDER + 1):
+        total, kinds = contexts[k]
+        seen = total > 0
+        share = 1 / np.where(seen, total, 1)
+        p = np.maximum(grams[k] - discounts[k - 1], 0) * share + np.where(seen, discounts[k - 1] * kinds * share, 1.0) * p
+    return np.log(p)
+
+
 @dataclass
 class Models:
-    """Interpolated models: ``keys[n]`` sorted grams of order n + 1 with rows of
-    log probabilities by language; ``contexts[n]`` sorted contexts with rows of
-    log back-off weights."""
+    """The stored model table, what is needed to read it, and the calibration."""
 
     languages: tuple[str, ...] = ()
-    keys: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    backs: list[np.ndarray] = field(default_factory=list)
-    floor: np.ndarray | None = None
+    table: DataFrame | None = None
+    discounts: np.ndarray | None = None  # orders x languages
+    alphabet: int = 1
+    root: tuple[np.ndarray, np.ndarray] | None = None
+    head: Broadcast | None = None
     slope: float = 1.0
     shift: float = 0.0
     most_entropy: float = np.inf
 
-    @classmethod
-    def of(cls, languages: tuple[str, ...], which: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> "Models":
-        n_lang = len(languages)
-        # counts of each order: the highest as they are, lower ones as numbers of
-        # different characters before them
-        levels = {ORDER: (which, grams, counts.astype(float))}
-        for order in range(ORDER - 1, 0, -1):
-            w, g, _ = levels[order + 1]
-            pair = np.stack((w.astype(np.uint64), g & np.uint64((1 << (BITS * order)) - 1)))
-            order_by = np.lexsort(pair[::-1])
-            pair = pair[:, order_by]
-            new = np.ones(pair.shape[1], bool)
-            new[1:] = (pair[:, 1:] != pair[:, :-1]).any(0)
-            firsts = np.flatnonzero(new)
-            levels[order] = (pair[0, firsts].astype(np.int64), pair[1, firsts], np.diff(np.append(firsts, len(new))).astype(float))
-        out = cls(languages)
-        alphabet = len(np.unique(levels[1][1])) + 1
-        lower = None
-        for order in range(1, ORDER + 1):
-            w, g, n = levels[order]
-            keys, at = np.unique(g, return_inverse=True)
-            contexts, ctx_of_key = np.unique(keys >> np.uint64(BITS), return_inverse=True)
-            ctx = ctx_of_key[at]
-            total = np.zeros((len(contexts), n_lang))
-            kinds = np.zeros_like(total)
-            np.add.at(total, (ctx, w), n)
-            np.add.at(kinds, (ctx, w), 1)
-            ones = np.bincount(w[n == 1], minlength=n_lang) + 0.5
-            twos = np.bincount(w[n == 2], minlength=n_lang) + 0.5
-            discount = ones / (ones + 2 * twos)
-            seen = total > 0
-            back = np.where(seen, discount * kinds / np.where(seen, total, 1), 1.0)
-            direct = np.zeros((len(keys), n_lang))
-            direct[at, w] = np.maximum(n - discount[w], 0) / total[ctx, w]
-            if lower is None:
-                below = np.full((len(keys), n_lang), 1.0 / alphabet)
-                out.floor = np.log(back[0] / alphabet).astype(np.float32)
-            else:
-                suffix = keys & np.uint64((1 << (BITS * (order - 1))) - 1)
-                below = lower[np.searchsorted(out.keys[-1], suffix)]
-            p = direct + back[ctx_of_key] * below
-            out.keys.append(keys)
-            out.logs.append(np.log(p).astype(np.float32))
-            out.contexts.append(contexts)
-            out.backs.append(np.log(back).astype(np.float32))
-            lower = p
-        return out
+    def values(self, grams: DataFrame) -> DataFrame:
+        """``gram, logs`` (fixed-point log probabilities by language) of any grams."""
+        discounts, alphabet = self.discounts, self.alphabet
+        return gram_values.values(grams, self.table, _shape(self.languages), self.root, lambda g, c: kneser_ney(g, c, discounts, alphabet))
 
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """Rows of log probabilities (by language) of packed grams."""
-        out = np.zeros((len(grams), len(self.languages)), np.float32)
-        left = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            key = grams[left] & np.uint64((1 << (BITS * order)) - 1) if order < ORDER else grams[left]
-            keys = self.keys[order - 1]
-            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[i] == key
-            out[left[hit]] += self.logs[order - 1][i[hit]]
-            left, key = left[~hit], key[~hit]
-            if order == 1:
-                out[left] += self.floor
-            elif len(left):
-                contexts, context = self.contexts[order - 1], key >> np.uint64(BITS)
-                j = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                known = contexts[j] == context
-                out[left[known]] += self.backs[order - 1][j[known]]
-        return out
 
-    def entropies(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (texts x languages), and the characters."""
-        n = len(offsets) - 1
-        sums = np.zeros((n, len(self.languages)))
-        if not len(raw):
-            return sums, np.zeros(n, np.int64)
-        packed, counts = _grams(raw, offsets)
-        if len(packed):
-            kinds, at = np.unique(packed, return_inverse=True)
-            logs = self.log_probability(kinds)
-            some = np.flatnonzero(counts)
-            begins = (np.cumsum(counts) - counts)[some]
-            for k in range(len(self.languages)):
-                sums[some, k] = -np.add.reduceat(logs[at, k].astype(np.float64), begins) / counts[some]
-        return sums, counts
+def _shape(languages) -> gram_values.Shape:
+    return gram_values.Shape(ORDER, BITS, len(languages))
 
 
 def _crc(doc_id: Column) -> Column:
@@ -224,38 +168,31 @@ def _count_grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def _predictions(batches, models: Models):
-    """Adds ``lang_pred, score, lead, entropy`` to batches whose first column is the text."""
-    names = np.array([*models.languages, UNKNOWN], dtype=object)
-    for batch in batches:
-        raw, offsets = string_buffers(batch.column(0))
-        n = len(offsets) - 1
-        pred, lead, entropy = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n)
-        for i, j in chunks(offsets):
-            if not models.languages:
-                break
-            h, counts = models.entropies(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            some = counts > 0
-            best = h.argmin(1)
-            pred[i:j] = np.where(some, best, len(names) - 1)
-            entropy[i:j] = h[np.arange(len(h)), best]
-            if h.shape[1] > 1:
-                two = np.partition(h, 1, axis=1)
-                lead[i:j] = (two[:, 1] - two[:, 0]) * np.sqrt(counts)
-        known = pred < len(names) - 1
-        score = np.where(known, 1 / (1 + np.exp(-np.clip(models.slope * lead + models.shift, -30, 30))), 0.0)
-        cols = [pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.array(lead), pa.array(entropy)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "lang_pred", "score", "lead", "entropy"])
-
-
-def predict(docs: DataFrame, models: Models, *carry: str) -> DataFrame:
-    """The columns ``carry`` with ``lang_pred, score, lead, entropy`` (no shuffle)."""
+def predict(docs: DataFrame, models: Models, *carry: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The columns ``carry`` with ``lang_pred, score, lead, entropy``, and the stored
+    steps that the frame reads."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # grows with the distinct grams of the corpus
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return docs.select(F.col("text").cast("string").alias("text"), *carry).mapInArrow(
-        lambda b: _predictions(b, sent.value), f"{kept}lang_pred string, score double, lead double, entropy double"
+    if not models.languages:
+        none = F.lit(0.0)
+        return docs.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), none.alias("score"), none.alias("lead"), none.alias("entropy")), []
+    texts = docs.select(F.col("text").cast("string").alias("text"), *carry)
+    summed, stored = gram_values.sums(texts, "text", _grams, models.head, len(models.languages), models.values)
+    some, chars = F.col("chars") > 0, F.greatest("chars", F.lit(1))
+    ranked = F.sort_array("sums", asc=False)
+    second = ranked[1] if len(models.languages) > 1 else ranked[0]
+    names = F.array(*[F.lit(x) for x in models.languages])
+    best = F.element_at(names, F.array_position("sums", ranked[0]).cast("int"))
+    lead = F.when(some, (ranked[0] - second) / gram_values.SCALE / F.sqrt(chars)).otherwise(0.0)
+    logit = F.greatest(F.least(F.col("lead") * float(models.slope) + float(models.shift), F.lit(30.0)), F.lit(-30.0))
+    out = summed.select(
+        *carry,
+        F.when(some, best).otherwise(UNKNOWN).alias("lang_pred"),
+        lead.alias("lead"),
+        F.when(some, -ranked[0] / gram_values.SCALE / chars).otherwise(0.0).alias("entropy"),
+        some.alias("with_letters"),
     )
+    score = F.when(F.col("with_letters"), 1 / (1 + F.exp(-logit))).otherwise(0.0)
+    return out.select(*carry, "lang_pred", score.alias("score"), "lead", "entropy"), [stored]
 
 
 def _platt(right: np.ndarray, wrong: np.ndarray, x: np.ndarray) -> tuple[float, float]:
@@ -275,26 +212,56 @@ def _platt(right: np.ndarray, wrong: np.ndarray, x: np.ndarray) -> tuple[float,
     return a, b
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``lang, gram, n`` over the training documents that do not calibrate (stored)."""
+    ship(docs.sparkSession)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _train_part(F.col("doc_id"))[0])
+    texts = usable.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    grams = texts.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return store(grams, "grams")
+
+
+def learn(grams: DataFrame) -> Models:
+    """Models of :func:`counted` grams.  Only numbers by language and order, and the
+    values of the bounded head, come to the driver."""
+    languages = tuple(sorted(r[0] for r in grams.select("lang").distinct().collect()))
+    if not languages:
+        return Models()
+    shape = _shape(languages)
+    names = F.array(*[F.lit(x) for x in languages])
+    counts = grams.select((F.array_position(names, F.col("lang")) - 1).cast("int").alias("col"), "gram", "n")
+    levels = store(gram_values.level_table(counts, shape, continuation=True), "gram-levels")
+    discounts = np.zeros((ORDER, len(languages)))
+    ones, twos = (F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2))
+    for r in levels.groupBy("kind", "col").agg(ones, twos).collect():
+        discounts[r["kind"] - 1, r["col"]] = (r["n1"] + 0.5) / (r["n1"] + 0.5 + 2 * (r["n2"] + 0.5))
+    alphabet = levels.where("kind = 1").select("key").distinct().count() + 1
+    table = store(gram_values.model_table(levels, shape), "gram-model")
+    discard(levels)
+    models = Models(languages, table, discounts, alphabet, gram_values.roots(table, shape))
+    head = gram_values.head_of(models.values(gram_values.frequent(counts, shape)), len(languages))
+    models.head = grams.sparkSession.sparkContext.broadcast(head)  # at most HEAD_CELLS values
+    return models
+
+
 def fit(docs: DataFrame) -> Models:
     """Models from all documents that train (``doc_id, text, lang``).
 
     Every gram that occurs is kept, so discounts and continuation counts are those
     of the corpus; the calibration reads histograms only.
     """
-    ship(docs.sparkSession)
-    counts_it, calibrates = _train_part(F.col("doc_id"))
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    grams = store(usable.where(counts_it).select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    got = grams.toPandas()
+    grams = counted(docs)
+    models = learn(grams)
     discard(grams)
-    if not len(got):
-        return Models()
-    languages, which = np.unique(got["lang"].to_numpy(dtype=str), return_inverse=True)
-    models = Models.of(tuple(str(x) for x in languages), which, got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy())
-    tried = predict(usable.where(calibrates), models, "lang").where(F.col("lang_pred") != UNKNOWN)
+    if not models.languages:
+        return models
+    held = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & _train_part(F.col("doc_id"))[1])
+    tried, steps = predict(held, models, "lang")
     lead = F.least(F.floor(F.col("lead") / (LEAD_MOST / LEAD_BINS)), F.lit(LEAD_BINS - 1)).cast("int")
     entropy = F.least(F.floor(F.col("entropy") / (ENTROPY_MOST / ENTROPY_BINS)), F.lit(ENTROPY_BINS - 1)).cast("int")
+    tried = tried.where(F.col("lang_pred") != UNKNOWN)
     seen = tried.groupBy(lead.alias("lead"), entropy.alias("entropy"), (F.col("lang") == F.col("lang_pred")).alias("right")).count().collect()
+    discard(*steps)
     leads, entropies = np.zeros((2, LEAD_BINS)), np.zeros(ENTROPY_BINS)
     for r in seen:
         leads[int(r["right"]), r["lead"]] += r["count"]
@@ -310,6 +277,12 @@ def fit(docs: DataFrame) -> Models:
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, entropy, rejected`` of every document."""
     models = fit(docs)
-    return predict(docs, models, "doc_id").select(
+    found, steps = predict(docs, models, "doc_id")
+    out = found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", (F.col("entropy") > float(models.most_entropy)).alias("rejected")
     )
+    if not models.languages:
+        return out
+    out = store(out, "languages")
+    discard(models.table, *steps)
+    return out

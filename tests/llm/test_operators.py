@@ -1,6 +1,8 @@
 """Each operator against brute force, on the hard cases and on the given tables."""
 
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldreports.llm import fingerprints, language_id, ngram_join, packing, quality_rules, queries, secret_scans, source_mix, substring_dedup, url_filters
+from fieldreports.llm import fingerprints, gram_values, language_id, ngram_join, packing, quality_rules, queries, secret_scans, source_mix, substring_dedup, url_filters
 from tests.conftest import SF_SMALL
 
 from .cases import base_counts, base_spans, hard_documents, linked, near_groups, ordered, prose, swapped_words, without_repeats, words
@@ -141,23 +143,61 @@ def test_url_models_keep_every_gram(spark):
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
     rule, said = url_filters.rule_of(*url_filters.host_and_path(F.col("url")))
     judged = pages.withColumn("rule", rule).withColumn("verdict", said)
-    model = url_filters.fit(judged)
-    learned = judged.where(F.pmod(F.xxhash64("url", F.lit(2)), F.lit(url_filters.HELD_OUT)) != 0)
-    length = {x["verdict"]: x["n"] for x in learned.groupBy("verdict").agg(F.sum(F.length("url")).alias("n")).collect()}
-    grams = model.accepted.orders[-1].grams, model.rejected.orders[-1].grams
-    assert sum(map(len, grams)) > 500_000
-    assert model.accepted.orders[0].totals.sum() == length["allow"]
-    assert model.rejected.orders[0].totals.sum() == length["block"]
+    counts = url_filters.counted(judged.where("verdict is not null").select("url", (F.col("verdict") == "allow").cast("int").alias("good")))
+    model = url_filters.learn(counts)
+    length = {x["verdict"]: x["n"] for x in judged.groupBy("verdict").agg(F.sum(F.length("url")).alias("n")).collect()}
+    assert model.root[0].tolist() == [length["block"], length["allow"]]
+    full = model.table.where(F.col("kind") == url_filters.ORDER + 1)
+    assert full.count() == counts.select("gram").distinct().count() > 500_000
+    assert full.select(F.inline("entries")).agg(F.sum("a")).first()[0] == length["block"] + length["allow"]
+
+
+def brute_witten_bell(taught, url):
+    """Log probability of every character of ``url``, by the definition."""
+    symbol = lambda u: [0] * 5 + [int(url_filters._SYMBOL[c]) for c in u.encode()]
+    after = defaultdict(Counter)
+    for u in taught:
+        x = symbol(u)
+        for i in range(5, len(x)):
+            for k in range(6):
+                after[tuple(x[i - k : i])][x[i]] += 1
+    x, out = symbol(url), []
+    for i in range(5, len(x)):
+        p = 1 / url_filters.SYMBOLS
+        for k in range(6):
+            seen = after.get(tuple(x[i - k : i]))
+            if seen:
+                p = (seen[x[i]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        out.append(math.log(p))
+    return out
+
+
+@pytest.mark.parametrize("cells", [gram_values.HEAD_CELLS, 60, 0])
+def test_url_scores_by_the_definition(spark, monkeypatch, cells):
+    monkeypatch.setattr(gram_values, "HEAD_CELLS", cells)
+    good, bad = ["http://a.com/abcabc", "http://b.com/cab?x=1", "http://a.com/abcabc"], ["http://net/es/zzyzx", "http://q.net/fr/zyx"]
+    covered = spark.createDataFrame([(u, 1) for u in good] + [(u, 0) for u in bad], "url string, good int")
+    model = url_filters.learn(url_filters.counted(covered))
+    assert 2 * len(model.head.value.keys) <= cells
+    asked = [*good, *bad, "http://new.org/Ünseen;§", "abc", "", None, "http://a.com/" + "xyz" * 3000]
+    got = url_filters.scored(spark.createDataFrame(list(enumerate(asked)), "page_id long, url string"), model)[0].collect()
+    for r in got:
+        url = asked[r["page_id"]]
+        expected = np.mean(np.subtract(brute_witten_bell(good, url), brute_witten_bell(bad, url))) if url else 0
+        assert r["score"] == pytest.approx(expected, abs=2e-6)
 
 
-def test_markov_probabilities_sum_to_one():
+def test_markov_probabilities_sum_to_one(spark):
+    covered = spark.createDataFrame([("http://abc.com/abcabc", 1), ("xyz/xyyz", 0)], "url string, good int")
+    model = url_filters.learn(url_filters.counted(covered))
     raw = np.frombuffer(b"http://abc.com/abcabc", np.uint8)
     packed, _ = url_filters._grams(raw, np.array([0, len(raw)]))
-    model = url_filters.Markov.of(*np.unique(packed, return_counts=True))
-    for context in packed[[3, 9, 15]]:
-        nexts = (context << np.uint64(url_filters.BITS)) + np.arange(url_filters.SYMBOLS, dtype=np.uint64)
-        nexts &= np.uint64((1 << (url_filters.BITS * (url_filters.ORDER + 1))) - 1)
-        assert np.exp(model.log_probability(nexts)).sum() == pytest.approx(1.0)
+    nexts = [(int(c) << url_filters.BITS | x) & url_filters.SHAPE.mask(6) for c in packed[[3, 9, 15]] for x in range(url_filters.SYMBOLS)]
+    asked = spark.createDataFrame([(x,) for x in nexts], "gram long")
+    found = gram_values.values(asked, model.table, url_filters.SHAPE, model.root, url_filters.witten_bell).collect()
+    p = {r["gram"]: np.exp(np.array(r["logs"]) / gram_values.SCALE) for r in found}
+    for at in range(0, len(nexts), url_filters.SYMBOLS):
+        assert sum(p[x] for x in nexts[at : at + url_filters.SYMBOLS]) == pytest.approx([1, 1], abs=1e-4)
 
 
 # ------------------------------------------------------------ packing
@@ -395,23 +435,83 @@ def test_a_rare_language_stays_beside_many_grams(spark):
     assert models.languages == ("rare", "zh")
     trains = docs.where(language_id._train_part(F.col("doc_id"))[0]).select("text", "lang")
     grams = trains.mapInArrow(language_id._count_grams, "lang string, gram long, n long").select("gram").distinct().count()
-    assert grams > 1_000_000 and len(models.keys[-1]) == grams
-    got = language_id.predict(docs.where("doc_id >= 1000"), models, "doc_id").collect()
-    assert all(x["lang_pred"] == "rare" for x in got)
+    assert grams > 1_000_000 and models.table.where(F.col("kind") == language_id.ORDER).count() == grams
+    assert models.head.value.logs.size <= gram_values.HEAD_CELLS
+    got = language_id.predict(docs.where("doc_id >= 1000"), models, "doc_id")[0].collect()
+    assert len(got) == 12 and all(x["lang_pred"] == "rare" for x in got)
+
+
+class BruteKneserNey:
+    """Interpolated Kneser-Ney over letters and single spaces, by the definition."""
+
+    def __init__(self, texts_by_language):
+        self.counts, letters = {}, set()
+        for lang, texts in texts_by_language.items():
+            top = Counter(g for t in texts for g in self.grams(t))
+            levels = {4: top}
+            for k in (3, 2, 1):
+                levels[k] = Counter(g[1:] for g in levels[k + 1])
+            letters |= set(levels[1])
+            self.counts[lang] = levels
+        self.discounts = {lang: {k: self.discount(level) for k, level in levels.items()} for lang, levels in self.counts.items()}
+        self.alphabet = len(letters) + 1
+
+    @staticmethod
+    def grams(text):
+        x = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text)).lstrip(" ")
+        x = "   " + x
+        return [x[i - 3 : i + 1] for i in range(3, len(x))]
+
+    @staticmethod
+    def discount(level):
+        ones, twos = (sum(n == m for n in level.values()) + 0.5 for m in (1, 2))
+        return ones / (ones + 2 * twos)
+
+    def probability(self, lang, gram):
+        p = 1 / self.alphabet
+        for k in (1, 2, 3, 4):
+            level, g, d = self.counts[lang][k], gram[-k:], self.discounts[lang][k]
+            follows = [n for h, n in level.items() if h[:-1] == g[:-1]]
+            if follows:
+                p = max(level[g] - d, 0) / sum(follows) + d * len(follows) / sum(follows) * p
+        return p
+
+    def entropy(self, lang, text):
+        return -np.mean([math.log(self.probability(lang, g)) for g in self.grams(text)])
+
+
+@pytest.mark.parametrize("cells", [gram_values.HEAD_CELLS, 60, 0])
+def test_languages_by_the_definition(spark, monkeypatch, cells):
+    monkeypatch.setattr(gram_values, "HEAD_CELLS", cells)
+    taught = {"a": [prose(1, 60), "één  Été-là"], "b": [prose(2, 60, ("ña", "lo", "que", "el", "ción"))] * 2, "c": ["xx"]}
+    docs = [(t, lang) for lang, texts in taught.items() for t in texts]
+    trains = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) // 3 % language_id.CALIBRATES)
+    models = language_id.learn(language_id.counted(spark.createDataFrame([(trains, *d) for d in docs], "doc_id long, text string, lang string")))
+    assert models.languages == ("a", "b", "c") and models.head.value.logs.size <= cells
+    asked = [*(d[0] for d in docs), "ÉTÉ? que lo漢 𐐀 12", "zzz", "x", prose(9, 4000), "12 3", "", None]
+    got = {r["i"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(asked)), "i long, text string"), models, "i")[0].collect()}
+    brute = BruteKneserNey(taught)
+    for i, text in enumerate(asked):
+        if i in (9, 10, 11):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["entropy"]) == ("und", 0, 0)
+            continue
+        entropies = {x: brute.entropy(x, text) for x in taught} if len(text) < 2000 else None
+        if entropies:
+            best, second = sorted(entropies.values())[:2]
+            assert got[i]["entropy"] == pytest.approx(best, abs=2e-6)
+            assert entropies[got[i]["lang_pred"]] == pytest.approx(best, abs=2e-6)
+            assert got[i]["lead"] == pytest.approx((second - best) * math.sqrt(len(brute.grams(text))), abs=1e-4)
+        else:
+            assert got[i]["lang_pred"] == "a"
 
 
 def test_kneser_ney_probabilities_sum_to_one():
-    texts = [prose(1, 200), prose(2, 200, ("ña", "lo", "que", "el", "ción"))]
-    which, grams, counts = [], [], []
-    for k, t in enumerate(texts):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        keys, n = np.unique(language_id._grams(raw, np.array([0, len(raw)]))[0], return_counts=True)
-        which.append(np.full(len(keys), k)), grams.append(keys), counts.append(n)
-    models = language_id.Models.of(("a", "b"), np.concatenate(which), np.concatenate(grams), np.concatenate(counts))
-    alphabet = np.append(models.keys[0], np.uint64(0x7FFF))  # every known symbol, and an unknown one for all others
-    for gram in grams[0][::50]:
-        nexts = ((gram << np.uint64(language_id.BITS)) & ~np.uint64(0xFFFF)) | alphabet
-        assert np.exp(models.log_probability(nexts).astype(float)).sum(0) == pytest.approx([1, 1], abs=1e-3)
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 4, (4, 50, 2)).astype(float)
+    counts[:, 0] = 3  # every context is seen
+    contexts = {k: tuple(np.broadcast_to(x, (50, 2)) for x in (counts[k - 1].sum(0), (counts[k - 1] > 0).sum(0))) for k in range(1, 5)}
+    logs = language_id.kneser_ney({k: counts[k - 1] for k in range(1, 5)}, contexts, np.full((4, 2), 0.4), 50)
+    assert np.exp(logs).sum(0) == pytest.approx([1, 1])
 
 
 # ------------------------------------------------------------ source mix
