@@ -8,7 +8,8 @@ texts then shares a chosen hash; matches shorter than ``k`` are never seen.
 Defined results: a null text counts as empty and has no hashes; a text shorter
 than ``k`` has one hash, that of its whole text, at 0; two empty fingerprints
 are alike by 1.0, an empty and a full one by 0.0.  Rows with one ``doc_id`` are
-neighbours in the order of their texts, and null ids come last.
+neighbours in the order of their texts, and null ids come last; a very long text is read whole, in one task;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -165,7 +165,7 @@ def _count_grams(batches):
                 waiting = 0
     for name, parts in sorted(kept.items()):
         keys, n = merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def predict(docs: DataFrame, models: Models, *carry: str) -> tuple[DataFrame, list[DataFrame]]:

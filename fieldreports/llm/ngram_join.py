@@ -23,7 +23,8 @@ hash of the digest; classes that would share one get another):
 Defined results: a null text is a group of its own without links; an empty text
 and one without words have no shingles and link to nothing, but equal ones are
 one class; a text of one to four words is one shingle; repeated rows are copies.
-Groups are named by their smallest ``doc_id`` (nulls first).
+Groups are named by their smallest ``doc_id`` (nulls first); a very long text is read whole, in one task;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ reach the driver; pieces get their rank among pieces of one length by counts of
 salted groups, and the plan maps (length, rank) to a sequence and an offset.
 
 Defined results: a null text counts as empty and is one piece, the end id
-alone; an empty table gives no piece; repeated rows are packed one by one.
+alone; an empty table gives no piece; repeated rows are packed one by one;
+a very long text is read whole, in one task, and cut into pieces.
 """
 
 from __future__ import annotations

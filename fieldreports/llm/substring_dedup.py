@@ -24,7 +24,8 @@ buckets, and no pair of occurrences is ever formed.
 
 Defined results: a null text counts as empty; equal rows get equal results, and
 as each is elsewhere for the other, all their windows go.  An empty table gives
-an empty table.  Extra columns are ignored.
+an empty table; a very long text is read whole, in one task.
+Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -505,6 +505,14 @@ def test_languages_by_the_definition(spark, monkeypatch, cells):
             assert got[i]["lang_pred"] == "a"
 
 
+def test_a_language_without_letters_and_clashing_names(spark):
+    rows = [(i, (None, "", "abc def", "abc def")[i % 4], "en" if i % 2 else "fr", "x", 1, 2, 3) for i in range(40)] + [(40, "été " * 700_000, "fr", "x", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, chars string, sums int, text_row int, added int").repartition(2)
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert len(got) == 41 and all((got[i]["lang_pred"] == "und") == (i % 4 < 2) for i in range(40))
+    assert len({(got[i]["lang_pred"], got[i]["score"], got[i]["entropy"]) for i in range(40) if i % 4 > 1}) == 1
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     r = np.random.default_rng(4)
     counts = r.integers(0, 4, (4, 50, 2)).astype(float)
