@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldreports.session import scratch_path
 from fieldreports.sources import fixtures, ingest
 from fieldreports.sources.cells import CellTable
-from fieldreports.sources.store import FactStore
+from fieldreports.sources.store import Derived, FactStore
 from fieldreports.sources.tables import TABLE_NAMES, read_table  # noqa: F401
 
 FACTS = ("attendance", "visits")
@@ -45,9 +45,10 @@ class FactSource:
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
 
-    def _derived(self, name: str) -> DataFrame:
+    def _derived(self, name: str) -> Derived:
         if name == "visits":
-            return ingest.normalise_visits(fixtures.outlet_visits(self.spark, self.sf_dir))
+            rows, widened = fixtures.visit_stages(self.spark, self.sf_dir)
+            return Derived(rows, ingest.visit_day(fixtures.visit_date("day")), lambda df: ingest.normalise_visits(widened(df)))
         daily = None
         if self.base is not None:
             # The daily event aggregate feeds three consumers (days, roster,
@@ -55,7 +56,7 @@ class FactSource:
             path = scratch_path(self.spark, "daily")
             fixtures.daily_events(self.spark, self.sf_dir).write.parquet(path)
             daily = self.spark.read.parquet(path)
-        return ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir, daily=daily))
+        return Derived(ingest.normalise_attendance(fixtures.attendance(self.spark, self.sf_dir, daily=daily)))
 
     def _frame(self, name: str) -> DataFrame:
         # One handle per fact: a written table is listed and its footers read
@@ -63,11 +64,13 @@ class FactSource:
         with self._locks[name]:
             if name not in self._frames:
                 if self.base is None:
-                    self._frames[name], self._cells[name] = self._derived(name), []
+                    self._frames[name], self._cells[name] = self._derived(name).frame(), []
                 else:
                     store = self.store(name)
                     if store.is_empty():  # what a dead writer left has no record
-                        store.add(self._derived(name))
+                        # about a visit a line item; the number is read from the files' footers
+                        n_rows = self.table("lineitem").count() if name == "visits" else None
+                        store.add(self._derived(name), n_rows=n_rows)
                     parts = store.parts()
                     self._frames[name], self._cells[name] = store.rows(parts), store.cells(parts)
             return self._frames[name]
@@ -88,8 +91,7 @@ class FactSource:
         the state they had."""
         self._frame(name)  # an empty store gets all days first
         days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
-        derived = self._derived(name).where(F.col("date_d").between(F.lit(first), F.lit(last)))
-        self.store(name).add(derived, days)
+        self.store(name).add(self._derived(name).between(first, last), days)
         with self._locks[name]:
             self._frames.pop(name)
 

@@ -7,13 +7,17 @@ left-joined to that day's events, so days without any event are ``Not Marked``.
 Both are lazy plans.  The roster x calendar grain is produced without a cross
 join: every employee explodes the list of days that occur (one scalar subquery;
 a calendar has few thousand days, and a stray one adds one, not a range).
-Dimension joins are left to the planner: the small sides (nation, region,
-distinct days) are broadcast by Spark's own size check, larger ones shuffle.
+Dimension joins of ``attendance`` are left to the planner: the small sides
+(nation, region, distinct days) are broadcast by Spark's own size check, larger
+ones shuffle.  ``outlet_visits`` has many rows and two dimensions that grow, so it
+sends a dimension of bounded size and hash-joins a larger one without sorting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldreports.functions.bands import workhour_band
@@ -32,6 +36,8 @@ OTHER_EVENT_ATTENDANCE = "Leave"
 _KNOWN_EVENTS = tuple(sorted(e for e, _ in EVENT_TO_ATTENDANCE))
 PICTURE_URL_PREFIX = "http://images.example.org/"
 WORKHOUR_EDGES = (4, 6, 8)  # hours = quantity / 5
+#: A dimension of at most so many rows (by its files' footers) is sent to all executors.
+SENT_ROWS = 500_000
 
 
 def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,46 +140,68 @@ def attendance(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None)
     )
 
 
-def outlet_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw field-activity fact, one row per line item (text dates, padded keys).
+def _is_small(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return read_table(spark, sf_dir, name).count() <= SENT_ROWS
+
+
+def _joinable(dimension: DataFrame, small: bool) -> DataFrame:
+    """A small dimension is sent; of a larger one each task holds its share, and
+    the fact's rows stream past it: neither side is sorted, so nothing spills."""
+    return F.broadcast(dimension) if small else dimension.hint("shuffle_hash")
 
-    The fact streams through a chain of joins with one dimension each, so
-    every join has the fact on one side and a single table on the other; the
-    planner's size check then broadcasts the small ones and shuffles the rest.
-    (Joining supplier to nation first would make the dimension side look huge
-    to the size estimate and turn the fact itself into the broadcast side.)
+
+def visit_stages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The field-activity fact as narrow rows and the step that widens them:
+    ``outlet_visits`` is the second applied to the first.
+
+    A writer moves the narrow rows, which have ``day`` and the keys and codes of a
+    line item, and widens them where they have arrived: the second step moves no row.
+    So it has the supplier's join only if the supplier is sent; else that join,
+    which shuffles, belongs to the first step.
     """
-    li = read_table(
-        spark,
-        sf_dir,
-        "lineitem",
-        ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"],
-    )
-    supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
-    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-
-    v = (
-        li.join(supplier, li.l_suppkey == supplier.s_suppkey)
-        .join(part, li.l_partkey == part.p_partkey)
-        .join(nation, supplier.s_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-    )
     pk = F.col("l_partkey")
+    channel = F.when(pk % 23 == 0, F.lit(None).cast("string")).when(pk % 31 == 0, F.lit("")).otherwise(F.concat(F.col("p_type"), F.lit(" ")))
+    lines = li.withColumn("day", F.to_date("l_shipdate")).drop("l_shipdate")  # the text date has no time of day
+    lines = lines.join(_joinable(part, _is_small(spark, sf_dir, "part")), pk == F.col("p_partkey"))
+    lines = lines.select("l_suppkey", channel.alias("channel"), "l_quantity", "l_returnflag", "l_linestatus", "day")
+
+    supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
+    geo = _geography(spark, sf_dir)
+    supplier = supplier.join(F.broadcast(geo), supplier.s_nationkey == geo.n_nationkey).drop("s_nationkey", "n_nationkey")
+    sent = _is_small(spark, sf_dir, "supplier")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(_joinable(supplier, sent), F.col("l_suppkey") == F.col("s_suppkey"))
+
+    if sent:
+        return lines, lambda rows: _visit_texts(placed(rows))
+    return placed(lines).drop("l_suppkey"), _visit_texts
+
+
+def _visit_texts(v: DataFrame) -> DataFrame:
     return v.select(
         F.col("r_name").alias("region"),
         F.concat(F.col("n_name"), F.lit(" ")).alias("zse"),
         F.concat(F.lit(" "), F.col("s_name")).alias("ase"),
-        F.when(pk % 23 == 0, F.lit(None).cast("string"))
-        .when(pk % 31 == 0, F.lit(""))
-        .otherwise(F.concat(F.col("p_type"), F.lit(" ")))
-        .alias("channel"),
+        "channel",
         F.concat(F.lit(" Tier-"), F.col("l_returnflag")).alias("tier"),
-        F.date_format("l_shipdate", "dd-MMM-yy").alias("date_txt"),
+        visit_date("day").alias("date_txt"),
         F.concat(F.lit("HO"), F.col("s_suppkey").cast("string")).alias("ase_ho_id"),
         F.col("l_quantity").cast("int").alias("qty"),
         F.col("l_linestatus").alias("location_in"),
         F.col("l_returnflag").alias("location_out"),
         workhour_band(F.col("l_quantity") / 5, WORKHOUR_EDGES).alias("workhour"),
     )
+
+
+def visit_date(day) -> Column:
+    """The text date of the field-activity fact."""
+    return F.date_format(day, "dd-MMM-yy")
+
+
+def outlet_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw field-activity fact, one row per line item (text dates, padded keys)."""
+    rows, widened = visit_stages(spark, sf_dir)
+    return widened(rows)

@@ -10,12 +10,18 @@ hold narrow ranges of days, so the min/max statistics of all others skip them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldreports.functions.dates import parse_dd_mon_yy
 
 
+#: A task sorts about so many rows where their number is known beforehand.
+ROWS_PER_TASK = 400_000
+
+
 def year_key(d) -> "F.Column":
     """Calendar year as the integer partition key (NULL dates -> NULL partition)."""
     return F.year(d).cast("int")
@@ -39,7 +45,7 @@ def normalise_attendance(df: DataFrame) -> DataFrame:
 
 def normalise_visits(df: DataFrame) -> DataFrame:
     date_key = F.trim("date_txt")
-    d = parse_dd_mon_yy(date_key)
+    d = visit_day("date_txt")
     return df.select(
         "*",
         F.trim("zse").alias("zse_key"),
@@ -52,6 +58,19 @@ def normalise_visits(df: DataFrame) -> DataFrame:
     )
 
 
+def visit_day(date_txt) -> Column:
+    return parse_dd_mon_yy(F.trim(date_txt))
+
+
+def ranged(df: DataFrame, keys: Sequence[str | Column], n_rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``: into the session's number of shuffle
+    partitions, or more if ``n_rows`` rows would be too many a task to be sorted
+    in memory."""
+    n = -(-(n_rows or 0) // ROWS_PER_TASK)
+    more = n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys) if more else df.repartitionByRange(*keys)
+
+
 def write_fact(
     df: DataFrame,
     path: str,
@@ -59,6 +78,9 @@ def write_fact(
     sort_col: str = "date_d",
     mode: str = "error",
     shuffle: bool = True,
+    day: Column | None = None,
+    widened: Callable[[DataFrame], DataFrame] | None = None,
+    n_rows: int | None = None,
 ) -> str:
     """Write a normalised fact as Parquet by year, in files of narrow day ranges.
 
@@ -70,13 +92,19 @@ def write_fact(
     arrives in time order (append-only facts), ``shuffle=False`` lets every scan
     task write its own files directly.
 
+    With ``widened``, ``df`` has narrow rows: these are shuffled (``day`` gives
+    their day), and ``widened``, which moves no row, makes the fact's columns of
+    them in the tasks that write.  ``n_rows``: about how many rows there are.
+
     Each task sorts its rows by (year, day), so it writes one file at a time.
     Spark's commit protocol makes the write safe against lost executors (failed
     tasks are retried; only committed task output becomes visible).  The written
     table also cuts lineage.
     """
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    out = df.repartitionByRange(partition_col, sort_col, spread) if shuffle else df
+    keys = [partition_col, sort_col] if day is None else [year_key(day), day]
+    out = ranged(df, [*keys, spread], n_rows) if shuffle else df
+    out = out if widened is None else widened(out)
     (
         out.sortWithinPartitions(partition_col, sort_col)
         .write.mode(mode)

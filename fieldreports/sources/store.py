@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
 
 import datetime as dt
 
@@ -33,12 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldreports.sources import ingest
-from fieldreports.sources.cells import TABLES, CellTable, cells_of
+from fieldreports.sources.cells import SUM_INPUTS, TABLES, CellTable, cells_of, with_derived
 
 DAY = "date_d"
 #: A report reads a cell table only if the fact has at least so many times its rows.
 LEAST_REDUCTION = 2
 
+#: Rows of which at least so many in a hundred are cells of their own are dealt once
+#: by day and dimensions; fewer cells are gathered first and dealt as cells.
+LEAST_DISTINCT = 90
+#: From so many rows on the cells are estimated before they are made.
+ESTIMATED_ROWS = 1_000_000
+
 _RECORD = "part string, at long, days array<string>, schema string, n_rows long, n_cells map<string,long>"
 _NO_DAY = ""
 
@@ -60,6 +66,23 @@ class Part:
     n_cells: dict = field(compare=False)
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A fact to be written: narrow rows, their day, and the step that makes the
+    fact's columns of them without moving a row (None: ``rows`` is the fact)."""
+
+    rows: DataFrame
+    day: Column | None = None
+    widened: Callable[[DataFrame], DataFrame] | None = None
+
+    def frame(self) -> DataFrame:
+        return self.rows if self.widened is None else self.widened(self.rows)
+
+    def between(self, first: dt.date, last: dt.date) -> "Derived":
+        day = F.col(DAY) if self.day is None else self.day
+        return replace(self, rows=self.rows.where(day.between(F.lit(first), F.lit(last))))
+
+
 class FactStore:
     """The fact ``name`` below ``path``, a folder on shared storage."""
 
@@ -133,24 +156,48 @@ class FactStore:
 
     # ------------------------------------------------------------ writes
 
-    def add(self, df: DataFrame, days: Iterable[dt.date | None] = (), at: int | None = None) -> str:
+    def _scattered(self, written: DataFrame, n_rows: int) -> set[str]:
+        """The cell tables with about a cell a row (one pass, estimates only)."""
+        if n_rows < ESTIMATED_ROWS:
+            return set()
+        tables = TABLES[self.name]
+        base = with_derived(written, self.name)
+        n = base.agg(*[F.approx_count_distinct(F.struct(*dims), 0.02).alias(t) for t, dims in tables.items()]).first()
+        return {t for t in tables if n[t] * 100 >= LEAST_DISTINCT * n_rows}
+
+    def _write_cells(self, written: DataFrame, table: str, to: str, n_rows: int, scattered: bool) -> None:
+        dimensions = TABLES[self.name][table]
+        if not scattered:
+            ingest.write_fact(cells_of(written, self.name, dimensions), to)
+            return
+        # Rows dealt by ranges of all dimensions, the day first, have each cell in
+        # one task: the cells are made and written where the rows have arrived.
+        base = with_derived(written, self.name).select(*dict.fromkeys([*dimensions, *SUM_INPUTS[self.name]]))
+        keys = ["year", DAY, *[c for c in dimensions if c not in ("year", DAY)]]
+        ingest.write_fact(cells_of(ingest.ranged(base, keys, n_rows), self.name, dimensions), to, shuffle=False)
+
+    def add(self, df: DataFrame | Derived, days: Iterable[dt.date | None] = (), at: int | None = None, n_rows: int | None = None) -> str:
         """Write ``df`` as the only rows of its days, and of ``days``, which may
-        hold none of them.  Returns the part's name."""
+        hold none of them.  ``n_rows``: about how many rows it has, if that is
+        known.  Returns the part's name."""
+        derived = df if isinstance(df, Derived) else Derived(df)
+        schema = derived.frame().schema
         if at is None:
             # later than all that this writer can have seen, whatever the clocks say
             at = max([time.time_ns(), *(p.at + 1 for p in self.parts())])
         part = f"w{uuid.uuid4().hex}"
         folder = f"{self.path}/rows/part={part}"
-        ingest.write_fact(df, folder)
-        written = self.spark.read.schema(df.schema).parquet(folder)
+        ingest.write_fact(derived.rows, folder, day=derived.day, widened=derived.widened, n_rows=n_rows)
+        written = self.spark.read.schema(schema).parquet(folder)
         counted = {r[DAY]: r["n"] for r in written.groupBy(DAY).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a day
-        n_cells = {}
-        for table, dimensions in TABLES[self.name].items():
+        n_cells, total = {}, sum(counted.values())
+        scattered = self._scattered(written, total)
+        for table in TABLES[self.name]:
             to = f"{self.path}/cells/{table}/part={part}"
-            ingest.write_fact(cells_of(written, self.name, dimensions), to)
+            self._write_cells(written, table, to, total, table in scattered)
             n_cells[table] = self.spark.read.schema("_n long").parquet(to).count()
         names = sorted({_day_text(d) for d in (*counted, *days)})
-        record = self.spark.createDataFrame([(part, at, names, df.schema.json(), sum(counted.values()), n_cells)], _RECORD)
+        record = self.spark.createDataFrame([(part, at, names, schema.json(), total, n_cells)], _RECORD)
         record.coalesce(1).write.json(f"{self.path}/commits/write={part}")
         return part
 
@@ -160,7 +207,7 @@ class FactStore:
         if len(parts) < 2:
             return None
         days = [None if d == _NO_DAY else dt.date.fromisoformat(d) for p in parts for d in p.owned]
-        return self.add(self.rows(parts), days, at=max(p.at for p in parts) + 1)
+        return self.add(self.rows(parts), days, at=max(p.at for p in parts) + 1, n_rows=sum(p.n_rows for p in parts))
 
 
 def _json(text: str):

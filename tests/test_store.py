@@ -12,8 +12,8 @@ from fieldreports.operators.filters import AttendanceFilter, VisitFilter
 from fieldreports.plans import api, registry
 from fieldreports.plans import queries as Q
 from fieldreports.plans.dashboard import collect_all, run_dashboard
-from fieldreports.sources import FactSource, cells, store
-from fieldreports.sources.tables import TABLE_NAMES
+from fieldreports.sources import FactSource, cells, fixtures, ingest, store
+from fieldreports.sources.tables import SCHEMAS, TABLE_NAMES
 
 from .conftest import SF_SMALL
 
@@ -288,3 +288,87 @@ def test_a_load_reads_cells_where_it_can(written_source, tables):
     with run_dashboard(df, AttendanceFilter(), "attendance", cells=tables["attendance"]) as run:
         assert run.sources[2] == "days" and run.sources[1] == "shared" and run.shared is None
         assert {i: key(r) for i, r in run.reports.items()} == {i: key(registry.report(df, AttendanceFilter(), "attendance", i)) for i in run.reports}
+
+
+# ------------------------------------------------------------ what a write moves
+
+DEALT = ("day", "l_suppkey", "channel", "l_quantity", "l_returnflag", "l_linestatus")
+
+
+@pytest.fixture(scope="module")
+def own_tables(spark, tmp_path_factory):
+    """Small tables: keys that repeat, are null or meet nothing, and days of all kinds."""
+    at = tmp_path_factory.mktemp("own")
+    days = [None, dt.datetime(1996, 2, 29, 13), dt.datetime(2072, 2, 29), dt.datetime(1969, 12, 31, 23, 59), *[dt.datetime(1995, 1, 1) + dt.timedelta(days=9 * i) for i in range(40)]]
+    lines = [(i, None if i % 37 == 0 else i % 70, None if i % 41 == 0 else i % 9, 1, float(i % 50), 1.0, 0.0, 0.0, "ANR"[i % 3], "FO"[i % 2], days[i % len(days)]) for i in range(600)]
+    rows = {
+        "lineitem": lines + lines[:40],
+        "supplier": [*[(k, f"Supplier#{k}", k % 4, 1.0) for k in range(7)], (3, "Supplier#twice", 1, 1.0), (None, "Supplier#none", 1, 1.0)],
+        "part": [*[(k, "p", "b", None if k == 5 else "PROMO", 1, 1.0) for k in range(64)], (7, "p", "b", "ECONOMY", 1, 1.0)],
+        "nation": "select id n_nationkey, concat('NATION_', id) n_name, id % 2 n_regionkey from range(3)",
+        "region": "select id r_regionkey, concat('REGION', id) r_name from range(2)",
+    }
+    for name, r in rows.items():
+        df = spark.sql(r) if isinstance(r, str) else spark.createDataFrame(r, SCHEMAS[name])
+        df.selectExpr(*[f"cast({c} as int) {c}" if c.endswith(("nationkey", "regionkey")) else c for c in df.columns]).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+VISITS_AS_SQL = """
+    select r_name region, concat(n_name, ' ') zse, concat(' ', s_name) ase,
+           case when l_partkey % 23 = 0 then null when l_partkey % 31 = 0 then '' else concat(p_type, ' ') end channel, concat(' Tier-', l_returnflag) tier,
+           date_format(l_shipdate, 'dd-MMM-yy') date_txt, concat('HO', s_suppkey) ase_ho_id, cast(l_quantity as int) qty, l_linestatus location_in, l_returnflag location_out
+    from {lineitem} join {supplier} on l_suppkey = s_suppkey join {part} on l_partkey = p_partkey join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
+"""
+
+
+@pytest.mark.parametrize("sent", [500_000, 8])  # all dimensions are sent; part and supplier are too large for it
+def test_a_visit_is_moved_as_a_narrow_row(spark, own_tables, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(fixtures, "SENT_ROWS", sent, raising=False)
+    monkeypatch.setattr(ingest, "ROWS_PER_TASK", 50, raising=False)
+    kind, dealt = type(spark.range(0)), []
+    real = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *a: (dealt.append((n, self)), real(self, n, *a))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        src = FactSource(spark, own_tables, str(tmp_path / "facts"))
+        got = src.visits()
+        n, moved = dealt[0]
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [l_" not in plan and ("ShuffledHashJoin [l_" in plan) == (sent == 8)
+    assert n == -(-640 // 50)  # so many tasks that each can sort its rows
+    assert len(moved.columns) <= 9 and (sent == 8 or set(moved.columns) == set(DEALT))
+    tables = {t: src.table(t) for t in ("lineitem", "supplier", "part", "nation", "region")}
+    want = spark.sql(VISITS_AS_SQL, **tables)
+    assert key(got.select(*want.columns)) == key(want) and got.count() > 400
+    lazy = FactSource(spark, own_tables).visits()
+    assert got.dtypes == lazy.select(*got.columns).dtypes and key(got) == key(lazy.select(*got.columns))
+    last = dt.date(1995, 3, 31)
+    src.refresh("visits", dt.date(1995, 1, 1), last)  # days that are there
+    assert key(src.visits()) == key(got) and len(src.store("visits").parts()) == 2
+
+
+def test_cells_of_scattered_rows_are_dealt_once(spark, own_tables, tmp_path, monkeypatch):
+    """A table with about a cell a row shuffles its rows once, and is whole."""
+    monkeypatch.setattr(store, "ESTIMATED_ROWS", 0, raising=False)
+    monkeypatch.setattr(store, "LEAST_DISTINCT", 80, raising=False)
+    monkeypatch.setattr(ingest, "ROWS_PER_TASK", 50, raising=False)
+    writes, real = {}, ingest.write_fact
+    monkeypatch.setattr(ingest, "write_fact", lambda df, to, *a, **k: (writes.setdefault(to.split("/part=")[0].split("/")[-1], (df, k.get("shuffle", True))), real(df, to, *a, **k))[1])
+    one = spark.sql(VISITS_AS_SQL, **{t: FactSource(spark, own_tables).table(t) for t in ("lineitem", "supplier", "part", "nation", "region")})
+    each = one.dropDuplicates(["date_txt", "ase", "channel", "tier"]).withColumn("workhour", F.lit("x"))
+    rows = ingest.normalise_visits(each.unionByName(each.limit(9)))  # a few cells have two rows
+    rows = rows.unionByName(rows.limit(2).withColumns({"date_d": F.lit(None).cast("date"), "year": F.lit(None).cast("int")})).localCheckpoint()
+    s = store.FactStore(spark, "visits", str(tmp_path / "f"))
+    s.add(rows)
+    moves = {t: writes[t][0]._jdf.queryExecution().executedPlan().toString().count("Exchange ") + writes[t][1] for t in cells.TABLES["visits"]}
+    assert moves["teams"] == 1, moves
+    got = {t.name: t for t in s.cells(least_reduction=0)}
+    assert list(got) == list(cells.TABLES["visits"])
+    for name, t in got.items():
+        want = cells.cells_of(rows, "visits", cells.TABLES["visits"][name])
+        assert t.frame.dtypes == want.dtypes and key(t.frame) == key(want) and t.n_cells == want.count(), name
+    assert key(s.rows()) == key(rows.select(*s.rows().columns))
